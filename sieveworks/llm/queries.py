@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, toxicity
+from . import decontam, mixing, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.doc_held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), token_store.vocabulary(), end_id=2)
+    return token_store.crc_of_ids(token_store.read_store(spark, path))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op7_toxicity": op7_toxicity,
+    "op8_token_store": op8_token_store,
+    "op9_decontaminate": op9_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
