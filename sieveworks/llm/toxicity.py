@@ -17,8 +17,9 @@ Scoring reads every whole text, in one pass without a shuffle.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -103,10 +104,13 @@ class FactorizationMachine:
 class ToxicityModel:
     terms: dict[int, int]
     machine: FactorizationMachine
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def rows(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """The selected terms of each text, as one index array and row bounds."""
-        known = _KNOWN.setdefault(id(self.terms), {})
+        if self.name not in _KNOWN:  # workers live on: only the words of the latest model are kept
+            _KNOWN.clear()
+        known = _KNOWN.setdefault(self.name, {})
         found: list[int] = []
         bounds = [0]
         for text in texts:
@@ -123,7 +127,7 @@ class ToxicityModel:
         return np.array(found, dtype=np.int64), np.array(bounds, dtype=np.int64)
 
 
-_KNOWN: dict[int, dict[str, tuple[int, ...]]] = {}
+_KNOWN: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
