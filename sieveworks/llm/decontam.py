@@ -81,12 +81,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 8, share:
     lengths = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}  # at most ``length`` rows
     small = sum(lengths.values()) <= broadcast_rows
     parsed = docs.select("doc_id", tokens(template(marked(F.col("text")))).alias("words"))
-    hashes = F.flatten(F.array(*(F.transform(window_hashes(F.col("words"), n), lambda h, i, n=n: F.struct(h.alias("hash"), (i + 1).alias("pos"), F.lit(n).alias("len"))) for n in sorted(lengths)))) if len(lengths) > 1 else None
-    if hashes is None:
+
+    def located(n: int) -> Column:
+        return F.transform(window_hashes(F.col("words"), n), lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("pos"), F.lit(n).alias("len")))
+
+    if len(lengths) < 2:
         only = next(iter(lengths), length)
         each = parsed.select("doc_id", F.posexplode(window_hashes(F.col("words"), only)).alias("pos", "hash")).select("doc_id", "hash", (F.col("pos") + 1).alias("pos"), F.lit(only).alias("len"))
     else:
-        each = parsed.select("doc_id", F.inline(hashes))
+        each = parsed.select("doc_id", F.inline(F.flatten(F.array(*(located(n) for n in sorted(lengths))))))
     side = windows.select(F.col("hash").alias("_h"), F.col("length").alias("_l"), "item_id", "item_pos", "n_item")
     met = each.join(F.broadcast(side) if small else side, (F.col("hash") == F.col("_h")) & (F.col("len") == F.col("_l"))).select("doc_id", "item_id", "pos", "item_pos", "len", "n_item").distinct()
     met = stage(met, "windows-met")
