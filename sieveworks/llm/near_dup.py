@@ -12,8 +12,10 @@ before anything is compared. Then, over classes:
    number of entries. The union sketch estimates their similarity and drops the hopeless ones, the
    full sets decide the others. Components of the links follow.
 3. Round two takes the lists that still hold more than one component. Of short lists, all pairs across
-   components are estimated and verified as before. Long lists are cut into blocks, and pairs of
-   blocks are compared on full sets inside a task, which emits a spanning forest of its links.
+   components are estimated and verified as before. Long lists are cut into blocks, those of the
+   list's largest component and those of the others; each block of the others meets every block, and a
+   task compares a pair of blocks on full sets and emits a spanning forest of its links. Members of the
+   largest component are connected already and don't meet each other.
 
 So every pair that shares an entry is compared on full sets unless it is already connected or its
 estimate is hopeless. Components are therefore those of all links.
@@ -186,9 +188,13 @@ def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _long_lists(entries: DataFrame, lists: DataFrame, docs: DataFrame) -> DataFrame:
     """Links across components in lists longer than a short one, by pairs of blocks."""
     rows = entries.join(lists.filter(F.col("m") > _SHORT_LIST), "value")
-    blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "value"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = F.col("comp") == F.col("main")
+    guests, hosts = F.ceil((F.col("m") - F.col("m_main")) / _BLOCK).cast("int"), F.ceil(F.col("m_main") / _BLOCK).cast("int")
+    rows = rows.withColumns({"guests": guests, "hosts": hosts})
+    # Blocks 0 .. guests - 1 hold the other components, the rest the main one, whose members are connected.
+    own = F.when(inside, F.col("guests") + F.pmod(F.xxhash64("rep", "value"), F.col("hosts"))).otherwise(F.pmod(F.xxhash64("rep", "value"), F.col("guests"))).cast("int")
+    mates = F.sequence(F.lit(0), F.when(inside, F.col("guests") - 1).otherwise(F.col("guests") + F.col("hosts") - 1))
+    rows = rows.select("value", "rep", "comp", own.alias("block"), F.explode(mates).alias("other"))
     rows = rows.select("value", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     wanted = rows.select("rep").distinct()
@@ -219,8 +225,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = stage(components(links), "components")
 
     labelled = stage(entries.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("value", "rep", "comp"), "labelled")
-    lists = stage(labelled.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value", "m"), "open-lists")
-    short = labelled.join(lists.filter(F.col("m") <= _SHORT_LIST), "value").select("value", "rep", "comp")
+    sizes = labelled.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
+    lists = sizes.groupBy("value").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("main")).filter("comps > 1")
+    lists = stage(lists.select("value", "m", F.col("main.comp").alias("main"), F.col("main.c").alias("m_main")), "open-lists")
+    short = labelled.join(lists.filter(F.col("m") <= _SHORT_LIST).select("value"), "value")
     pairs = short.select("value", F.col("rep").alias("a"), F.col("comp").alias("ca")).join(short.select("value", F.col("rep").alias("b"), F.col("comp").alias("cb")), "value")
     pairs = pairs.filter("a < b and ca <> cb").select("a", "b").distinct()
     more = confirmed(estimated(pairs, reps), docs)
