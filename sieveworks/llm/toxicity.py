@@ -63,7 +63,7 @@ class FactorizationMachine:
 
     def fit(self, n: int, index: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
         rng = np.random.default_rng(self.seed)
-        share = min(max(labels.mean() if len(labels) else 0.5, 1e-3), 1 - 1e-3)
+        share = min(max(labels.mean() if len(labels) else 0.0, 1e-3), 1 - 1e-3)
         self.b = float(np.log(share / (1 - share)))
         self.w = np.zeros(n)
         self.v = rng.normal(0, 0.02, (n, self.factors))
