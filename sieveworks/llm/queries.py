@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embed_dup, langid, mixing, near_dup, quality, secrets, substring, token_store, toxicity
+from . import decontam, embed_dup, langid, mixing, mixing_sql, near_dup, oracle_queries, quality, secrets, substring, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others train a model, follow regular expressions SQL engines lack, or write files; they are tested
+#: against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": oracle_queries.OP1,
+    "op2_secret_scan": oracle_queries.OP2,
+    "op4_mix_sources": mixing_sql.mix_sql(),
+    "op5_embedding_dedup": oracle_queries.OP5,
+    "op10_near_duplicates": oracle_queries.OP10,
+}
