@@ -3,7 +3,7 @@ harvest must give its columns back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import automata as A
@@ -12,7 +12,9 @@ from ..operators import json_tree as J
 from ..operators import robots as R
 from .common import fixture, fixture_sql, table
 
-_HOST = F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)
+
+def _host() -> Column:
+    return F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)
 
 
 def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_render_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(_HOST.alias("host"), W.render_verdict("html").alias("verdict"), F.length(W.visible_text("html")).alias("n"))
+    p = table(spark, sf_dir, "pages").select(_host().alias("host"), W.render_verdict("html").alias("verdict"), F.length(W.visible_text("html")).alias("n"))
     return p.groupBy("host", "verdict").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").cast("long").alias("visible"))
 
 
@@ -177,7 +179,7 @@ def web_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_probe_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of a host: share of good answers, weight and what access that means."""
-    p = table(spark, sf_dir, "pages").select(_HOST.alias("host"), F.when(F.col("page_id") % 7 == 0, 403).when(F.col("page_id") % 5 == 0, 301).otherwise(200).alias("status"), F.length("html").alias("n"))
+    p = table(spark, sf_dir, "pages").select(_host().alias("host"), F.when(F.col("page_id") % 7 == 0, 403).when(F.col("page_id") % 5 == 0, 301).otherwise(200).alias("status"), F.length("html").alias("n"))
     ok = F.avg(F.when(F.col("status").between(200, 399), 1.0).otherwise(0.0))
     return p.groupBy("host").agg(F.count(F.lit(1)).alias("samples"), ok.alias("ok_rate"), F.max("n").cast("long").alias("heaviest")).withColumn("access", F.when(F.col("ok_rate") == 1, "open").when(F.col("ok_rate") == 0, "blocked").otherwise("intermittent"))
 
@@ -186,7 +188,7 @@ def agg_asset_extrapolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean weight of a host's first eight pages times its pages."""
     from pyspark.sql import Window
 
-    p = table(spark, sf_dir, "pages").select(_HOST.alias("host"), "page_id", F.length("html").alias("n"))
+    p = table(spark, sf_dir, "pages").select(_host().alias("host"), "page_id", F.length("html").alias("n"))
     p = p.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
     return p.groupBy("host").agg((F.avg(F.when(F.col("k") <= 8, F.col("n"))) * F.count(F.lit(1))).alias("bytes"), F.count(F.lit(1)).alias("assets"))
 
@@ -200,7 +202,7 @@ def web_probe_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_cardinality_assert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").groupBy(_HOST.alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    p = table(spark, sf_dir, "pages").groupBy(_host().alias("host")).agg(F.count(F.lit(1)).alias("n"))
     return p.filter("n <> 5")
 
 
