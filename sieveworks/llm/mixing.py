@@ -132,7 +132,7 @@ def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     ``part`` words, for a partial pass. Columns are those of ``docs``; documents with taken 0 are gone.
     Rows that repeat a doc_id get the largest share among them. In a cut text, words are joined by one
     space. The taken stretch of a document that the run enters or leaves is put at its head."""
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("_d")).agg(F.max("full").alias("_full"), F.max("part").alias("_part"))
+    plan = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("_d")).agg(F.max("full").alias("_full"), F.max("part").alias("_part"))
     joined = docs.join(plan, F.col("doc_id") == F.col("_d")).filter((F.col("_full") > 0) | (F.col("_part") > 0))
     times = F.concat(F.array_repeat(F.lit(False), F.col("_full").cast("int")), F.when(F.col("_part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     rows = joined.withColumn("_cut", F.explode(times))
