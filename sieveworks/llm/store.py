@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_BATCH_KEY, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,13 +28,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> str:
+def write_parquet(df: DataFrame, path: str) -> None:
+    """Write ``df`` with batches to Python of at most 2,000 rows, so that long texts fit beside each other in
+    a worker. The session's own setting holds again afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH_KEY)
+    conf.set(_BATCH_KEY, str(min(int(before), _BATCH_ROWS) if int(before) > 0 else _BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_BATCH_KEY, before)
+
+
+def write_table(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet into the shared folder; returns the path."""
     path = new_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    write_parquet(df, path)
     return path
 
 

@@ -30,10 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stage
 from .words import hashed_words, windows
 
 _GROUP_WORDS = 1_500_000
-_BATCH_BYTES = 12_000_000
+_BATCH_BYTES = 4_000_000
 _PARTS = "kind int, grp int, doc_id long, data binary"
 
 
@@ -191,7 +192,7 @@ def repeated_stretches(docs: DataFrame, length: int = 20, anchor: int = 9, group
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = texts.mapInPandas(_suffixes(length, anchor, bits), _PARTS)
     found = parts.repartition(n, "grp").sortWithinPartitions("grp").mapInPandas(_subtrees, "doc_id long, data binary")
-    return found.groupBy("doc_id").agg(F.collect_list("data").alias("stretches"))
+    return stage(found.groupBy("doc_id").agg(F.collect_list("data").alias("stretches")), "stretches")
 
 
 def substring_dedup(docs: DataFrame, length: int = 20, **options: int) -> DataFrame:
