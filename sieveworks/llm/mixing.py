@@ -78,7 +78,7 @@ def source_targets(totals: DataFrame, weights: Sequence[float], volume: float, m
     return ranked.select("source", "source_size", "_rank", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1.5, most: float = 2.0, block: int = 8, shard_words: int = 4_000_000, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1.5, most: float = 2.0, block: int = 8, shard_words: int = 200_000, seed: int = 17) -> DataFrame:
     """Which part of each document the mix takes.
 
     Returns doc_id, size, source_size, target, taken, full (whole passes), part (words of one more,
