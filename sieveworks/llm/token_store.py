@@ -10,8 +10,9 @@ document in doc_id order. Layout below the store's path:
 
     docs/      one row per document, files in ascending doc_id order: doc_id, shard, at (ids before it in
                its shard), n_tokens, recipe (20 bytes a chunk: digest, n << 1 | shared), own (the ids
-               of chunks that only this document has, in order), root (Merkle root of the recipe)
-    chunks/    digest, ids: chunks that stand in a recipe more than once
+               of chunks that stand nowhere else, in order), shared (digest and ids of chunks that stand
+               again later: each is kept by the document it stands in first), root (Merkle root of
+               the recipe)
     manifest/  one row per shard: shard, start (ids before it), n_docs, n_tokens, root (Merkle root of
                its documents' roots in order)
 
@@ -23,8 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -33,17 +37,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import drop_path, new_path, write_table
+from .store import drop_path, new_path, write_parquet, write_table
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s")
-_CACHE_PIECES = 600_000
+_CACHE_PIECES = 250_000
 _WINDOW, _MIN, _MAX, _MASK = 16, 64, 2048, 0xFF
 _DIGEST = 16
 
 
 class Encoder:
-    """Encodes texts to id arrays; one per worker process and vocabulary file."""
+    """Encodes texts to id arrays; one per worker process and vocabulary file.
+
+    A new piece that is letters and closing marks is itself parted into its pre-tokens, and the library's
+    model encodes each once; any other new piece goes through the whole tokenizer. That a vocabulary
+    parts texts in this way is tried when it is loaded; if it doesn't, texts go through it whole."""
 
     _made: dict[str, Encoder] = {}
 
@@ -56,10 +63,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 65536 else np.dtype("<u4")
-        self.spaced = np.zeros(size, dtype=bool)  # ids whose token begins with a space
-        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.spaced[k] = token.startswith("Ġ")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pieces: dict[str, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
+        # Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        trial = " a don't, über. 12%% x\ny;\n\n  z\t(q) ñandú!? \u3000w £5 a\u0301 "
+        self.parted = True
+        self.parted = sys.byteorder == "little" and self.encode([trial, trial[1:], ""]) == self._whole([trial, trial[1:], ""])
+        self.pieces.clear()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -71,35 +85,75 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces are encoded many at a time; a token that begins with a space begins a piece."""
-        groups = [pieces[k : k + 256] for k in range(0, len(pieces), 256)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype=self.dtype)
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(group) or starts[0] != 0:
-                self.pieces.update(zip(group, self._whole([" " + p for p in group])))
+    def _pretoken(self, text: str) -> bytes:
+        found = self.pretokens.get(text)
+        if found is None:
+            tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+            found = self.pretokens[text] = array(self.code, [t.id for t in tokens]).tobytes()
+        return found
+
+    def _lines(self, lead: str, piece: str) -> bytes | None:
+        """Lines of letters with closing marks; null for any other piece."""
+        out = []
+        for line in piece.split("\n"):
+            core = line.rstrip(string.punctuation)
+            if not core.isalpha():
+                return None
+            if out:
+                out.append(self._pretoken("\n"))
+                lead = ""
+            out.append(self._pretoken(lead + core))
+            if len(core) < len(line):
+                out.append(self._pretoken(line[len(core) :]))
+        return b"".join(out)
+
+    def _learn(self, lead: str, pieces: list[str]) -> dict[str, bytes]:
+        cores = [p.rstrip(string.punctuation) for p in pieces]
+        known, code = self.pretokens, self.code
+        new = [lead + c for c in set(cores) if lead + c not in known and c.isalpha()]
+        # All new words are written in the vocabulary's letters at once; U+010A stands for the line's end.
+        shown = "\n".join(new).encode().decode("latin-1").translate(self.letters).split("\u010a") if new else []
+        tokenize = self.tokenizer.model.tokenize
+        for word, letters in zip(new, shown):
+            known[word] = array(code, [t.id for t in tokenize(letters)]).tobytes()
+        found, rest = {}, []
+        for piece, core in zip(pieces, cores):
+            ids = known.get(lead + core)
+            if ids is not None and core:
+                found[piece] = ids if len(core) == len(piece) else ids + self._pretoken(piece[len(core) :])
                 continue
-            data, w = ids.tobytes(), self.dtype.itemsize
-            ends = [*(starts[1:] * w).tolist(), len(data)]
-            self.pieces.update((p, data[a:b]) for p, a, b in zip(group, (starts * w).tolist(), ends))
+            ids = self._lines(lead, piece) if "\n" in piece else None
+            if ids is None:
+                rest.append(piece)
+            else:
+                found[piece] = ids
+        found.update(zip(rest, self._whole([lead + p for p in rest])))
+        return found
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        firsts, rests, new = [], [], set()
+        if not self.parted:
+            return self._whole(list(texts))
         if len(self.pieces) > _CACHE_PIECES:
             self.pieces.clear()
-        for text in texts:
-            parts = _CUT.split(text) if _ODD.search(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
-            firsts.append(parts[0])
+            self.pretokens.clear()
+        rows = [text.split(" ") for text in texts]
+        new = set().union(*rows).difference(self.pieces)
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        if odd:  # white space beside the space: cut those texts only where both sides are solid
+            for k, parts in enumerate(rows):
+                if not odd.isdisjoint(parts):
+                    rows[k] = _CUT.split(texts[k])
+            new = set().union(*rows).difference(self.pieces)
+        heads = {parts[0] for parts in rows}
+        first = self._learn("", list(heads))
+        self.pieces.update(self._learn(" ", [p for p in new if p and not p[0].isspace()]))
+        get, out = self.pieces.__getitem__, []
+        for parts in rows:
+            head = first[parts[0]]
             del parts[0]
-            rests.append(parts)
-            new.update(parts)
-        missing = [p for p in new if p not in self.pieces]
-        if missing:
-            self._learn(missing)
-        get = self.pieces.__getitem__
-        return [head + b"".join(map(get, parts)) for head, parts in zip(self._whole(firsts), rests)]
+            out.append(head + b"".join(map(get, parts)))
+        return out
 
 
 _GEAR = np.random.default_rng(20240229).integers(1, 2**63, size=1 << 16, dtype=np.uint64)
@@ -113,9 +167,11 @@ def cuts(ids: np.ndarray) -> list[int]:
         return []
     with np.errstate(over="ignore"):
         gear = _GEAR[ids & 0xFFFF] * (np.uint64(1) + (ids.astype(np.uint64) >> np.uint64(16)))
-        rolled = np.zeros(n, dtype=np.uint64)
-        for k in range(min(_WINDOW, n)):
-            rolled[k:] += gear[: n - k] << np.uint64(k)
+        rolled = gear
+        for k in (1, 2, 4, 8):  # sums over 2, 4, 8 and 16 ids, each id shifted by its age
+            more = rolled.copy()
+            more[k:] += rolled[: max(0, n - k)] << np.uint64(k)
+            rolled = more
         marks = np.flatnonzero(((rolled >> np.uint64(_WINDOW)) & np.uint64(_MASK)) == 0) + 1
     found, last = [], 0
     for mark in marks.tolist():
@@ -225,23 +281,19 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shards: i
     both = both.unionByName(encoded.select("doc_id", "row", F.lit(1).alias("kind"), "n_tokens", "ids", "lens", "digests", F.lit(None).cast("array<int>").alias("marks")))
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = both.repartitionByRange(shards, "doc_id", "row").sortWithinPartitions("doc_id", "row", "kind").drop("row")
-    packed_path = write_table(ordered.mapInPandas(_pack(wide), _DOCS), "packed")
-    packed = spark.read.parquet(packed_path)
-
     path = new_path(spark, "token-store")
-    packed.drop("shared").write.option("compression", "zstd").parquet(f"{path}/docs")
-    packed.select(F.explode("shared").alias("c")).select("c.digest", "c.ids").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    write_parquet(ordered.mapInPandas(_pack(wide), _DOCS), f"{path}/docs")
 
     def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"shard": pdf.shard, "n_docs": pdf.n_docs, "n_tokens": pdf.n_tokens, "root": [merkle_root([bytes(x["root"]) for x in rows]) for rows in pdf.roots]})
 
     # A shard's roots are 16 bytes a document, and shards are bounded by their number.
-    sums = packed.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("doc_id", "at", "root"))).alias("roots"))
+    sums = spark.read.parquet(f"{path}/docs").groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("doc_id", "at", "root"))).alias("roots"))
     sealed = sums.mapInPandas(seal, "shard int, n_docs long, n_tokens long, root binary")
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sealed.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/manifest")
-    for used in (raw, often_path, packed_path):
+    for used in (raw, often_path):
         drop_path(spark, used)
     return path
 
@@ -250,7 +302,8 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers) of every document, rebuilt
     from recipes and chunks. A chunk that differs from its digest, a document that differs from its
     root or a missing chunk fails the read."""
-    docs, chunks, manifest = (spark.read.parquet(f"{path}/{x}") for x in ("docs", "chunks", "manifest"))
+    docs, manifest = (spark.read.parquet(f"{path}/{x}") for x in ("docs", "manifest"))
+    chunks = docs.select(F.inline("shared"))  # reads that column only
     docs = docs.withColumn("row", F.struct("shard", "at"))
     entries = (F.length("recipe") / (_DIGEST + 4)).cast("int")
     last = F.conv(F.hex(F.substring(F.col("recipe"), F.col("k") * (_DIGEST + 4) + _DIGEST + 1, F.lit(1))), 16, 10).cast("int")
