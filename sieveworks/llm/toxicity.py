@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, terms: int =
 
     seen = rows.mapInPandas(pick, "doc_id long, toxic int, ids binary").toPandas()
     seen["ids"] = [bytes(x) for x in seen.ids]
-    seen = seen.sort_values(["doc_id", "toxic"]).drop_duplicates(["ids", "toxic"] if (seen.ids.str.len() > 0).any() else ["doc_id"])
+    seen = seen.sort_values(["doc_id", "toxic", "ids"])  # every row counts, also those without a selected term
     each = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in seen.ids]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     model.machine.fit(len(model.terms), np.concatenate(each) if each else np.array([], dtype=np.int64), bounds, seen.toxic.to_numpy(dtype=float))

@@ -280,6 +280,33 @@ def test_factorization_machine_learns_the_pair(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def by_label(spark, sf):
+    """Held-out labelled documents of a test table: truth to the list of predictions."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    truth = dict(labels.filter("toxic in (0, 1)").groupBy("doc_id").agg({"toxic": "max"}).collect())
+    found = toxicity.score(docs, toxicity.train(docs, labels)).filter(toxicity.doc_held_out()).collect()
+    return {t: [r.predicted for r in found if truth.get(r.doc_id) == t] for t in (0, 1)}
+
+
+def test_rows_without_a_selected_term_count(spark):
+    rng = random.Random(4)
+    bad = [f"vile{chr(97 + k)}" for k in range(8)]
+    rows, truth = [], {}
+    for k in range(600):
+        truth[k] = int(k % 8 == 0)
+        rows.append((k, " ".join([f"word{rng.randrange(400)}x" for _ in range(12)] + (rng.sample(bad, 3) if truth[k] else []))))
+    rows.append((1000, "nothing known stands here"))
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame(list(truth.items()), "doc_id long, toxic int"))
+    found = {r.doc_id: r for r in toxicity.score(frame(spark, rows), model).collect()}
+    assert np.mean([found[k].predicted for k, t in truth.items() if not t]) <= 0.01 and found[1000].score < 0.3
+    assert np.mean([found[k].predicted for k, t in truth.items() if t]) >= 0.95
+
+
+def test_clean_documents_of_the_labelled_table_are_left_alone(spark):
+    found = by_label(spark, "sf0.01")
+    assert len(found[0]) > 50 and np.mean(found[0]) <= 0.02
+
+
 def test_held_out_is_crc(spark):
     got = {r.doc_id: r.h for r in spark.range(200).selectExpr("id AS doc_id").select("doc_id", toxicity.doc_held_out().alias("h")).collect()}
     assert got == {k: zlib.crc32(str(k).encode()) % 5 == 0 for k in range(200)}
