@@ -146,10 +146,12 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"term": term, "n": np.bincount(place), "n_toxic": np.bincount(place, labels).astype(np.int64)})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, terms: int = 2_048, min_docs: int = 5, min_chi2: float = 30.0, seed: int = 11) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, terms: int = 2_048, min_docs: int = 3, min_chi2: float = 10.0, seed: int = 11) -> ToxicityModel:
     """Learn from rows of ``docs`` that ``labels`` marks and that are not held out.
 
-    ``sample`` bounds the labelled rows used, ``terms`` the size of the model. Labels other than 0 and 1
+    ``sample`` bounds the labelled rows used, ``terms`` the size of the model. A term needs ``min_docs``
+    rows and a chi-square of ``min_chi2``, so that chance alone rarely selects one (one in 600 at 10);
+    rarer toxic terms than that are not learned. Labels other than 0 and 1
     are ignored; of repeated labels the larger holds. Without labelled rows, or with one label only,
     the model scores every text alike, below one half unless all labels are 1.
     """

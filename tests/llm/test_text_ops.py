@@ -307,6 +307,19 @@ def test_clean_documents_of_the_labelled_table_are_left_alone(spark):
     assert len(found[0]) > 50 and np.mean(found[0]) <= 0.02
 
 
+def test_terms_of_few_labelled_rows_are_learned(spark):
+    """Four toxic rows in another language, as few as a small table has."""
+    rng = random.Random(6)
+    rows, truth = [], {}
+    for k in [k for k in range(400) if zlib.crc32(str(k).encode()) % 5][:68]:
+        truth[k] = int(len(truth) < 10)
+        rows.append((k, " ".join([f"word{rng.randrange(200)}x" for _ in range(8)] + ["kretén"] * (len(truth) <= 4))))
+    docs = frame(spark, [*rows, (1000, "unseen kretén"), (1001, "unseen")])
+    model = toxicity.train(docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int"))
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert found[1000] > 0.5 > found[1001]
+
+
 def test_held_out_is_crc(spark):
     got = {r.doc_id: r.h for r in spark.range(200).selectExpr("id AS doc_id").select("doc_id", toxicity.doc_held_out().alias("h")).collect()}
     assert got == {k: zlib.crc32(str(k).encode()) % 5 == 0 for k in range(200)}
