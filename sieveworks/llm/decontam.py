@@ -13,7 +13,7 @@ beyond ``broadcast_rows`` the join shuffles instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import stage
@@ -69,7 +69,8 @@ def benchmark_windows(benchmark: DataFrame, length: int, min_tokens: int, min_wo
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 8, share: float = 0.5, enough: int = 6, min_tokens: int = 5, min_words: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Pairs (doc_id, item_id) where the document holds the item or a re-parameterised copy of it:
-    n_windows of the item's n_item windows meet, n_slots slot values agree.
+    n_windows of the item's n_item windows meet, n_slots slot values agree. Of several copies in a
+    document each is judged by itself, and the one with the most windows is given.
 
     A pair counts from ``share`` of the item's windows on, or ``enough`` windows (with 8 tokens each, 6
     windows are 13 tokens in a row). Items with fewer than ``min_tokens`` tokens name no passage and are
@@ -102,20 +103,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 8, share:
     few = ids.count() <= broadcast_rows
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", tokens(marked(F.col("text"))).alias("dw"))
     items = benchmark.select("item_id", tokens(marked(F.col("text"))).alias("bw")).dropDuplicates(["item_id"])
-    slots = met.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("pos", "item_pos", "len")).alias("at"))
+    # Each copy is judged by itself: windows of one alignment, windows of alignments closer than half an
+    # item (a copy with words put in or left out), and all windows of the pair.
+    own = met.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"]).withColumn("align", (F.col("pos") - F.col("item_pos")).cast("long"))
+    ordered = Window.partitionBy("doc_id", "item_id").orderBy("align")
+    apart = F.coalesce((F.col("align") - F.lag("align").over(ordered)) * 2 > F.col("n_item") + F.col("len"), F.lit(False))
+    own = own.withColumn("apart", apart.cast("long")).withColumn("run", F.sum("apart").over(ordered))
+    slots = own.groupBy("doc_id", "item_id", "n_item").agg(F.collect_list(F.struct("pos", "item_pos", "len", "align", "run")).alias("at"))
     slots = slots.join(texts, "doc_id").join(items, "item_id")
 
     def values(a: Column) -> Column:
         inside = F.zip_with(F.slice("dw", a["pos"], a["len"]), F.slice("bw", a["item_pos"], a["len"]), lambda d, b: F.struct(b.alias("b"), d.alias("d")))
         return F.filter(inside, lambda x: F.startswith(x["b"], F.lit(_OPEN)))
 
-    slots = slots.select("doc_id", "item_id", F.array_distinct(F.flatten(F.transform("at", values))).alias("v"))
+    # Texts stay behind here: a window goes on with its slots only.
+    slots = slots.select("doc_id", "item_id", "n_item", F.explode(F.transform("at", lambda a: F.struct(a["item_pos"].alias("item_pos"), a["align"].alias("align"), a["run"].alias("run"), values(a).alias("v")))).alias("a"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), g.alias("copy")) for k, g in enumerate((F.lit(0).cast("long"), F.col("a.run"), F.col("a.align")))))
+    slots = slots.select("doc_id", "item_id", "n_item", "a.item_pos", "a.v", F.explode(kinds).alias("k"))
+    copies = slots.groupBy("doc_id", "item_id", "k").agg(F.first("n_item").alias("n_item"), F.size(F.collect_set("item_pos")).alias("met"), F.array_distinct(F.flatten(F.collect_set("v"))).alias("v")).filter(F.col("met") >= need)
     # Only slots whose value changed can clash: an unchanged copy is one, however often it stands there.
     changed = F.filter("v", lambda x: x["b"] != x["d"])
     one_way = F.size(F.array_distinct(F.transform(changed, lambda x: x["b"])))
     other = F.size(F.array_distinct(F.transform(changed, lambda x: x["d"])))
-    agree = slots.select("doc_id", "item_id", F.size("v").alias("n_slots"), ((F.size(changed) == one_way) & (F.size(changed) == other)).alias("consistent"))
-    return pairs.join(agree, ["doc_id", "item_id"]).filter("consistent").select("doc_id", "item_id", "n_windows", "n_item", "n_slots")
+    agree = copies.filter((F.size(changed) == one_way) & (F.size(changed) == other))
+    best = agree.groupBy("doc_id", "item_id").agg(F.max(F.struct("met", -F.col("k.kind"), -F.col("k.copy"), F.size("v").alias("n_slots"), "n_item")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.met").cast("long").alias("n_windows"), "best.n_item", "best.n_slots")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000, **options: object) -> DataFrame:

@@ -155,6 +155,22 @@ def test_decontamination_finds_copies_and_reparameterised_ones(spark):
     assert decontam.contaminated(frame(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_decontamination_judges_each_copy_by_itself(spark):
+    def item(km, miles, paid, apples):
+        return f"Alice drove her car for {km} km at a speed of {miles} miles towards the old harbour, where Bob paid {paid} dollars for {apples} apples. "
+
+    bench = spark.createDataFrame([(0, item(12, 40, 15, 3)), (1, item(21, 50, 16, 4)), (2, item(31, 60, 17, 5))], "item_id long, text string")
+    variants, clash = item(77, 90, 81, 8) + item(78, 91, 82, 9), item(12, 40, 12, 3).replace("12 km", "77 km")
+    pad = "lorem ipsum words stand around it and more of them follow here "
+    split = item(12, 40, 15, 3).replace("towards", "very quickly towards")
+    rows = [(1, pad + item(12, 40, 15, 3) + pad + variants), (2, variants), (3, pad + "".join(item(*x) for x in ((12, 40, 15, 3), (21, 50, 16, 4), (31, 60, 17, 5)))), (4, pad + item(5, 5, 6, 7) + item(8, 9, 9, 9)), (5, pad), (6, split + variants), (7, clash)]
+    got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench).collect())
+    assert [p for p in got if p[0] not in (6, 7)] == [(d, i) for d in (1, 2, 3) for i in range(3)]
+    assert (6, 0) in got
+    small = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench, broadcast_rows=0).collect())
+    assert small == got
+
+
 def test_decontamination_is_brute_force_on_plain_words(spark):
     rng = random.Random(8)
     words = [f"w{chr(97 + k)}" for k in range(12)]
