@@ -28,28 +28,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    """Write ``df`` with batches to Python of at most 2,000 rows, so that long texts fit beside each other in
-    a worker. The session's own setting holds again afterwards."""
+def write_parquet(df: DataFrame, path: str, batch_rows: int = _BATCH_ROWS) -> None:
+    """Write ``df`` with batches to Python of at most ``batch_rows`` rows, so that long texts fit beside each
+    other in a worker. The session's own setting holds again afterwards."""
     conf = df.sparkSession.conf
     before = conf.get(_BATCH_KEY)
-    conf.set(_BATCH_KEY, str(min(int(before), _BATCH_ROWS) if int(before) > 0 else _BATCH_ROWS))
+    conf.set(_BATCH_KEY, str(min(int(before), batch_rows) if int(before) > 0 else batch_rows))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.set(_BATCH_KEY, before)
 
 
-def write_table(df: DataFrame, name: str) -> str:
+def write_table(df: DataFrame, name: str, batch_rows: int = _BATCH_ROWS) -> str:
     """Write ``df`` as Parquet into the shared folder; returns the path."""
     path = new_path(df.sparkSession, name)
-    write_parquet(df, path)
+    write_parquet(df, path, batch_rows)
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, batch_rows: int = _BATCH_ROWS) -> DataFrame:
     """Cut the lineage of ``df`` by a written table. The schema is given, so no footer is read."""
-    path = write_table(df, name)
+    path = write_table(df, name, batch_rows)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,38 +4,44 @@ The suffix that begins at a word is followed down to depth ``length`` (20 words)
 that depth together are under one deep internal node, and all but the first of its leaves are windows
 that stand earlier already.
 
-Partition by prefixes. Each window names an anchor, the run of ``anchor`` words inside it with the least
-hash. Equal windows name equal anchors, so the anchor's hash decides the group, and neighbouring windows
-nearly always share it. Groups are split by as many leading bits of that hash as make a group fit in
-memory: the prefix's length follows from the number of words in the table.
-
-Subtrees. A task builds the subtree of its group as the sorted array of its suffixes' path codes at
-depth ``length`` (64 bits, beside 32 bits of the anchor): runs of equal codes are the internal nodes at
-that depth, and the least (doc_id, start) in a run is the node's first leaf. Consecutive windows that are
-not first make one maximal repeated stretch.
-
-Hot passages. Before anything is shuffled, each batch of documents keeps only its own first leaf of each
-node; the others are known to stand earlier. So a passage in a third of all documents sends one suffix
-a batch to its group, not one a document.
+Partition by prefixes. A window's path is 64 bits: 40 of its anchor, the run of ``anchor`` words inside it
+with the least hash, then 24 of its first eight words. Equal windows have equal paths, and neighbouring
+windows nearly always share the anchor, so they travel together with their words. A prefix of the path
+names a group. A first pass over the table counts suffixes by short prefixes (at most 65,536 counters);
+each prefix is then lengthened until what is under it fits in memory. So prefixes are of variable
+length: long where many suffixes share an anchor, short elsewhere.
+
+Subtrees. A task numbers the words of a group, sorts its suffixes by their words and takes the longest
+common prefix of neighbours. Runs of neighbours with ``length`` words in common are the deep internal
+nodes; the leaf with the least (doc_id, start) is a node's first. (Suffixes whose 64-bit window hash is
+unique in the group can't be under a deep node and are left out of the sort; equality is decided on words.)
+Consecutive windows that are not first make one maximal repeated stretch.
+
+Hot passages. Each batch of documents builds its own nodes first and sends only their first leaves; the
+others are known to stand earlier. A group is read in chunks: after each, only first leaves are held. So a
+passage in a third of all documents sends one suffix a batch, and a task holds it once.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import stage
-from .words import hashed_words, windows
+from .words import windows
 
-_GROUP_WORDS = 1_500_000
+_GROUP = 1_000_000
 _BATCH_BYTES = 4_000_000
-_PARTS = "kind int, grp int, doc_id long, data binary"
+_HEAD_BITS, _ANCHOR_BITS = 16, 40
+_PARTS = "kind int, part int, grp long, doc_id long, data binary"
+_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,7 +58,7 @@ def _stretches(starts: np.ndarray) -> np.ndarray:
     """Sorted starts as rows (first, count) of consecutive runs."""
     if not len(starts):
         return np.empty((0, 2), dtype="<u4")
-    cut = np.flatnonzero(np.diff(starts) != 1)
+    cut = np.flatnonzero(np.diff(starts) > 1)
     first = starts[np.concatenate([[0], cut + 1])]
     last = starts[np.concatenate([cut, [len(starts) - 1]])]
     return np.stack([first, last - first + 1], 1).astype("<u4")
@@ -66,133 +72,313 @@ def _per_doc(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield int(doc[lo]), _stretches(start[lo:hi]).tobytes()
 
 
-def _suffixes(length: int, anchor: int, bits: int):
+class Words:
+    """Numbers words in order of their first sight, and keeps a hash of each."""
+
+    def __init__(self) -> None:
+        self.codes: dict[bytes, int] = {}
+        self._hashes = np.empty(0, dtype=np.uint64)
+
+    def number(self, words: Iterator[bytes] | list[bytes], count: int) -> np.ndarray:
+        codes = self.codes
+        return np.fromiter((codes.setdefault(w, len(codes)) for w in words), dtype=np.int32, count=count)
+
+    def hashes(self) -> np.ndarray:
+        known = len(self._hashes)
+        if known < len(self.codes):
+            new = list(self.codes)[known:]
+            self._hashes = np.concatenate([self._hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))])
+        return self._hashes
+
+
+@dataclass
+class Runs:
+    """Runs of consecutive windows: of run k, ``count[k]`` windows from word ``start[k]`` of ``doc[k]`` on. Their
+    ``count[k] + length - 1`` words lie one after another in ``codes``."""
+
+    codes: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every window: place in codes, document, first word."""
+        inside = np.arange(self.count.sum()) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        size = self.count + length - 1
+        return np.repeat(np.cumsum(size) - size, self.count) + inside, np.repeat(self.doc, self.count), np.repeat(self.start, self.count) + inside
+
+
+def runs_of(codes: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> Runs:
+    """The runs that some windows make, in the order given."""
+    if not len(at):
+        empty = np.empty(0, dtype=np.int64)
+        return Runs(np.empty(0, dtype=np.int32), empty, empty, empty)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1] + 1)
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(at)))
+    size = count + length - 1
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return Runs(codes[np.repeat(at[head], size) + inside], doc[head], start[head], count)
+
+
+def deep_nodes(codes: np.ndarray, at: np.ndarray, hashes: np.ndarray, length: int, block: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """The windows (numbers into ``at``) that share all their words with another one, in suffix order, and
+    the number of the deep node that each is under. ``hashes`` are those of the words of ``codes``."""
+    if len(at) < 2:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    key = windows(hashes, length, seed=1)[at]
+    by = np.argsort(key, kind="stable")
+    same = key[by][1:] == key[by][:-1]
+    maybe = np.zeros(len(by), dtype=bool)
+    maybe[1:] |= same
+    maybe[:-1] |= same
+    by = by[maybe]
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(key[by])) + 1, [len(by)]]) if len(by) else np.array([0])
+    members, nodes, last, lo = [], [], 0, 0
+    while lo < len(by):
+        hi = int(bounds[max(np.searchsorted(bounds, lo + block, side="right") - 1, np.searchsorted(bounds, lo, side="right"))])
+        part = by[lo:hi]
+        rows = np.stack([codes[at[part] + k] for k in range(length)], 1)
+        order = np.lexsort((*rows.T[::-1], key[part]))
+        part, rows = part[order], rows[order]
+        unlike = rows[1:] != rows[:-1]
+        common = np.where(unlike.any(1), unlike.argmax(1), length)  # longest common prefix of neighbours
+        deep = common >= length
+        inside = np.zeros(len(part), dtype=bool)
+        inside[1:] |= deep
+        inside[:-1] |= deep
+        node = last + np.concatenate([[0], np.cumsum(~deep)])
+        members.append(part[inside])
+        nodes.append(node[inside])
+        last, lo = int(node[-1]) + 1, hi
+    if not members:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    node = np.concatenate(nodes)
+    return np.concatenate(members), np.unique(node, return_inverse=True)[1]
+
+
+def late_windows(members: np.ndarray, node: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows under deep nodes: those that stand later than their node's first leaf, in (doc, start)
+    order, and those that are the first leaf's place once more (rows that repeat a doc_id)."""
+    order = np.lexsort((start[members], doc[members]))
+    members, node = members[order], node[order]
+    first = np.full(int(node.max()) + 1 if len(node) else 0, len(members), dtype=np.int64)
+    np.minimum.at(first, node, np.arange(len(members)))
+    head = members[first][node]
+    late = (doc[members] != doc[head]) | (start[members] != start[head])
+    return members[late], members[~late & (members != head)]
+
+
+@dataclass(frozen=True)
+class Prefixes:
+    """How long the prefix is under each of the table's short prefixes, and where the groups go: ``depth`` bits
+    in all, and suffixes before it."""
+
+    bits: int
+    depth: np.ndarray
+    before: np.ndarray
+    parts: int
+
+    @classmethod
+    def plan(cls, counts: np.ndarray, group: int, parts: int) -> Prefixes:
+        bits = int(len(counts)).bit_length() - 1
+        more = np.ceil(np.log2(np.maximum(counts / group, 1))).astype(np.int64)
+        return cls(bits, np.minimum(bits + more, 63), np.concatenate([[0], np.cumsum(counts)]), parts)
+
+    def of(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Group (the prefix, left-aligned, which no other group begins with) and part of each path."""
+        head = (path >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(path), dtype=np.int64)
+        left = (64 - self.depth[head]).astype(np.uint64)
+        prefix = np.where(left >= 64, np.uint64(0), (path >> np.minimum(left, np.uint64(63))) << np.minimum(left, np.uint64(63)))
+        inside = (prefix << np.uint64(self.bits)).astype(np.float64) / 2.0**64
+        place = self.before[head] + inside * (self.before[head + 1] - self.before[head])
+        part = np.minimum(place * self.parts / max(1, self.before[-1]), self.parts - 1).astype(np.int32)
+        return prefix.view(np.int64), part
+
+
+def pieces_of(text: bytes, length: int, size: int = _BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """The words of a text with the place of the first: all at once or, of a very long text, in pieces that
+    share ``length - 1`` words, so that each window lies in one."""
+    if len(text) <= size:
+        yield 0, text.split()
+        return
+    at, place, tail = 0, 0, []
+    while at < len(text):
+        end = min(len(text), at + size)
+        while end < len(text) and text[end] not in _SPACE:
+            end += 1
+        words = tail + text[at:end].split()
+        yield place, words
+        tail = words[-(length - 1) :] if length > 1 else []
+        place, at = place + len(words) - len(tail), end
+
+
+def _batches(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
+    """doc_id, place and words of the pieces of about _BATCH_BYTES of text."""
+    ids: list[int] = []
+    places: list[int] = []
+    words: list[list[bytes]] = []
+    size = 0
+    for pdf in batches:
+        for doc_id, text in zip(pdf.doc_id, pdf.text):
+            data = (text or "").encode()
+            for place, piece in pieces_of(data, length):
+                if len(piece) >= length:
+                    ids.append(doc_id)
+                    places.append(place)
+                    words.append(piece)
+                size += min(len(data), _BATCH_BYTES)
+                if size >= _BATCH_BYTES:
+                    yield ids, places, words
+                    ids, places, words, size = [], [], [], 0
+    if ids:
+        yield ids, places, words
+
+
+def _first_leaves(ids: list[int], places: list[int], words: list[list[bytes]], length: int, anchor: int):
+    """Of a batch: its vocabulary and codes, its windows (place in codes, document, start, path) that are the
+    first leaves of the batch's nodes, and the late ones as (document, start)."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    known = Words()
+    sizes = np.array([len(words[k]) for k in order], dtype=np.int64)
+    codes = known.number((w for k in order for w in words[k]), int(sizes.sum()))
+    hashes = known.hashes()[codes]
+    n = sizes - length + 1
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(sizes) - sizes, n) + inside
+    doc = np.repeat(np.array([ids[k] for k in order], dtype=np.int64), n)
+    start = np.repeat(np.array([places[k] for k in order], dtype=np.int64), n) + inside
+    gone, again = late_windows(*deep_nodes(codes, at, hashes, length), doc, start)
+    keep = np.ones(len(at), dtype=bool)
+    keep[gone] = False
+    keep[again] = False
+    least = _least(windows(hashes, anchor, seed=2), length - anchor + 1)[at[keep]]
+    first = windows(hashes, min(8, length), seed=3)[at[keep]]
+    low = np.uint64(64 - _ANCHOR_BITS)
+    path = ((least >> low) << low) | (first >> np.uint64(_ANCHOR_BITS))
+    return list(known.codes), codes, (at[keep], doc[keep], start[keep], path), (doc[gone], start[gone])
+
+
+def pack(vocabulary: list[bytes], runs: Runs) -> bytes:
+    """Runs with the words that they use."""
+    seen = np.zeros(len(vocabulary), dtype=bool)
+    seen[runs.codes] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(len(vocabulary), dtype=np.uint32)
+    place[used] = np.arange(len(used))
+    kind = "<u2" if len(used) <= 65536 else "<u4"
+    names = b" ".join([vocabulary[k] for k in used.tolist()])
+    shape = np.array([len(used), len(names), len(runs.doc), len(runs.codes)], dtype="<u4").tobytes()
+    light = np.diff(runs.doc, prepend=0).astype("<i8").tobytes() + runs.start.astype("<u4").tobytes() + runs.count.astype("<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(shape + light + names + place[runs.codes].astype(kind).tobytes())
+
+
+def unpack(data: bytes, known: Words) -> Runs:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n_words, n_bytes, n_runs, n_codes = np.frombuffer(raw, dtype="<u4", count=4).tolist()
+    doc = np.cumsum(np.frombuffer(raw, dtype="<i8", count=n_runs, offset=16))
+    start, count = np.frombuffer(raw, dtype="<u4", count=2 * n_runs, offset=16 + 8 * n_runs).astype(np.int64).reshape(2, n_runs)
+    at = 16 + 16 * n_runs
+    number = known.number(raw[at : at + n_bytes].split(b" "), n_words)
+    return Runs(number[np.frombuffer(raw, dtype="<u2" if n_words <= 65536 else "<u4", count=n_codes, offset=at + n_bytes)], doc, start, count)
+
+
+def _send(length: int, anchor: int, prefixes: Prefixes):
     """Of each batch: stretches known to stand earlier in the batch (kind 0), and by group the first
-    leaves of the batch's nodes (kind 1)."""
-
-    def one(ids: np.ndarray, texts: list[bytes]) -> pd.DataFrame:
-        order = np.argsort(ids, kind="stable")
-        ids, texts = ids[order], [texts[k] for k in order]
-        docs, starts, codes, anchors = [], [], [], []
-        for first, last, hashes, offsets in hashed_words(texts):
-            if len(hashes) < length:
-                continue
-            code, short = windows(hashes, length, seed=1), windows(hashes, anchor, seed=2)
-            least = _least(short, length - anchor + 1)
-            sizes = np.maximum(np.diff(offsets) - length + 1, 0)
-            doc = np.repeat(np.arange(first, last), sizes)
-            start = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.repeat(offsets[:-1], sizes) + start
-            docs.append(doc.astype(np.int32))
-            starts.append(start.astype(np.int32))
-            codes.append(code[at])
-            anchors.append(least[at])
-        if not docs:
-            return pd.DataFrame(columns=["kind", "grp", "doc_id", "data"])
-        doc, start, code, least = (np.concatenate(x) for x in (docs, starts, codes, anchors))
-        by = np.argsort(code, kind="stable")
-        same = np.zeros(len(by), dtype=bool)
-        same[1:] = (code[by][1:] == code[by][:-1]) & (least[by][1:] == least[by][:-1])
-        again = np.zeros(len(by), dtype=bool)
-        again[by] = same
-        rows = [(0, int(least[0] >> np.uint64(64 - bits)) if bits else 0, d, data) for d, data in _per_doc(ids[doc[again]], start[again])]
-        doc, start, code, least = doc[~again], start[~again], code[~again], least[~again]
-        group = (least >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(least), dtype=np.int32)
-        by = np.argsort(group, kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(group[by])) + 1, [len(by)]])
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            part = by[lo:hi]
-            d, s, a = doc[part], start[part], (least[part] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            new = np.ones(len(part), dtype=bool)
-            new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1) | (a[1:] != a[:-1])
-            head = np.flatnonzero(new)
-            used, place = np.unique(d[head], return_inverse=True)
-            shape = np.array([len(part), len(head), len(used)], dtype="<u4")
-            runs = np.diff(np.append(head, len(part))).astype("<u2")
-            light = zlib.compress(np.diff(ids[used], prepend=0).astype("<i8").tobytes() + np.diff(place, prepend=0).astype("<u2").tobytes() + s[head].astype("<u4").tobytes() + runs.tobytes(), 1)
-            rows.append((1, int(group[part[0]]), None, shape.tobytes() + code[part].astype("<u8").tobytes() + a[head].tobytes() + light))
-        return pd.DataFrame(rows, columns=["kind", "grp", "doc_id", "data"])
+    leaves of the batch's nodes with their words (kind 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
-        texts: list[bytes] = []
-        size = 0
-        for pdf in batches:
-            for doc_id, text in zip(pdf.doc_id, pdf.text):
-                ids.append(doc_id)
-                texts.append((text or "").encode())
-                size += len(texts[-1])
-                if size >= _BATCH_BYTES or len(ids) >= 60_000:
-                    yield one(np.array(ids, dtype=np.int64), texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield one(np.array(ids, dtype=np.int64), texts)
+        for ids, places, words in _batches(batches, length):
+            vocabulary, codes, (at, doc, start, path), gone = _first_leaves(ids, places, words, length, anchor)
+            rows = [(0, d % prefixes.parts, 0, d, data) for d, data in _per_doc(*gone)]
+            group, part = prefixes.of(path)
+            by = np.argsort(group, kind="stable")
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(group[by])) + 1, [len(by)]]) if len(by) else np.array([0])
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                own = by[lo:hi]
+                rows.append((1, int(part[own[0]]), int(group[own[0]]), None, pack(vocabulary, runs_of(codes, at[own], doc[own], start[own], length))))
+            for lo in range(0, len(rows), 500):
+                yield pd.DataFrame(rows[lo : lo + 500], columns=["kind", "part", "grp", "doc_id", "data"])
 
     return run
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, heads, used = np.frombuffer(data, dtype="<u4", count=3).tolist()
-    code = np.frombuffer(data, dtype="<u8", count=n, offset=12)
-    anchor = np.frombuffer(data, dtype="<u4", count=heads, offset=12 + 8 * n)
-    light = zlib.decompress(data[12 + 8 * n + 4 * heads :])
-    ids = np.cumsum(np.frombuffer(light, dtype="<i8", count=used))
-    place = np.cumsum(np.frombuffer(light, dtype="<u2", count=heads, offset=8 * used).astype(np.int64))
-    start = np.frombuffer(light, dtype="<u4", count=heads, offset=8 * used + 2 * heads)
-    runs = np.frombuffer(light, dtype="<u2", count=heads, offset=8 * used + 6 * heads).astype(np.int64)
-    inside = np.arange(n) - np.repeat(np.cumsum(runs) - runs, runs)
-    return code, np.repeat(anchor, runs), np.repeat(ids[place], runs), (np.repeat(start, runs) + inside).astype(np.int64)
-
-
-def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by group. Emits doc_id and the stretches of its windows that are not first leaves."""
-
-    def one(blobs: list[bytes]) -> pd.DataFrame:
-        code, anchor, doc, start = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
-        by = np.argsort(code, kind="stable")
-        same = (code[by][1:] == code[by][:-1]) & (anchor[by][1:] == anchor[by][:-1])
-        inside = np.zeros(len(by), dtype=bool)
-        inside[1:] |= same
-        inside[:-1] |= same
-        by, node = by[inside], np.concatenate([[0], np.cumsum(~same)])[inside] if len(by) else np.empty(0, dtype=np.int64)
-        if not len(by):
-            return pd.DataFrame({"doc_id": np.empty(0, dtype=np.int64), "data": []})
-        _, node = np.unique(node, return_inverse=True)
-        order = np.lexsort((start[by], doc[by]))
-        by, node = by[order], node[order]
-        first = np.full(node.max() + 1, len(by), dtype=np.int64)
-        np.minimum.at(first, node, np.arange(len(by)))
-        head = by[first]
-        late = (doc[by] != doc[head][node]) | (start[by] != start[head][node])
-        return pd.DataFrame(list(_per_doc(doc[by][late], start[by][late])), columns=["doc_id", "data"])
-
-    held: list[bytes] = []
-    group = None
-    for pdf in batches:
-        for kind, grp, doc_id, data in zip(pdf.kind, pdf.grp, pdf.doc_id, pdf.data):
-            if group is not None and grp != group and held:
-                yield one(held)
-                held = []
-            group = grp
-            if kind:
+class Subtree:
+    """The deep nodes of one group, fed in chunks; between chunks it holds their first leaves only."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.words, self.held = length, Words(), None
+
+    def feed(self, chunk: list[bytes], last: bool) -> Iterator[tuple[int, bytes]]:
+        """doc_id and stretches of the windows that turn out to stand later than another one."""
+        got = ([self.held] if self.held is not None else []) + [unpack(x, self.words) for x in chunk]
+        runs = Runs(*(np.concatenate([getattr(r, f) for r in got]) for f in ("codes", "doc", "start", "count")))
+        at, doc, start = runs.windows(self.length)
+        late, again = late_windows(*deep_nodes(runs.codes, at, self.words.hashes()[runs.codes], self.length), doc, start)
+        if not last:
+            keep = np.ones(len(at), dtype=bool)
+            keep[late] = False
+            keep[again] = False
+            self.held = runs_of(runs.codes, at[keep], doc[keep], start[keep], self.length)
+        yield from _per_doc(doc[late], start[late])
+
+
+def _subtrees(length: int, chunk_bytes: int = 8_000_000):
+    """Rows sorted by kind and group. Emits doc_id and the stretches of its windows that are not first leaves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, group, held = Subtree(length), None, []
+        out: list[tuple[int, bytes]] = []
+        for pdf in batches:
+            for kind, grp, doc_id, data in zip(pdf.kind, pdf.grp, pdf.doc_id, pdf.data):
+                if not kind:
+                    out.append((doc_id, data))
+                    continue
+                if group is not None and grp != group:
+                    out += tree.feed(held, last=True)
+                    tree, held = Subtree(length), []
+                elif sum(map(len, held)) >= chunk_bytes:
+                    out += tree.feed(held, last=False)
+                    held = []
+                group = grp
                 held.append(data)
-        known = pdf[pdf.kind == 0]
-        if len(known):
-            yield pd.DataFrame({"doc_id": known.doc_id.astype("int64"), "data": known.data})
-    if held:
-        yield one(held)
+                if len(out) >= 5_000:
+                    yield pd.DataFrame(out, columns=["doc_id", "data"])
+                    out = []
+        if held:
+            out += tree.feed(held, last=True)
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "data"])
+
+    return run
 
 
-def repeated_stretches(docs: DataFrame, length: int = 20, anchor: int = 9, group_words: int = _GROUP_WORDS) -> DataFrame:
+def repeated_stretches(docs: DataFrame, length: int = 20, anchor: int = 9, group: int = _GROUP, chunk_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, stretches: arrays of (first, count) pairs (little-endian uint32) of the windows of each
-    document that stand earlier too. Only documents with such windows have a row."""
+    document that stand earlier too. Only documents with such windows have a row. ``group`` bounds the
+    suffixes of a group, ``chunk_bytes`` what is read of one at a time."""
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(24, max(0, int(size / 6 / group_words).bit_length()))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = texts.mapInPandas(_suffixes(length, anchor, bits), _PARTS)
-    found = parts.repartition(n, "grp").sortWithinPartitions("grp").mapInPandas(_subtrees, "doc_id long, data binary")
-    return stage(found.groupBy("doc_id").agg(F.collect_list("data").alias("stretches")), "stretches")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(1 << _HEAD_BITS, dtype=np.int64)
+        for ids, places, words in _batches(batches, length):
+            path = _first_leaves(ids, places, words, length, anchor)[2][3]
+            found += np.bincount((path >> np.uint64(64 - _HEAD_BITS)).astype(np.int64), minlength=len(found))
+        used = np.flatnonzero(found)
+        yield pd.DataFrame({"head": used, "n": found[used]})
+
+    heads = texts.mapInPandas(count, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
+    counts = np.zeros(1 << _HEAD_BITS, dtype=np.int64)
+    counts[heads["head"].to_numpy(dtype=np.int64)] = heads["n"].to_numpy(dtype=np.int64)
+    # Short prefixes are put together as long as the groups stay within bounds.
+    while len(counts) > 1 and (counts[0::2] + counts[1::2]).max() <= group:
+        counts = counts[0::2] + counts[1::2]
+    prefixes = Prefixes.plan(counts, group, n)
+    sent = texts.mapInPandas(_send(length, anchor, prefixes), _PARTS)
+    found = sent.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "grp").mapInPandas(_subtrees(length, chunk_bytes), "doc_id long, data binary")
+    return stage(found.groupBy("doc_id").agg(F.collect_list("data").alias("stretches")), "stretches", batch_rows=64)
 
 
 def substring_dedup(docs: DataFrame, length: int = 20, **options: int) -> DataFrame:
@@ -236,7 +422,3 @@ def substring_dedup(docs: DataFrame, length: int = 20, **options: int) -> DataFr
 
 def digests(deduped: DataFrame) -> DataFrame:
     return deduped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def sha256_hex(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()

@@ -54,7 +54,7 @@ def removed(texts, length=20):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"group_words": 40, "anchor": 3}])
+@pytest.mark.parametrize("options", [{}, {"group": 40, "anchor": 3, "chunk_bytes": 400}])
 def test_substring_dedup_is_brute_force(spark, options):
     texts = corpus(1)
     got = substring.digests(substring.substring_dedup(frame(spark, texts), **options)).collect()
@@ -66,11 +66,44 @@ def test_substring_dedup_long_text_repeats_and_empty_table(spark):
     texts = [(2, long), (1, "a b c"), (7, long)]
     got = substring.digests(substring.substring_dedup(frame(spark, texts))).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == removed(texts)
-    twice = substring.substring_dedup(frame(spark, [(1, long), (1, long)])).collect()
-    assert len(twice) == 2 and twice[0].n_removed == twice[1].n_removed == removed([(1, long)])[1][1]
+    for parts in (1, 2):  # rows that repeat a doc_id meet in one batch, or in two
+        twice = substring.substring_dedup(frame(spark, [(1, long), (1, long)]).repartition(parts)).collect()
+        assert len(twice) == 2 and twice[0].n_removed == twice[1].n_removed == removed([(1, long)])[1][1]
+        once = " ".join(f"u{k}" for k in range(30))
+        twice = substring.substring_dedup(frame(spark, [(1, once), (1, once)]).repartition(parts)).collect()
+        assert [(r.n_words, r.n_removed) for r in twice] == [(30, 0)] * 2
     assert substring.substring_dedup(frame(spark, [])).collect() == []
 
 
+def test_a_hot_passage_in_many_batches_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(substring, "_BATCH_BYTES", 2_000)
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(70))
+    texts = [(k, " ".join(f"w{rng.randrange(10_000)}" for _ in range(40)) + (f" {passage}" if k % 3 else "") + f" z{k}") for k in range(400)]
+    got = substring.digests(substring.substring_dedup(frame(spark, texts), group=60, chunk_bytes=300)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == removed(texts)
+
+
+def test_prefixes_are_longer_where_suffixes_are_many():
+    counts = np.array([10, 5_000, 0, 90])
+    plan = substring.Prefixes.plan(counts, 100, 7)
+    assert plan.depth.tolist() == [2, 2 + 6, 2, 2]
+    path = np.random.default_rng(0).integers(0, 2**64, 4_000, dtype=np.uint64)
+    group, part = plan.of(path)
+    for k in range(0, 4_000, 37):
+        depth = int(plan.depth[int(path[k] >> np.uint64(62))])
+        assert int(group[k]) & (2**64 - 1) == int(path[k]) >> (64 - depth) << (64 - depth)
+    order = np.argsort(path)
+    assert part.min() >= 0 and part.max() == 6 and (np.diff(part[order]) >= 0).all()
+    assert all(len(set(part[group == g])) == 1 for g in set(group.tolist()))
+
+
+def test_equal_hashes_do_not_make_windows_equal():
+    codes = np.array([0, 1, 2, 0, 1, 3, 0, 1, 2])
+    members, node = substring.deep_nodes(codes, np.array([0, 3, 6]), np.zeros(9, dtype=np.uint64), 3)
+    assert sorted(members.tolist()) == [0, 2] and len(set(node.tolist())) == 1
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
