@@ -97,5 +97,5 @@ def by_name(name: Column, values: dict[str, float]) -> Column:
 
 
 def spread_percent(low: Column, high: Column, count: Column) -> Column:
-    """Relative spread of two or more prices."""
-    return F.when(count >= 2, (high - low) / low * 100.0)
+    """Relative spread of two or more prices; null where there are fewer, or where the lowest is zero (no price)."""
+    return F.when(count >= 2, safe_ratio(high - low, low) * 100.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basic import truthy
+from ..functions.basic import safe_ratio, truthy
 
 #: Activity factors and energy floors; energy of a kilogram of fat.
 ACTIVITY = {"sedentary": 1.2, "light": 1.375, "moderate": 1.55, "active": 1.725, "very_active": 1.9}
@@ -33,7 +33,7 @@ def plan_targets(people: DataFrame) -> DataFrame:
     tdee, target, protein, fat, carbs, fibre, water, weeks and stops. Any stop nulls all targets."""
     c = F.col
     metres = c("height_cm") / 100.0
-    out = people.withColumns({"bmi": c("weight_kg") / (metres * metres), "lean": F.when(truthy("body_fat_pct"), c("weight_kg") * (1.0 - c("body_fat_pct") / 100.0)), "goal_bmi": c("goal_kg") / (metres * metres)})
+    out = people.withColumns({"bmi": safe_ratio(c("weight_kg"), metres * metres), "lean": F.when(truthy("body_fat_pct"), c("weight_kg") * (1.0 - c("body_fat_pct") / 100.0)), "goal_bmi": safe_ratio(c("goal_kg"), metres * metres)})
     out = out.withColumn("bmr", F.when(c("lean").isNotNull(), bmr_lean(c("lean"))).otherwise(bmr(c("sex"), c("weight_kg"), c("height_cm"), c("age"))))
     factor = F.lit(None).cast("double")
     for name, f in ACTIVITY.items():
@@ -52,7 +52,7 @@ def plan_targets(people: DataFrame) -> DataFrame:
     out = out.withColumn("carbs", _half_up((c("target") - 4.0 * c("protein") - 9.0 * c("fat")) / 4.0))
     out = out.withColumns({
         "fibre": F.least(_half_up(14.0 * c("target") / 1000.0), F.lit(40.0)), "water": _half_up(35.0 * c("weight_kg") / 100.0) * 100.0,
-        "weeks": F.when((c("goal_kg") < c("weight_kg")) & (c("deficit") > 0), (c("weight_kg") - c("goal_kg")) / F.least(c("weekly_kg"), (c("tdee") - c("target")) * 7.0 / KCAL_PER_KG)),
+        "weeks": F.when((c("goal_kg") < c("weight_kg")) & (c("deficit") > 0), safe_ratio(c("weight_kg") - c("goal_kg"), F.least(c("weekly_kg"), (c("tdee") - c("target")) * 7.0 / KCAL_PER_KG))),
     })
     targets = ("target", "protein", "fat", "carbs", "fibre", "water", "weeks")
     return out.withColumns({t: F.when(F.size("stops") == 0, c(t)) for t in targets})

@@ -76,7 +76,7 @@ def unlock_horizons(unlocks: DataFrame, tokens: DataFrame, today: Column) -> Dat
     return rows.groupBy("id").agg(
         *(d(k).alias(f"within_{k}") for k in (30, 90, 365)), F.max("circulating").alias("circulating"),
         F.min(cliff).alias("nearest_cliff"), F.max_by("days", F.when(F.col("pct") >= 5, F.struct("pct", (-F.col("days")).alias("d")))).alias("largest_cliff"),
-    ).select("id", "within_30", "within_90", "within_365", *((F.col(f"within_{k}") / F.col("circulating") * 100.0).alias(f"pct_{k}") for k in (30, 90, 365)), "nearest_cliff", "largest_cliff")
+    ).select("id", "within_30", "within_90", "within_365", *((safe_ratio(f"within_{k}", "circulating") * 100.0).alias(f"pct_{k}") for k in (30, 90, 365)), "nearest_cliff", "largest_cliff")
 
 
 def first_unlocks(unlocks: DataFrame, k: int = 8) -> DataFrame:
@@ -104,5 +104,5 @@ def top_share(rows: DataFrame, key: str, value: str, tie: str, k: int = 10) -> D
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value), tie))
     ranked = rows.withColumn("_k", place)
     out = ranked.groupBy(key).agg(F.sum(F.when(F.col("_k") <= k, F.col(value).cast("decimal(18,4)"))).alias("t"), F.sum(F.col(value).cast("decimal(18,4)")).alias("a"))
-    share = F.col("t").cast("double") / F.col("a").cast("double") * 100.0
+    share = safe_ratio(F.col("t").cast("double"), F.col("a").cast("double")) * 100.0
     return out.select(key, share.alias("share_pct"), (share > 50).alias("concentrated"))

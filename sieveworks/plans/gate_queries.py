@@ -47,9 +47,9 @@ def m_loss_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events of a kind are its venues' prices."""
-    e = table(spark, sf_dir, "events")
-    f = e.groupBy(F.col("user_id").alias("id")).agg(F.max("value").alias("price"), F.countDistinct("event_type").alias("venues"), F.min("value").alias("low"), F.max("value").alias("high"), (F.count(F.lit(1)) / 100.0).alias("turnover"), (F.date_diff(F.lit("2024-01-31").cast("date"), F.max("ts").cast("date")) * 10.0).alias("age_min"))
+    """A user's events of a kind are its venues' prices; zero is no price."""
+    e = table(spark, sf_dir, "events").withColumn("value", F.nullif("value", F.lit(0.0)))
+    f = e.groupBy(F.col("user_id").alias("id")).agg(F.max("value").alias("price"), F.countDistinct(F.when(F.col("value").isNotNull(), F.col("event_type"))).alias("venues"), F.min("value").alias("low"), F.max("value").alias("high"), (F.count(F.lit(1)) / 100.0).alias("turnover"), (F.date_diff(F.lit("2024-01-31").cast("date"), F.max("ts").cast("date")) * 10.0).alias("age_min"))
     c = G.check_feed(f)
     return c.select("id", "spread", F.array_join("problems", ",").alias("problems"), F.array_join("warnings", ",").alias("warnings"), "ok", "status")
 
@@ -88,7 +88,7 @@ def m_infer_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cal_lockin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 20 < 4")
+    o = table(spark, sf_dir, "orders")
     day = F.col("o_orderdate").cast("date")
     market = F.element_at(F.array(*(F.lit(m) for m in ("IN", "US", "HK", "XX"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     rows = o.select(F.col("o_orderkey").alias("id"), market.alias("market"), day.alias("listing"), F.when(F.col("o_orderkey") % 3 == 0, F.date_sub(day, 3)).when(F.col("o_orderkey") % 3 == 1, F.date_add(day, 1)).alias("allotment"))
@@ -188,13 +188,13 @@ ORACLE_SQL = {
     "m_loss_scenarios": f"SELECT id, d AS drop, size * d AS loss, size * d <= budget + 1e-9 AS within FROM {_ASSESSED}, (VALUES (0.3::DOUBLE), (0.5), (0.8), (1.0)) AS v(d) WHERE error IS NULL",
     "gate_live": """SELECT id, spread, problems, warnings, problems = '' AS ok, CAST(CASE WHEN problems <> '' THEN 3 WHEN warnings <> '' THEN 2 ELSE 0 END AS INT) AS status FROM (SELECT *, concat_ws(',', CASE WHEN coalesce(price, 0) = 0 THEN 'no price' END, CASE WHEN age_min > 30 THEN 'stale' END, CASE WHEN spread > 5 THEN 'diverging' END) AS problems,
       concat_ws(',', CASE WHEN spread > 1 THEN 'spread' END, CASE WHEN venues < 2 THEN 'no cross-check' END, CASE WHEN turnover < 0.005 OR turnover > 2.0 THEN 'turnover' END) AS warnings FROM (SELECT *, CASE WHEN venues >= 2 THEN (high - low) / low * 100.0 END AS spread FROM (
-      SELECT user_id AS id, max(value) AS price, count(DISTINCT event_type) AS venues, min(value) AS low, max(value) AS high, count(*) / 100.0::DOUBLE AS turnover, datediff('day', CAST(max(ts) AS DATE), DATE '2024-01-31') * 10.0 AS age_min FROM events GROUP BY 1)))""",
+      SELECT user_id AS id, max(nullif(value, 0)) AS price, count(DISTINCT event_type) FILTER (value <> 0) AS venues, min(nullif(value, 0)) AS low, max(nullif(value, 0)) AS high, count(*) / 100.0::DOUBLE AS turnover, datediff('day', CAST(max(ts) AS DATE), DATE '2024-01-31') * 10.0 AS age_min FROM events GROUP BY 1)))""",
     "gate_score_caps": f"SELECT id, round(CAST(s AS DOUBLE), 6) AS score, CASE WHEN s IS NULL THEN 'no rating' WHEN s >= 8.0 THEN 'strong' WHEN s >= 6.5 THEN 'good' WHEN s >= 5.0 THEN 'mixed' WHEN s >= 3.5 THEN 'weak' ELSE 'avoid' END AS verdict FROM (SELECT id, {_CAPPED} AS s FROM {fixture_sql(_SCORE_COLUMNS, _SCORES)})",
     "agg_weighted_score": f"SELECT id, round(CAST({_W} AS DOUBLE), 6) AS score FROM {fixture_sql(_SCORE_COLUMNS, _SCORES)}",
     "gate_veto": f"SELECT id, round(CAST(s AS DOUBLE), 6) AS score, CASE WHEN s >= 8.0 THEN 'strong' WHEN s >= 6.5 THEN 'good' WHEN s >= 5.0 THEN 'mixed' ELSE 'avoid' END AS verdict FROM (SELECT id, CASE WHEN {_L} <= 2 THEN least({_W}, 4.0) ELSE {_W} END AS s FROM {fixture_sql(_SCORE_COLUMNS, _SCORES)})",
     "gate_terminal_flags": "SELECT l_partkey, CASE WHEN NOT t THEN s END AS score, CASE WHEN t THEN 'no rating' ELSE 'rated' END AS verdict FROM (SELECT l_partkey, bool_or(l_returnflag = 'R' AND l_quantity >= 50) AS t, avg(l_quantity) AS s FROM lineitem GROUP BY 1)",
     "m_infer_tier": "SELECT p_partkey, CASE WHEN p_partkey <= 2 THEN 'major' WHEN p_partkey <= 20 THEN 'large' WHEN p_partkey <= 100 THEN 'mid' WHEN p_retailprice * 40000.0 < 50e6 THEN 'micro' ELSE 'small' END AS tier FROM part",
-    "cal_lockin": f"""WITH l AS (SELECT o_orderkey AS id, ['IN','US','HK','XX'][o_orderkey % 4 + 1] AS market, CAST(o_orderdate AS DATE) AS listing, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) - 3 WHEN 1 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS allotment FROM orders WHERE o_orderkey % 20 < 4),
+    "cal_lockin": f"""WITH l AS (SELECT o_orderkey AS id, ['IN','US','HK','XX'][o_orderkey % 4 + 1] AS market, CAST(o_orderdate AS DATE) AS listing, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) - 3 WHEN 1 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS allotment FROM orders),
       e AS (SELECT *, CASE WHEN market = 'XX' THEN 'unknown market' WHEN allotment > listing THEN 'allotment after listing' END AS error FROM l)
       SELECT id, event, CASE base WHEN 'allotment' THEN allotment + days ELSE listing + days END AS date, CAST(CASE base WHEN 'allotment' THEN allotment + days ELSE listing + days END - listing AS INT) AS days_from_listing, NULL AS error FROM e JOIN (VALUES {_LOCKS}) AS r(m, base, days, event) ON m = market WHERE error IS NULL
       UNION ALL SELECT id, NULL, NULL, NULL, error FROM e WHERE error IS NOT NULL""",

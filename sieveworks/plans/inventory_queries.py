@@ -88,11 +88,13 @@ _add("join_scenarios", lambda s, d: table(s, d, "part").select("p_partkey", F.ex
 # Gates.
 _add("m_resilience", lambda s, d: G.assess_position(GQ._profiles(s, d)).select("id", "points", "band"), f"SELECT id, points, band FROM {GQ._ASSESSED}")
 _add("m_position_caps", lambda s, d: G.assess_position(GQ._profiles(s, d)).filter("error is null").select("id", "binding"), f"SELECT id, binding FROM {GQ._ASSESSED} WHERE error IS NULL")
-_FEED = "(SELECT user_id AS id, count(DISTINCT event_type) AS venues, min(value) AS low, max(value) AS high, count(*) / 100.0::DOUBLE AS turnover FROM events GROUP BY 1)"
+_FEED = "(SELECT user_id AS id, count(DISTINCT event_type) FILTER (value <> 0) AS venues, min(nullif(value, 0)) AS low, max(nullif(value, 0)) AS high, count(*) / 100.0::DOUBLE AS turnover FROM events GROUP BY 1)"
 
 
 def _feed(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.countDistinct("event_type").alias("venues"), F.min("value").alias("low"), F.max("value").alias("high"), (F.count(F.lit(1)) / 100.0).alias("turnover"))
+    """A user's events of a kind are its venues' prices; zero is no price."""
+    e = table(s, d, "events").withColumn("value", F.nullif("value", F.lit(0.0)))
+    return e.groupBy(F.col("user_id").alias("id")).agg(F.countDistinct(F.when(F.col("value").isNotNull(), F.col("event_type"))).alias("venues"), F.min("value").alias("low"), F.max("value").alias("high"), (F.count(F.lit(1)) / 100.0).alias("turnover"))
 
 
 for _name in ("agg_spread", "m_spread", "join_cross_feed"):
@@ -159,7 +161,7 @@ _add("j_article", lambda s, d: _nodes(s).filter(F.array_contains(_types(), "Arti
 _add("j_as_name", lambda s, d: _nodes(s).filter("id <> 2").select("id", F.coalesce(F.try_variant_get("v", "$.brand.name", "string"), F.try_variant_get("v", "$.brand", "string")).alias("brand")), "SELECT * FROM (VALUES (1, 'B'), (3, 'C')) AS t(id, brand)")
 _add("j_last_segment", lambda s, d: _nodes(s).filter("id = 1").select("id", F.element_at(F.split(F.try_variant_get("v", "$.offers.availability", "string"), "/"), -1).alias("r")), "SELECT 1 AS id, 'InStock' AS r")
 _add("j_dig", lambda s, d: _nodes(s).select("id", "pos", F.when(F.try_variant_get("v", "$.headline", "string").isNull(), "missing: headline").alias("error")), "SELECT * FROM (VALUES (1, 0, 'missing: headline'), (2, 0, NULL), (2, 1, 'missing: headline'), (3, 0, 'missing: headline')) AS t(id, pos, error)")
-_add("topk_keys12", lambda s, d: table(s, d, "events").filter("event_id % 50 = 0").select("event_id", F.array_join(F.slice(F.array_sort(F.json_object_keys("props")), 1, 12), ",").alias("keys")), "SELECT event_id, array_to_string(list_slice(list_sort(json_keys(props)), 1, 12), ',') AS keys FROM events WHERE event_id % 50 = 0")
+_add("topk_keys12", lambda s, d: table(s, d, "events").select("event_id", F.array_join(F.slice(F.array_sort(F.json_object_keys("props")), 1, 12), ",").alias("keys")), "SELECT event_id, array_to_string(list_slice(list_sort(json_keys(props)), 1, 12), ',') AS keys FROM events")
 _add("m_refresh_tiers", lambda s, d: table(s, d, "pages").select("page_id", "url").join(table(s, d, "pages").filter("page_id % 2 = 0").select("url"), "url", "left_anti").select("page_id"), "SELECT page_id FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
 _add("doc_anchor_priority", lambda s, d: fixture(s, "id, a", "(1, array('class', 'id')), (2, array('text', 'microdata')), (3, array('position'))").select("id", F.array_min(F.transform("a", lambda x: F.array_position(F.array(*(F.lit(k) for k in ("json-ld", "microdata", "id", "class", "text", "position"))), x))).alias("rank")), "SELECT * FROM (VALUES (1, 3), (2, 2), (3, 6)) AS t(id, rank)")
 

@@ -136,7 +136,7 @@ def str_encoding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-width lists of a supplier's nation: one table a nation, under a line of prose."""
-    s = table(spark, sf_dir, "supplier").filter("s_nationkey < 12")
+    s = table(spark, sf_dir, "supplier")
     line = F.concat(F.rpad("s_name", 22, " "), F.lit("   "), F.rpad(F.col("s_suppkey").cast("string"), 8, " "), F.lit("   "), F.lpad(F.round("s_acctbal", 0).cast("long").cast("string"), 8, " "))
     g = s.groupBy(F.col("s_nationkey").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
     return g.select("id", F.concat(F.lit("a line of prose that stands alone\n\n"), "t", F.lit("\n\nend")).alias("text"))
@@ -238,7 +238,7 @@ ORACLE_SQL = {
     "a_neg_numbers": "SELECT * FROM (VALUES (1, -1234.0::DOUBLE), (2, -1234), (3, 1234.56), (4, 1234567), (5, -5), (6, NULL)) AS t(id, num)",
     "str_pdf_len": "SELECT * FROM (VALUES (1, 2), (2, 2), (3, 4), (4, 2)) AS t(id, n)",
     "str_encoding_checks": "SELECT lang, count_if(regexp_matches(text, 'Ã[\u0080-¿]|â€|Â[\u0080-¿]|�')) AS mojibake, count_if(contains(text, '​')) AS zero_width FROM documents GROUP BY 1",
-    "doc_tables": "SELECT s_nationkey AS id, 0::INT AS page, count(*) AS n_rows, 3::INT AS n_cols, 'high' AS confidence, false AS sparse, arg_min(s_name, s_suppkey) AS first_cell FROM supplier WHERE s_nationkey < 12 GROUP BY 1 HAVING count(*) >= 3",
+    "doc_tables": "SELECT s_nationkey AS id, 0::INT AS page, count(*) AS n_rows, 3::INT AS n_cols, 'high' AS confidence, false AS sparse, arg_min(s_name, s_suppkey) AS first_cell FROM supplier GROUP BY 1 HAVING count(*) >= 3",
     "doc_triage": """SELECT type, CASE type WHEN 'SCANNED' THEN 'ocr' WHEN 'NO_TEXT_LAYER' THEN 'ocr' WHEN 'MIXED' THEN 'text and ocr' WHEN 'TEXT' THEN 'text' WHEN 'FORM' THEN 'text' ELSE 'none' END AS route, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 11 = 0 THEN 'NOT_A_PDF' WHEN p_partkey % 13 = 0 THEN 'ENCRYPTED' WHEN p_partkey % 17 = 0 THEN 'XFA_FORM' WHEN per < 50 AND share >= 0.8 THEN 'SCANNED' WHEN per < 50 THEN 'NO_TEXT_LAYER' WHEN per < 350 AND share >= 0.5 THEN 'MIXED' WHEN p_partkey % 3 > 0 THEN 'FORM' ELSE 'TEXT' END AS type
       FROM (SELECT *, p_retailprice * 2 / (p_size % 7 + 1) AS per, (p_size % 5)::DOUBLE / (p_size % 7 + 1) AS share FROM part)) GROUP BY 1, 2""",
     "doc_batch_account": "SELECT count(*) AS inputs, count_if(page_id % 9 <> 0) AS ok, count_if(page_id % 9 = 0) AS failed, true AS reconciled FROM pages",

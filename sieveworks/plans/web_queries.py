@@ -18,7 +18,7 @@ def _host() -> Column:
 
 
 def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter("p_partkey % 4 = 0")
+    p = table(spark, sf_dir, "part")
     record = F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("brand"), F.array(F.struct(F.col("p_retailprice").alias("price"), F.lit("USD").alias("priceCurrency"))).alias("offers"), F.col("p_size").alias("size")))
     body = F.concat(
         F.lit("<html><head><title> Part "), F.col("p_partkey").cast("string"), F.lit("</title><meta property=\"og:title\" content=\""), F.col("p_name"), F.lit("\"><meta name='description' content='old'><meta name='description' content='"), F.col("p_type"),
@@ -88,7 +88,7 @@ def agg_path_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j_events_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 10 = 0").select("event_id", F.try_parse_json("props").alias("v"))
+    e = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
     return J.walk(e, "event_id", "v").select(F.col("id").alias("event_id"), "path", "value")
 
 
@@ -222,7 +222,7 @@ def join_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, ["id", "pos"])
 
 
-_P4 = "(SELECT * FROM part WHERE p_partkey % 4 = 0)"
+_P4 = "part"
 _VT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 _PHRASE = " OR ".join(f"contains(b, '{p}')" for p in W.BLOCK_PHRASES)
 _MARK = " OR ".join(f"contains(lower(html), '{m}')" for m in W.EMBEDDED)
@@ -244,7 +244,7 @@ ORACLE_SQL = {
     "j_walk": f"SELECT p_partkey AS page_id, path, leaf FROM {_P4}, {_LEAVES}",
     "j_find": f"SELECT p_partkey AS page_id, 'key' AS kind, path, place FROM {_P4}, (VALUES ('.offers[0].price', 1), ('.offers[0].priceCurrency', 2)) AS l(path, place)",
     "agg_path_stability": f"SELECT replace(path, '[0]', '[]') AS path, count(*) AS pages FROM {_P4}, {_LEAVES} GROUP BY 1",
-    "j_events_walk": "SELECT event_id, replace(t.fullkey, '$', '') AS path, CAST(t.atom AS VARCHAR) AS value FROM events, json_tree(props) AS t WHERE event_id % 10 = 0 AND t.atom IS NOT NULL",
+    "j_events_walk": "SELECT event_id, replace(t.fullkey, '$', '') AS path, CAST(t.atom AS VARCHAR) AS value FROM events, json_tree(props) AS t WHERE t.atom IS NOT NULL",
     "web_microdata": f"SELECT p_partkey AS page_id, 1::BIGINT AS items, 'Product' AS type, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM {_P4}",
     "web_tables": f"SELECT p_partkey AS page_id, 'columns' AS orientation, 'brand|size' AS headers, p_brand || '|' || p_size AS cells FROM {_P4}",
     "a_table_to_dicts": f"SELECT p_partkey AS page_id, p_brand AS brand, 0::BIGINT AS ragged FROM {_P4}",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.basic import safe_ratio
+
 
 def ok_rate(samples: DataFrame, late: str = "10 minutes", width: str = "10 minutes") -> DataFrame:
     """``samples``: ts, url, status. Share of good answers by window and url; later rows are dropped by the
@@ -24,7 +26,7 @@ def cross_check(left: DataFrame, right: DataFrame, late: str = "30 minutes", apa
     b = right.withWatermark("ts", late).select(F.col("symbol").alias("symbol_b"), F.col("ts").alias("ts_b"), F.col("price").alias("price_b"))
     near = F.expr(f"symbol = symbol_b AND ts_b BETWEEN ts_a - INTERVAL {apart} AND ts_a + INTERVAL {apart}")
     low, high = F.least("price_a", "price_b"), F.greatest("price_a", "price_b")
-    return a.join(b, near).select("symbol", "ts_a", "ts_b", ((high - low) / low * 100.0).alias("spread_pct"))
+    return a.join(b, near).select("symbol", "ts_a", "ts_b", (safe_ratio(high - low, low) * 100.0).alias("spread_pct"))
 
 
 def fresh_and_late(feed: DataFrame, now: str, most_age: str = "30 minutes") -> tuple[DataFrame, DataFrame]:
