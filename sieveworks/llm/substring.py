@@ -4,12 +4,16 @@ The suffix that begins at a word is followed down to depth ``length`` (20 words)
 that depth together are under one deep internal node, and all but the first of its leaves are windows
 that stand earlier already.
 
-Partition by prefixes. A window's path is 64 bits: 40 of its anchor, the run of ``anchor`` words inside it
-with the least hash, then 24 of its first eight words. Equal windows have equal paths, and neighbouring
-windows nearly always share the anchor, so they travel together with their words. A prefix of the path
-names a group. A first pass over the table counts suffixes by short prefixes (at most 65,536 counters);
-each prefix is then lengthened until what is under it fits in memory. So prefixes are of variable
-length: long where many suffixes share an anchor, short elsewhere.
+Anchors. A window's anchor is the run of ``anchor`` words inside it with the least hash. Equal windows have
+equal anchors, and neighbouring windows nearly always share theirs, so a text has about two anchors in
+thirteen words. A window whose anchor stands nowhere else is not repeated: a first exchange of anchor
+hashes tells each document which of its anchors are met elsewhere, and only windows around those go on.
+
+Partition by prefixes. The path of such a window is 64 bits: 40 of its anchor, then 24 of its first eight
+words. Neighbours on one anchor travel together, with their words. A prefix of the path names a group.
+Anchors are counted by short prefixes (at most 65,536 counters); each prefix is then lengthened until
+what is under it fits in memory. So prefixes are of variable length: long where many suffixes share
+an anchor, short elsewhere.
 
 Subtrees. A task numbers the words of a group, sorts its suffixes by their words and takes the longest
 common prefix of neighbours. Runs of neighbours with ``length`` words in common are the deep internal
@@ -29,17 +33,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import stage
-from .words import windows
+from .words import hash_bytes, hashed_words, windows
 
 _GROUP = 1_000_000
 _BATCH_BYTES = 4_000_000
 _HEAD_BITS, _ANCHOR_BITS = 16, 40
+_WINDOWS_AN_ANCHOR = 6.5  # of 20 words with anchors of 9
+_ANCHORS = "kind int, grp long, doc_id long, data binary"
 _PARTS = "kind int, part int, grp long, doc_id long, data binary"
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -86,8 +91,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         known = len(self._hashes)
         if known < len(self.codes):
-            new = list(self.codes)[known:]
-            self._hashes = np.concatenate([self._hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))])
+            self._hashes = np.concatenate([self._hashes, hash_bytes(b"\n".join(list(self.codes)[known:]))[1]])
         return self._hashes
 
 
@@ -197,6 +201,111 @@ class Prefixes:
         return prefix.view(np.int64), part
 
 
+def _by_doc(doc: np.ndarray, anchors: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """doc_id and the upper halves of its anchors."""
+    by = np.argsort(doc, kind="stable")
+    doc, anchors = doc[by], (anchors[by] >> np.uint64(32)).astype("<u4")
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]) if len(doc) else np.array([0])
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield int(doc[lo]), anchors[lo:hi].tobytes()
+
+
+def _anchors(length: int, anchor: int, bits: int):
+    """Of each batch: anchors that it holds twice, by document (kind 0), and by group, the leading bits, each of
+    its anchors once with a document that holds it (kind 1)."""
+
+    def one(ids: list[int], texts: list[bytes]) -> pd.DataFrame:
+        docs, found = [], []
+        for first, last, hashes, offsets in hashed_words(texts):
+            if len(hashes) < length:
+                continue
+            n = np.maximum(np.diff(offsets) - length + 1, 0)
+            at = np.repeat(offsets[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            least, doc = _least(windows(hashes, anchor, seed=2), length - anchor + 1)[at], np.repeat(np.arange(first, last), n)
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+            docs.append(doc[new])
+            found.append(least[new])
+        if not docs:
+            return pd.DataFrame(columns=["kind", "grp", "doc_id", "data"])
+        least, doc = np.concatenate(found), np.array(ids, dtype=np.int64)[np.concatenate(docs)]
+        least, doc, twice = _met(least, doc)
+        rows = [(0, 0, d, data) for d, data in _by_doc(doc[twice], least[twice])]
+        head = np.ones(len(least), dtype=bool)
+        head[1:] = least[1:] != least[:-1]
+        least, doc = least[head], doc[head]
+        group = (least >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(least), dtype=np.int64)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            rows.append((1, int(group[lo]), None, least[lo:hi].astype("<u8").tobytes() + doc[lo:hi].astype("<i8").tobytes()))
+        return pd.DataFrame(rows, columns=["kind", "grp", "doc_id", "data"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: list[int] = []
+        texts: list[bytes] = []
+        size = 0
+        for pdf in batches:
+            for doc_id, text in zip(pdf.doc_id, pdf.text):
+                ids.append(doc_id)
+                texts.append((text or "").encode())
+                size += len(texts[-1])
+                if size >= _BATCH_BYTES or len(ids) >= 60_000:
+                    yield one(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield one(ids, texts)
+
+    return run
+
+
+def _met(least: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in order with their documents, and which of them stand there more than once."""
+    by = np.argsort(least, kind="stable")
+    least, doc = least[by], doc[by]
+    same = least[1:] == least[:-1]
+    twice = np.zeros(len(least), dtype=bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    return least, doc, twice
+
+
+def _meet(chunk_bytes: int):
+    """Rows sorted by group. Emits doc_id and those of its anchors that another batch holds as well. Between
+    chunks of a group each anchor is held once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held, size = None, [], 0
+
+        def met(last: bool) -> Iterator[tuple[int, bytes]]:
+            least, doc, twice = _met(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            yield from _by_doc(doc[twice], least[twice])
+            held.clear()
+            if not last:
+                head = np.ones(len(least), dtype=bool)
+                head[1:] = least[1:] != least[:-1]
+                held.append((least[head], doc[head]))
+
+        for pdf in batches:
+            out = [(d, x) for kind, d, x in zip(pdf.kind, pdf.doc_id, pdf.data) if not kind]
+            for kind, grp, data in zip(pdf.kind, pdf.grp, pdf.data):
+                if not kind:
+                    continue
+                if group is not None and grp != group and held:
+                    out += met(last=True)
+                    size = 0
+                elif size >= chunk_bytes:
+                    out += met(last=False)
+                    size = 0
+                group, n = grp, len(data) // 16
+                size += len(data)
+                held.append((np.frombuffer(data, dtype="<u8", count=n), np.frombuffer(data, dtype="<i8", count=n, offset=8 * n)))
+            yield pd.DataFrame(out, columns=["doc_id", "data"])
+        if held:
+            yield pd.DataFrame(list(met(last=True)), columns=["doc_id", "data"])
+
+    return run
+
+
 def pieces_of(text: bytes, length: int, size: int = _BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """The words of a text with the place of the first: all at once or, of a very long text, in pieces that
     share ``length - 1`` words, so that each window lies in one."""
@@ -214,31 +323,34 @@ def pieces_of(text: bytes, length: int, size: int = _BATCH_BYTES) -> Iterator[tu
         place, at = place + len(words) - len(tail), end
 
 
-def _batches(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
-    """doc_id, place and words of the pieces of about _BATCH_BYTES of text."""
+def _batches(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[list[int], list[int], list[list[bytes]], list[np.ndarray]]]:
+    """doc_id, place and words of the pieces of about _BATCH_BYTES of text, and the anchors that are met elsewhere."""
     ids: list[int] = []
     places: list[int] = []
     words: list[list[bytes]] = []
+    wanted: list[np.ndarray] = []
     size = 0
     for pdf in batches:
-        for doc_id, text in zip(pdf.doc_id, pdf.text):
+        for doc_id, text, anchors in zip(pdf.doc_id, pdf.text, pdf.anchors):
             data = (text or "").encode()
+            met = np.concatenate([np.frombuffer(a, dtype="<u4") for a in anchors])
             for place, piece in pieces_of(data, length):
                 if len(piece) >= length:
                     ids.append(doc_id)
                     places.append(place)
                     words.append(piece)
+                    wanted.append(met)
                 size += min(len(data), _BATCH_BYTES)
                 if size >= _BATCH_BYTES:
-                    yield ids, places, words
-                    ids, places, words, size = [], [], [], 0
+                    yield ids, places, words, wanted
+                    ids, places, words, wanted, size = [], [], [], [], 0
     if ids:
-        yield ids, places, words
+        yield ids, places, words, wanted
 
 
-def _first_leaves(ids: list[int], places: list[int], words: list[list[bytes]], length: int, anchor: int):
-    """Of a batch: its vocabulary and codes, its windows (place in codes, document, start, path) that are the
-    first leaves of the batch's nodes, and the late ones as (document, start)."""
+def _first_leaves(ids: list[int], places: list[int], words: list[list[bytes]], wanted: list[np.ndarray], length: int, anchor: int):
+    """Of a batch: its vocabulary and codes, those windows with a wanted anchor (place in codes, document,
+    start, path) that are the first leaves of the batch's nodes, and the late ones as (document, start)."""
     order = sorted(range(len(ids)), key=ids.__getitem__)
     known = Words()
     sizes = np.array([len(words[k]) for k in order], dtype=np.int64)
@@ -247,16 +359,20 @@ def _first_leaves(ids: list[int], places: list[int], words: list[list[bytes]], l
     n = sizes - length + 1
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(sizes) - sizes, n) + inside
-    doc = np.repeat(np.array([ids[k] for k in order], dtype=np.int64), n)
-    start = np.repeat(np.array([places[k] for k in order], dtype=np.int64), n) + inside
+    least = _least(windows(hashes, anchor, seed=2), length - anchor + 1)[at]
+    piece = np.repeat(np.arange(len(order)), n).astype(np.uint64)
+    met = np.concatenate([wanted[k].astype(np.uint64) | np.uint64(p << 32) for p, k in enumerate(order)])
+    mine = np.isin(piece << np.uint64(32) | least >> np.uint64(32), met)
+    at, least = at[mine], least[mine]
+    doc = np.repeat(np.array([ids[k] for k in order], dtype=np.int64), n)[mine]
+    start = (np.repeat(np.array([places[k] for k in order], dtype=np.int64), n) + inside)[mine]
     gone, again = late_windows(*deep_nodes(codes, at, hashes, length), doc, start)
     keep = np.ones(len(at), dtype=bool)
     keep[gone] = False
     keep[again] = False
-    least = _least(windows(hashes, anchor, seed=2), length - anchor + 1)[at[keep]]
     first = windows(hashes, min(8, length), seed=3)[at[keep]]
     low = np.uint64(64 - _ANCHOR_BITS)
-    path = ((least >> low) << low) | (first >> np.uint64(_ANCHOR_BITS))
+    path = ((least[keep] >> low) << low) | (first >> np.uint64(_ANCHOR_BITS))
     return list(known.codes), codes, (at[keep], doc[keep], start[keep], path), (doc[gone], start[gone])
 
 
@@ -289,8 +405,8 @@ def _send(length: int, anchor: int, prefixes: Prefixes):
     leaves of the batch's nodes with their words (kind 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, places, words in _batches(batches, length):
-            vocabulary, codes, (at, doc, start, path), gone = _first_leaves(ids, places, words, length, anchor)
+        for batch in _batches(batches, length):
+            vocabulary, codes, (at, doc, start, path), gone = _first_leaves(*batch, length, anchor)
             rows = [(0, d % prefixes.parts, 0, d, data) for d, data in _per_doc(*gone)]
             group, part = prefixes.of(path)
             by = np.argsort(group, kind="stable")
@@ -354,30 +470,35 @@ def _subtrees(length: int, chunk_bytes: int = 8_000_000):
     return run
 
 
-def repeated_stretches(docs: DataFrame, length: int = 20, anchor: int = 9, group: int = _GROUP, chunk_bytes: int = 8_000_000) -> DataFrame:
+def repeated_stretches(docs: DataFrame, length: int = 20, anchor: int = 9, group: int = _GROUP, chunk_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, stretches: arrays of (first, count) pairs (little-endian uint32) of the windows of each
     document that stand earlier too. Only documents with such windows have a row. ``group`` bounds the
     suffixes of a group, ``chunk_bytes`` what is read of one at a time."""
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(40, max(0, int(size / 6 / _WINDOWS_AN_ANCHOR / group).bit_length()) + 2)
+    known = texts.mapInPandas(_anchors(length, anchor, bits), _ANCHORS)
+    met = known.repartition(n, "grp").sortWithinPartitions("kind", "grp").mapInPandas(_meet(chunk_bytes), "doc_id long, data binary")
+    met = stage(met.groupBy("doc_id").agg(F.collect_list("data").alias("anchors")), "anchors-met", batch_rows=64)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = np.zeros(1 << _HEAD_BITS, dtype=np.int64)
-        for ids, places, words in _batches(batches, length):
-            path = _first_leaves(ids, places, words, length, anchor)[2][3]
-            found += np.bincount((path >> np.uint64(64 - _HEAD_BITS)).astype(np.int64), minlength=len(found))
+        for pdf in batches:
+            heads = [np.frombuffer(a, dtype="<u4") >> (32 - _HEAD_BITS) for row in pdf.anchors for a in row]
+            found += np.bincount(np.concatenate(heads), minlength=len(found)) if heads else 0
         used = np.flatnonzero(found)
         yield pd.DataFrame({"head": used, "n": found[used]})
 
-    heads = texts.mapInPandas(count, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
-    counts = np.zeros(1 << _HEAD_BITS, dtype=np.int64)
-    counts[heads["head"].to_numpy(dtype=np.int64)] = heads["n"].to_numpy(dtype=np.int64)
-    # Short prefixes are put together as long as the groups stay within bounds.
-    while len(counts) > 1 and (counts[0::2] + counts[1::2]).max() <= group:
+    heads = met.mapInPandas(count, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
+    counts = np.zeros(1 << _HEAD_BITS)
+    counts[heads["head"].to_numpy(dtype=np.int64)] = heads["n"].to_numpy(dtype=np.int64) * _WINDOWS_AN_ANCHOR
+    # Short prefixes are put together as long as the groups stay within bounds and are enough to deal out.
+    while len(counts) > 1 and (counts[0::2] + counts[1::2]).max() <= group and len(counts) > 4 * n:
         counts = counts[0::2] + counts[1::2]
     prefixes = Prefixes.plan(counts, group, n)
-    sent = texts.mapInPandas(_send(length, anchor, prefixes), _PARTS)
-    found = sent.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "grp").mapInPandas(_subtrees(length, chunk_bytes), "doc_id long, data binary")
+    sent = texts.join(met, "doc_id").select("doc_id", "text", "anchors").mapInPandas(_send(length, anchor, prefixes), _PARTS)
+    found = sent.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "grp").mapInPandas(_subtrees(length, chunk_bytes // 4), "doc_id long, data binary")
     return stage(found.groupBy("doc_id").agg(F.collect_list("data").alias("stretches")), "stretches", batch_rows=64)
 
 
