@@ -1,18 +1,25 @@
 """Benchmark decontamination by template windows.
 
-Numbers, units that follow them, and names (capitalised words inside a sentence) become typed
-placeholders; what is left in lower case is a template, the same for a question and for its copies
-with other figures. Windows of template tokens are hash-joined with those of the benchmark. Where
-windows meet, the slots must agree: under the copy, one benchmark value stands for one document value
-and the other way round; otherwise the windows met by chance.
+Numbers, units that follow them, and names (capitalised words) become typed placeholders; what is left in
+lower case is a template, the same for a question and for its copies with other figures. Windows of
+template tokens are hash-joined with those of the benchmark. Where windows meet, the slots must agree:
+under the copy, one benchmark value stands for one document value and the other way round; otherwise the
+windows met by chance.
+
+A window of mostly slots is no template that tells: such windows are joined with their values, so exact
+copies of sums, tables and short items are found, and only those. An item shorter than a window is one
+window of its own length. Each item is also searched as it reads in lower case, where it has no names.
 
 Everything is DataFrame expressions. Windows of documents are never shuffled: they stream through a
 hash join with the benchmark's windows, which are broadcast after their number has been counted;
-beyond ``broadcast_rows`` the join shuffles instead.
+beyond ``broadcast_rows`` the join shuffles instead. A window's hash is put together from those of
+its halves, so each costs a few steps however long it is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +34,7 @@ UNITS = (
 _OPEN, _CLOSE = "\u0002", "\u0003"
 _NUMBER = r"(?<![\p{L}\p{N}])[$€£]?\d+(?:[.,:/]\d+)*%?"
 _UNIT = rf"{_CLOSE}\x20?((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}])"
-_NAME = rf"(?<=[\p{{Ll}}\p{{N}},;:{_CLOSE}]\x20)\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])"
+_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 _TOKEN = rf"{_OPEN}[^{_CLOSE}]*{_CLOSE}|[\p{{L}}\p{{N}}]+"
 
 
@@ -43,89 +50,124 @@ def tokens(marked_text: Column) -> Column:
     return F.regexp_extract_all(marked_text, F.lit(_TOKEN), F.lit(0))
 
 
-def template(marked_text: Column) -> Column:
-    """The marked text without the values of slots. It has as many tokens."""
-    return F.regexp_replace(marked_text, f"({_OPEN}[nuv])[^{_CLOSE}]*{_CLOSE}", f"$1{_CLOSE}")
+def _sizes(lengths: Iterable[int]) -> list[int]:
+    """The window lengths that those are put together from, in ascending order: a window of n tokens is one of
+    the greatest power of two below n and one of the rest."""
+    found, left = set(), set(lengths)
+    while left:
+        n = left.pop()
+        found.add(n)
+        if n > 1:
+            half = 1 << ((n - 1).bit_length() - 1)
+            left |= {half, n - half} - found
+    return sorted(found)
+
+
+def with_windows(rows: DataFrame, lengths: Iterable[int], min_words: int) -> DataFrame:
+    """``rows``: words (marked tokens) and others. Replaces words by at: array<struct<len, pos, hash>> of the windows
+    of each of the lengths, pos from 1. The hash is the template's where at least ``min_words`` tokens (or
+    all) are no slots, else that of the tokens with their values."""
+    lengths, others = sorted(lengths), [c for c in rows.columns if c != "words"]
+    slot = lambda x: F.startswith(x, F.lit(_OPEN))
+    rows = rows.select(*others, "words", F.size("words").alias("_n"), F.transform("words", lambda x: F.xxhash64(F.when(slot(x), F.substring(x, 1, 2)).otherwise(x))).alias("_h1"), F.transform("words", lambda x: slot(x).cast("int")).alias("_c1"))
 
+    def joined(name: str, n: int, two: Callable[[Column, Column], Column]) -> Column:
+        half = 1 << ((n - 1).bit_length() - 1)
+        many = F.greatest(F.col("_n") - n + 1, F.lit(0))
+        return F.when(F.col("_n") >= n, F.zip_with(F.slice(f"_{name}{half}", F.lit(1), many), F.slice(f"_{name}{n - half}", F.lit(half + 1), many), two)).otherwise(F.slice(f"_{name}{half}", 1, 0))
+
+    for n in _sizes(lengths)[1:]:
+        rows = rows.withColumns({f"_h{n}": joined("h", n, lambda a, b: F.xxhash64(a, b)), f"_c{n}": joined("c", n, lambda a, b: a + b)})
+
+    def located(n: int) -> Column:
+        most = n - min(min_words, n)
+        literal = lambda i: F.xxhash64(F.lit("values"), F.slice("words", i + 1, F.lit(n)))
+        both = F.zip_with(f"_h{n}", f"_c{n}", lambda h, c: F.struct(h.alias("h"), c.alias("c")))  # once a text: a lambda may hold no other array
+        return F.transform(both, lambda x, i: F.struct(F.lit(n).alias("len"), (i + 1).alias("pos"), F.when(x["c"] > most, literal(i)).otherwise(x["h"]).alias("hash")))
 
-def window_hashes(words: Column, length: int) -> Column:
-    """Hashes of the windows of ``length`` tokens; an empty array if there are fewer tokens."""
-    found = F.transform(F.sequence(F.lit(1), F.size(words) - length + 1), lambda i: F.xxhash64(F.lit(length), F.slice(words, i, F.lit(length))))
-    return F.when(F.size(words) >= length, found).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(*others, (F.flatten(F.array(*map(located, lengths))) if len(lengths) > 1 else located(lengths[0])).alias("at"))
 
 
-def benchmark_windows(benchmark: DataFrame, length: int, min_tokens: int, min_words: int) -> DataFrame:
-    """item_id, length, item_pos, hash, n_item: windows with at least ``min_words`` tokens that are no
-    slots. An item shorter than a window is one window of its own length."""
-    items = benchmark.select("item_id", tokens(template(marked(F.col("text")))).alias("words")).filter(F.size("words") >= min_tokens).filter(F.col("item_id").isNotNull())
-    items = items.withColumn("length", F.least(F.size("words"), F.lit(length)))
-    rows = items.select("item_id", "length", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)).alias("item_pos"))
-    rows = rows.withColumn("w", F.slice("words", F.col("item_pos"), F.col("length")))
-    plain = F.size(F.filter("w", lambda x: ~F.startswith(x, F.lit(_OPEN))))
-    rows = rows.filter(plain >= F.least(F.lit(min_words), F.col("length"))).select("item_id", "length", "item_pos", F.xxhash64(F.col("length"), "w").alias("hash")).distinct()
-    sizes = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    return rows.join(sizes, "item_id")
+def parsed(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with words, the marked tokens of a text."""
+    return rows.withColumn("words", tokens(marked(text)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 8, share: float = 0.5, enough: int = 6, min_tokens: int = 5, min_words: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """item_id, version (of its text), low, words: the tokens of each item, and (low) as it reads in lower case."""
+    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
+    items = items.select("item_id", F.xxhash64("text").alias("version"), F.posexplode(F.array(F.col("text"), F.lower("text"))).alias("low", "text"))
+    return parsed(items, F.col("text")).select("item_id", "version", "low", "words")
+
+
+def benchmark_windows(benchmark: DataFrame, length: int, min_words: int) -> DataFrame:
+    """item_id, version, low, length, item_pos, hash, n_item: the distinct windows of each item with their first
+    places, and those that only its lower-case form has. n_item counts the former."""
+    items = item_words(benchmark).withColumn("n", F.size("words")).filter("n > 0")
+    rows = with_windows(items, range(1, length + 1), min_words)
+    rows = rows.select("item_id", "version", "low", "n", F.inline_outer("at")).filter(F.col("len") == F.least("n", F.lit(length)))
+    rows = rows.groupBy("item_id", "version", F.col("len").alias("length"), "hash").agg(F.min(F.struct("low", "pos")).alias("at"))
+    rows = rows.select("item_id", "version", "length", "hash", "at.low", F.col("at.pos").alias("item_pos"))
+    return rows.withColumn("n_item", F.count_if(F.col("low") == 0).over(Window.partitionBy("item_id", "version")))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 8, share: float = 0.5, enough: int = 6, min_words: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Pairs (doc_id, item_id) where the document holds the item or a re-parameterised copy of it:
-    n_windows of the item's n_item windows meet, n_slots slot values agree. Of several copies in a
-    document each is judged by itself, and the one with the most windows is given.
+    n_windows of the item's n_item distinct windows meet, n_slots slot values agree. Of several copies in
+    a document each is judged by itself, and the one with the most windows is given.
 
     A pair counts from ``share`` of the item's windows on, or ``enough`` windows (with 8 tokens each, 6
-    windows are 13 tokens in a row). Items with fewer than ``min_tokens`` tokens name no passage and are
-    not searched. Null and empty texts hold nothing. Rows that repeat a doc_id count as one document;
-    repeated items with other ids give a pair each. An empty table on either side gives an empty
-    result. Only doc_id, text and item_id are read.
+    windows are 13 tokens in a row). Every item with a token is searched; windows with fewer than
+    ``min_words`` tokens that are no slots meet with equal values only. Null, empty and blank texts hold
+    nothing. A very long text is read whole, and each of its windows meets an item once. Rows that repeat
+    a doc_id are judged each by its own text and give one pair; repeated items with other ids give a
+    pair each, those with one id give one. Rows with a null doc_id or item_id give none. Ties between copies
+    go to the first. An empty table on either side gives an empty result. Only doc_id, text and item_id are read.
     """
-    windows = benchmark_windows(benchmark, length, min_tokens, min_words)
+    windows = stage(benchmark_windows(benchmark, length, min_words), "benchmark-windows")
     lengths = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}  # at most ``length`` rows
     small = sum(lengths.values()) <= broadcast_rows
-    parsed = docs.select("doc_id", tokens(template(marked(F.col("text")))).alias("words"))
-
-    def located(n: int) -> Column:
-        return F.transform(window_hashes(F.col("words"), n), lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("pos"), F.lit(n).alias("len")))
-
-    if len(lengths) < 2:
-        only = next(iter(lengths), length)
-        each = parsed.select("doc_id", F.posexplode(window_hashes(F.col("words"), only)).alias("pos", "hash")).select("doc_id", "hash", (F.col("pos") + 1).alias("pos"), F.lit(only).alias("len"))
-    else:
-        each = parsed.select("doc_id", F.inline(F.flatten(F.array(*(located(n) for n in sorted(lengths))))))
-    side = windows.select(F.col("hash").alias("_h"), F.col("length").alias("_l"), "item_id", "item_pos", "n_item")
-    met = each.join(F.broadcast(side) if small else side, (F.col("hash") == F.col("_h")) & (F.col("len") == F.col("_l"))).select("doc_id", "item_id", "pos", "item_pos", "len", "n_item").distinct()
+    texts = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("row"))
+    words = parsed(texts, F.col("text")).select("doc_id", "row", "words")
+    each = with_windows(words, sorted(lengths) or [length], min_words).select("doc_id", "row", F.inline_outer("at"))  # not inline: the filter Spark would infer from it repeats the whole expression
+    side = windows.select(F.col("hash").alias("_h"), F.col("length").alias("_l"), "item_id", "version", "low", "item_pos", "n_item")
+    met = each.join(F.broadcast(side) if small else side, (F.col("hash") == F.col("_h")) & (F.col("len") == F.col("_l"))).select("doc_id", "row", "item_id", "version", "low", "pos", "item_pos", "len", "n_item").distinct()
     met = stage(met, "windows-met")
     need = F.greatest(F.least(F.ceil(F.col("n_item") * share), F.lit(enough)), F.lit(1))
-    pairs = met.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.first("n_item").alias("n_item")).filter(F.col("n_windows") >= need)
+    key = ["doc_id", "row", "item_id", "version"]
+    pairs = met.groupBy(*key).agg(F.countDistinct("item_pos").alias("n_windows"), F.first("n_item").alias("n_item")).filter(F.col("n_windows") >= need)
     pairs = stage(pairs, "pairs-met")
 
     # Slots: only of documents and items that met, so their texts are few; counted before broadcasting.
-    ids = pairs.select("doc_id").distinct()
+    ids = pairs.select("doc_id", "row").distinct()
     few = ids.count() <= broadcast_rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", tokens(marked(F.col("text"))).alias("dw"))
-    items = benchmark.select("item_id", tokens(marked(F.col("text"))).alias("bw")).dropDuplicates(["item_id"])
+    read = texts.join(F.broadcast(ids) if few else ids, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    read = parsed(read, F.col("text")).select("doc_id", "row", F.col("words").alias("dw"))
+    own = item_words(benchmark)
+    items = own.filter("low = 0").select("item_id", "version", F.col("words").alias("bw")).join(own.filter("low = 1").select("item_id", "version", F.col("words").alias("lw")), ["item_id", "version"])
     # Each copy is judged by itself: windows of one alignment, windows of alignments closer than half an
     # item (a copy with words put in or left out), and all windows of the pair.
-    own = met.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"]).withColumn("align", (F.col("pos") - F.col("item_pos")).cast("long"))
-    ordered = Window.partitionBy("doc_id", "item_id").orderBy("align")
+    own = met.join(pairs.select(*key), key).withColumn("align", (F.col("pos") - F.col("item_pos")).cast("long"))
+    ordered = Window.partitionBy(*key).orderBy("align")
     apart = F.coalesce((F.col("align") - F.lag("align").over(ordered)) * 2 > F.col("n_item") + F.col("len"), F.lit(False))
     own = own.withColumn("apart", apart.cast("long")).withColumn("run", F.sum("apart").over(ordered))
-    slots = own.groupBy("doc_id", "item_id", "n_item").agg(F.collect_list(F.struct("pos", "item_pos", "len", "align", "run")).alias("at"))
-    slots = slots.join(texts, "doc_id").join(items, "item_id")
+    slots = own.groupBy(*key, "n_item").agg(F.collect_list(F.struct("pos", "item_pos", "len", "low", "align", "run")).alias("at"))
+    slots = slots.join(read, ["doc_id", "row"]).join(items, ["item_id", "version"])
 
     def values(a: Column) -> Column:
-        inside = F.zip_with(F.slice("dw", a["pos"], a["len"]), F.slice("bw", a["item_pos"], a["len"]), lambda d, b: F.struct(b.alias("b"), d.alias("d")))
+        item = F.when(a["low"] == 0, F.slice("bw", a["item_pos"], a["len"])).otherwise(F.slice("lw", a["item_pos"], a["len"]))
+        inside = F.zip_with(F.slice("dw", a["pos"], a["len"]), item, lambda d, b: F.struct(b.alias("b"), d.alias("d")))
         return F.filter(inside, lambda x: F.startswith(x["b"], F.lit(_OPEN)))
 
     # Texts stay behind here: a window goes on with its slots only.
-    slots = slots.select("doc_id", "item_id", "n_item", F.explode(F.transform("at", lambda a: F.struct(a["item_pos"].alias("item_pos"), a["align"].alias("align"), a["run"].alias("run"), values(a).alias("v")))).alias("a"))
+    slots = slots.select(*key, "n_item", F.explode(F.transform("at", lambda a: F.struct(a["item_pos"].alias("item_pos"), a["align"].alias("align"), a["run"].alias("run"), values(a).alias("v")))).alias("a"))
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), g.alias("copy")) for k, g in enumerate((F.lit(0).cast("long"), F.col("a.run"), F.col("a.align")))))
-    slots = slots.select("doc_id", "item_id", "n_item", "a.item_pos", "a.v", F.explode(kinds).alias("k"))
-    copies = slots.groupBy("doc_id", "item_id", "k").agg(F.first("n_item").alias("n_item"), F.size(F.collect_set("item_pos")).alias("met"), F.array_distinct(F.flatten(F.collect_set("v"))).alias("v")).filter(F.col("met") >= need)
-    # Only slots whose value changed can clash: an unchanged copy is one, however often it stands there.
-    changed = F.filter("v", lambda x: x["b"] != x["d"])
-    one_way = F.size(F.array_distinct(F.transform(changed, lambda x: x["b"])))
-    other = F.size(F.array_distinct(F.transform(changed, lambda x: x["d"])))
-    agree = copies.filter((F.size(changed) == one_way) & (F.size(changed) == other))
+    slots = slots.select(*key, "n_item", "a.item_pos", "a.v", F.explode(kinds).alias("k"))
+    copies = slots.groupBy(*key, "k").agg(F.first("n_item").alias("n_item"), F.size(F.collect_set("item_pos")).alias("met"), F.array_distinct(F.flatten(F.collect_set("v"))).alias("v")).filter(F.col("met") >= need)
+    # One to one: as many values on either side as there are pairs of them.
+    one_way = F.size(F.array_distinct(F.transform("v", lambda x: x["b"])))
+    other = F.size(F.array_distinct(F.transform("v", lambda x: x["d"])))
+    agree = copies.filter((F.size("v") == one_way) & (F.size("v") == other))
     best = agree.groupBy("doc_id", "item_id").agg(F.max(F.struct("met", -F.col("k.kind"), -F.col("k.copy"), F.size("v").alias("n_slots"), "n_item")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.met").cast("long").alias("n_windows"), "best.n_item", "best.n_slots")
 

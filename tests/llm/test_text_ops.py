@@ -140,15 +140,15 @@ def test_applied_mix_has_the_taken_words(spark):
 def test_decontamination_finds_copies_and_reparameterised_ones(spark):
     item = "Alice drove her car for 12 km at a speed of 40 miles towards the old harbour, where Bob paid 12 dollars for 3 apples."
     other = "a plain passage without any slots that names nothing and runs on for quite a few words until it ends here"
-    bench = spark.createDataFrame([(0, item, 1), (1, other, 1), (2, None, 1), (3, "two words", 1), (4, "seven plain words stand in this item", 1), (4, "seven plain words stand in this item", 1)], "item_id long, text string, doc_id long")
+    bench = spark.createDataFrame([(0, item, 1), (1, other, 1), (2, None, 1), (3, "two words", 1), (4, "seven plain words stand in this item", 1), (4, "seven plain words stand in this item", 1), (5, "Compute 3 + 4 * 17 - 2 / 5", 1), (None, other, 1), (6, "", 1)], "item_id long, text string, doc_id long")
     fresh = item.replace("12", "77").replace("40", "90").replace("3 apples", "8 apples")
     clash = item.replace("12 km", "77 km").replace("12 dollars", "78 dollars")
     pad = "lorem ipsum words stand around it and more of them follow here "
-    rows = [(1, pad + item + pad), (2, pad * 3 + fresh), (3, pad + clash), (4, pad + other.upper() + "."), (5, pad * 20), (6, None), (7, ""), (8, "X seven plain words stand in this item y"), (9, "seven plain words stand"), (10, pad + " ".join(other.split()[:9])), (1, pad + item + pad), (11, "9 " * 60), (12, pad * 3000 + other)]
+    rows = [(1, pad + item + pad), (2, pad * 3 + fresh), (3, pad + clash), (4, pad + other.upper() + "."), (5, pad * 20), (6, None), (7, ""), (8, "X seven plain words stand in this item y"), (9, "seven plain words stand"), (13, "a two words b"), (14, "Compute 3 + 4 * 17 - 2 / 5 = ?"), (15, "compute 3 + 4 * 17 - 2 / 6"), (16, pad + item.lower()), (17, pad + other.title()), (18, item.replace("12 km", "12 km and 77 km").replace("3 apples", "12 apples")), (10, pad + " ".join(other.split()[:9])), (1, pad + item + pad), (11, "9 " * 60), (12, pad * 3000 + other)]
     got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench).collect())
-    assert got == [(1, 0), (2, 0), (4, 1), (8, 4), (12, 1)]
+    assert got == [(1, 0), (2, 0), (4, 1), (8, 4), (12, 1), (13, 3), (14, 5), (16, 0)]
     kept = decontam.drop_contaminated(frame(spark, rows), bench)
-    assert sorted({r.doc_id for r in kept.collect()}) == [3, 5, 6, 7, 9, 10, 11] and kept.columns == frame(spark, rows).columns
+    assert sorted({r.doc_id for r in kept.collect()}) == [3, 5, 6, 7, 9, 10, 11, 15, 17, 18] and kept.columns == frame(spark, rows).columns
     small = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench, broadcast_rows=0).collect())
     assert small == got
     assert decontam.contaminated(frame(spark, []), bench).collect() == []
