@@ -13,11 +13,14 @@ document in doc_id order. Layout below the store's path:
                of chunks that stand nowhere else, in order), shared (digest and ids of chunks that stand
                again later: each is kept by the document it stands in first), root (Merkle root of
                the recipe)
-    manifest/  one row per shard: shard, start (ids before it), n_docs, n_tokens, root (Merkle root of
-               its documents' roots in order)
+    manifest/  one row per shard: shard, start (ids before it), n_docs, n_tokens, root (Merkle root over
+               its documents in order; a leaf binds doc_id, place, number of ids and the document's root)
+    top/       one row: width (bytes an id), end_id, n_shards, n_docs, n_tokens, root (over the shards' rows)
 
 Ids are little-endian unsigned integers of two bytes if the vocabulary fits, else of four.
-Reading checks every chunk against its digest and every document against its root.
+Reading checks all of it: before anything is rebuilt, the documents' rows against the shards' roots and
+counts, and those against the top; while rebuilding, each chunk against its digest and each recipe
+against its document's root. Lost, emptied, exchanged or changed rows and files fail the read.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from .store import drop_path, new_path, write_parquet, write_table
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_CACHE_PIECES = 250_000
+_CACHE_PIECES = 400_000
 _WINDOW, _MIN, _MAX, _MASK = 16, 64, 2048, 0xFF
 _DIGEST = 16
 
@@ -70,6 +73,9 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(tokens.values(), default=0) + 1, dtype=bool)
+        self.begins[[k for t, k in tokens.items() if t.startswith(chr(self.letters[32]))]] = True
         trial = " a don't, über. 12%% x\ny;\n\n  z\t(q) ñandú!? \u3000w £5 a\u0301 "
         self.parted = True
         self.parted = sys.byteorder == "little" and self.encode([trial, trial[1:], ""]) == self._whole([trial, trial[1:], ""])
@@ -107,28 +113,40 @@ class Encoder:
                 out.append(self._pretoken(line[len(core) :]))
         return b"".join(out)
 
-    def _learn(self, lead: str, pieces: list[str]) -> dict[str, bytes]:
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, each with a space before it: all are encoded as one text, which is
+        parted again where a token begins with the space."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        heads = np.flatnonzero(self.begins[ids])
+        if len(heads) != len(words):
+            return self._whole([" " + w for w in words])
+        data, w = ids.tobytes(), self.dtype.itemsize
+        ends = [*(heads[1:] * w).tolist(), len(data)]
+        return [data[a:b] for a, b in zip((heads * w).tolist(), ends)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds pieces that follow a space."""
+        known = self.pieces
         cores = [p.rstrip(string.punctuation) for p in pieces]
-        known, code = self.pretokens, self.code
-        new = [lead + c for c in set(cores) if lead + c not in known and c.isalpha()]
-        # All new words are written in the vocabulary's letters at once; U+010A stands for the line's end.
-        shown = "\n".join(new).encode().decode("latin-1").translate(self.letters).split("\u010a") if new else []
-        tokenize = self.tokenizer.model.tokenize
-        for word, letters in zip(new, shown):
-            known[word] = array(code, [t.id for t in tokenize(letters)]).tobytes()
-        found, rest = {}, []
+        new = [c for c in set(cores).difference(known) if c.isalpha()]
+        if new:
+            known.update(zip(new, self._spaced(new)))
+        rest = []
         for piece, core in zip(pieces, cores):
-            ids = known.get(lead + core)
-            if ids is not None and core:
-                found[piece] = ids if len(core) == len(piece) else ids + self._pretoken(piece[len(core) :])
+            if len(core) == len(piece) and core in known:
                 continue
-            ids = self._lines(lead, piece) if "\n" in piece else None
+            ids = known[core] + self._pretoken(piece[len(core) :]) if core.isalpha() else self._lines(" ", piece) if "\n" in piece else None
             if ids is None:
                 rest.append(piece)
             else:
-                found[piece] = ids
-        found.update(zip(rest, self._whole([lead + p for p in rest])))
-        return found
+                known[piece] = ids
+        known.update(zip(rest, self._whole([" " + p for p in rest])))
+
+    def _heads(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces that begin a text."""
+        found = {p: self._lines("", p) for p in pieces}
+        rest = [p for p, ids in found.items() if ids is None]
+        return found | dict(zip(rest, self._whole(rest)))
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
@@ -146,8 +164,8 @@ class Encoder:
                     rows[k] = _CUT.split(texts[k])
             new = set().union(*rows).difference(self.pieces)
         heads = {parts[0] for parts in rows}
-        first = self._learn("", list(heads))
-        self.pieces.update(self._learn(" ", [p for p in new if p and not p[0].isspace()]))
+        first = self._heads(list(heads))
+        self._learn([p for p in new if p and not p[0].isspace()])
         get, out = self.pieces.__getitem__, []
         for parts in rows:
             head = first[parts[0]]
@@ -159,12 +177,11 @@ class Encoder:
 _GEAR = np.random.default_rng(20240229).integers(1, 2**63, size=1 << 16, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id array: after an id where the hash over the last 16 ids has its low
-    bits clear, at least 64 and at most 2048 ids after the one before, and at the end."""
+def cuts(ids: np.ndarray, sizes: Sequence[int] | None = None) -> list[list[int]]:
+    """Of each document (``sizes`` ids one after another in ``ids``): the ends of its chunks, after an id where
+    the hash over the last 16 ids has its low bits clear, at least 64 and at most 2048 ids after the one
+    before, and at its end. (No chunk ends in a document's first 63 ids, so no hash reaches into the one before.)"""
     n = len(ids)
-    if n == 0:
-        return []
     with np.errstate(over="ignore"):
         gear = _GEAR[ids & 0xFFFF] * (np.uint64(1) + (ids.astype(np.uint64) >> np.uint64(16)))
         rolled = gear
@@ -173,20 +190,27 @@ def cuts(ids: np.ndarray) -> list[int]:
             more[k:] += rolled[: max(0, n - k)] << np.uint64(k)
             rolled = more
         marks = np.flatnonzero(((rolled >> np.uint64(_WINDOW)) & np.uint64(_MASK)) == 0) + 1
-    found, last = [], 0
-    for mark in marks.tolist():
-        while mark - last > _MAX:
+    ends = np.cumsum([n] if sizes is None else sizes)
+    split = np.searchsorted(marks, ends, side="right").tolist()
+    every, out, lo, base = marks.tolist(), [], 0, 0
+    for hi, end in zip(split, ends.tolist()):
+        found, last, size = [], 0, end - base
+        for mark in every[lo:hi]:
+            mark -= base
+            while mark - last > _MAX:
+                last += _MAX
+                found.append(last)
+            if mark - last >= _MIN:
+                last = mark
+                found.append(mark)
+        while size - last > _MAX:
             last += _MAX
             found.append(last)
-        if mark - last >= _MIN:
-            last = mark
-            found.append(mark)
-    while n - last > _MAX:
-        last += _MAX
-        found.append(last)
-    if last < n:
-        found.append(n)
-    return found
+        if last < size:
+            found.append(size)
+        out.append(found)
+        lo, base = hi, end
+    return out
 
 
 def digest(data: bytes) -> bytes:
@@ -201,6 +225,64 @@ def merkle_root(leaves: Sequence[bytes]) -> bytes:
     return level[0]
 
 
+class Merkle:
+    """The root over leaves that come one by one; holds one node a level."""
+
+    def __init__(self) -> None:
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height = 0
+        while self.nodes and self.nodes[-1][0] == height:
+            leaf, height = digest(b"\x01" + self.nodes.pop()[1] + leaf), height + 1
+        self.nodes.append((height, leaf))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return digest(b"")
+        found = self.nodes[-1][1]
+        for _, node in reversed(self.nodes[:-1]):
+            found = digest(b"\x01" + node + found)
+        return found
+
+
+def doc_leaf(doc_id: int | None, at: int, n_tokens: int, root: bytes) -> bytes:
+    none = doc_id is None or doc_id != doc_id
+    return digest(struct.pack("<?qqq", none, 0 if none else int(doc_id), at, n_tokens) + root)
+
+
+def _seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of documents in (shard, at) order. Emits a row for each shard."""
+    shard, tree, n_docs, n_tokens = None, Merkle(), 0, 0
+
+    def row() -> pd.DataFrame:
+        return pd.DataFrame({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens], "root": [tree.root()]})
+
+    for pdf in batches:
+        for doc_id, own, at, n, root in zip(pdf.doc_id, pdf.shard, pdf["at"], pdf.n_tokens, pdf.root):
+            if shard is not None and own != shard:
+                yield row()
+                tree, n_docs, n_tokens = Merkle(), 0, 0
+            shard, n_docs, n_tokens = own, n_docs + 1, n_tokens + n
+            tree.add(doc_leaf(doc_id, at, n, bytes(root)))
+    if shard is not None:
+        yield row()
+
+
+def _sealed(docs: DataFrame) -> DataFrame:
+    """shard, n_docs, n_tokens, root: recomputed from the documents' rows, each shard as a stream."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("doc_id", "shard", "at", "n_tokens", "root").repartition(n, "shard").sortWithinPartitions("shard", "at", "doc_id")
+    return rows.mapInPandas(_seal, "shard int, n_docs long, n_tokens long, root binary")
+
+
+def _top(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
+    tree = Merkle()
+    for shard, start, n_docs, n_tokens, root in rows:
+        tree.add(digest(struct.pack("<qqqq", shard, start, n_docs, n_tokens) + bytes(root)))
+    return tree.root()
+
+
 _ENCODED = "doc_id long, n_tokens long, ids binary, lens binary, digests binary"
 _DOCS = "doc_id long, shard int, at long, n_tokens long, recipe binary, own binary, root binary, shared array<struct<digest:binary,ids:binary>>"
 
@@ -213,9 +295,9 @@ def _encode(path: str, end_id: int):
             for lo in range(0, len(pdf), 1000):
                 part = pdf.iloc[lo : lo + 1000]
                 rows = []
-                for doc_id, data in zip(part.doc_id, encoder.encode([t or "" for t in part.text])):
-                    data += end
-                    bounds = cuts(np.frombuffer(data, dtype=encoder.dtype))
+                coded = [data + end for data in encoder.encode([t or "" for t in part.text])]
+                chunks = cuts(np.frombuffer(b"".join(coded), dtype=encoder.dtype), [len(data) // w for data in coded])
+                for doc_id, data, bounds in zip(part.doc_id, coded, chunks):
                     begins = [0, *bounds[:-1]]
                     names = b"".join(digest(data[a * w : b * w]) for a, b in zip(begins, bounds))
                     rows.append((doc_id, len(data) // w, data, np.diff([0, *bounds]).astype("<u4").tobytes(), names))
@@ -284,24 +366,44 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shards: i
     path = new_path(spark, "token-store")
     write_parquet(ordered.mapInPandas(_pack(wide), _DOCS), f"{path}/docs")
 
-    def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"shard": pdf.shard, "n_docs": pdf.n_docs, "n_tokens": pdf.n_tokens, "root": [merkle_root([bytes(x["root"]) for x in rows]) for rows in pdf.roots]})
-
-    # A shard's roots are 16 bytes a document, and shards are bounded by their number.
-    sums = spark.read.parquet(f"{path}/docs").groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("doc_id", "at", "root"))).alias("roots"))
-    sealed = sums.mapInPandas(seal, "shard int, n_docs long, n_tokens long, root binary")
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sealed.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(f"{path}/manifest")
+    sealed = _sealed(spark.read.parquet(f"{path}/docs")).withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    sealed.coalesce(1).write.parquet(f"{path}/manifest")
+    rows = _shards(spark, path)
+    top = (wide, end_id, len(rows), sum(r[2] for r in rows), sum(r[3] for r in rows), _top(rows))
+    spark.createDataFrame([top], "width int, end_id int, n_shards long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/top")
     for used in (raw, often_path):
         drop_path(spark, used)
     return path
 
 
-def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def _shards(spark: SparkSession, path: str) -> list[tuple[int, int, int, int, bytes]]:
+    """The manifest's rows in order: one a shard, so as many as there are files."""
+    rows = spark.read.parquet(f"{path}/manifest").select("shard", "start", "n_docs", "n_tokens", "root").collect()
+    return sorted((r["shard"], r["start"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in rows)
+
+
+def verify_store(spark: SparkSession, path: str) -> int:
+    """Checks the documents' rows against the manifest and the manifest against the top; returns the width of
+    an id. Raises ValueError on any difference."""
+    top = spark.read.parquet(f"{path}/top").collect()
+    rows = _shards(spark, path)
+    if len(top) != 1 or (top[0]["n_shards"], top[0]["n_docs"], top[0]["n_tokens"], bytes(top[0]["root"])) != (len(rows), sum(r[2] for r in rows), sum(r[3] for r in rows), _top(rows)):
+        raise ValueError("the manifest does not match the store's root")
+    found = _sealed(spark.read.parquet(f"{path}/docs")).select(F.col("shard").alias("s"), F.col("n_docs").alias("d"), F.col("n_tokens").alias("t"), F.col("root").alias("r"))
+    both = spark.read.parquet(f"{path}/manifest").join(found, F.col("shard") == F.col("s"), "full_outer")
+    same = F.col("n_docs").eqNullSafe(F.col("d")) & F.col("n_tokens").eqNullSafe(F.col("t")) & F.col("root").eqNullSafe(F.col("r"))
+    wrong = both.filter(~same).select(F.coalesce("shard", "s").alias("shard")).orderBy("shard").first()
+    if wrong is not None:
+        raise ValueError(f"shard {wrong['shard']}: its documents do not match the manifest")
+    return int(top[0]["width"])
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers) of every document, rebuilt
-    from recipes and chunks. A chunk that differs from its digest, a document that differs from its
-    root or a missing chunk fails the read."""
+    from recipes and chunks. The store is verified first; a chunk that differs from its digest, a
+    recipe that differs from its document's root or a missing chunk fails the read."""
+    width = verify_store(spark, path)
     docs, manifest = (spark.read.parquet(f"{path}/{x}") for x in ("docs", "manifest"))
     chunks = docs.select(F.inline("shared"))  # reads that column only
     docs = docs.withColumn("row", F.struct("shard", "at"))
