@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Word budgets of the sources are turned into blocks of equally many words. Blocks are dealt to sources
-by the highest quotients v / (2 k - 1), and the blocks of a source to its shards in the same way, so
-every shard has an integer quota. In a shard, documents stand in a seeded order; its quota is taken as
+by the highest quotients v / (2 k - 1), those of a source to buckets of a thousand shards in the same
+way, and those of a bucket to its shards, so every shard has an integer quota. In a shard, documents stand in a seeded order; its quota is taken as
 whole passes over the shard plus one run of consecutive blocks that begins at a seeded block.
 
 Everything is DataFrame expressions. Apart from the scan, work is on (doc_id, source, size) rows: one
-aggregation by source, one by shard, and one window inside shards of bounded size. Nothing is sorted
-or gathered for a whole source, so a source with a third of all rows is dealt out over its shards.
+aggregation by source, one by shard, and windows inside shards and buckets of bounded size. Of a whole
+source only its buckets meet, one for 200 million words, so a source with a third of all rows is dealt
+out over its shards. Sources themselves meet in one task: their number must be that of a table of names.
 """
 
 from __future__ import annotations
@@ -78,17 +79,19 @@ def source_targets(totals: DataFrame, weights: Sequence[float], volume: float, m
     return ranked.select("source", "source_size", "_rank", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1.5, most: float = 2.0, block: int = 8, shard_words: int = 200_000, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1.5, most: float = 2.0, block: int = 8, shard_words: int = 200_000, seed: int = 17, bucket: int = 1_000, carry: Sequence[str] = ()) -> DataFrame:
     """Which part of each document the mix takes.
 
     Returns doc_id, size, source_size, target, taken, full (whole passes), part (words of one more,
-    partial pass). Only doc_id, text and source are read; other columns are ignored.
+    partial pass), pieces (where these words stand: array of first word from 0 and count, in order), and
+    the columns named in ``carry``. Only doc_id, text and source are read besides.
 
     A null text has size 0 and takes 0. A null source is a source, the last one. Documents of size 0
-    take 0. Repeated rows are rows of their own: each has its place in the shard's order. An empty
-    table gives an empty result. Reruns agree: all order is by md5 of the seed and doc_id, then size.
+    take 0. A very long text counts whole; its shard is as long. Repeated rows are rows of their own: each
+    has its place in the shard's order. A null doc_id is a doc_id. An empty table gives an empty result.
+    Reruns agree: all order is by md5 of the seed and doc_id, then size.
     """
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), *carry)
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, volume, most)
     one = Window.partitionBy(F.lit(0))
@@ -99,8 +102,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1
     dealt = sized.join(quotas.select(F.col("source").alias("_s"), "source_size", "target", F.col("quota").alias("_quota"), "_shards", "_rank"), F.col("source").eqNullSafe(F.col("_s")))
     dealt = dealt.withColumn("_key", seeded(seed, F.col("doc_id"))).withColumn("_shard", F.col("_key") % F.col("_shards"))
 
-    shards = dealt.groupBy("_rank", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"))
-    parts = sainte_lague(shards, "_words", "_quota", ["_rank"], ["_shard"]).withColumnRenamed("quota", "_mine")
+    shards = dealt.groupBy("_rank", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota")).withColumn("_bucket", F.floor(F.col("_shard") / bucket))
+    buckets = shards.groupBy("_rank", "_bucket").agg(F.sum("_words").alias("_votes"), F.first("_quota").alias("_quota"))
+    buckets = sainte_lague(buckets, "_votes", "_quota", ["_rank"], ["_bucket"]).select("_rank", "_bucket", F.col("quota").alias("_seats"))
+    shards = shards.drop("_quota").join(buckets, ["_rank", "_bucket"])
+    parts = sainte_lague(shards, "_words", "_seats", ["_rank", "_bucket"], ["_shard"]).withColumnRenamed("quota", "_mine")
     blocks = F.greatest(F.ceil(F.col("_words") / block), F.lit(1)).cast("long")
     parts = parts.select(F.col("_rank").alias("_r"), F.col("_shard").alias("_h"), "_words", "_mine", blocks.alias("_blocks"))
     parts = parts.withColumns({
@@ -121,22 +127,39 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1
     def common(lo: Column, hi: Column) -> Column:
         return F.greatest(F.least(F.col("_end"), hi) - F.greatest(F.col("_start"), lo), F.lit(0))
 
+    def piece(lo: Column, hi: Column) -> Column:
+        return F.struct((F.greatest(F.col("_start"), lo) - F.col("_start")).cast("long").alias("first"), common(lo, hi).cast("long").alias("count"))
+
+    # The stretch at the shard's beginning stands before the other in a document that holds both.
+    pieces = F.filter(F.array(piece(F.lit(0), F.col("_b1")), piece(F.col("_a0"), F.col("_a1"))), lambda x: x["count"] > 0)
     part = (common(F.col("_a0"), F.col("_a1")) + common(F.lit(0), F.col("_b1"))).cast("long")
-    placed = placed.withColumn("part", part).withColumnRenamed("_full", "full")
+    placed = placed.withColumns({"part": part, "pieces": pieces}).withColumnRenamed("_full", "full")
     taken = (F.col("full") * F.col("size") + F.col("part")).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "full", "part")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "full", "part", "pieces", *carry)
 
 
 def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
-    """``docs`` as the mix takes them: a document stands once for each whole pass, and once more, cut to
-    ``part`` words, for a partial pass. Columns are those of ``docs``; documents with taken 0 are gone.
-    Rows that repeat a doc_id get the largest share among them. In a cut text, words are joined by one
-    space. The taken stretch of a document that the run enters or leaves is put at its head."""
-    plan = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("_d")).agg(F.max("full").alias("_full"), F.max("part").alias("_part"))
-    joined = docs.join(plan, F.col("doc_id") == F.col("_d")).filter((F.col("_full") > 0) | (F.col("_part") > 0))
-    times = F.concat(F.array_repeat(F.lit(False), F.col("_full").cast("int")), F.when(F.col("_part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    rows = joined.withColumn("_cut", F.explode(times))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_part").cast("int")), " ")
-    text = F.when(F.col("_cut"), head).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.withColumns(changed).select(*docs.columns)
+    """``docs`` as the mix takes them: a document stands once for each whole pass, and once more, cut to the
+    words that were drawn, for a partial pass. Columns are those of ``docs``, whatever their names; documents
+    with taken 0 are gone. In a cut text, the drawn words are joined by one space, and n_chars, where
+    there is one, is that of the cut text. Null texts and blank ones have nothing to take. Rows with a null
+    doc_id and rows that repeat one are mixed as rows of their own: rows alike in doc_id, source and text
+    share out what the mix takes of them. An empty table gives an empty result."""
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    row = row.select("row", "row.doc_id", "row.source", "row.text")
+    keys = {"k1": F.xxhash64("doc_id", "source", "text"), "k2": F.hash(F.col("text").isNull(), "text", F.col("source").isNull(), "source", "doc_id")}
+    row = row.withColumns(keys)
+    alike = Window.partitionBy("k1", "k2")
+    plan = mix(row.select("doc_id", "source", "text", "k1", "k2"), carry=("k1", "k2"), **options).select("k1", "k2", "taken", "full", "part", "pieces")
+    plan = plan.withColumn("n2", F.row_number().over(alike.orderBy(F.desc("taken"), "pieces"))).filter("taken > 0").withColumnsRenamed({"k1": "p1", "k2": "p2"})
+    rows = row.select("row", "k1", "k2", F.row_number().over(alike.orderBy(F.xxhash64("row"))).alias("n1"))
+    # n1 and n2 are compared beside the join's keys, so that texts keep the partitioning of the window above.
+    joined = rows.join(plan, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")) & (F.col("n1") - F.col("n2") == 0))
+    times = F.concat(F.array_repeat(F.lit(False), F.col("full").cast("int")), F.when(F.col("part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = joined.select("row", "pieces", F.explode(times).alias("cut"))
+    words = F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1))
+    drawn = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["count"].cast("int")))), " ")
+    text = F.when(F.col("cut"), drawn).otherwise(F.col("row.text"))
+    rows = rows.select("row", text.alias("text"))
+    changed = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns))
