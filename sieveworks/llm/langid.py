@@ -5,13 +5,14 @@ A text is a sequence of words (ASCII white space apart), in lower case. The scor
     sum_t  weights(word_t) . y_t  +  sum_t  T[y_{t-1}, y_t]
 
 where a word's features are hashed: its two-, three- and four-byte grams with marks at both ends (those
-at the ends are its affixes) and the word itself (the lexicon). Forward-backward gives each word's
+at the ends are its affixes) in one space, and the word itself (the lexicon) in another. Forward-backward gives each word's
 posterior over languages, so a switch inside a text costs one transition and the words around it decide
 where it is. A document's language is the one with the greatest mean posterior over its words that
 have letters; that mean is the score.
 
-Training reads a bounded sample of labelled documents. Its sequences are put together from short runs
-of words of different documents, so transitions between languages are seen and learned.
+Training reads a bounded sample of labelled documents, and of each a few short runs of words from
+anywhere in its whole text, drawn where the text is; only those come to the driver. Sequences are put
+together from runs of different documents, so transitions between languages are seen and learned.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .toxicity import doc_held_out
 
-_BITS = 18
+_BITS, _LEXICON = 18, 17
+_LONGEST = 100
 _U = np.uint64
 
 
@@ -51,7 +53,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rolled = (data + _U(1)) * (_U(0x100000001B3) ** (power % 61).astype(_U)) + power.astype(_U) * data
         if len(parts):
             whole = np.add.reduceat(rolled, first)
-        found.append((whole * _U(0xD6E8FEB86659FD93)) >> _U(64 - _BITS))
+        found.append(((whole * _U(0xD6E8FEB86659FD93)) >> _U(64 - _LEXICON)) + _U(1 << _BITS))
         owners.append(np.arange(len(parts)))
     order = np.argsort(np.concatenate(owners), kind="stable")
     features = np.concatenate(found).astype(np.int64)[order]
@@ -62,7 +64,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class WordCRF:
     languages: list[str]
-    weights: np.ndarray  # (2**_BITS, L)
+    weights: np.ndarray  # (2**_BITS + 2**_LEXICON, L)
     trans: np.ndarray  # (L, L)
 
     def emissions(self, words: list[str]) -> np.ndarray:
@@ -73,15 +75,15 @@ class WordCRF:
             out[lo : lo + 20_000] = np.add.reduceat(self.weights[features], bounds[:-1], axis=0) / scale
         return out
 
-    def posteriors(self, emission: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Forward-backward over many sequences side by side; longest first, so that at each step the
-        sequences still running are a leading slice."""
+    def passes(self, emission: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward messages and the words' own factors, each up to a factor a word, over many
+        sequences side by side; longest first, so that at each step those still running are a leading slice."""
         size = np.diff(bounds)
         order = np.argsort(-size, kind="stable")
         begin, size = bounds[:-1][order], size[order]
         e = np.exp(emission - emission.max(1, keepdims=True)) + 1e-12
-        move = np.exp(self.trans - self.trans.max()).astype(np.float32)
-        forward = np.empty_like(e)
+        move = np.exp(self.trans - self.trans.max()).astype(e.dtype)
+        forward, backward = np.empty_like(e), np.empty_like(e)
         longest = int(size[0]) if len(size) else 0
         running = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
         alpha = None
@@ -97,15 +99,26 @@ class WordCRF:
             if len(beta):
                 grown[: len(beta)] = (beta * e[at[: len(beta)] + 1]) @ move.T
                 grown /= grown.sum(1, keepdims=True)
-            forward[at] *= grown
+            backward[at] = grown
             beta = grown
+        return forward, backward, e
+
+    def posteriors(self, emission: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of each word, the probability of each language given the whole sequence."""
+        forward, backward, _ = self.passes(emission, bounds)
+        forward *= backward
         return forward / forward.sum(1, keepdims=True)
 
+    def pair_posteriors(self, forward: np.ndarray, backward: np.ndarray, e: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Of the words t, the probability of each pair of languages of the word before and the word."""
+        pair = forward[t - 1][:, :, None] * np.exp(self.trans - self.trans.max())[None] * (e[t] * backward[t])[:, None, :]
+        return pair / pair.sum((1, 2), keepdims=True)
+
 
 def _fit(sequences: list[list[str]], labels: list[list[int]], languages: list[str], epochs: int, rate: float, l2: float, seed: int) -> WordCRF:
     """Maximum likelihood by Adagrad over batches of sequences of equal length."""
     count = len(languages)
-    model = WordCRF(languages, np.zeros((1 << _BITS, count), dtype=np.float32), np.zeros((count, count)))
+    model = WordCRF(languages, np.zeros(((1 << _BITS) + (1 << _LEXICON), count), dtype=np.float32), np.zeros((count, count)))
     grad_w, grad_t = np.full(model.weights.shape, 1e-3, dtype=np.float32), np.full((count, count), 1e-3)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -118,16 +131,14 @@ def _fit(sequences: list[list[str]], labels: list[list[int]], languages: list[st
             features, cuts = _grams(words)
             scale = np.diff(cuts)[:, None].astype(np.float32) ** 0.5
             emission = np.add.reduceat(model.weights[features], cuts[:-1], axis=0) / scale
-            p = model.posteriors(emission, bounds)
-            error = p.copy()
+            forward, backward, e = model.passes(emission, bounds)
+            error = forward * backward
+            error /= error.sum(1, keepdims=True)
             error[np.arange(len(y)), y] -= 1
-            # Expected transitions from pair posteriors, up to the normaliser of each pair.
             inner = np.ones(len(y), dtype=bool)
             inner[bounds[:-1]] = False
             t = np.flatnonzero(inner)
-            pair = p[t - 1][:, :, None] * np.exp(model.trans)[None] * p[t][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            gap = pair.sum(0)
+            gap = model.pair_posteriors(forward, backward, e, t).sum(0)
             np.subtract.at(gap, (y[t - 1], y[t]), 1)
             gap = gap / len(y) + l2 * model.trans
             grad_t += gap * gap
@@ -140,29 +151,48 @@ def _fit(sequences: list[list[str]], labels: list[list[int]], languages: list[st
     return model
 
 
-def train(docs: DataFrame, sample: int = 4_000, sequences: int = 4_000, run_words: int = 24, runs: int = 5, epochs: int = 3, seed: int = 7) -> WordCRF:
-    """Learn from text and non-null lang of documents that are not held out; at most ``sample`` of them,
-    those with the least seeded hashes. ``sequences`` times ``runs`` runs of ``run_words`` words are
-    drawn from anywhere in their whole texts. Without labelled words the model has no languages."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~doc_held_out())
-    keys = rows.select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample).distinct()
-    # At most ``sample`` numbers are broadcast, and at most ``sample`` texts come to the driver.
-    picked = rows.join(F.broadcast(keys), "doc_id", "left_semi").select("doc_id", "text", "lang").toPandas()
-    picked = picked.sort_values(["doc_id", "lang", "text"]).drop_duplicates(["text", "lang"])
-    texts = [(t.lower().split(), g) for t, g in zip(picked.text, picked.lang)]
-    texts = [(w, g) for w, g in texts if any(c.isalpha() for x in w for c in x)]
-    languages = sorted({g for _, g in texts})
+def _runs(seed: int, each: int, run_words: int):
+    """Of each text, ``each`` runs of at most ``run_words`` words from places drawn by the seed and the doc_id, without
+    words of over 100 characters. A text without a letter gives none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, text, lang in zip(pdf.doc_id, pdf.text, pdf.lang):
+                words = text.lower().split()
+                rng = np.random.default_rng([seed, int(doc_id) & (2**63 - 1)])
+                for k in range(each):
+                    at = int(rng.integers(max(1, len(words) - run_words + 1)))
+                    own = [w for w in words[at : at + run_words] if len(w) <= _LONGEST]
+                    if any(c.isalpha() for w in own for c in w):
+                        rows.append((doc_id, k, lang, " ".join(own)))
+            yield pd.DataFrame(rows, columns=["doc_id", "k", "lang", "words"])
+
+    return run
+
+
+def train(docs: DataFrame, sample: int = 4_000, sequences: int = 4_000, run_words: int = 24, runs: int = 5, each: int = 6, epochs: int = 3, seed: int = 7) -> WordCRF:
+    """Learn from text and non-null lang of documents that are not held out; at most ``sample`` doc_ids,
+    those with the least seeded hashes. ``each`` runs of ``run_words`` words come from anywhere in the
+    whole text of each; ``sequences`` sequences are made of ``runs`` of them. So the driver gets at most
+    ``sample * each`` runs, whatever the texts' length. Rows that repeat a doc_id give runs of their own.
+    Without labelled words, or on an empty table, the model has no languages."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~doc_held_out())
+    keys = rows.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
+    # At most ``sample`` numbers are broadcast.
+    picked = rows.join(F.broadcast(keys), "doc_id", "left_semi").select(F.col("doc_id").cast("long"), "text", "lang")
+    picked = picked.mapInPandas(_runs(seed, each, run_words), "doc_id long, k int, lang string, words string").dropDuplicates(["lang", "words"]).toPandas()
+    picked = picked.sort_values(["lang", "doc_id", "k", "words"])
+    languages = sorted(set(picked.lang))
     rng = np.random.default_rng(seed)
-    by = {g: [w for w, h in texts if h == g] for g in languages}
+    by = {g: [w.split(" ") for w in own.words] for g, own in picked.groupby("lang")}
     drawn, labels = [], []
     for _ in range(sequences if languages else 0):
         words: list[str] = []
         marks: list[int] = []
         for _ in range(runs):
             k = int(rng.integers(len(languages)))
-            own = by[languages[k]][int(rng.integers(len(by[languages[k]])))]
-            at = int(rng.integers(max(1, len(own) - run_words + 1)))
-            run = own[at : at + run_words]
+            run = by[languages[k]][int(rng.integers(len(by[languages[k]])))]
             words += run
             marks += [k] * len(run)
         drawn.append(words)
@@ -172,7 +202,10 @@ def train(docs: DataFrame, sample: int = 4_000, sequences: int = 4_000, run_word
 
 def predict(docs: DataFrame, model: WordCRF) -> DataFrame:
     """doc_id, lang_pred, score for each row. A null text, or one without a letter, is ``und`` with score 0.
-    Only doc_id and text are read."""
+    A very long text is read whole, as one sequence. Of languages with equal means the first by name is
+    given. Each row is judged by itself, so repeated rows and rows with a null doc_id have rows of their
+    own; an empty table gives an empty result, and a model without languages gives ``und``. Only doc_id
+    and text are read."""
 
     def some(texts: list[str | None]) -> tuple[list[str], list[float]]:
         known: dict[str, int] = {}
