@@ -44,7 +44,7 @@ def _word(word: str) -> tuple[int, int]:
             shape = pattern.sub(to, shape)
         if len(_SEEN) >= _CACHE_WORDS:
             _SEEN.clear()
-        found = _SEEN[word] = (_hash("w" + word.lower()), _hash("s" + shape[:40]))
+        found = _SEEN[word] = (_hash("w" + word.lower()), _hash("s" + shape))
     return found
 
 
@@ -142,7 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: in
 
 def score(docs: DataFrame, model: OrdinalModel, good: int = 1, at_least: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, p_good = P(grade >= good), keep (p_good >= at_least) for each row; null and
-    empty texts have the score of no words. Only doc_id and text are read."""
+    empty texts have the score of no words. A very long text is read whole. Each row is scored by itself, so
+    equal texts have equal scores, repeated rows and rows with a null doc_id have rows of their own, and an
+    empty table gives an empty result. Only doc_id and text are read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -188,7 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, terms: int =
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id``, ``score``, ``predicted`` for each row of ``docs``; a null or empty text has the score
-    of no terms. Only doc_id and text are read, so other columns may have any name."""
+    of no terms. A very long text is read whole. Each row is scored by itself, so equal texts have equal
+    scores, repeated rows and rows with a null doc_id have rows of their own, and an empty table gives an
+    empty result. Only doc_id and text are read, so other columns may have any name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

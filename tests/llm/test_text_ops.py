@@ -13,6 +13,8 @@ import numpy as np
 import oracle
 import pytest
 
+from pyspark.sql import functions as F
+
 from sieveworks.llm import decontam, langid, mixing, mixing_sql, quality, secrets, store, token_store, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, value string"
@@ -98,9 +100,9 @@ def test_mix_meets_targets_and_its_sql(spark, tmp_path):
     text = lambda n: " \t".join("w" for _ in range(n))
     rows = [(k, text(rng.randrange(0, 90)), "en", rng.choice(["a", "a", "a", "b", "c", "é", None, "Z", ""])) for k in range(400)] + [(500, None, "en", "a"), (501, text(3000), "en", "b"), (502, "", "en", "only-empty"), (7, text(5), "en", "a")]
     docs = frame(spark, rows)
-    out = mixing.mix(docs, shard_words=1500).collect()
+    out = mixing.mix(docs, shard_words=1500, bucket=3).collect()
     assert len(out) == len(rows) and all(r.taken <= 2 * r.size for r in out)
-    assert out == mixing.mix(docs.repartition(7), shard_words=1500).orderBy("doc_id").collect() or sorted(out) == sorted(mixing.mix(docs.repartition(7), shard_words=1500).collect())
+    assert out == mixing.mix(docs.repartition(7), shard_words=1500, bucket=3).orderBy("doc_id").collect() or sorted(out) == sorted(mixing.mix(docs.repartition(7), shard_words=1500, bucket=3).collect())
     sums = defaultdict(int)
     by_doc = {(r[0], len((r[1] or "").split())): r[3] for r in rows}
     target = {}
@@ -116,8 +118,8 @@ def test_mix_meets_targets_and_its_sql(spark, tmp_path):
     for t in oracle.TABLES:
         docs.write.mode("overwrite").parquet(f"{tmp_path}/{t}.parquet")
     con = oracle.connect(str(tmp_path))
-    q = lambda s, d: mixing.mix(s.read.parquet(f"{d}/documents.parquet"), shard_words=1500).select("doc_id", "size", "source_size", "target", "taken")
-    assert oracle.difference(spark, con, q, mixing_sql.mix_sql(shard_words=1500), str(tmp_path)) == ""
+    q = lambda s, d: mixing.mix(s.read.parquet(f"{d}/documents.parquet"), shard_words=1500, bucket=3).select("doc_id", "size", "source_size", "target", "taken")
+    assert oracle.difference(spark, con, q, mixing_sql.mix_sql(shard_words=1500, bucket=3), str(tmp_path)) == ""
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
@@ -130,10 +132,39 @@ def test_applied_mix_has_the_taken_words(spark):
     assert applied.columns == docs.columns
     for r in applied.collect():
         words[r.doc_id] += len(r.text.split())
-        assert r.text.split() == [f"w{j}" for j in range(len(r.text.split()))]
+        assert r.n_chars == len(r.text)
     assert {k: v for k, v in taken.items() if v} == dict(words)
 
 
+def test_applied_mix_takes_the_drawn_words_of_every_row(spark):
+    rows = [(k % 30 if k % 7 else None, " ".join(f"w{k}_{j}" for j in range(5 + 9 * (k % 40))), "en", "ab"[k % 2]) for k in range(200)]
+    rows += [(1, "one two three", "en", "a")] * 3 + [(2, None, "en", "a"), (None, "", "en", None), (3, "  ", "en", "c")]
+    docs = frame(spark, rows).withColumn("_d", F.lit(1)).withColumn("k1", F.lit("x")).withColumn("row", F.lit(2)).withColumn("cut", F.lit(True))
+    plan = mixing.mix(docs, shard_words=2_000).collect()
+    want = Counter()
+    for r in plan:
+        want[(r.doc_id, r.size)] += r.taken
+    got, heads, partial = Counter(), 0, 0
+    whole = {" ".join((r[1] or "").split()): (r[0], len((r[1] or "").split())) for r in rows}
+    applied = mixing.apply_mix(docs, shard_words=2_000)
+    assert applied.columns == docs.columns
+    for r in applied.collect():
+        words = r.text.split()
+        if " ".join(words) in whole:
+            got[whole[" ".join(words)]] += len(words)
+            continue
+        partial += 1
+        owner = next(k for k, t in enumerate(rows) if t[1] and words[0] in t[1].split())
+        text = rows[owner][1].split()
+        at = [text.index(w) for w in words]
+        assert at == sorted(at) and sum(b - a != 1 for a, b in zip(at, at[1:])) <= 1, "one stretch, or the shard's end and its beginning"
+        heads += at[0] == 0
+        got[(rows[owner][0], len(text))] += len(words)
+    assert got == Counter({k: v for k, v in want.items() if v})
+    assert partial > heads
+    assert mixing.apply_mix(docs.limit(0)).collect() == []
+
+
 # Decontamination
 
 
@@ -239,20 +270,60 @@ def test_token_store_round_trip(spark):
 
 
 def test_token_store_notices_damage(spark):
-    path = token_store.write_store(frame(spark, [(1, "some words stand here"), (2, "others there")]), VOCABULARY)
-    spark.read.parquet(f"{path}/docs").selectExpr("doc_id", "shard", "at", "n_tokens", "recipe", "CAST(concat('x', substring(CAST(own AS STRING), 2)) AS BINARY) AS own", "root", "shared").write.parquet(f"{path}-bad/docs")
-    spark.read.parquet(f"{path}/manifest").write.parquet(f"{path}-bad/manifest")
-    with pytest.raises(Exception, match="does not match"):
-        token_store.read_store(spark, f"{path}-bad").collect()
+    rng = random.Random(2)
+    rows = [(k, " ".join(f"w{rng.randrange(50)}" for _ in range(8))) for k in range(40)]
+    path = token_store.write_store(frame(spark, rows), VOCABULARY)
+    docs = spark.read.parquet(f"{path}/docs")
+    names = ["doc_id", "shard", "at", "n_tokens", "recipe", "own", "root", "shared"]
+
+    def copy(name, changed, parts=("manifest", "top")):
+        changed.select(*names).write.parquet(f"{path}-{name}/docs")
+        for part in parts:
+            spark.read.parquet(f"{path}/{part}").write.parquet(f"{path}-{name}/{part}")
+        return f"{path}-{name}"
+
+    def swapped(ids):
+        """Two documents of equal length in each other's place, with recipe, root and chunks."""
+        other = {ids[0]: ids[1], ids[1]: ids[0]}
+        rest = docs.filter(~docs.doc_id.isin(*ids))
+        two = spark.createDataFrame([r.asDict() | {"doc_id": other[r.doc_id]} for r in docs.filter(docs.doc_id.isin(*ids)).collect()], docs.schema)
+        return rest.unionByName(two)
+
+    sizes = {}
+    for r in docs.collect():
+        sizes.setdefault((r.shard, r.n_tokens), []).append(r.doc_id)
+    equal = next(x for x in sizes.values() if len(x) > 1)[:2]
+    assert token_store.read_store(spark, copy("same", docs)).count() == 40
+    other_root = docs.withColumn("recipe", F.when(F.col("doc_id") == 3, F.lit(b"x" * 20)).otherwise(F.col("recipe"))).withColumn("root", F.when(F.col("doc_id") == 3, F.lit(token_store.merkle_root([b"x" * 20]))).otherwise(F.col("root")))
+    damaged = {
+        "chunk": docs.withColumn("own", F.expr("CAST(concat('x', substring(CAST(own AS STRING), 2)) AS BINARY)")), "lost": docs.filter("doc_id <> 7"), "shard": docs.filter("shard <> 0"),
+        "swapped": swapped(equal), "recipe": other_root, "twice": docs.unionByName(docs.filter("doc_id = 5")),
+    }
+    for name, changed in damaged.items():
+        with pytest.raises(Exception, match="match"):
+            token_store.read_store(spark, copy(name, changed)).collect()
+    spark.read.parquet(f"{path}/docs").write.parquet(f"{path}-top/docs")
+    spark.read.parquet(f"{path}/top").write.parquet(f"{path}-top/top")
+    spark.read.parquet(f"{path}/manifest").filter("shard > 0").write.parquet(f"{path}-top/manifest")
+    with pytest.raises(ValueError, match="root"):
+        token_store.read_store(spark, f"{path}-top")
     empty = token_store.write_store(frame(spark, []), VOCABULARY)
     assert token_store.read_store(spark, empty).collect() == []
 
 
+def test_streamed_merkle_root_is_the_tree():
+    for n in range(40):
+        leaves, tree = [bytes([k]) * 16 for k in range(n)], token_store.Merkle()
+        for leaf in leaves:
+            tree.add(leaf)
+        assert tree.root() == token_store.merkle_root(leaves)
+
+
 def test_chunk_ends_are_found_again_after_an_insertion():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 20_000).astype("<u2")
-    a = token_store.cuts(ids)
-    b = token_store.cuts(np.concatenate([ids[:5000], [7, 8, 9], ids[5000:]]).astype("<u2"))
+    a = token_store.cuts(ids)[0]
+    b = token_store.cuts(np.concatenate([ids[:5000], [7, 8, 9], ids[5000:]]).astype("<u2"))[0]
     assert a[-1] == 20_000 and max(np.diff([0, *a])) <= 2048
     assert len({x + 3 for x in a if x > 8000} & set(b)) >= 0.9 * sum(x > 8000 for x in a)
 
@@ -366,15 +437,20 @@ def test_forward_backward_is_enumeration():
     emission = rng.normal(size=(9, 3)).astype(np.float32)
     bounds = np.array([0, 4, 5, 9])
     got = model.posteriors(emission, bounds)
+    t = np.array([1, 2, 3, 6, 7, 8])
+    pairs = dict(zip(t.tolist(), model.pair_posteriors(*model.passes(emission.astype(float), bounds), t)))
     import itertools
 
     for lo, hi in zip(bounds[:-1], bounds[1:]):
-        p = np.zeros((hi - lo, 3))
+        p, q = np.zeros((hi - lo, 3)), np.zeros((hi - lo, 3, 3))
         for path in itertools.product(range(3), repeat=int(hi - lo)):
             s = sum(emission[lo + t, y] for t, y in enumerate(path)) + sum(model.trans[a, b] for a, b in zip(path, path[1:]))
             for t, y in enumerate(path):
                 p[t, y] += np.exp(s)
+                if t:
+                    q[t, path[t - 1], y] += np.exp(s)
         assert np.allclose(got[lo:hi], p / p.sum(1, keepdims=True), atol=1e-5)
+        assert all(np.allclose(pairs[lo + t], q[t] / q[t].sum(), atol=1e-6) for t in range(1, hi - lo))
 
 
 def test_ordinal_grades(spark):
