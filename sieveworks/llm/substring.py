@@ -230,7 +230,7 @@ def _anchors(length: int, anchor: int, bits: int):
             return pd.DataFrame(columns=["kind", "grp", "doc_id", "data"])
         least, doc = np.concatenate(found), np.array(ids, dtype=np.int64)[np.concatenate(docs)]
         least, doc, twice = _met(least, doc)
-        rows = [(0, 0, d, data) for d, data in _by_doc(doc[twice], least[twice])]
+        rows = [(0, d, d, data) for d, data in _by_doc(doc[twice], least[twice])]  # dealt out by doc_id
         head = np.ones(len(least), dtype=bool)
         head[1:] = least[1:] != least[:-1]
         least, doc = least[head], doc[head]
@@ -477,7 +477,7 @@ def repeated_stretches(docs: DataFrame, length: int = 20, anchor: int = 9, group
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(40, max(0, int(size / 6 / _WINDOWS_AN_ANCHOR / group).bit_length()) + 2)
+    bits = min(40, max(int(size / 6 / _WINDOWS_AN_ANCHOR / group).bit_length(), (4 * n).bit_length()))
     known = texts.mapInPandas(_anchors(length, anchor, bits), _ANCHORS)
     met = known.repartition(n, "grp").sortWithinPartitions("kind", "grp").mapInPandas(_meet(chunk_bytes), "doc_id long, data binary")
     met = stage(met.groupBy("doc_id").agg(F.collect_list("data").alias("anchors")), "anchors-met", batch_rows=64)
