@@ -1,9 +1,11 @@
 """Near-duplicate vectors by int8 tile products.
 
 Equal vectors are one class with a count, so copies are not compared with each other. Classes are dealt
-to pivots (fitted on a bounded sample) and, per pivot, to tiles of bounded size. Two pivots whose cones
-are further apart than the threshold's angle cannot hold a link, and their tiles never meet; all other
-pairs of tiles are compared.
+to pivots (fitted on a bounded sample; as many as there are tiles, up to a bound) and, per pivot, to tiles
+of bounded size. A pivot's cone is as wide as its furthest member. A vector whose angle to a pivot exceeds
+that by more than the threshold's angle cannot have a link there, so it is not sent to that pivot's
+tiles; it meets all others. How many those are is the data's: few for clustered vectors, most of them
+for vectors that point anywhere. Vectors travel in the precision they are given in.
 
 In a pair of tiles, unit vectors u are quantised to u = s q + e with int8 q. Products of q are exact
 integers, and
@@ -23,12 +25,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .components import components
 from .store import stage
+from .words import mix64
 
 _TILE = 1024
-_SAMPLE, _PIVOTS = 4096, 48
+_SAMPLE, _PIVOTS, _MOST_PIVOTS = 8192, 48, 1024
 
 
 def clean_vectors(embeddings: DataFrame) -> DataFrame:
@@ -106,24 +110,46 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(k, r) for k, r in enumerate(label.tolist()) if k != r]
 
 
-def _deal(pivots: dict[int, np.ndarray]):
+def _angles(u: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
+    return np.zeros((len(u), 1)) if pivots is None else np.arccos(np.clip(u @ pivots.T, -1, 1))
+
+
+def _deal(pivots: dict[int, np.ndarray], kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, group in pdf.groupby(pdf.v.map(len)):
-                u = _unit(np.array(group.v.tolist(), dtype=float))
-                cos = u @ pivots[dim].T if dim in pivots else np.ones((len(u), 1))
-                yield pd.DataFrame({"rep": group.rep, "n": group.n, "dim": dim, "pivot": cos.argmax(1), "angle": np.arccos(np.clip(cos.max(1), -1, 1)), "v": [x.tobytes() for x in np.array(group.v.tolist(), dtype="<f8")]})
+                x = np.array(group.v.tolist(), dtype=float)
+                angle = _angles(_unit(x), pivots.get(int(dim)))
+                yield pd.DataFrame({"rep": group.rep, "n": group.n, "dim": dim, "pivot": angle.argmin(1), "angle": angle.min(1), "v": [r.tobytes() for r in x.astype(kind)]})
+
+    return run
+
+
+def _send(pivots: dict[int, np.ndarray], cones: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], reach: float, kind: str):
+    """Adds tile, and mates, the tiles whose members a vector may link with. ``cones``: by dimension, each pivot's
+    widest angle, number of tiles and first tile."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, group in pdf.groupby("dim"):
+                wide, tiles, first = cones[int(dim)]
+                x = np.frombuffer(b"".join(group.v), dtype=kind).reshape(len(group), int(dim)).astype(float)
+                near = (_angles(_unit(x), pivots.get(int(dim))) <= wide[None, :] + reach) & (tiles > 0)[None, :]
+                pivot = group["pivot"].to_numpy()
+                own = first[pivot] + (mix64(group.rep.to_numpy().view(np.uint64)) % tiles[pivot].astype(np.uint64)).astype(np.int64)
+                of_pivot = np.repeat(np.arange(len(tiles)), tiles)
+                yield pd.DataFrame({"dim": dim, "tile": own, "mates": [np.flatnonzero(row).astype(np.int32) for row in near[:, of_pivot]], "rep": group.rep, "n": group.n, "v": group.v})
 
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """Rows sorted by (dim, ta, tb). Emits rep, links, other: links counts a vector's links in this pair of
     tiles; other, where it is not null, is a link of the forest."""
 
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         side = (group.tile != key[1]).to_numpy() if key[1] != key[2] else np.zeros(len(group), dtype=bool)
-        x = np.frombuffer(b"".join(group.v), dtype="<f8").reshape(len(group), key[0])
+        x = np.frombuffer(b"".join(group.v), dtype=kind).reshape(len(group), key[0]).astype(float)
         rep, n = group.rep.to_numpy(), group.n.to_numpy()
         if key[1] == key[2]:
             i, j = tile_links(x, None, threshold)
@@ -173,33 +199,22 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, tile: int =
     spark = embeddings.sparkSession
     rows = clean_vectors(embeddings).filter("vec_id is not null")
     classes = stage(rows.filter("usable").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
-    pivots = fit_pivots(classes)
-    dealt = stage(classes.mapInPandas(_deal(pivots), "rep long, n long, dim int, pivot int, angle double, v binary"), "dealt")
-
-    # At most (dimensions in the sample) x 48 rows: how many classes a pivot has, and how wide its cone is.
-    cones = dealt.groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("m"), F.max("angle").alias("angle")).toPandas()
-    reach = np.arccos(threshold) + 1e-6
-    tiles, pairs = [], []
-    for dim, own in cones.groupby("dim"):
-        own = own.sort_values("pivot").reset_index(drop=True)
-        own["k"] = np.ceil(own.m / tile).astype(int)
-        own["first"] = own.k.cumsum() - own.k
-        tiles += [(int(dim), int(r.pivot), int(r.k), int(r["first"])) for _, r in own.iterrows()]
-        for x in own.itertuples():
-            for y in own.itertuples():
-                if y.pivot >= x.pivot:
-                    apart = 0.0 if dim not in pivots else float(np.arccos(np.clip(pivots[dim][x.pivot] @ pivots[dim][y.pivot], -1, 1)))
-                    if x.pivot == y.pivot or apart - x.angle - y.angle <= reach:
-                        pairs += [(int(dim), int(x.pivot), int(y.pivot)), (int(dim), int(y.pivot), int(x.pivot))][: 1 + (x.pivot != y.pivot)]
-    tiles_df = spark.createDataFrame(tiles, "dim int, pivot int, k int, start int")
-    pairs_df = spark.createDataFrame(pairs, "dim int, pivot int, to int")
-    other = tiles_df.select("dim", F.col("pivot").alias("to"), F.col("k").alias("k2"), F.col("start").alias("start2"))
-    # A class meets every tile of every pivot that its own may link with; both lists are bounded by the pivots.
-    placed = dealt.join(F.broadcast(tiles_df), ["dim", "pivot"]).withColumn("tile", F.col("start") + F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    met = placed.join(F.broadcast(pairs_df.join(other, ["dim", "to"])), ["dim", "pivot"])
-    met = met.withColumn("mate", F.explode(F.sequence(F.col("start2"), F.col("start2") + F.col("k2") - 1)))
+    kind = "<f4" if isinstance(embeddings.schema["embedding"].dataType.elementType, FloatType) else "<f8"
+    pivots = fit_pivots(classes, pivots=min(_MOST_PIVOTS, max(_PIVOTS, classes.count() // tile)))
+    dealt = stage(classes.mapInPandas(_deal(pivots, kind), "rep long, n long, dim int, pivot int, angle double, v binary"), "dealt")
+
+    # At most (dimensions) x 1,024 rows: how many classes a pivot has, and how wide its cone is.
+    counted = dealt.groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("m"), F.max("angle").alias("angle")).toPandas()
+    cones = {}
+    for dim, own in counted.groupby("dim"):
+        size = len(pivots[int(dim)]) if int(dim) in pivots else 1
+        wide, tiles = np.zeros(size), np.zeros(size, dtype=np.int64)
+        wide[own["pivot"]], tiles[own["pivot"]] = own["angle"], np.ceil(own["m"] / tile)
+        cones[int(dim)] = (wide, tiles, np.cumsum(tiles) - tiles)
+    sent = dealt.mapInPandas(_send(pivots, cones, float(np.arccos(threshold)) + 1e-6, kind), "dim int, tile int, mates array<int>, rep long, n long, v binary")
+    met = sent.withColumn("mate", F.explode("mates"))
     met = met.select("dim", F.least("tile", "mate").alias("ta"), F.greatest("tile", "mate").alias("tb"), "tile", "rep", "n", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "ta", "tb")
-    found = stage(met.sortWithinPartitions("dim", "ta", "tb").mapInPandas(_compare(threshold), "rep long, links long, other long"), "vector-links")
+    found = stage(met.sortWithinPartitions("dim", "ta", "tb").mapInPandas(_compare(threshold, kind), "rep long, links long, other long"), "vector-links")
 
     comp = components(found.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
