@@ -257,3 +257,29 @@ def unescape(text: Column | str) -> Column:
 
 
 TABLES_TYPE = "array<struct<orientation:string,headers:array<string>,rows:array<array<string>>,nested:boolean>>"
+
+
+def columns_of(lines: list[str]) -> list[list[str]]:
+    """Cells of a block's lines: columns are parted where two or more character columns are blank in every line,
+    with something on either side. Rows without a cell are gone."""
+    width = max(map(len, lines), default=0)
+    solid = [any(len(x) > k and x[k] != " " for x in lines) for k in range(width)]
+    cuts, k = [], 0
+    while k < width:
+        end = k
+        while end < width and not solid[end]:
+            end += 1
+        if end - k >= 2 and k > 0 and end < width:
+            cuts.append(k)
+        k = end + 1 if end == k else end
+    bounds = [0, *cuts, width]
+    rows = [[x[a:b].strip(" ") for a, b in zip(bounds, bounds[1:])] for x in lines]
+    return [r for r in rows if any(r)]
+
+
+def _cut_columns(blocks: pd.Series) -> pd.Series:
+    return pd.Series([columns_of(list(x)) for x in blocks])
+
+
+def cut_columns(lines: Column | str) -> Column:
+    return F.pandas_udf(_cut_columns, "array<array<string>>")(lines)

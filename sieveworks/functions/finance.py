@@ -99,3 +99,12 @@ def by_name(name: Column, values: dict[str, float]) -> Column:
 def spread_percent(low: Column, high: Column, count: Column) -> Column:
     """Relative spread of two or more prices; null where there are fewer, or where the lowest is zero (no price)."""
     return F.when(count >= 2, safe_ratio(high - low, low) * 100.0)
+
+
+def returns_on_capital(ebit: Column, interest: Column, debt: Column, equity: Column, cash: Column, depreciation: Column, tax: float) -> dict[str, Column]:
+    """Return on invested capital, on capital employed and on equity, interest cover, and net debt to EBITDA;
+    null where a divisor is zero or missing."""
+    return {
+        "roic": safe_ratio(ebit * (1.0 - tax), debt + equity - cash), "roce": safe_ratio(ebit, debt + equity), "roe": safe_ratio((ebit - interest) * (1.0 - tax), equity),
+        "cover": safe_ratio(ebit, interest), "leverage": safe_ratio(debt - cash, ebit + depreciation),
+    }

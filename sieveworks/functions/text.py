@@ -4,6 +4,8 @@ Patterns are Unicode-aware (``(?U)``) where word characters and spaces of any sc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -180,3 +182,8 @@ def pdf_string_length(token: Column, two_byte: Column) -> Column:
     digits = F.length(F.regexp_replace(body, "[^0-9A-Fa-f]", ""))
     literal = F.length(F.regexp_replace(body, r"(?s)\\(?:[0-7]{1,3}|.)", "x"))
     return F.when(hexes, F.floor(digits / F.when(two_byte, 4).otherwise(2))).otherwise(literal).cast("long")
+
+
+def report_line(columns: Sequence[tuple[str, int, bool]]) -> Column:
+    """A line of a fixed-width report: name, width and whether it stands to the right."""
+    return F.concat(F.lit("  "), *(F.lpad(F.col(c), n, " ") if right else F.rpad(F.col(c), n, " ") for c, n, right in columns))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .basic import col
@@ -21,17 +21,31 @@ EMBEDDED = ("application/ld+json", "__next_data__", "__nuxt__", "__initial_state
 #: Phrases and statuses of refusals.
 BLOCK_PHRASES = ("access denied", "request blocked", "are you a robot", "unusual traffic", "verify you are human", "checking your browser", "enable javascript and cookies", "attention required", "pardon our interruption", "captcha")
 BLOCK_STATUS = (401, 403, 407, 429, 503)
-#: Vendor, headers seen with it passively, headers of an active decision, marks in a body, difficulty.
+#: Vendor; beginnings of headers and cookies seen with it passively; beginnings of headers and of
+#: cookies, and marks in a body, of an active decision; difficulty.
 VENDORS = (
-    ("Cloudflare", ("cf-ray", "server: cloudflare"), ("cf-mitigated",), ("challenge-platform", "cf-chl"), "high"),
-    ("Akamai", ("akamai", "x-akamai"), ("akamai-grn",), ("_abck", "ak_bmsc"), "very high"),
-    ("DataDome", ("x-datadome",), ("x-dd-b",), ("captcha-delivery.com",), "very high"),
-    ("PerimeterX", ("x-px",), ("x-px-block",), ("px-captcha",), "high"),
-    ("Imperva", ("x-iinfo", "x-cdn: imperva"), (), ("_incapsula_resource",), "high"),
-    ("AWS WAF", ("x-amzn-waf",), ("x-amzn-waf-action",), ("awswaf",), "medium"),
-    ("Sucuri", ("x-sucuri-id",), ("x-sucuri-block",), ("sucuri website firewall",), "medium"),
+    ("Cloudflare", ("cf-ray", "cf-cache-status"), ("__cflb", "__cfruid"), ("cf-mitigated",), ("__cf_bm", "cf_clearance"), ("/cdn-cgi/challenge-platform/", "cf-browser-verification"), "high"),
+    ("Akamai Bot Manager", ("x-akamai-transformed",), ("akacd_", "ak_bmsc"), ("akamai-grn",), ("_abck", "bm_sz", "bm_sv"), ("akam-sw.js", "/akam/"), "high"),
+    ("DataDome", (), (), ("x-datadome", "x-dd-b"), ("datadome",), ("captcha.datadome.co", "js.datadome.co", "captcha-delivery.com"), "high"),
+    ("HUMAN Security (PerimeterX)", (), (), ("x-px",), ("_px3", "_px2", "_pxhd", "_pxvid", "_pxde"), ("px-cloud.net", "perimeterx", "/px/captcha"), "high"),
+    ("Kasada", (), (), ("x-kpsdk-ct", "x-kpsdk-cd", "x-kpsdk-r"), ("kp_uidz", "kp_uidzskip"), ("kpsdk",), "very high"),
+    ("Imperva (Incapsula)", ("x-cdn",), (), ("x-iinfo",), ("incap_ses_", "visid_incap_", "nlbi_"), ("_incapsula_resource",), "high"),
+    ("AWS WAF Bot Control", ("x-amz-cf-id", "x-amz-cf-pop"), (), ("x-amzn-waf-action",), ("aws-waf-token",), ("awswaf.com",), "medium"),
+    ("F5 / BIG-IP ASM", (), ("bigipserver",), ("x-f5-", "x-waf-"), ("ts01", "tspd_101"), ("/tspd/", "/tsbd/"), "medium"),
+    ("Sucuri", ("x-sucuri-id", "x-sucuri-cache"), (), (), ("sucuri_cloudproxy_uuid",), ("sucuri_cloudproxy_js",), "low"),
+    ("Fastly", ("x-served-by", "x-fastly", "fastly-restarts"), (), (), (), (), "low"),
+    ("Vercel", ("x-vercel-id", "x-vercel-cache"), (), (), (), (), "low"),
+)
+#: Captcha, marks in a page, marks that rule it out, kind.
+CAPTCHAS = (
+    ("reCAPTCHA v2", ("g-recaptcha", "google.com/recaptcha/api.js", "g-recaptcha-response"), ("render=",), "interactive challenge"),
+    ("reCAPTCHA v3", ("recaptcha/api.js?render=", "grecaptcha.execute"), (), "invisible score"),
+    ("hCaptcha", ("hcaptcha.com/1/api.js", "h-captcha", "h-captcha-response"), (), "interactive challenge"),
+    ("Cloudflare Turnstile", ("challenges.cloudflare.com/turnstile", "cf-turnstile"), (), "invisible or interactive"),
+    ("Arkose Labs (FunCaptcha)", ("arkoselabs.com", "funcaptcha", "fc-token"), (), "interactive puzzle"),
+    ("GeeTest", ("/gt.js", "geetest", "gt_captcha"), (), "slider puzzle"),
+    ("DataDome CAPTCHA", ("captcha-delivery.com", "geo.captcha", "dd_cookie", "datadome captcha"), (), "slider puzzle"),
 )
-CAPTCHAS = (("reCAPTCHA", ("g-recaptcha", "recaptcha/api.js"), "checkbox"), ("reCAPTCHA v3", ("recaptcha/api.js?render=",), "invisible score"), ("hCaptcha", ("h-captcha", "hcaptcha.com"), "checkbox"), ("Turnstile", ("cf-turnstile", "challenges.cloudflare.com/turnstile"), "invisible challenge"), ("FunCaptcha", ("funcaptcha", "arkoselabs"), "puzzle"), ("GeeTest", ("geetest",), "slider"))
 DIFFICULTY = {"low": 1, "medium": 2, "high": 3, "very high": 4}
 TIERS = ("trivial", "easy", "moderate", "hard", "very hard")
 THIN = 800
@@ -134,30 +148,37 @@ def _phrases(body: Column) -> Column:
     return F.exists(F.array(*(F.lit(p) for p in BLOCK_PHRASES)), lambda p: F.contains(blob, p))
 
 
+def _has(blob: Column, marks: Sequence[str]) -> Column:
+    return F.exists(any_of(marks), lambda m: F.contains(blob, m)) if marks else F.lit(False)
+
+
 def captchas(body: Column) -> Column:
-    """Names of captchas in a page; the checkbox kind is not named where scripts render invisibly."""
+    """Names of captchas in a page; a mark that rules one out holds over those that speak for it."""
     blob = F.lower(F.coalesce(body, F.lit("")))
-    found = []
-    for name, marks, _ in CAPTCHAS:
-        hit = F.exists(F.array(*(F.lit(m) for m in marks)), lambda m: F.contains(blob, m))
-        found.append(F.when(hit & ~F.contains(blob, F.lit("render=")) if name == "reCAPTCHA" else hit, name))
-    return F.array_compact(F.array(*found))
+    return F.array_compact(F.array(*(F.when(_has(blob, marks) & ~_has(blob, without), name) for name, marks, without, _ in CAPTCHAS)))
 
 
 def vendors_in(body: Column) -> Column:
     blob = F.lower(F.coalesce(body, F.lit("")))
-    return F.array_compact(F.array(*(F.when(F.exists(F.array(*(F.lit(m) for m in marks)), lambda m: F.contains(blob, m)), n) for n, _, _, marks, _ in VENDORS)))
+    return F.array_compact(F.array(*(F.when(_has(blob, v[5]), v[0]) for v in VENDORS)))
 
 
 def vendor_evidence(headers: Column, body: Column) -> Column:
     """array<struct<vendor, engaged, difficulty>>: a vendor is engaged, and so difficult, only by active
-    evidence; headers are one lower-cased text of lines."""
-    head, blob = F.lower(F.coalesce(headers, F.lit(""))), F.lower(F.coalesce(body, F.lit("")))
-    has = lambda text, marks: F.exists(F.array(*(F.lit(m) for m in marks)), lambda m: F.contains(text, m)) if marks else F.lit(False)
+    evidence. ``headers`` is one text of lines; cookies are its set-cookie lines."""
+    blob = F.lower(F.coalesce(body, F.lit("")))
+    lines = F.transform(F.split(F.lower(F.coalesce(headers, F.lit(""))), "\n"), lambda x: F.trim(x))
+    set_cookie = "set-cookie:"
+    cookies = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(set_cookie))), lambda x: F.trim(F.substring(x, F.lit(len(set_cookie) + 1), F.length(x))))
+
+    def begins(texts: Column, marks: Sequence[str]) -> Column:
+        return F.exists(texts, lambda x: F.exists(any_of(marks), lambda m: F.startswith(x, m))) if marks else F.lit(False)
+
     found = []
-    for name, passive, active, marks, difficulty in VENDORS:
-        engaged = has(head, active) | has(blob, marks)
-        found.append(F.when(has(head, passive) | engaged, F.struct(F.lit(name).alias("vendor"), engaged.alias("engaged"), F.when(engaged, F.lit(difficulty)).alias("difficulty"))))
+    for name, headers_seen, cookies_seen, headers_active, cookies_active, marks, difficulty in VENDORS:
+        engaged = begins(lines, headers_active) | begins(cookies, cookies_active) | _has(blob, marks)
+        seen = begins(lines, headers_seen) | begins(cookies, cookies_seen)
+        found.append(F.when(seen | engaged, F.struct(F.lit(name).alias("vendor"), engaged.alias("engaged"), F.when(engaged, F.lit(difficulty)).alias("difficulty"))))
     return F.array_compact(F.array(*found))
 
 
@@ -190,3 +211,25 @@ def repair_class(transport: Column, blocked: Column, browser_ok: Column, redirec
 
 def any_of(values: Sequence[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
+
+
+def selector_parts(selector: Column) -> Column:
+    """array<struct<tag, id, classes>> of a selector's steps, from tags, ids, classes and descent; null where it
+    holds anything else."""
+    step = F.regexp_like(selector, F.lit(r"^\s*[\w-]*(?:[.#][\w-]+)*(?:\s+[\w-]*(?:[.#][\w-]+)*)*\s*$")) & (F.trim(selector) != "")
+    parts = F.transform(F.split(F.trim(selector), r"\s+"), lambda x: F.struct(
+        F.regexp_extract(x, r"^([\w-]*)", 1).alias("tag"), F.regexp_extract(x, r"#([\w-]+)", 1).alias("id"), F.regexp_extract_all(x, F.lit(r"\.([\w-]+)"), F.lit(1)).alias("classes"),
+    ))
+    return F.when(step, parts)
+
+
+def extrapolated(assets: DataFrame, key: str, order: str, size: Column, sample: int = 8) -> DataFrame:
+    """``assets``: distinct rows. Mean size of the first ``sample`` of a key times their number: key, bytes, assets."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    rows = assets.select(key, size.alias("_size"), place.alias("_k"))
+    return rows.groupBy(key).agg((F.avg(F.when(F.col("_k") <= sample, F.col("_size"))) * F.count(F.lit(1))).alias("bytes"), F.count(F.lit(1)).alias("assets"))
+
+
+def changed(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages whose (url, lastmod) the last snapshot does not hold."""
+    return pages.join(known, ["url", "lastmod"], "left_anti")

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,13 +39,20 @@ def walk(docs: DataFrame, id_column: str, variant: str) -> DataFrame:
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, path string, leaf string, value string")
 
 
+def in_key(term: str) -> Column:
+    """Whether a leaf's key holds the term, whatever its case."""
+    return F.coalesce(F.contains(F.lower("leaf"), F.lit(term.lower())), F.lit(False))
+
+
+def in_value(term: str) -> Column:
+    """Whether a leaf's text, under 300 characters, holds the term."""
+    return F.coalesce(F.contains(F.lower("value"), F.lit(term.lower())) & (F.length("value") < 300), F.lit(False))
+
+
 def find(leaves: DataFrame, term: str, keys: int = 25, values: int = 15) -> DataFrame:
     """Leaves whose key holds the term, else those whose text under 300 characters does: the first of each
     document by path, with kind key or value."""
-    low = term.lower()
-    in_key = F.contains(F.lower("leaf"), F.lit(low))
-    in_value = F.contains(F.lower("value"), F.lit(low)) & (F.length("value") < 300)
-    rows = leaves.withColumn("kind", F.when(F.coalesce(in_key, F.lit(False)), "key").when(F.coalesce(in_value, F.lit(False)), "value")).filter("kind is not null")
+    rows = leaves.withColumn("kind", F.when(in_key(term), "key").when(in_value(term), "value")).filter("kind is not null")
     place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("path"))
     most = F.when(F.col("kind") == "key", keys).otherwise(values)
     return rows.withColumn("place", place).filter(F.col("place") <= most)

@@ -79,7 +79,6 @@ _add("flt_unlock_future", lambda s, d: fixture(s, "id, t, n", "(1, '2026-09-01',
 _add("dt_unlock_days", lambda s, d: table(s, d, "orders").select("o_orderkey", F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).alias("days")), "SELECT o_orderkey, CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS days FROM orders")
 _add("m_unlock_row", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2.5).alias("usd"), B.safe_ratio(F.col("l_quantity") * 100.0, "l_extendedprice").alias("pct")), "SELECT l_orderkey, l_linenumber, l_quantity * 2.5::DOUBLE AS usd, l_quantity * 100.0 / nullif(l_extendedprice, 0) AS pct FROM lineitem")
 _add("m_inflation", lambda s, d: table(s, d, "part").select("p_partkey", B.safe_ratio(F.col("p_size") * 100.0, "p_retailprice").alias("pct")), "SELECT p_partkey, p_size * 100.0::DOUBLE / nullif(p_retailprice, 0) AS pct FROM part")
-_add("m_roic", lambda s, d: Y.yearly_ratios(SQ._by_nation(s, d)).select("id", "year", B.safe_ratio("net_income", F.col("debt") + F.col("equity")).alias("roic"), B.safe_ratio("net_income", "equity").alias("roe"), B.safe_ratio("cfo", "capex").alias("cover")), f"SELECT id, year, net_income / nullif(debt + equity, 0) AS roic, net_income / nullif(equity, 0) AS roe, cfo / nullif(capex, 0) AS cover FROM {SQ._NATION_SQL}")
 _case("m_interpret", "id, g", "(1, -0.1), (2, 0.03), (3, 0.07), (4, 0.12), (5, 0.2), (6, 0.4), (7, NULL)", lambda: N.read_growth(F.col("g")), "(1, 'shrinking'), (2, 'modest'), (3, 'moderate'), (4, 'demanding'), (5, 'very demanding'), (6, 'extreme'), (7, NULL)")
 _case("m_parse_band", "id, t", "(1, '100-105'), (2, '105'), (3, 'x')", lambda: N.band_ends(F.col("t"))[1], "(1, 105.0::DOUBLE), (2, 105.0), (3, NULL)")
 _add("m_dcf_solve", lambda s, d: fixture(s, "id, value, fcf, discount, terminal", SQ._DCF).filter("id = 1").select("id", F.round(N.implied_growth(*(F.col(c) for c in ("value", "fcf", "discount", "terminal")), 10), 6).alias("g")), "SELECT 1 AS id, 0.122836::DOUBLE AS g")
@@ -97,21 +96,14 @@ def _feed(s: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("id")).agg(F.countDistinct(F.when(F.col("value").isNotNull(), F.col("event_type"))).alias("venues"), F.min("value").alias("low"), F.max("value").alias("high"), (F.count(F.lit(1)) / 100.0).alias("turnover"))
 
 
-for _name in ("agg_spread", "m_spread", "join_cross_feed"):
-    _add(_name, lambda s, d: _feed(s, d).select("id", N.spread_percent(F.col("low"), F.col("high"), F.col("venues")).alias("spread")), f"SELECT id, CASE WHEN venues >= 2 THEN (high - low) / low * 100.0 END AS spread FROM {_FEED}")
 _add("m_turnover", lambda s, d: _feed(s, d).select("id", ((F.col("turnover") < 0.005) | (F.col("turnover") > 2.0)).alias("odd")), f"SELECT id, turnover < 0.005 OR turnover > 2.0 AS odd FROM {_FEED}")
 _add("dt_age_min", lambda s, d: table(s, d, "events").select("event_id", (F.timestamp_diff("SECOND", F.col("ts"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")) / 60.0).alias("age")), "SELECT event_id, ((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) // 1000000)::DOUBLE / 60.0::DOUBLE AS age FROM events")
 _add("snk_exit_code", lambda s, d: GQ.gate_live(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")), f"SELECT status, count(*) AS n FROM ({GQ.ORACLE_SQL['gate_live']}) GROUP BY 1")
 
 # Calendars and nutrition.
-for _name in ("dt_lockin", "join_rules_x_entity", "srt_events"):
-    _add(_name, lambda s, d: GQ.cal_lockin(s, d).filter("error is null").select("id", "event", "date", F.row_number().over(Window.partitionBy("id").orderBy("date", "event")).alias("k")), f"SELECT id, event, date, row_number() OVER (PARTITION BY id ORDER BY date, event) AS k FROM ({GQ.ORACLE_SQL['cal_lockin']}) WHERE error IS NULL")
+_add("dt_lockin", lambda s, d: GQ.cal_lockin(s, d).filter("error is null").select("id", "event", "date", F.row_number().over(Window.partitionBy("id").orderBy("date", "event")).alias("k")), f"SELECT id, event, date, row_number() OVER (PARTITION BY id ORDER BY date, event) AS k FROM ({GQ.ORACLE_SQL['cal_lockin']}) WHERE error IS NULL")
 _add("dt_lockin_guard", lambda s, d: GQ.cal_lockin(s, d).filter("error is not null").select("id", "error"), f"SELECT id, error FROM ({GQ.ORACLE_SQL['cal_lockin']}) WHERE error IS NOT NULL")
 _add("dt_local", lambda s, d: table(s, d, "events").select("event_id", F.hour(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Kolkata")).alias("h")), "SELECT event_id, CAST(hour(ts + INTERVAL 330 MINUTES) AS INT) AS h FROM events")
-for _name in ("dt_session_status", "dt_next_session", "join_sessions_x_days", "dt_session_bounds"):
-    _add(_name, GQ.cal_session, GQ.ORACLE_SQL["cal_session"])
-for _name in ("m_targets", "m_stop_rules"):
-    _add(_name, GQ.plan_targets, GQ.ORACLE_SQL["plan_targets"])
 _add("m_tdee", lambda s, d: P.plan_targets(fixture(s, GQ._PERSON, GQ._PEOPLE)).select("id", F.round("tdee", 3).alias("tdee")), "SELECT * FROM (VALUES (1, 2062.844::DOUBLE), (2, 1650.344), (3, 2910.938), (4, 3084.5), (5, 1486.8)) AS t(id, tdee)")
 _add("agg_count_if", lambda s, d: P.day_totals(GQ._items(s, d)).select("plan", "day", "protein_meals"), f"SELECT plan, day, protein_meals FROM {GQ._DAYS}")
 _add("agg_max_default", lambda s, d: P.day_totals(GQ._items(s, d)).select("plan", "day", "largest_meal"), f"SELECT plan, day, largest_meal FROM {GQ._DAYS}")
@@ -119,20 +111,8 @@ _add("join_targets", lambda s, d: P.day_totals(GQ._items(s, d)).select("plan", "
 _add("m_swap_block", lambda s, d: table(s, d, "part").select("p_partkey", P.swap_portion(F.col("p_size") / 100.0).alias("grams")), "SELECT p_partkey, 25.0 / nullif(p_size / 100.0::DOUBLE, 0) AS grams FROM part")
 
 # Pages.
-_add("flt_ok_status", WQ.web_access_block, WQ.ORACLE_SQL["web_access_block"])
-_add("join_marker_theta", WQ.web_vendor, WQ.ORACLE_SQL["web_vendor"])
-for _name in ("win_robots_groups", "join_longest_prefix", "topk_match_longest"):
-    _add(_name, WQ.web_robots, WQ.ORACLE_SQL["web_robots"])
-for _name in ("agg_ok_rate", "agg_access_class"):
-    _add(_name, WQ.web_probe_site, WQ.ORACLE_SQL["web_probe_site"])
-for _name in ("flt_key_match", "topk_hits"):
-    _add(_name, WQ.j_find, WQ.ORACLE_SQL["j_find"])
+_add("win_robots_groups", WQ.web_robots, WQ.ORACLE_SQL["web_robots"])
 _add("j_lenient", lambda s, d: WQ._product_pages(s, d).select("page_id", W.lenient_json(W.json_ld("html")[0]).isNotNull().alias("ok")), f"SELECT p_partkey AS page_id, true AS ok FROM {WQ._P4}")
-_add("m_feeds", WQ.web_scripts, WQ.ORACLE_SQL["web_scripts"])
-for _name in ("str_selector_parse", "win_scope_stack"):
-    _add(_name, WQ.web_selector_count, WQ.ORACLE_SQL["web_selector_count"])
-_add("a_table_shape", WQ.web_tables, WQ.ORACLE_SQL["web_tables"])
-_add("agg_summary_counts", WQ.web_harvest, WQ.ORACLE_SQL["web_harvest"])
 _add("flt_substring_any", lambda s, d: table(s, d, "pages").select("page_id", B.contains_any("html", ["<footer", "<form"]).alias("r")), "SELECT page_id, contains(lower(html), '<footer') OR contains(lower(html), '<form') AS r FROM pages")
 _add("set_dedup_urls", lambda s, d: table(s, d, "pages").select(WQ._host().alias("host")).dropDuplicates(), f"SELECT DISTINCT {WQ._HOSTQ} AS host FROM pages")
 _JSON = """(1, '{"@type": "Product", "brand": {"name": "B"}, "offers": {"availability": "https://schema.org/InStock"}}'), (2, '{"@graph": [{"@type": ["Article", "NewsArticle"], "headline": "H"}, {"@type": "Person"}]}'), (3, '[{"@type": "Product", "brand": "C"}]')"""
@@ -162,7 +142,6 @@ _add("j_as_name", lambda s, d: _nodes(s).filter("id <> 2").select("id", F.coales
 _add("j_last_segment", lambda s, d: _nodes(s).filter("id = 1").select("id", F.element_at(F.split(F.try_variant_get("v", "$.offers.availability", "string"), "/"), -1).alias("r")), "SELECT 1 AS id, 'InStock' AS r")
 _add("j_dig", lambda s, d: _nodes(s).select("id", "pos", F.when(F.try_variant_get("v", "$.headline", "string").isNull(), "missing: headline").alias("error")), "SELECT * FROM (VALUES (1, 0, 'missing: headline'), (2, 0, NULL), (2, 1, 'missing: headline'), (3, 0, 'missing: headline')) AS t(id, pos, error)")
 _add("topk_keys12", lambda s, d: table(s, d, "events").select("event_id", F.array_join(F.slice(F.array_sort(F.json_object_keys("props")), 1, 12), ",").alias("keys")), "SELECT event_id, array_to_string(list_slice(list_sort(json_keys(props)), 1, 12), ',') AS keys FROM events")
-_add("m_refresh_tiers", lambda s, d: table(s, d, "pages").select("page_id", "url").join(table(s, d, "pages").filter("page_id % 2 = 0").select("url"), "url", "left_anti").select("page_id"), "SELECT page_id FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
 _add("doc_anchor_priority", lambda s, d: fixture(s, "id, a", "(1, array('class', 'id')), (2, array('text', 'microdata')), (3, array('position'))").select("id", F.array_min(F.transform("a", lambda x: F.array_position(F.array(*(F.lit(k) for k in ("json-ld", "microdata", "id", "class", "text", "position"))), x))).alias("rank")), "SELECT * FROM (VALUES (1, 3), (2, 2), (3, 6)) AS t(id, rank)")
 
 # Text.
@@ -182,22 +161,10 @@ _add("str_esc_xml", lambda s, d: table(s, d, "part").select("p_partkey", T.escap
 _add("str_col_ref", lambda s, d: table(s, d, "nation").select("n_nationkey", T.column_letters(F.col("n_nationkey")).alias("c")), "SELECT n_nationkey, chr(65 + n_nationkey) AS c FROM nation")
 _add("str_kebab", lambda s, d: table(s, d, "part").select("p_partkey", T.is_kebab(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("k")), "SELECT p_partkey, regexp_matches(replace(p_name, ' ', '-'), '^[a-z0-9]+(-[a-z0-9]+)*$') AND length(p_name) <= 64 AS k FROM part")
 _add("snk_default_name", lambda s, d: table(s, d, "part").select("p_partkey", T.resume_name(F.col("p_name")).alias("f")), "SELECT p_partkey, array_to_string(list_slice(regexp_extract_all(p_name, '[A-Za-z]+'), 1, 3), '_') || '_Resume.docx' AS f FROM part")
-for _name in ("win_section_ffill", "win_seen_content"):
-    _add(_name, TQ.txt_sections, TQ.ORACLE_SQL["txt_sections"])
-for _name in ("join_self_neighbour", "txt_role_entries"):
-    _add(_name, TQ.win_neighbour, TQ.ORACLE_SQL["win_neighbour"])
-for _name in ("win_greedy_cover", "srt_terms"):
-    _add(_name, TQ.txt_keywords, TQ.ORACLE_SQL["txt_keywords"])
+_add("txt_role_entries", TQ.win_neighbour, TQ.ORACLE_SQL["win_neighbour"])
+_add("win_greedy_cover", TQ.txt_keywords, TQ.ORACLE_SQL["txt_keywords"])
 _add("agg_proper_set", lambda s, d: TQ.agg_term_freq(s, d).filter("proper").select("item_id", "term"), f"SELECT item_id, term FROM ({TQ.ORACLE_SQL['agg_term_freq']}) WHERE proper")
-for _name in ("set_matched_missing", "agg_match_rate"):
-    _add(_name, TQ.join_wheres_term, TQ.ORACLE_SQL["join_wheres_term"])
-for _name in ("win_text_blocks", "win_blank_runs", "agg_fill_stats", "a_block_to_rows"):
-    _add(_name, TQ.doc_tables, TQ.ORACLE_SQL["doc_tables"])
 _add("win_pair_tokens", TQ.src_pdf_form, TQ.ORACLE_SQL["src_pdf_form"])
-_add("set_union_columns", TQ.a_fields_matrix, TQ.ORACLE_SQL["a_fields_matrix"])
-for _name in ("set_intersect_fonts", "set_diff_keys", "set_subset_classes"):
-    _add(_name, TQ.set_ops, TQ.ORACLE_SQL["set_ops"])
-_add("srt_type_count", TQ.agg_count_by_type, TQ.ORACLE_SQL["agg_count_by_type"])
 _add("doc_blockers", lambda s, d: D.triage(fixture(s, "id, valid, encrypted, xfa, form_fields, pages, images, est_chars", "(1, true, false, false, 0, 2, 2, 10.0), (2, true, true, false, 0, 1, 0, 900.0)")).select("id", F.array_join(F.array_compact(F.array(F.when(F.col("type").isin("SCANNED", "MIXED", "NO_TEXT_LAYER"), "ocr"), F.when(F.col("type") == "ENCRYPTED", "decryption"))), ",").alias("needs")), "SELECT * FROM (VALUES (1, 'ocr'), (2, 'decryption')) AS t(id, needs)")
 _add("flt_confusable_digits", lambda s, d: fixture(s, "id, c", "(1, '1O0'), (2, '100'), (3, 'l5'), (4, '12.50')").filter(F.regexp_like("c", F.lit("[0-9]")) & F.regexp_like("c", F.lit("[OoIlSB]"))).select("id"), "SELECT * FROM (VALUES (1), (3)) AS t(id)")
 _add("flt_required", lambda s, d: fixture(s, "id, name, mail", "(1, 'Jo', 'x@y'), (2, '', NULL), (3, NULL, 'z')").select("id", F.explode(F.array_compact(F.array(F.when(F.coalesce("name", F.lit("")) == "", "name"), F.when(F.coalesce("mail", F.lit("")) == "", "mail")))).alias("missing")), "SELECT * FROM (VALUES (2, 'name'), (2, 'mail'), (3, 'name')) AS t(id, missing)")

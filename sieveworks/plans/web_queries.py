@@ -130,8 +130,9 @@ def str_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Answers of all kinds.
-_RESPONSES = """(1, 200, 'server: nginx', '<html><body>all fine</body></html>'), (2, 403, 'cf-ray: 1', 'Access Denied'), (3, 503, 'server: cloudflare', 'Checking your browser challenge-platform'), (4, 200, 'x-datadome: protected', '<div class="g-recaptcha"></div> captcha-delivery.com'),
- (5, 429, '', 'slow down'), (6, CAST(NULL AS INT), '', CAST(NULL AS STRING)), (7, 301, 'location: /x', ''), (8, 404, 'cf-ray: 2', 'not here'), (9, 200, 'x-px-block: 1', 'recaptcha/api.js?render=abc'), (10, 401, '', 'sign in'), (11, 500, '', 'oops')"""
+_RESPONSES = """(1, 200, 'server: nginx', '<html><body>all fine</body></html>'), (2, 403, 'cf-ray: 1', 'Access Denied'), (3, 503, 'server: cloudflare', 'Checking your browser <script src="/cdn-cgi/challenge-platform/x.js">'), (4, 200, 'x-datadome: protected', '<div class="g-recaptcha"></div> captcha-delivery.com'),
+ (5, 429, '', 'slow down'), (6, CAST(NULL AS INT), '', CAST(NULL AS STRING)), (7, 301, 'location: /x', ''), (8, 404, 'cf-ray: 2', 'not here'), (9, 200, 'x-px-block: 1', 'recaptcha/api.js?render=abc'), (10, 401, '', 'sign in'), (11, 500, '', 'oops'),
+ (12, 200, concat_ws(chr(10), 'x-vercel-id: 1', 'set-cookie: __cf_bm=1'), 'fine'), (13, 200, concat_ws(chr(10), 'set-cookie: BIGipServerpool=1', 'x-served-by: c'), 'fine'), (14, 403, 'Set-Cookie: KP_UIDz=1', ''), (15, 200, 'x-amz-cf-id: 1', 'awswaf.com h-captcha')"""
 
 
 def _responses(spark: SparkSession) -> DataFrame:
@@ -184,15 +185,6 @@ def web_probe_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("host").agg(F.count(F.lit(1)).alias("samples"), ok.alias("ok_rate"), F.max("n").cast("long").alias("heaviest")).withColumn("access", F.when(F.col("ok_rate") == 1, "open").when(F.col("ok_rate") == 0, "blocked").otherwise("intermittent"))
 
 
-def agg_asset_extrapolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean weight of a host's first eight pages times its pages."""
-    from pyspark.sql import Window
-
-    p = table(spark, sf_dir, "pages").select(_host().alias("host"), "page_id", F.length("html").alias("n"))
-    p = p.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
-    return p.groupBy("host").agg((F.avg(F.when(F.col("k") <= 8, F.col("n"))) * F.count(F.lit(1))).alias("bytes"), F.count(F.lit(1)).alias("assets"))
-
-
 def web_probe_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What robots forbid is never looked at."""
     facts = R.robots_facts(fixture(spark, "id, robots", _ROBOTS), "/private/open/x").select(F.col("id").alias("k"), "allowed")
@@ -229,7 +221,11 @@ _MARK = " OR ".join(f"contains(lower(html), '{m}')" for m in W.EMBEDDED)
 _FRAME = " OR ".join(f"contains(lower(html), '{m}')" for m, _ in W.FRAMEWORKS)
 _VERDICT = f"CASE WHEN {_MARK} THEN 'embedded data' WHEN length({_VT}) < 800 AND ({_FRAME}) THEN 'client-rendered' WHEN length({_VT}) < 800 THEN 'thin' ELSE 'server-rendered' END"
 _HOSTQ = "regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)"
-QUERIES = {f.__name__: f for f in (web_render_verdict, str_visible_text, str_styling_strip, str_domain, j_embed_detect, web_meta, web_title, web_scripts, j_product, j_walk, j_find, agg_path_stability, j_events_walk, web_microdata, web_tables, a_table_to_dicts, web_js_state, web_selector_count, web_harvest, str_decode, web_access_block, web_vendor, web_captcha, web_tier, web_repair_class, web_robots, web_probe_site, agg_asset_extrapolate, web_probe_gate, agg_cardinality_assert, doc_source_precedence, join_positional_zip)}
+_ANSWERS = f"(SELECT *, lower(coalesce(body, '')) AS b, list_transform(string_split(lower(coalesce(headers, '')), chr(10)), lambda x: trim(x)) AS h FROM {fixture_sql('id, status, headers, body', _RESPONSES)})"
+_VENDOR_MARKS = ", ".join(f"('{v[0]}', '{place}', {active}, '{m}', '{v[6]}')" for v in W.VENDORS for place, active, marks in (("h", "false", v[1]), ("c", "false", v[2]), ("h", "true", v[3]), ("c", "true", v[4]), ("b", "true", v[5])) for m in marks)
+_EVIDENCE = f"(SELECT a.id, vendor, active, difficulty FROM {_ANSWERS} AS a JOIN (VALUES {_VENDOR_MARKS}) AS v(vendor, place, active, mark, difficulty) ON CASE place WHEN 'b' THEN contains(b, mark) WHEN 'h' THEN len(list_filter(h, lambda x: starts_with(x, mark))) > 0 ELSE len(list_filter(h, lambda x: starts_with(x, 'set-cookie: ' || mark))) > 0 END)"
+_CAPTCHA_LIST = "concat_ws(',', " + ", ".join("CASE WHEN (" + " OR ".join(f"contains(b, '{m}')" for m in marks) + ")" + "".join(f" AND NOT contains(b, '{m}')" for m in without) + f" THEN '{name}' END" for name, marks, without, _ in W.CAPTCHAS) + ")"
+QUERIES = {f.__name__: f for f in (web_render_verdict, str_visible_text, str_styling_strip, str_domain, j_embed_detect, web_meta, web_title, web_scripts, j_product, j_walk, j_find, agg_path_stability, j_events_walk, web_microdata, web_tables, a_table_to_dicts, web_js_state, web_selector_count, web_harvest, str_decode, web_access_block, web_vendor, web_captcha, web_tier, web_repair_class, web_robots, web_probe_site, web_probe_gate, agg_cardinality_assert, doc_source_precedence, join_positional_zip)}
 _LEAVES = "(VALUES ('.@context', '@context'), ('.@type', '@type'), ('.name', 'name'), ('.brand.name', 'name'), ('.offers[0].price', 'price'), ('.offers[0].priceCurrency', 'priceCurrency'), ('.size', 'size')) AS l(path, leaf)"
 ORACLE_SQL = {
     "web_render_verdict": f"SELECT host, verdict, count(*) AS pages, CAST(sum(n) AS BIGINT) AS visible FROM (SELECT {_HOSTQ} AS host, {_VERDICT} AS verdict, length({_VT}) AS n FROM pages) GROUP BY 1, 2",
@@ -252,15 +248,15 @@ ORACLE_SQL = {
     "web_selector_count": f"SELECT s AS selector, CASE WHEN w >= 0 THEN w * count(*) END AS hits FROM {_P4}, (VALUES ('div.card span.price', 1), ('#root .price', 1), ('div.card.x', 1), ('ul li', 0), ('div > span', -1)) AS v(s, w) GROUP BY s, w",
     "web_harvest": f"SELECT p_partkey AS page_id, 1::BIGINT AS jsonld, 2::BIGINT AS meta, 1::BIGINT AS feeds, 1::BIGINT AS tables, 1::BIGINT AS items FROM {_P4}",
     "str_decode": "SELECT * FROM (VALUES (1, 'a & b'), (2, '<p> é'), (3, 'plain'), (4, 'AB')) AS t(id, text)",
-    "web_access_block": f"""SELECT id, CASE WHEN status IN (401,403,407,429,503) OR {_PHRASE} THEN true WHEN status IS NULL THEN NULL ELSE false END AS looks_blocked, CASE WHEN status IN (401,403,407,429,503) OR {_PHRASE} OR (length(b) < 20000 AND contains(b, 'g-recaptcha') AND contains(b, 'captcha-delivery.com')) THEN true WHEN status IS NULL THEN NULL ELSE false END AS block_page,
-      CASE WHEN status IS NULL THEN 'unreachable' WHEN status IN (401,403,407) THEN 'blocked' WHEN status = 429 THEN 'rate_limited' WHEN {_PHRASE} THEN 'challenged' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status BETWEEN 300 AND 399 THEN 'redirect' ELSE 'http_' || status END AS class FROM (SELECT *, lower(coalesce(body, '')) AS b FROM {fixture_sql('id, status, headers, body', _RESPONSES)})""",
-    "web_vendor": "SELECT * FROM (VALUES (2, 'Cloudflare', false, NULL), (3, 'Cloudflare', true, 'high'), (4, 'DataDome', true, 'very high'), (8, 'Cloudflare', false, NULL), (9, 'PerimeterX', true, 'high')) AS t(id, vendor, engaged, difficulty)",
-    "web_captcha": "SELECT * FROM (VALUES (1, ''), (2, ''), (3, ''), (4, 'reCAPTCHA'), (5, ''), (6, ''), (7, ''), (8, ''), (9, 'reCAPTCHA v3'), (10, ''), (11, '')) AS t(id, captchas)",
-    "web_tier": "SELECT * FROM (VALUES (1, 'trivial'), (2, 'hard'), (3, 'hard'), (4, 'very hard'), (5, 'hard'), (6, 'trivial'), (7, 'trivial'), (8, 'trivial'), (9, 'hard'), (10, 'hard'), (11, 'trivial')) AS t(id, tier)",
+    "web_access_block": f"""SELECT id, CASE WHEN status IN (401,403,407,429,503) OR {_PHRASE} THEN true WHEN status IS NULL THEN NULL ELSE false END AS looks_blocked, CASE WHEN status IN (401,403,407,429,503) OR {_PHRASE} OR (length(b) < 20000 AND {_CAPTCHA_LIST} <> '' AND (SELECT count(*) FROM {_EVIDENCE} AS e WHERE e.id = a.id AND active AND contains(b, 'captcha-delivery.com') OR e.id = a.id AND contains(b, 'awswaf.com')) > 0) THEN true WHEN status IS NULL THEN NULL ELSE false END AS block_page,
+      CASE WHEN status IS NULL THEN 'unreachable' WHEN status IN (401,403,407) THEN 'blocked' WHEN status = 429 THEN 'rate_limited' WHEN {_PHRASE} THEN 'challenged' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status BETWEEN 300 AND 399 THEN 'redirect' ELSE 'http_' || status END AS class FROM {_ANSWERS} AS a""",
+    "web_vendor": f"SELECT id, vendor, bool_or(active) AS engaged, CASE WHEN bool_or(active) THEN any_value(difficulty) END AS difficulty FROM {_EVIDENCE} GROUP BY 1, 2",
+    "web_captcha": f"SELECT id, {_CAPTCHA_LIST} AS captchas FROM {_ANSWERS}",
+    "web_tier": f"""SELECT id, ['trivial', 'easy', 'moderate', 'hard', 'very hard'][1 + greatest(level, CASE WHEN regexp_matches(found, 'v2|hCaptcha|Turnstile|Arkose|GeeTest|DataDome') THEN 3 ELSE 0 END, CASE WHEN coalesce(refused, false) THEN 3 ELSE 0 END, CASE WHEN thin THEN 2 ELSE 0 END)] AS tier FROM (
+      SELECT r.id, coalesce(max(CASE WHEN active THEN CASE difficulty WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END END), 0) AS level, any_value({_CAPTCHA_LIST.replace('b,', 'r.b,')}) AS found, any_value(status IN (401,403,407,429,503) OR {_PHRASE.replace('(b,', '(r.b,')}) AS refused, any_value(({_FRAME.replace('lower(html)', 'r.b')}) AND NOT ({_MARK.replace('lower(html)', 'r.b')})) AS thin FROM {_ANSWERS} AS r LEFT JOIN {_EVIDENCE} AS e ON e.id = r.id GROUP BY 1)""",
     "web_repair_class": "SELECT * FROM (VALUES (1, 'transport'), (2, 'header-level filtering'), (3, 'blocked'), (4, 'routing changed'), (5, 'selectors stale'), (6, 'content moved into data'), (7, 'client-rendered'), (8, 'selectors stale'), (9, 'content moved into data'), (10, 'client-rendered'), (11, 'content changed or removed'), (12, 'target intact'), (13, 'no fault reproduced')) AS t(id, class)",
     "web_robots": "SELECT * FROM (VALUES (1, true, '/private/open', 2.5::DOUBLE, 'https://a.example/s.xml', ''), (2, true, NULL, NULL, '', 'ccbot,gptbot'), (3, true, '/private/open', NULL, '', ''), (4, true, NULL, NULL, '', ''), (5, false, '/private/open$', NULL, 'https://b.example/1,https://b.example/2', '')) AS t(id, allowed, matched_rule, crawl_delay, sitemaps, bans)",
     "web_probe_site": f"SELECT *, CASE WHEN ok_rate = 1 THEN 'open' WHEN ok_rate = 0 THEN 'blocked' ELSE 'intermittent' END AS access FROM (SELECT {_HOSTQ} AS host, count(*) AS samples, avg(CASE WHEN page_id % 7 = 0 THEN 0.0::DOUBLE ELSE 1.0 END) AS ok_rate, max(length(html)) AS heaviest FROM pages GROUP BY 1)",
-    "agg_asset_extrapolate": f"SELECT host, avg(n) FILTER (WHERE k <= 8) * count(*) AS bytes, count(*) AS assets FROM (SELECT {_HOSTQ} AS host, length(html) AS n, row_number() OVER (PARTITION BY {_HOSTQ} ORDER BY page_id) AS k FROM pages) GROUP BY 1",
     "web_probe_gate": f"SELECT page_id, CASE WHEN page_id % 5 + 1 = 5 THEN 'unknown' ELSE {_VERDICT} END AS tier FROM pages",
     "agg_cardinality_assert": f"SELECT {_HOSTQ} AS host, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) <> 5",
     "doc_source_precedence": f"SELECT p_partkey AS page_id, p_name AS name, CASE WHEN p_partkey % 8 = 0 THEN 'json-ld' ELSE 'open graph' END AS source FROM {_P4}",
