@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .basic import col
 
-#: Section keys and the headings that name them, first match wins.
+#: Section keys and the headings that name them (one key is a heading's plain word), first match wins.
 SECTIONS = (
     ("summary", r"(professional |executive |career )?(summary|profile)|about( me)?|objective"),
     ("experience", r"(work |professional |relevant )?experience|employment( history)?|work history|career history"),
@@ -93,7 +93,7 @@ def date_styles(text: Column) -> Column:
     return named.cast("int") + numeric.cast("int")
 
 
-def skill_tokens(section_lines: Column) -> Column:
+def tool_tokens(section_lines: Column) -> Column:
     """Terms of a list section: labels before a colon dropped, split at marks."""
     bare = F.transform(section_lines, lambda x: F.regexp_replace(x, r"^\s*(?:\S+\s+){0,3}\S+:\s*", ""))
     parts = F.flatten(F.transform(bare, lambda x: F.split(x, r"[,;|•]")))

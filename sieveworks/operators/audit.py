@@ -12,8 +12,8 @@ PASS_MARK = 90.0
 #: Check, group and points.
 CHECKS = (
     ("email", "contact", 5), ("phone", "contact", 4), ("location", "contact", 3), ("links", "contact", 4), ("experience section", "sections", 7), ("education section", "sections", 5), ("skills section", "sections", 4), ("standard headings", "sections", 2),
-    ("dated roles", "entries", 10), ("title and employer", "entries", 10), ("resolvable dates", "dates", 6), ("consistent dates", "dates", 4), ("bullets", "bullets", 4), ("standard glyph", "bullets", 3), ("active openers", "bullets", 5), ("skills list", "skills", 6),
-    ("no rating graphics", "skills", 2), ("acronyms paired", "skills", 2), ("file format", "file", 4), ("file name", "file", 2), ("no images", "file", 3), ("no personal details", "file", 3), ("no declaration", "file", 2),
+    ("dated roles", "entries", 10), ("title and employer", "entries", 10), ("resolvable dates", "dates", 6), ("consistent dates", "dates", 4), ("bullets", "bullets", 4), ("standard glyph", "bullets", 3), ("active openers", "bullets", 5), ("skills list", "tools", 6),
+    ("no rating graphics", "tools", 2), ("acronyms paired", "tools", 2), ("file format", "file", 4), ("file name", "file", 2), ("no images", "file", 3), ("no personal details", "file", 3), ("no declaration", "file", 2),
 )
 CREATIVE = r"(?i)^(?:my journey|where i.ve been|what i do|my toolbox|superpowers|the story so far)"
 PERSONAL = (r"(?i)\bdate of birth\b|\bdob\b", r"(?i)\bmarital status\b|\bmarried\b", r"(?i)\breligion\b|\bnationality\b")
@@ -39,7 +39,7 @@ def audit(resumes: DataFrame) -> DataFrame:
     r = r.withColumn("s", F.aggregate(named, start, step))
     bullets = T.bullets(c("lines"))
     r = r.withColumn("bullets", bullets).withColumn("exp", F.filter("s.experience", lambda x: ~F.array_contains(c("bullets"), x)))
-    r = r.withColumns({"dated": F.filter("exp", lambda x: F.regexp_like(x, F.lit(T.DATE_RANGE))), "roles": F.filter("exp", lambda x: F.regexp_like(x, F.lit(ROLE)) & ~F.regexp_like(x, F.lit(T.DATE_RANGE))), "skills": T.skill_tokens(c("s.skills")), "bad": F.array_distinct(F.regexp_extract_all("text", F.lit(f"({T.BAD_DATE})"), F.lit(1)))})
+    r = r.withColumns({"dated": F.filter("exp", lambda x: F.regexp_like(x, F.lit(T.DATE_RANGE))), "roles": F.filter("exp", lambda x: F.regexp_like(x, F.lit(ROLE)) & ~F.regexp_like(x, F.lit(T.DATE_RANGE))), "skills": T.tool_tokens(c("s.skills")), "bad": F.array_distinct(F.regexp_extract_all("text", F.lit(f"({T.BAD_DATE})"), F.lit(1)))})
     n_dated, n_roles = F.size("dated"), F.size("roles")
     titled = F.aggregate("dated", F.lit(0.0), lambda s, x: s + F.when(F.regexp_like(x, F.lit(ROLE)) & F.regexp_like(x, F.lit(r",|\||\bat\b")), 1.0).otherwise(0.5))
     any_date = F.regexp_like("text", F.lit(T.DATE_RANGE))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 import zlib
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from ..operators import documents as D
 from ..sources import readers as R
 from ..sources import sinks as S
-from .common import fixture, table
+from .common import fixture, fixture_sql, shared_folder, table
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sieveworks-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +89,7 @@ def src_api_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search_hits(f).select("id", "pos", "coin", "symbol", "rank")
 
 
-def src_skill_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixture(spark, "path, text", "('a', concat_ws(chr(10), '---', 'name: my-tool', 'title: \"a: b\"', 'bad: x: y', '  nested: z', '---', 'body: no')), ('b', 'no block')")
     return R.front_matter(f)
 
@@ -116,8 +115,92 @@ def snk_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split_failed(r)[1]
 
 
+_STREAMS = (b"BT /F1 12 Tf 1 0 Td (Jo Doe) Tj T* (Work \\(all\\)) Tj ET", b"BT /F1 9 Tf [(Experi) -20 (ence) -300 (2019)] TJ T* <4142> Tj ET")
+
+
+def _pdfs(spark: SparkSession) -> DataFrame:
+    part = lambda x: b"<</Length 9 /Filter /FlateDecode>> stream\n" + zlib.compress(x) + b"\nendstream\n"
+    rows = [("a.pdf", b"%PDF-1.4\n" + b"".join(map(part, _STREAMS))), ("b.pdf", b"%PDF-1.7 /Encrypt 3 0 R"), ("c.pdf", b"no")]
+    return spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
+
+
+def src_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.pdf_texts(_pdfs(spark))
+
+
+def src_pdf_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = R.pdf_texts(_pdfs(spark)).filter("text is not null").withColumn("text", F.translate("text", "\f", "\n"))
+    return D.sections(texts, "path", "text").select("pos", "line", "section")
+
+
+def str_content_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, _STREAMS[0]), (2, b"BT no font"), (3, bytes(range(200)) + b"BT Tf"), (4, b"")]
+    return spark.createDataFrame([(k, bytearray(b)) for k, b in rows], "id int, data binary").select("id", R.content_stream_flag("data").alias("text"))
+
+
+def str_measure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "part").select("p_partkey", F.encode(F.concat(F.lit("("), "p_name", F.lit("\\n)")), "utf-8").alias("token"), F.lit(False).alias("two"))
+    return f.select("p_partkey", R.measured_text("token", "two").alias("n"))
+
+
+def src_html_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved pages, a file a host."""
+    path = _place(spark, "saved")
+    host = F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)
+    table(spark, sf_dir, "pages").select(host.alias("host"), F.col("html").alias("value")).repartition("host").write.partitionBy("host").text(path)
+    return R.whole_texts(spark, path).select(F.regexp_extract("path", "host=([^/]*)", 1).alias("host"), F.length("text").cast("long").alias("chars"))
+
+
+def src_jd_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _place(spark, "plain")
+    table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("value")).repartition("n_regionkey").write.partitionBy("n_regionkey").text(path)
+    return R.whole_texts(spark, path).select(F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("int").alias("region"), (F.size(F.split("text", "\n")) - 1).cast("long").alias("lines"))
+
+
+def src_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _place(spark, "binary")
+    table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")).coalesce(1).sortWithinPartitions("value").write.text(f"{path}/X.BIN")
+    return R.folder(spark, path, ".TXT").select(F.md5("content").alias("md5"))
+
+
+def snk_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written and read again, and the plain twin."""
+    names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("text"))
+    made = S.docx_files(names.select(F.col("n_regionkey").cast("string").alias("path"), "text"))
+    read = R.docx_documents(made)
+    return read.join(made.select("path", "plain"), "path").select("path", F.array_join(F.col("paragraphs.text"), "\n").alias("text"), "plain", "error")
+
+
+def snk_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook of two small tables, written and opened again."""
+    data = S.workbook([("Regions", table(spark, sf_dir, "region").select("r_regionkey", "r_name")), ("Nations", table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))])
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = [x.get("name") for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")]
+        rows = [(n, sum(x.tag.endswith("}row") for x in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter())) for k, n in enumerate(names, 1)]
+    return spark.createDataFrame(rows, "sheet string, rows long")
+
+
+def doc_workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fixture(spark, "file, fields, tables, error", "('a', map('x', '1', 'y', '2'), array(array(array('h', 'k'), array('3', '4'))), CAST(NULL AS STRING)), ('b', map('z', '5'), CAST(array() AS ARRAY<ARRAY<ARRAY<STRING>>>), NULL), ('c', NULL, NULL, 'no text')")
+    return D.workbook_sheets(f).select("sheet", "place", F.array_join("cells", "|").alias("cells"))
+
+
+def lint_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fixture(spark, "path, text", "('x/my-tool/A.md', concat_ws(chr(10), '---', 'name: my-tool', 'description: does it', '---')), ('x/other/A.md', concat_ws(chr(10), '---', 'name: My_Tool', 'extra: 1', 'license: a: b', '---'))")
+    return D.lint(R.front_matter(f))
+
+
+_EXAMPLE = "(1, 'seats', 4, CAST(12.5 AS DOUBLE)), (2, 'storage', 100, CAST(0.25 AS DOUBLE)), (3, 'support', 1, CAST(90 AS DOUBLE))"
+
+
+def src_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in example input."""
+    return fixture(spark, "id, item, quantity, price", _EXAMPLE)
+
+
 _REGION = "SELECT r_regionkey, r_name FROM region"
-QUERIES = {f.__name__: f for f in (src_csv, src_json_doc, src_text_file, src_folder, src_docx, src_pdf_triage, src_negotiate, src_api_coin, src_api_search, src_skill_md, doc_dispatch, snk_json, snk_csv_per_table, snk_failed)}
+QUERIES = {f.__name__: f for f in (src_csv, src_json_doc, src_text_file, src_folder, src_docx, src_pdf_triage, src_negotiate, src_api_coin, src_api_search, doc_dispatch, snk_json, snk_csv_per_table, snk_failed, src_pdf_text, src_pdf_resume, str_content_stream, str_measure_text, src_html_file, src_jd_text, src_binary, snk_docx, snk_xlsx, doc_workbook_sheets, lint_repo, src_example)}
+QUERIES["src_skill_md"] = src_front_matter  # the inventory's name of the step
 ORACLE_SQL = {
     "src_csv": "SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code, 'a \"b\", ' || p_name AS name FROM part",
     "src_json_doc": "SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS s_phone FROM supplier",
@@ -133,4 +216,16 @@ ORACLE_SQL = {
     "snk_json": "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS value FROM region",
     "snk_csv_per_table": "SELECT 'file_' || n_regionkey AS source_file, n_nationkey % 2 AS table_idx, count(*) AS n FROM nation GROUP BY 1, 2",
     "snk_failed": "SELECT url AS file, 'TEXT' AS type, 'no text' AS reason FROM pages WHERE page_id % 9 = 0",
+    "src_pdf_text": "SELECT * FROM (VALUES ('a.pdf', 'Jo Doe' || chr(10) || 'Work (all)' || chr(12) || 'Experience 2019' || chr(10) || 'AB'), ('b.pdf', NULL), ('c.pdf', NULL)) AS t(path, text)",
+    "src_pdf_resume": "SELECT * FROM (VALUES (0, 'Jo Doe', 'header'), (1, 'Work (all)', 'header'), (2, 'Experience 2019', 'header'), (3, 'AB', 'other')) AS t(pos, line, section)",
+    "str_content_stream": "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) AS t(id, text)",
+    "str_measure_text": "SELECT p_partkey, (length(p_name) + 1)::INT AS n FROM part",
+    "src_html_file": "SELECT regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS host, (sum(length(html)) + count(*))::BIGINT AS chars FROM pages GROUP BY 1",
+    "src_jd_text": "SELECT n_regionkey AS region, count(*) AS lines FROM nation GROUP BY 1",
+    "src_binary": "SELECT md5(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS md5 FROM nation",
+    "snk_docx": "SELECT CAST(n_regionkey AS VARCHAR) AS path, string_agg(n_name, chr(10) ORDER BY n_name) AS text, string_agg(n_name, chr(10) ORDER BY n_name) AS plain, NULL AS error FROM nation GROUP BY 1",
+    "snk_xlsx": "SELECT 'Regions' AS sheet, count(*) + 1 AS rows FROM region UNION ALL SELECT 'Nations', count(*) + 1 FROM nation",
+    "doc_workbook_sheets": "SELECT * FROM (VALUES ('Fields', 0, 'file|x|y|z'), ('Fields', 1, 'a|1|2|'), ('Fields', 2, 'b|||5'), ('a 1', 0, 'h|k'), ('a 1', 1, '3|4'), ('Failed', 1, 'c|no text')) AS t(sheet, place, cells)",
+    "lint_repo": "SELECT * FROM (VALUES ('x/other/A.md', 'missing description'), ('x/other/A.md', 'unknown extra'), ('x/other/A.md', 'unreadable license'), ('x/other/A.md', 'name is not kebab case'), ('x/other/A.md', 'name is not its folder''s')) AS t(path, problem)",
+    "src_example": f"SELECT * FROM {fixture_sql('id, item, quantity, price', _EXAMPLE)}",
 }

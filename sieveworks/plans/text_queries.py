@@ -100,9 +100,9 @@ def str_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resumes(spark).select("id", F.size(b).cast("long").alias("bullets"), F.size(F.filter(b, lambda x: F.regexp_like(F.regexp_replace(x, "^[^A-Za-z]+", ""), F.lit(T.WEAK_OPENER)))).cast("long").alias("weak"), F.array_join(T.placeholders(F.col("text")), "|").alias("placeholders"), F.array_join(T.acronyms(F.col("text")), ",").alias("acronyms"))
 
 
-def str_skill_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def str_tool_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixture(spark, "id, l", "(1, array('Core tools: Spark, SQL; R', 'Git | dbt')), (2, array('a, bb'))")
-    return f.select("id", F.array_join(T.skill_tokens(F.col("l")), "/").alias("tokens"))
+    return f.select("id", F.array_join(T.tool_tokens(F.col("l")), "/").alias("tokens"))
 
 
 def str_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,11 +208,12 @@ def agg_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = r"(SELECT item_id, s, g, regexp_extract_all(s, '([A-Za-z][A-Za-z0-9+#.\-]*)', 1) AS w FROM (SELECT item_id, unnest(string_split_regex(text, '[.;:,\n()\[\]/|•]+')) AS s, generate_subscripts(string_split_regex(text, '[.;:,\n()\[\]/|•]+'), 1) AS g FROM benchmark))"
 _STOPS = ", ".join(f"'{x}'" for x in D.STOPWORDS + D.BOILERPLATE)
 _WORDS = f"(SELECT item_id, g, i, x, lower(x) NOT IN ({_STOPS}) AND length(x) >= 2 AS ok, i > 1 AND regexp_matches(x, '^[A-Z]|^.+[A-Z]') AS proper FROM (SELECT item_id, g, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM {_W}))"
-QUERIES = {f.__name__: f for f in (str_norm, str_clean, doc_lines, agg_term_freq, txt_keywords, txt_audit, agg_score_pct, chk_report, txt_sections, win_neighbour, str_is_heading, flt_regex_presence, flt_digits_min, flt_word_boundary, join_wheres_term, str_dates, str_bullets, str_skill_tokens, str_names, str_safe_sheet, a_number_typing, a_neg_numbers, str_pdf_len, str_encoding_checks, doc_tables, doc_triage, doc_batch_account, doc_route, src_pdf_form, a_fields_matrix, src_page_range, agg_count_by_type, agg_latency_trial, set_ops, agg_dup_names, agg_reconcile)}
+QUERIES = {f.__name__: f for f in (str_norm, str_clean, doc_lines, agg_term_freq, txt_keywords, txt_audit, agg_score_pct, chk_report, txt_sections, win_neighbour, str_is_heading, flt_regex_presence, flt_digits_min, flt_word_boundary, join_wheres_term, str_dates, str_bullets, str_names, str_safe_sheet, a_number_typing, a_neg_numbers, str_pdf_len, str_encoding_checks, doc_tables, doc_triage, doc_batch_account, doc_route, src_pdf_form, a_fields_matrix, src_page_range, agg_count_by_type, agg_latency_trial, set_ops, agg_dup_names, agg_reconcile)}
 _UNI = r"[ \t\n\x0B\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _HAS = r"regexp_matches(text, '(^|[^\pL\pN\pM_])license([^\pL\pN\pM_]|$)')"
 _TERMS = [("the", "the"), ("der", "der"), ("license", "license"), ("absent-term", "absent-term")]
 _HIT = {t: rf"regexp_matches(text, '(^|[^\pL\pN\pM_]){t}([^\pL\pN\pM_]|$)')" for t, _ in _TERMS}
+QUERIES["str_skill_tokens"] = str_tool_tokens  # the inventory's name of the step
 ORACLE_SQL = {
     "str_norm": f"SELECT conv_id, turn, md5(n) AS md5, length(n) AS n FROM (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '{_UNI}', ' ', 'g')) AS n FROM conversations)",
     "str_clean": "SELECT * FROM (VALUES (1, '\"a\" - ''b'''), (2, 'fine...'), (3, 'plain')) AS t(id, text)",
@@ -222,7 +223,7 @@ ORACLE_SQL = {
     "txt_keywords": "SELECT * FROM (VALUES (1, 1, 'spark'), (1, 2, 'apache'), (1, 3, 'kafka'), (1, 4, 'python'), (1, 5, 'need apache'), (1, 6, 'data'), (1, 7, 'pipelines'), (1, 8, 'need'), (2, 1, 'python'), (2, 2, 'sql')) AS t(id, place, term)",
     "txt_sections": "SELECT * FROM (VALUES (0, 'header', false), (1, 'header', false), (2, 'summary', true), (3, 'summary', false), (4, 'experience', true), (5, 'experience', false), (6, 'experience', false), (7, 'experience', false), (8, 'experience', false), (9, 'experience', false), (10, 'education', true), (11, 'education', false), (12, 'skills', true), (13, 'skills', false), (14, 'skills', false)) AS t(pos, section, is_heading)",
     "win_neighbour": "SELECT * FROM (VALUES (4, false), (5, true), (6, false), (7, false), (8, true), (9, false)) AS t(pos, dated)",
-    "chk_report": "SELECT * FROM (VALUES ('contact', 48.0::DOUBLE, 12), ('sections', 54.0, 12), ('entries', 60.0, 6), ('dates', 30.0, 6), ('bullets', 36.0, 9), ('skills', 30.0, 9), ('file', 42.0, 15)) AS t(grp, possible, rows)",
+    "chk_report": "SELECT * FROM (VALUES ('contact', 48.0::DOUBLE, 12), ('sections', 54.0, 12), ('entries', 60.0, 6), ('dates', 30.0, 6), ('bullets', 36.0, 9), ('tools', 30.0, 9), ('file', 42.0, 15)) AS t(grp, possible, rows)",
     "str_is_heading": "SELECT * FROM (VALUES (1, true, 'experience'), (2, true, 'skills'), (3, false, NULL), (4, false, NULL), (5, false, NULL), (6, false, NULL), (7, false, NULL), (8, true, 'education'), (9, false, NULL)) AS t(id, heading, key)",
     "flt_regex_presence": rf"SELECT doc_id, regexp_matches(text, '{T.EMAIL}') AS email, len(regexp_extract_all(text, '{T.EMAIL}')) AS emails, regexp_matches(text, '{T.PLACEHOLDER.replace(chr(39), chr(39) * 2)}') AS placeholder FROM documents",
     "flt_digits_min": rf"SELECT doc_id, len(list_filter(regexp_extract_all(text, '{T.PHONE}'), lambda x: length(regexp_replace(x, '\D', '', 'g')) >= 8)) AS phones FROM documents",
