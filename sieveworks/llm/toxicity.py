@@ -63,7 +63,8 @@ class FactorizationMachine:
 
     def fit(self, n: int, index: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
         rng = np.random.default_rng(self.seed)
-        share = min(max(labels.mean() if len(labels) else 0.0, 1e-3), 1 - 1e-3)
+        # The start of the bias stays below one half: without a term nothing speaks against a text.
+        share = min(max(labels.mean() if len(labels) else 0.0, 1e-3), 0.49)
         self.b = float(np.log(share / (1 - share)))
         self.w = np.zeros(n)
         self.v = rng.normal(0, 0.02, (n, self.factors))
@@ -153,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, terms: int =
     rows and a chi-square of ``min_chi2``, so that chance alone rarely selects one (one in 600 at 10);
     rarer toxic terms than that are not learned. Labels other than 0 and 1
     are ignored; of repeated labels the larger holds. Without labelled rows, or with one label only,
-    the model scores every text alike, below one half unless all labels are 1.
+    the model can't tell texts apart and scores all alike, below one half.
     """
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~doc_held_out())
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, terms: int =
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n_toxic")).first()
     n, bad = int(total["n"]), int(total["n_toxic"])
     if not n or bad in (0, n):
-        return ToxicityModel({}, FactorizationMachine(epochs=0).fit(0, np.array([], dtype=np.int64), np.zeros(n + 1, dtype=np.int64), np.full(n, float(bad > 0))))
+        return ToxicityModel({}, FactorizationMachine(epochs=0).fit(0, np.array([], dtype=np.int64), np.zeros(n + 1, dtype=np.int64), np.zeros(n)))
     a, c = F.col("n_toxic"), F.col("n")
     gap = a.cast("double") * (n - bad) - (c - a).cast("double") * bad
     chi2 = gap * gap * n / (c.cast("double") * (n - c + 1e-9) * bad * (n - bad))
