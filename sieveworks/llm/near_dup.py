@@ -5,7 +5,7 @@ smallest. One hash function serves all. Documents with equal sets are one class,
 before anything is compared. Then, over classes:
 
 1. Inverted lists. Two sets with Jaccard similarity 0.75 share at least ``shared`` retained values but
-   for a chance below 1e-7, so they meet in one of the first k - shared + 1 values of either sketch, in
+   for a chance of 2.4e-7, so they meet in one of the first k - shared + 1 values of either sketch, in
    any order that all sketches use. The order is from rare to frequent, so values of common passages
    come last and their long lists are seldom entered.
 2. Round one links each class with the most central one of each of its lists. These pairs grow with the
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stage
+from .store import Stages, stage
 from .words import hashed_words, mix64, windows
 
 _K, _SHARED, _WORDS = 32, 11, 5
@@ -72,10 +72,10 @@ def _needed(n: Column) -> Column:
     return F.when(n * 4 <= _K * 3, F.ceil(n * 0.75)).otherwise(F.lit(_SHARED)).cast("int")
 
 
-def entries_of(reps: DataFrame) -> DataFrame:
+def entries_of(reps: DataFrame, work: Stages) -> DataFrame:
     """value, rep, n, weight: the entries of classes in inverted lists of two or more."""
     values = reps.select("rep", "n", F.explode("sketch").alias("value"))
-    often = stage(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "sketch-values")
+    often = work(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "sketch-values")
     met = values.join(often, "value")
     # A class has at most k values. Values that no other class retains only take up places.
     lists = met.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
@@ -83,7 +83,7 @@ def entries_of(reps: DataFrame) -> DataFrame:
     weight = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["df"])
     lists = lists.select("rep", "n", weight.alias("weight"), F.when(places > 0, F.slice("v", F.lit(1), places.cast("int"))).alias("v"))
     found = lists.select("rep", "n", "weight", F.explode("v.value").alias("value"))
-    return stage(found, "entries")
+    return work(found, "entries")
 
 
 def _alike(n: Column, m: Column) -> Column:
@@ -115,10 +115,10 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(linked, columns=["a", "b"]).astype("int64")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, work: Stages, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The pairs whose full sets have the similarity, from whole texts. The pair list is broadcast up to
     ``broadcast_rows`` pairs, so that only texts of its documents are shuffled; beyond, all joins shuffle."""
-    pairs = stage(pairs, "pairs")
+    pairs = work(pairs, "pairs")
     few = pairs.count() <= broadcast_rows
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
     members = pairs if not few else F.broadcast(pairs)
@@ -126,7 +126,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, broadcast_rows: int = 1_000_000
     right = texts.join(members, F.col("d") == F.col("b")).select("a", "b", F.col("text").alias("tb"))
     left = texts.join(F.broadcast(leaders) if few else leaders, F.col("d") == F.col("l")).select("l", F.col("text").alias("ta"))
     met = right.join(left.hint("merge"), F.col("a") == F.col("l")).select("a", "b", "ta", "tb")
-    return stage(met.mapInPandas(_confirm, "a long, b long").distinct(), "confirmed")
+    return work(met.mapInPandas(_confirm, "a long, b long").distinct(), "confirmed")
 
 
 def _forest(reps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
@@ -208,37 +208,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept.
 
     Links are pairs with 100 * |intersection| >= 75 * |union| of the shingle sets. Null, empty and
-    blank texts have an empty set and link with nothing. Rows that repeat a doc_id give a row each and
+    blank texts have an empty set and link with nothing. Very long texts are read whole. Of equal sets the
+    smallest doc_id stands for all. Rows that repeat a doc_id give a row each and
     share one node. Rows with a null doc_id are left out. An empty table gives an empty result. Only
     doc_id and text are read.
     """
+    work = Stages(docs.sparkSession)
     found = stage(profiles(docs), "profiles")
     some = found.filter("n_shingles > 0")
-    classes = stage(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
+    classes = work(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
     reps = classes.select("rep", "n", "sketch")
-    entries = entries_of(reps)
+    entries = entries_of(reps, work)
 
     heads = entries.groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    heads = stage(heads.select("value", (-F.col("head.rep")).alias("a"), "m"), "heads")
+    heads = work(heads.select("value", (-F.col("head.rep")).alias("a"), "m"), "heads")
     first = entries.join(heads, "value").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    links = confirmed(estimated(first, reps), docs)
-    comp = stage(components(links), "components")
+    links = confirmed(estimated(first, reps), docs, work)
+    comp = work(components(links), "components")
 
-    labelled = stage(entries.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("value", "rep", "comp"), "labelled")
+    labelled = work(entries.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("value", "rep", "comp"), "labelled")
     sizes = labelled.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
     lists = sizes.groupBy("value").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("main")).filter("comps > 1")
-    lists = stage(lists.select("value", "m", F.col("main.comp").alias("main"), F.col("main.c").alias("m_main")), "open-lists")
+    lists = work(lists.select("value", "m", F.col("main.comp").alias("main"), F.col("main.c").alias("m_main")), "open-lists")
     short = labelled.join(lists.filter(F.col("m") <= _SHORT_LIST).select("value"), "value")
     pairs = short.select("value", F.col("rep").alias("a"), F.col("comp").alias("ca")).join(short.select("value", F.col("rep").alias("b"), F.col("comp").alias("cb")), "value")
     pairs = pairs.filter("a < b and ca <> cb").select("a", "b").distinct()
-    more = confirmed(estimated(pairs, reps), docs)
+    more = confirmed(estimated(pairs, reps), docs, work)
     if lists.filter(F.col("m") > _SHORT_LIST).limit(1).count():
-        more = more.unionByName(stage(_long_lists(labelled, lists, docs), "block-links"))
+        more = more.unionByName(work(_long_lists(labelled, lists, docs), "block-links"))
     if more.limit(1).count():
         # Links of round one are stood for by their stars.
-        comp = stage(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+        comp = work(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
     labels = stage(classes.select("fp", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "labels")
+    work.drop()
     out = found.select("doc_id", "n_shingles", "fp").join(labels, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))

@@ -16,9 +16,12 @@ _BATCH_KEY, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. Only where the session names none (tests) is a local one made."""
+    """The shared folder. Only where all run in one process (tests) and the session names none is a local one
+    made; on a cluster without that setting this is an error."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {_KEY} to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sieveworks-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
@@ -53,6 +56,22 @@ def stage(df: DataFrame, name: str, batch_rows: int = _BATCH_ROWS) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Stages that nothing reads any more once the caller is done, and drops them then."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(write_table(df, name))
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths.clear()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table of this module once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
