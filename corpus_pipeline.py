@@ -15,27 +15,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine rejects go."""
+    """Documents that the factorization machine rejects go. Null and empty texts have no term and stay; without
+    labelled rows all stay; rows with a null doc_id, repeated rows and very long texts are judged each by
+    its whole text. An empty table stays empty, other columns pass through."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that with the smallest doc_id. Null, empty and blank
+    texts are in no group and stay, as do rows with a null doc_id and rows that repeat a kept doc_id."""
     return near_dup.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go. Null and empty texts hold none; rows with a null doc_id
+    stay; an empty benchmark lets all pass."""
     return decontam.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Texts without words have nothing to take and go; a null source is
+    a source, a null doc_id a doc_id; repeated rows are taken as rows of their own."""
     return mixing.apply_mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in the content-addressed store, read back."""
+    """Token ids in the content-addressed store, verified and read back: a row a document, in the order of doc_id,
+    nulls first and repeated ones next to each other."""
     path = token_store.write_store(docs.select("doc_id", "text"), token_store.vocabulary(), end_id=2)
     return token_store.crc_of_ids(token_store.read_store(spark, path))
 

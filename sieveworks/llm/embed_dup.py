@@ -191,7 +191,7 @@ def _compare(threshold: float, kind: str):
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, tile: int = _TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Vectors that are null, zero or hold null or non-finite components, and vectors of other lengths, link
+    Of equal vectors the smallest vec_id stands for all. Vectors that are null, zero or hold null or non-finite components, and vectors of other lengths, link
     with nothing. Rows that repeat a vec_id are vectors of their own in counts and one node in
     components. Rows with a null vec_id are left out. An empty table gives an empty result. Columns
     other than vec_id and embedding are not read.

@@ -95,7 +95,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: arrays of struct<start, kind, end> (kind as a place in KINDS) in order of
     start, then kind. base holds the patterns' spans, spans also those found by entropy.
 
-    A null text is empty and has no spans. Each row is scanned on its own, so ties, repeated rows and rows
+    A null text is empty and has no spans; a very long one is scanned whole. An empty table gives an empty
+    result. Each row is scanned on its own, so ties, repeated rows and rows
     with a null doc_id give their own results. Only doc_id and text are read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -32,7 +32,7 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .store import drop_path, new_path, write_parquet, write_table
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 250_000  # twice: those in use, and the last ones before
 _WINDOW, _MIN, _MAX, _MASK = 16, 64, 2048, 0xFF
 _DIGEST = 16
 
@@ -68,6 +68,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if size <= 65536 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
         # Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -124,18 +125,23 @@ class Encoder:
         ends = [*(heads[1:] * w).tolist(), len(data)]
         return [data[a:b] for a, b in zip((heads * w).tolist(), ends)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: Iterable[str]) -> None:
         """Adds pieces that follow a space."""
         known = self.pieces
-        cores = [p.rstrip(string.punctuation) for p in pieces]
-        new = [c for c in set(cores).difference(known) if c.isalpha()]
-        if new:
+        plain, others = set(), []
+        for piece in pieces:
+            (plain.add if piece.isalpha() else others.append)(piece)
+        cores = [p.rstrip(string.punctuation) for p in others]
+        plain.update(c for c in cores if c not in known and c.isalpha())
+        if plain:
+            new = list(plain)
             known.update(zip(new, self._spaced(new)))
         rest = []
-        for piece, core in zip(pieces, cores):
-            if len(core) == len(piece) and core in known:
+        for piece, core in zip(others, cores):
+            if core.isalpha():
+                known[piece] = known[core] + self._pretoken(piece[len(core) :])
                 continue
-            ids = known[core] + self._pretoken(piece[len(core) :]) if core.isalpha() else self._lines(" ", piece) if "\n" in piece else None
+            ids = self._lines(" ", piece) if "\n" in piece else None
             if ids is None:
                 rest.append(piece)
             else:
@@ -153,7 +159,7 @@ class Encoder:
         if not self.parted:
             return self._whole(list(texts))
         if len(self.pieces) > _CACHE_PIECES:
-            self.pieces.clear()
+            self.older, self.pieces = self.pieces, {}
             self.pretokens.clear()
         rows = [text.split(" ") for text in texts]
         new = set().union(*rows).difference(self.pieces)
@@ -165,7 +171,9 @@ class Encoder:
             new = set().union(*rows).difference(self.pieces)
         heads = {parts[0] for parts in rows}
         first = self._heads(list(heads))
-        self._learn([p for p in new if p and not p[0].isspace()])
+        again = new.intersection(self.older)
+        self.pieces.update(zip(again, map(self.older.__getitem__, again)))
+        self._learn(p for p in new.difference(again) if p and not p[0].isspace())
         get, out = self.pieces.__getitem__, []
         for parts in rows:
             head = first[parts[0]]

@@ -176,6 +176,22 @@ def test_embeddings_are_brute_force(spark):
     assert embed_dup.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_repeated_and_missing_vector_ids(spark):
+    a, b = [1.0, 2.0, 3.0, 4.0], [-4.0, 3.0, -2.0, 1.0]
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, a), (3, None), (3, [0.0] * 4)]
+    frame = spark.createDataFrame([(k, [float(np.float32(c)) for c in v] if v else None) for k, v in rows], "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dup.near_duplicates(frame).collect())
+    # Rows of one vec_id are vectors of their own in counts, and one node in components.
+    assert [x[:2] for x in got] == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 0), (3, 0)]
+    assert all(x[2] == 1 for x in got[:4]) and all(x[2] == 3 for x in got[4:])
+
+
+def test_a_very_long_text_has_its_copy(spark):
+    long = " ".join(f"v{k}" for k in range(200_000))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, [(4, long), (2, long + " end"), (3, "y" * 1_000_000)])).collect()}
+    assert got == {4: (199_996, 2), 2: (199_997, 2), 3: (1, 3)}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(4)
     a = rng.normal(size=(200, 48)) * rng.lognormal(size=(200, 1))

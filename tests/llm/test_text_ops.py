@@ -230,6 +230,81 @@ def test_decontamination_is_brute_force_on_plain_words(spark):
     assert got == want
 
 
+def marked_tokens(text):
+    """Tokens as (kind, value), by another regular expression engine: n, u and v are slots, w are words."""
+    import regex
+
+    units = "|".join(sorted(decontam.UNITS, key=len, reverse=True))
+    one = regex.compile(rf"(?P<n>(?<![\p{{L}}\p{{N}}])[$€£]?\d+(?:[.,:/]\d+)*%?)(?:\x20?(?P<u>(?i:{units}))(?![\p{{L}}\p{{N}}]))?|(?P<v>(?<![\p{{L}}\p{{N}}])\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}]))|(?P<w>[\p{{L}}\p{{N}}]+)")
+    return [(kind, m[kind].lower()) for m in one.finditer(text) for kind in "nuvw" if m[kind]]
+
+
+def brute_contaminated(docs, items, length=8, min_words=4):
+    def keys(tokens, n):
+        out = []
+        for k in range(len(tokens) - n + 1):
+            w = tokens[k : k + n]
+            slots = sum(kind != "w" for kind, _ in w)
+            out.append(("values", *w) if slots > n - min(min_words, n) else tuple(t if t[0] == "w" else t[0] for t in w))
+        return out
+
+    found = set()
+    for d, text in docs:
+        dw = marked_tokens(text)
+        for i, item in items:
+            both = [marked_tokens(item), marked_tokens(item.lower())]
+            n = min(length, len(both[0]))
+            places = defaultdict(list)
+            for k, key in enumerate(keys(dw, n)):
+                places[key].append(k)
+            first = {}
+            for low, tokens in enumerate(both):
+                for k, key in enumerate(keys(tokens, n)):
+                    if key not in first or (low, k) < first[key]:
+                        first[key] = (low, k)
+            n_item = sum(low == 0 for low, _ in first.values())
+            need = max(1, min(math.ceil(n_item * 0.5), 6))
+            met = [(k - at, at, k, low) for key, (low, at) in first.items() for k in places[key]]
+            if len({m[1] for m in met}) < need:
+                continue
+            groups, run, last = defaultdict(list), 0, None
+            for m in sorted(met):
+                run += last is not None and (m[0] - last) * 2 > n_item + n
+                last = m[0]
+                for g in (("all",), ("run", run), ("at", m[0])):
+                    groups[g].append(m)
+            for group in groups.values():
+                pairs = {(both[low][at + j], dw[k + j]) for _, at, k, low in group for j in range(n) if both[low][at + j][0] != "w"}
+                if len({m[1] for m in group}) >= need and len(pairs) == len({b for b, _ in pairs}) == len({x for _, x in pairs}):
+                    found.add((d, i))
+    return found
+
+
+def test_decontamination_is_brute_force_on_slots(spark):
+    rng = random.Random(18)
+    names, units, words = ["Ann", "Bob", "Cleo", "Dan"], ["km", "kg", "dollars", "hours"], ["runs", "buys", "and", "then", "for", "with", "apples", "takes", "sees", "at"]
+
+    def sentence(n):
+        return " ".join(rng.choice([rng.choice(names), f"{rng.randrange(2, 30)} {rng.choice(units)}", str(rng.randrange(2, 30)), *rng.choices(words, k=4)]) for _ in range(n))
+
+    def varied(text):
+        other = {}
+        return re.sub(r"\b\d+\b|\b[A-Z][a-z]+\b", lambda m: other.setdefault(m[0], str(rng.randrange(30, 99)) if m[0].isdigit() else rng.choice(["Eve", "Fay", "Gus"])), text)
+
+    items = [(k, sentence(rng.choice([1, 2, 3, 6, 12, 20]))) for k in range(16)]
+    docs = []
+    for k in range(90):
+        own = sentence(rng.randrange(0, 25))
+        for _ in range(k % 3):
+            text = rng.choice(items)[1]
+            own += " " + rng.choice([str, varied, str.lower, lambda t: " ".join(t.split()[: rng.randrange(1, 30)])])(text) + ". " + sentence(3)
+        docs.append((k, own))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, docs), bench).collect()}
+    want = brute_contaminated(docs, items)
+    assert got == want and len(want) > 40
+
+
 # Tokens
 
 VOCABULARY = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -471,6 +546,49 @@ def test_ordinal_grades(spark):
     assert quality.score(docs.limit(0), model).collect() == [] and len(quality.train(docs, labels.limit(0)).thresholds) == 1
 
 
+def test_ordinal_probabilities_and_fit():
+    """Probabilities against the definition, and the fit climbs the likelihood with thresholds in order."""
+    model = quality.OrdinalModel(np.zeros(4), np.array([-1.0, 0.5, 2.0]))
+    scores = np.array([-2.0, 0.0, 3.0])
+    below = lambda k, s: 1 / (1 + math.exp(-(model.thresholds[k] - s)))
+    for s, p in zip(scores, model.probabilities(scores)):
+        assert np.allclose(p, [below(0, s), below(1, s) - below(0, s), below(2, s) - below(1, s), 1 - below(2, s)])
+    rng = np.random.default_rng(4)
+    rows = [(np.array([k % 5, 7]), np.array([1.0, 0.5])) for k in range(200)]
+    grades = np.array([min(2, k % 5 // 2) for k in range(200)])
+    order = rng.permutation(200)
+    likelihood = lambda m: float(np.mean([np.log(m.probabilities(np.array([m.weights[i] @ v]))[0, g]) for (i, v), g in zip(rows, grades)]))
+    fits = [quality.fit([rows[k] for k in order], grades[order], 3, epochs=e) for e in (0, 1, 5, 40)]
+    values = [likelihood(m) for m in fits]
+    assert values == sorted(values) and values[-1] > -0.6 and (np.diff(fits[-1].thresholds) > 0).all()
+
+
+def test_factorization_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(6)
+    machine = toxicity.FactorizationMachine(factors=3)
+    machine.b, machine.w, machine.v = 0.3, rng.normal(size=6), rng.normal(size=(6, 3))
+    rows = [[0, 2, 5], [], [1], [0, 1, 2, 3, 4, 5]]
+    index, bounds = np.concatenate([np.array(r, dtype=np.int64) for r in rows]), np.cumsum([0] + [len(r) for r in rows])
+    for row, p in zip(rows, machine.predict(index, bounds)):
+        z = machine.b + sum(machine.w[i] for i in row) + sum(machine.v[i] @ machine.v[j] for i in row for j in row if i < j)
+        assert abs(p - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_of_held_out_rows_of_the_test_tables(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.filter("toxic is not null").collect()}
+    model = toxicity.train(docs, labels)
+    seen = toxicity.score(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).collect()
+    held = [r for r in seen if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.doc_id in truth]
+    clean = [r for r in held if not truth[r.doc_id]]
+    toxic = [r for r in held if truth[r.doc_id]]
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    # One labelled toxic row in twenty holds no word that toxic rows hold more often than others.
+    assert sum(r.predicted for r in toxic) >= (0.6 if sf == "sf0.01" else 0.85) * len(toxic)
+    assert toxicity.score(frame(spark, [(1, ""), (2, None)]), model).filter("score >= 0.5").count() == 0
+
+
 # Pipeline
 
 
@@ -494,3 +612,36 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert len(tables[0] & toxic) <= 0.05 * len(toxic) and len(tables[0] - toxic) >= 0.98 * (504 - len(toxic))
     assert at.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and at.selectExpr("max(start + n_tokens) - sum(n_tokens)").first()[0] == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "decontamination", "mixing", "token-store"]
+
+
+def test_pipeline_takes_rows_of_every_kind(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"word{k}" for k in range(60_000))
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \n ", None, None), (None, "no id stands here at all", "en", "b"), (4, long, "en", "b"), (5, "x" * 400_000, "en", None), (6, "twice the same row of words", "en", "c"), (6, "twice the same row of words", "en", "c"), (7, "twice the same row of words", "en", "c")]
+    rows += [(k, f"document w{k}x has some w{k}y words of w{k}z own", "en", "abc"[k % 3]) for k in range(10, 40)]
+    docs = frame(spark, rows).withColumn("score", F.lit(1)).withColumn("row", F.lit("x")).withColumn("component_id", F.lit(2))
+    empty = docs.limit(0)
+    labels = spark.createDataFrame([(10, 1, 0), (11, 0, 1), (None, 1, 1), (12, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(0, "document w12x has some w12y words of w12z own"), (1, None), (None, "a b c")], "item_id long, text string")
+    for name, table, expect in (("some", docs, True), ("none", empty, False)):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        (labels if expect else labels.limit(0)).write.parquet(f"{folder}/labels.parquet")
+        (bench if expect else bench.limit(0)).write.parquet(f"{folder}/benchmark.parquet")
+        at = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, step in corpus_pipeline.STAGES:
+            out = store.new_path(spark, stage)
+            step(spark, at, folder).write.parquet(out)
+            at = spark.read.parquet(out)
+            if stage != "token-store":
+                assert at.columns == docs.columns
+            ids = [r.doc_id for r in at.select("doc_id").collect()]
+            if expect and stage == "toxicity":
+                assert len(ids) == len(rows)
+            if expect and stage == "near-duplicates":
+                assert 7 not in ids and ids.count(6) == 2 and {1, 2, 3, None, 4, 5} <= set(ids)
+            if expect and stage == "decontamination":
+                assert 12 not in ids and {None, 1, 13} <= set(ids)
+            if expect and stage == "mixing":
+                assert not {1, 2, 3} & set(ids) and 4 in ids
+        assert bool(ids) == expect and at.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
