@@ -221,11 +221,15 @@ def _anchors(length: int, anchor: int, bits: int):
                 continue
             n = np.maximum(np.diff(offsets) - length + 1, 0)
             at = np.repeat(offsets[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            least, doc = _least(windows(hashes, anchor, seed=2), length - anchor + 1)[at], np.repeat(np.arange(first, last), n)
-            new = np.ones(len(at), dtype=bool)
-            new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-            docs.append(doc[new])
-            found.append(least[new])
+            short, reach = windows(hashes, anchor, seed=2), length - anchor + 1
+            # A place is an anchor if it has the least hash of a window that covers it: each place counts,
+            # also where a text repeats itself inside a window.
+            least = np.zeros(len(short) + reach - 1, dtype=np.uint64)
+            least[at + reach - 1] = _least(short, reach)[at]
+            place = np.flatnonzero(~_least(~least, reach) == short)
+            place = place[short[place] != 0]
+            docs.append(np.repeat(np.arange(first, last), np.diff(offsets))[place])
+            found.append(short[place])
         if not docs:
             return pd.DataFrame(columns=["kind", "grp", "doc_id", "data"])
         least, doc = np.concatenate(found), np.array(ids, dtype=np.int64)[np.concatenate(docs)]
@@ -237,7 +241,7 @@ def _anchors(length: int, anchor: int, bits: int):
         group = (least >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(least), dtype=np.int64)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            rows.append((1, int(group[lo]), None, least[lo:hi].astype("<u8").tobytes() + doc[lo:hi].astype("<i8").tobytes()))
+            rows.append((1, int(group[lo]), 0, least[lo:hi].astype("<u8").tobytes() + doc[lo:hi].astype("<i8").tobytes()))
         return pd.DataFrame(rows, columns=["kind", "grp", "doc_id", "data"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -413,7 +417,7 @@ def _send(length: int, anchor: int, prefixes: Prefixes):
             cut = np.concatenate([[0], np.flatnonzero(np.diff(group[by])) + 1, [len(by)]]) if len(by) else np.array([0])
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 own = by[lo:hi]
-                rows.append((1, int(part[own[0]]), int(group[own[0]]), None, pack(vocabulary, runs_of(codes, at[own], doc[own], start[own], length))))
+                rows.append((1, int(part[own[0]]), int(group[own[0]]), 0, pack(vocabulary, runs_of(codes, at[own], doc[own], start[own], length))))
             for lo in range(0, len(rows), 500):
                 yield pd.DataFrame(rows[lo : lo + 500], columns=["kind", "part", "grp", "doc_id", "data"])
 

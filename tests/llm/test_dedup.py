@@ -84,6 +84,15 @@ def test_a_hot_passage_in_many_batches_and_chunks(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == removed(texts)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_texts_that_repeat_themselves_and_large_ids(spark, parts):
+    rng = random.Random(11)
+    texts = [(2**60 + k, " ".join([f"p{j}" for j in range(k % 9 + 1)] * (50 // (k % 9 + 1) + k))) for k in range(40)]
+    texts += [(2**60 + 100 + k, " ".join(rng.choice("ab") for _ in range(rng.randrange(15, 90)))) for k in range(60)]
+    got = substring.digests(substring.substring_dedup(frame(spark, texts).repartition(parts))).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == removed(texts)
+
+
 def test_prefixes_are_longer_where_suffixes_are_many():
     counts = np.array([10, 5_000, 0, 90])
     plan = substring.Prefixes.plan(counts, 100, 7)
