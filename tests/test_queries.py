@@ -50,9 +50,47 @@ def test_streaming_ok_rate(spark, tmp_path):
 def test_workbook_keeps_numbers_and_codes(spark):
     import io
     import zipfile
+    from itertools import islice
 
     from sieveworks.sources import sinks
 
     data = sinks.workbook([("One", spark.sql("SELECT '007' AS code, 1234567.89D AS n, 'a\u0001<b' AS t"))])
     sheet = zipfile.ZipFile(io.BytesIO(data)).read("xl/worksheets/sheet1.xml").decode()
-    assert "<v>1234567.89</v>" in sheet and ">007<" in sheet and "a&lt;b" in sheet and sinks.letters(26) == "AA"
+    assert "<v>1234567.89</v>" in sheet and ">007<" in sheet and "a&lt;b" in sheet and list(islice(sinks.column_names(), 25, 28)) == ["Z", "AA", "AB"]
+
+
+def test_ratios_of_zero_and_null_are_null(spark):
+    from pyspark.sql import functions as F
+
+    from sieveworks.functions import finance
+    from sieveworks.operators import nutrition, series
+    from sieveworks.streaming import forms
+
+    f = spark.sql("SELECT * FROM VALUES (0.0D, 1.0D), (NULL, 1.0D), (1.0D, 0.0D), (2.0D, 3.0D) AS t(a, b)")
+    spreads = [r[0] for r in f.select(finance.spread_percent(F.col("a"), F.col("b"), F.lit(2))).collect()]
+    assert spreads == [None, None, -100.0, 50.0]
+    assert all(v is None for r in f.select(*finance.returns_on_capital(*[F.lit(0.0)] * 6, tax=0.25).values()).collect() for v in r)
+    people = spark.sql("SELECT 1 AS id, 30 AS age, 'male' AS sex, 0.0D AS height_cm, 70.0D AS weight_kg, NULL AS body_fat_pct, 'light' AS activity, 60.0D AS goal_kg, false AS pregnant").withColumn("body_fat_pct", F.col("body_fat_pct").cast("double"))
+    assert nutrition.plan_targets(people).first()["bmi"] is None
+    shares = series.top_share(spark.sql("SELECT * FROM VALUES (1, 0.0D, 'x'), (1, 0.0D, 'y'), (2, 4.0D, 'x') AS t(k, v, n)"), "k", "v", "n").collect()
+    assert {r.k: r.share_pct for r in shares} == {1: None, 2: 100.0}
+    unlocks = spark.sql("SELECT 1 AS id, '2026-01-10' AS date, 5.0D AS tokens"), spark.sql("SELECT 1 AS id, 0.0D AS circulating, 1.0D AS price")
+    assert series.unlock_horizons(*unlocks, F.lit("2026-01-01").cast("date")).first()["pct_30"] is None
+    feed = spark.sql("SELECT 'x' AS symbol, TIMESTAMP '2024-01-01' AS ts, 0.0D AS price")
+    assert forms.cross_check(feed, feed.withColumn("price", F.lit(2.0))).first()["spread_pct"] is None
+
+
+def test_json_walk_has_no_limits(spark):
+    from pyspark.sql import functions as F
+
+    from sieveworks.operators import json_tree
+
+    deep = "[" * 60 + '{"a.b": 1.50}' + "]" * 60
+    rows = spark.createDataFrame([(1, deep), (2, '{"x": [null, true, "T"], "y": {}}'), (3, None), (4, "7")], "id long, j string").withColumn("v", F.try_parse_json("j"))
+    got = {r.id: [] for r in rows.collect()}
+    for r in json_tree.walk(rows, "id", "v").collect():
+        got[r.id].append((r.path, r.leaf, r.value))
+    assert got[1] == [("[0]" * 60 + ".a.b", "a.b", "1.5")] and got[3] == [] and got[4] == [("", None, "7")]
+    assert got[2] == [(".x[0]", "x", None), (".x[1]", "x", "true"), (".x[2]", "x", "T")]
+    many = spark.range(3000).select("id", F.to_json(F.struct(F.sequence(F.lit(1), F.lit(400)).alias("s"))).alias("j")).withColumn("v", F.try_parse_json("j"))
+    assert json_tree.walk(many, "id", "v").count() == 1_200_000
