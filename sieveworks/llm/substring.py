@@ -444,36 +444,66 @@ class Subtree:
         yield from _per_doc(doc[late], start[late])
 
 
-def _subtrees(length: int, chunk_bytes: int = 8_000_000):
-    """Rows sorted by kind and group. Emits doc_id and the stretches of its windows that are not first leaves."""
+def _packed(found: list[tuple[int, bytes]], buckets: int) -> pd.DataFrame:
+    """A row a bucket of documents: their doc_ids, the sizes of their stretches and these."""
+    by: dict[int, list[tuple[int, bytes]]] = {}
+    for doc_id, data in found:
+        by.setdefault(doc_id % buckets, []).append((doc_id, data))
+    rows = [(b, np.array([d for d, _ in own], dtype="<i8").tobytes(), np.array([len(x) for _, x in own], dtype="<u4").tobytes(), b"".join(x for _, x in own)) for b, own in by.items()]
+    return pd.DataFrame(rows, columns=["bucket", "ids", "sizes", "data"])
+
+
+def _subtrees(length: int, buckets: int, chunk_bytes: int, most: int = 200_000):
+    """Rows sorted by kind and group. Emits the stretches of windows that are not first leaves, packed by bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, group, held = Subtree(length), None, []
+        tree, group, held, size = Subtree(length), None, [], 0
         out: list[tuple[int, bytes]] = []
         for pdf in batches:
             for kind, grp, doc_id, data in zip(pdf.kind, pdf.grp, pdf.doc_id, pdf.data):
                 if not kind:
-                    out.append((doc_id, data))
-                    continue
-                if group is not None and grp != group:
-                    out += tree.feed(held, last=True)
-                    tree, held = Subtree(length), []
-                elif sum(map(len, held)) >= chunk_bytes:
-                    out += tree.feed(held, last=False)
-                    held = []
-                group = grp
-                held.append(data)
-                if len(out) >= 5_000:
-                    yield pd.DataFrame(out, columns=["doc_id", "data"])
+                    out.append((int(doc_id), data))
+                else:
+                    if group is not None and grp != group:
+                        out += tree.feed(held, last=True)
+                        tree, held, size = Subtree(length), [], 0
+                    elif size >= chunk_bytes:
+                        out += tree.feed(held, last=False)
+                        held, size = [], 0
+                    group = grp
+                    held.append(data)
+                    size += len(data)
+                if len(out) >= most:
+                    yield _packed(out, buckets)
                     out = []
         if held:
             out += tree.feed(held, last=True)
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "data"])
+            yield _packed(out, buckets)
 
     return run
 
 
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by bucket. Emits a row a document with all its stretches."""
+    bucket, held = None, {}
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": list(held), "stretches": [[b"".join(x)] for x in held.values()]})
+
+    for pdf in batches:
+        for b, ids, sizes, data in zip(pdf.bucket, pdf.ids, pdf.sizes, pdf.data):
+            if bucket is not None and b != bucket and held:
+                yield rows()
+                held = {}
+            bucket, at = b, 0
+            for doc_id, n in zip(np.frombuffer(ids, dtype="<i8").tolist(), np.frombuffer(sizes, dtype="<u4").tolist()):
+                held.setdefault(doc_id, []).append(data[at : at + n])
+                at += n
+    if held:
+        yield rows()
+
+
 def repeated_stretches(docs: DataFrame, length: int = 20, anchor: int = 9, group: int = _GROUP, chunk_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, stretches: arrays of (first, count) pairs (little-endian uint32) of the windows of each
     document that stand earlier too. Only documents with such windows have a row. ``group`` bounds the
@@ -502,8 +532,9 @@ def repeated_stretches(docs: DataFrame, length: int = 20, anchor: int = 9, group
         counts = counts[0::2] + counts[1::2]
     prefixes = Prefixes.plan(counts, group, n)
     sent = texts.join(met, "doc_id").select("doc_id", "text", "anchors").mapInPandas(_send(length, anchor, prefixes), _PARTS)
-    found = sent.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "grp").mapInPandas(_subtrees(length, chunk_bytes // 4), "doc_id long, data binary")
-    return stage(found.groupBy("doc_id").agg(F.collect_list("data").alias("stretches")), "stretches", batch_rows=64)
+    found = sent.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "grp").mapInPandas(_subtrees(length, 4 * n, chunk_bytes // 4), "bucket long, ids binary, sizes binary, data binary")
+    found = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_unpacked, "doc_id long, stretches array<binary>")
+    return stage(found, "stretches", batch_rows=64)
 
 
 def substring_dedup(docs: DataFrame, length: int = 20, **options: int) -> DataFrame:
