@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embed_dup, langid, mixing, mixing_sql, near_dup, oracle_queries, quality, secrets, substring, token_store, toxicity
+from . import centroids, decontam, embed_dup, langid, mixing, mixing_sql, near_dup, oracle_queries, quality, secrets, substring, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
 #: The others train a model, follow regular expressions SQL engines lack, or write files; they are tested
 #: against brute force.
@@ -81,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": mixing_sql.mix_sql(),
     "op5_embedding_dedup": oracle_queries.OP5,
     "op10_near_duplicates": oracle_queries.OP10,
+    "op11_centroid_clusters": centroids.cluster_sql(),
 }
