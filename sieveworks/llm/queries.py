@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontam, embed_dup, langid, mixing, mixing_sql, near_dup, oracle_queries, quality, secrets, substring, token_store, toxicity
+from . import centroids, decontam, embed_dup, langid, mixing, mixing_sql, near_dup, oracle_queries, phrases, quality, secrets, substring, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_collocations": op12_collocations,
 }
 #: The others train a model, follow regular expressions SQL engines lack, or write files; they are tested
 #: against brute force.
@@ -87,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": oracle_queries.OP5,
     "op10_near_duplicates": oracle_queries.OP10,
     "op11_centroid_clusters": centroids.cluster_sql(),
+    "op12_collocations": phrases.collocations_sql(),
 }
