@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontam, embed_dup, langid, mixing, mixing_sql, near_dup, oracle_queries, phrases, quality, secrets, substring, token_store, toxicity
+from . import centroids, decontam, embed_dup, langid, main_text, mixing, mixing_sql, near_dup, oracle_queries, phrases, quality, secrets, substring, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_collocations": op12_collocations,
+    "op13_main_text": op13_main_text,
 }
 #: The others train a model, follow regular expressions SQL engines lack, or write files; they are tested
 #: against brute force.
