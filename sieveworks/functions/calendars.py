@@ -13,7 +13,7 @@ LOCKINS = (
 #: Exchange, zone, open, close (minutes of the local day).
 SESSIONS = (
     ("US", "America/New_York", 570, 960), ("IN", "Asia/Kolkata", 555, 930), ("UK", "Europe/London", 480, 990), ("JP", "Asia/Tokyo", 540, 690), ("JP", "Asia/Tokyo", 750, 930), ("HK", "Asia/Hong_Kong", 570, 720), ("HK", "Asia/Hong_Kong", 780, 960),
-    ("CN", "Asia/Shanghai", 570, 690), ("CN", "Asia/Shanghai", 780, 900), ("DE", "Europe/Berlin", 540, 1050), ("AU", "Australia/Sydney", 600, 960), ("KR", "Asia/Seoul", 540, 930),
+    ("DE", "Europe/Berlin", 540, 1050), ("AU", "Australia/Sydney", 600, 960), ("CA", "America/Toronto", 570, 960), ("SG", "Asia/Singapore", 540, 720), ("SG", "Asia/Singapore", 780, 1020),
 )
 LOOK_AHEAD = 8
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.basic import is_sourced, or_default, override
+from .ordering import numbered
 
 
 def evaluate_products(products: DataFrame, years: float = 3.0, floor: float = 0.7) -> DataFrame:
@@ -37,11 +38,12 @@ def evaluate_products(products: DataFrame, years: float = 3.0, floor: float = 0.
 
 
 def rank_products(evaluated: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Adds place: within meets by cost, within below by adjusted from high to low; ties by id. Without
-    ``group`` the order is over the table, which suits short lists; give a key for large ones."""
-    by = Window.partitionBy(*(group or []), "bucket")
+    """Adds place: within meets by cost, within below by adjusted from high to low; ties by id. With ``group`` the
+    order is each group's own, in a window; without, it is the table's, numbered over ranges of the order."""
     order = F.when(F.col("bucket") == "meets", F.col("cost")).when(F.col("bucket") == "below", -F.col("adjusted"))
-    return evaluated.withColumn("place", F.row_number().over(by.orderBy(F.asc_nulls_last(order), "id")))
+    if not group:
+        return numbered(evaluated, "bucket", [F.asc_nulls_last(order), F.asc("id")])
+    return evaluated.withColumn("place", F.row_number().over(Window.partitionBy(*group, "bucket").orderBy(F.asc_nulls_last(order), "id")))
 
 
 def with_runner_up(ranked: DataFrame, order: str, score: str, group: list[str]) -> DataFrame:
@@ -71,9 +73,10 @@ def price_offers(offers: DataFrame, months: float = 1.0) -> DataFrame:
 
 
 def rank_offers(priced: DataFrame) -> DataFrame:
-    """Adds place: ranked by total, unviable by block rate from high to low; ties by id."""
+    """Adds place: ranked by total, unviable by block rate from high to low; ties by id. Numbered over ranges of the
+    order, so that no task holds a whole bucket."""
     order = F.when(F.col("bucket") == "ranked", F.col("total")).when(F.col("bucket") == "unviable", -F.col("block"))
-    return priced.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.asc_nulls_last(order), "id")))
+    return numbered(priced, "bucket", [F.asc_nulls_last(order), F.asc("id")])
 
 
 def crossover_month(cheap_price: Column, cheap_monthly: Column, dear_price: Column, dear_monthly: Column) -> Column:

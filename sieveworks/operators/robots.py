@@ -27,6 +27,15 @@ def directives(files: DataFrame) -> DataFrame:
     return known.unionByName(rows.filter(F.col("key") == "sitemap").withColumn("grp", F.lit(None).cast("long")))
 
 
+def rules_of(files: DataFrame, agent: str = "*") -> DataFrame:
+    """The rules that hold for one agent: host (the file's id), kind, rule, pos, and value as written. They are what
+    ``prefix_rules`` joins with paths."""
+    d = directives(files)
+    wanted = d.filter(F.col("key") == "user-agent").filter(F.lower("value") == agent.lower()).select("id", "grp").distinct()
+    rules = d.filter(F.col("key").isin("allow", "disallow") & (F.col("value") != "")).join(wanted, ["id", "grp"], "left_semi")
+    return rules.select(F.col("id").alias("host"), F.col("key").alias("kind"), F.regexp_replace("value", r"\$$", "").alias("rule"), "pos", "value")
+
+
 def robots_facts(files: DataFrame, path: str = "/", agent: str = "*", tie: str = "allow") -> DataFrame:
     """id, allowed, matched_rule, crawl_delay, sitemaps, bans for one agent and path. Of equally long rules
     the allowing one wins, or the first with ``tie='file_order'``. An empty rule matches nothing."""

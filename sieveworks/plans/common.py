@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.shared import shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,15 +18,3 @@ def fixture(spark: SparkSession, columns: str, rows: str) -> DataFrame:
 
 def fixture_sql(columns: str, rows: str) -> str:
     return f"(SELECT * FROM (VALUES {rows}) AS t({columns}))"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Only where all run in one
-    process (tests) is a local one made; on a cluster without that setting this is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="sieveworks-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")

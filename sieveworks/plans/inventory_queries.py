@@ -111,7 +111,6 @@ _add("join_targets", lambda s, d: P.day_totals(GQ._items(s, d)).select("plan", "
 _add("m_swap_block", lambda s, d: table(s, d, "part").select("p_partkey", P.swap_portion(F.col("p_size") / 100.0).alias("grams")), "SELECT p_partkey, 25.0 / nullif(p_size / 100.0::DOUBLE, 0) AS grams FROM part")
 
 # Pages.
-_add("win_robots_groups", WQ.web_robots, WQ.ORACLE_SQL["web_robots"])
 _add("j_lenient", lambda s, d: WQ._product_pages(s, d).select("page_id", W.lenient_json(W.json_ld("html")[0]).isNotNull().alias("ok")), f"SELECT p_partkey AS page_id, true AS ok FROM {WQ._P4}")
 _add("flt_substring_any", lambda s, d: table(s, d, "pages").select("page_id", B.contains_any("html", ["<footer", "<form"]).alias("r")), "SELECT page_id, contains(lower(html), '<footer') OR contains(lower(html), '<form') AS r FROM pages")
 _add("set_dedup_urls", lambda s, d: table(s, d, "pages").select(WQ._host().alias("host")).dropDuplicates(), f"SELECT DISTINCT {WQ._HOSTQ} AS host FROM pages")

@@ -64,39 +64,6 @@ def agg_access_class(s: SparkSession, d: str) -> DataFrame:
     return _ok_rate(s, d).groupBy(access.alias("access")).agg(F.count(F.lit(1)).alias("hosts"))
 
 
-# Markers, rules and paths.
-_MARKERS = ("<nav", "<footer", "<form", "track(", "application/ld+json", "itemscope")
-
-
-@_step("SELECT page_id, m AS marker FROM pages JOIN (VALUES " + ", ".join(f"('{m}')" for m in _MARKERS) + ") AS v(m) ON contains(lower(html), m)")
-def join_marker_theta(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "pages").select("page_id", F.explode(B.matching("html", _MARKERS)).alias("marker"))
-
-
-_RULES = (("allow", "/"), ("disallow", "/en/"), ("allow", "/en/1"), ("disallow", "/fr"), ("disallow", "/de/"), ("allow", "/de/"), ("disallow", "/es/2"))
-_PATHQ = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
-_RULES_SQL = "(VALUES " + ", ".join(f"({k}, '{a}', '{p}')" for k, (a, p) in enumerate(_RULES)) + ") AS r(pos, kind, rule)"
-
-
-def _matches(s: SparkSession, d: str) -> DataFrame:
-    rules = F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(a).alias("kind"), F.lit(p).alias("rule")) for k, (a, p) in enumerate(_RULES)))
-    pages = table(s, d, "pages").select("page_id", F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("path"))
-    return pages.select("page_id", F.inline(F.filter(rules, lambda r: F.startswith(F.col("path"), r["rule"]))))
-
-
-@_step(f"SELECT page_id, pos, rule FROM pages JOIN {_RULES_SQL} ON starts_with({_PATHQ}, rule)")
-def join_longest_prefix(s: SparkSession, d: str) -> DataFrame:
-    """All rules that are a prefix of a page's path."""
-    return _matches(s, d).select("page_id", "pos", "rule")
-
-
-@_step(f"SELECT page_id, kind, rule FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, kind, pos) AS k FROM pages JOIN {_RULES_SQL} ON starts_with({_PATHQ}, rule)) WHERE k = 1")
-def topk_match_longest(s: SparkSession, d: str) -> DataFrame:
-    """The longest rule decides; of equal ones the one that allows."""
-    best = F.min_by(F.struct("kind", "rule"), F.struct((-F.length("rule")).alias("l"), "kind", "pos"))
-    return _matches(s, d).groupBy("page_id").agg(best.alias("b")).select("page_id", "b.kind", "b.rule")
-
-
 # JSON leaves.
 def _props(s: SparkSession, d: str) -> DataFrame:
     return J.walk(table(s, d, "events").select("event_id", F.try_parse_json("props").alias("v")), "event_id", "v")
@@ -184,14 +151,6 @@ def dt_session_bounds(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("market").agg(F.min("o").alias("opens"), F.max("c").alias("closes"), F.count(F.lit(1)).alias("sessions"))
 
 
-@_step(f"SELECT day, market, CAST(count(*) AS BIGINT) AS sessions FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), {_SESSION_SQL} WHERE isodow(day) <= 5 GROUP BY 1, 2")
-def join_sessions_x_days(s: SparkSession, d: str) -> DataFrame:
-    """Sessions of each market on each weekday of the events."""
-    days = table(s, d, "events").select(F.col("ts").cast("date").alias("day")).distinct().filter(~C.is_weekend(F.col("day")))
-    markets = F.array(*(F.lit(m) for m, *_ in C.SESSIONS))
-    return days.select("day", F.explode(markets).alias("market")).groupBy("day", "market").agg(F.count(F.lit(1)).alias("sessions"))
-
-
 def _sessions(s: SparkSession, d: str, market: str) -> DataFrame:
     return C.session_status(table(s, d, "events").select(F.col("event_id").alias("id"), F.lit(market).alias("market"), F.col("ts").alias("at")))
 
@@ -214,29 +173,6 @@ def join_self_neighbour(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "conversations").select("conv_id", "turn", F.length(F.lag("text").over(w)).cast("long").alias("before"), F.length(F.lead("text").over(w)).cast("long").alias("after"))
 
 
-_LINES_SQL = r"(SELECT doc_id, p AS pos, l AS line, sum(CASE WHEN trim(l, ' ' || chr(9) || chr(11) || chr(12)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS block FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))))"
-
-
-def _numbered_lines(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").filter(~F.contains("text", F.lit("\r")))
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.withColumn("blank", F.regexp_like("line", F.lit(r"\A[ \t\x0B\f]*\z")))
-
-
-@_step(rf"SELECT doc_id, CAST(block AS BIGINT) AS block, min(pos)::INT AS first, count(*) AS lines FROM {_LINES_SQL} WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12)) <> '' GROUP BY 1, 2")
-def win_text_blocks(s: SparkSession, d: str) -> DataFrame:
-    """Runs of lines that are not blank."""
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _numbered_lines(s, d).withColumn("block", F.sum(F.col("blank").cast("long")).over(order)).filter(~F.col("blank"))
-    return rows.groupBy("doc_id", "block").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("lines"))
-
-
-@_step(rf"SELECT doc_id, pos::INT AS pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS seen FROM {_LINES_SQL} WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12)) <> ''")
-def win_seen_content(s: SparkSession, d: str) -> DataFrame:
-    """Which line of content a line is."""
-    return _numbered_lines(s, d).filter(~F.col("blank")).select("doc_id", "pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("seen"))
-
-
 @_step("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS opened FROM events")
 def win_section_ffill(s: SparkSession, d: str) -> DataFrame:
     """The heading that holds: the last one at or before a row."""
@@ -244,16 +180,6 @@ def win_section_ffill(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(order).alias("opened"))
 
 
-_ROW = "rpad(s_name, 22, ' ') || '   ' || rpad(CAST(s_suppkey AS VARCHAR), 8, ' ') || '   ' || lpad(CAST(CAST(round(s_acctbal, 0) AS BIGINT) AS VARCHAR), 8, ' ')"
-
-
-@_step(f"SELECT s_suppkey, len(regexp_extract_all({_ROW}, ' {{2,}}')) AS gaps FROM supplier")
-def win_blank_runs(s: SparkSession, d: str) -> DataFrame:
-    """Runs of two or more blank columns of a fixed-width line."""
-    line = F.concat(F.rpad("s_name", 22, " "), F.lit("   "), F.rpad(F.col("s_suppkey").cast("string"), 8, " "), F.lit("   "), F.lpad(F.round("s_acctbal", 0).cast("long").cast("string"), 8, " "))
-    return table(s, d, "supplier").select("s_suppkey", F.regexp_count(line, F.lit(" {2,}")).cast("long").alias("gaps"))
-
-
 def _tables(s: SparkSession, d: str) -> DataFrame:
     return D.layout_tables(D.pages_of(TQ._layout(s, d), "id", "text"))
 
@@ -337,13 +263,6 @@ def str_selector_parse(s: SparkSession, d: str) -> DataFrame:
     return f.withColumn("p", parts).select("selector", F.when(F.col("p").isNotNull(), F.size("p")).alias("steps"), last["tag"].alias("tag"), F.array_join(last["classes"], ",").alias("classes"), F.col("p").isNotNull().alias("readable"))
 
 
-@_step("SELECT p_partkey AS page_id, 1 AS nested, 0 AS outside FROM part")
-def win_scope_stack(s: SparkSession, d: str) -> DataFrame:
-    """Matches of a step inside another's scope, and of the same step where that scope is closed already."""
-    p = WQ._product_pages(s, d)
-    return p.select("page_id", A.selector_count("html", F.lit("div.card span.price")).cast("int").alias("nested"), A.selector_count("html", F.lit("span.price b")).cast("int").alias("outside"))
-
-
 @_step("SELECT p_partkey AS page_id, 'columns' AS orientation, 2 AS columns, 1 AS rows FROM part")
 def a_table_shape(s: SparkSession, d: str) -> DataFrame:
     t = WQ._product_pages(s, d).select("page_id", F.from_json(A.tables("html"), A.TABLES_TYPE)[0].alias("t"))

@@ -172,12 +172,6 @@ _ROBOTS = r"""(1, concat_ws(chr(10), 'User-agent: *', 'User-agent: Other', 'Disa
  (3, concat_ws(chr(10), 'user-agent: *', 'disallow: /private/open', 'allow: /private/open', 'crawl-delay: soon')), (4, ''), (5, concat_ws(chr(10), 'User-agent: x', 'Disallow: /', 'Sitemap: https://b.example/1', 'Sitemap: https://b.example/2', 'User-agent: *', 'Disallow: /private/open$'))"""
 
 
-def web_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, robots", _ROBOTS)
-    r = R.robots_facts(f, "/private/open/x")
-    return r.select("id", "allowed", "matched_rule", "crawl_delay", F.array_join("sitemaps", ",").alias("sitemaps"), F.array_join("bans", ",").alias("bans"))
-
-
 def web_probe_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of a host: share of good answers, weight and what access that means."""
     p = table(spark, sf_dir, "pages").select(_host().alias("host"), F.when(F.col("page_id") % 7 == 0, 403).when(F.col("page_id") % 5 == 0, 301).otherwise(200).alias("status"), F.length("html").alias("n"))
@@ -225,7 +219,7 @@ _ANSWERS = f"(SELECT *, lower(coalesce(body, '')) AS b, list_transform(string_sp
 _VENDOR_MARKS = ", ".join(f"('{v[0]}', '{place}', {active}, '{m}', '{v[6]}')" for v in W.VENDORS for place, active, marks in (("h", "false", v[1]), ("c", "false", v[2]), ("h", "true", v[3]), ("c", "true", v[4]), ("b", "true", v[5])) for m in marks)
 _EVIDENCE = f"(SELECT a.id, vendor, active, difficulty FROM {_ANSWERS} AS a JOIN (VALUES {_VENDOR_MARKS}) AS v(vendor, place, active, mark, difficulty) ON CASE place WHEN 'b' THEN contains(b, mark) WHEN 'h' THEN len(list_filter(h, lambda x: starts_with(x, mark))) > 0 ELSE len(list_filter(h, lambda x: starts_with(x, 'set-cookie: ' || mark))) > 0 END)"
 _CAPTCHA_LIST = "concat_ws(',', " + ", ".join("CASE WHEN (" + " OR ".join(f"contains(b, '{m}')" for m in marks) + ")" + "".join(f" AND NOT contains(b, '{m}')" for m in without) + f" THEN '{name}' END" for name, marks, without, _ in W.CAPTCHAS) + ")"
-QUERIES = {f.__name__: f for f in (web_render_verdict, str_visible_text, str_styling_strip, str_domain, j_embed_detect, web_meta, web_title, web_scripts, j_product, j_walk, j_find, agg_path_stability, j_events_walk, web_microdata, web_tables, a_table_to_dicts, web_js_state, web_selector_count, web_harvest, str_decode, web_access_block, web_vendor, web_captcha, web_tier, web_repair_class, web_robots, web_probe_site, web_probe_gate, agg_cardinality_assert, doc_source_precedence, join_positional_zip)}
+QUERIES = {f.__name__: f for f in (web_render_verdict, str_visible_text, str_styling_strip, str_domain, j_embed_detect, web_meta, web_title, web_scripts, j_product, j_walk, j_find, agg_path_stability, j_events_walk, web_microdata, web_tables, a_table_to_dicts, web_js_state, web_selector_count, web_harvest, str_decode, web_access_block, web_vendor, web_captcha, web_tier, web_repair_class, web_probe_site, web_probe_gate, agg_cardinality_assert, doc_source_precedence, join_positional_zip)}
 _LEAVES = "(VALUES ('.@context', '@context'), ('.@type', '@type'), ('.name', 'name'), ('.brand.name', 'name'), ('.offers[0].price', 'price'), ('.offers[0].priceCurrency', 'priceCurrency'), ('.size', 'size')) AS l(path, leaf)"
 ORACLE_SQL = {
     "web_render_verdict": f"SELECT host, verdict, count(*) AS pages, CAST(sum(n) AS BIGINT) AS visible FROM (SELECT {_HOSTQ} AS host, {_VERDICT} AS verdict, length({_VT}) AS n FROM pages) GROUP BY 1, 2",
@@ -255,7 +249,6 @@ ORACLE_SQL = {
     "web_tier": f"""SELECT id, ['trivial', 'easy', 'moderate', 'hard', 'very hard'][1 + greatest(level, CASE WHEN regexp_matches(found, 'v2|hCaptcha|Turnstile|Arkose|GeeTest|DataDome') THEN 3 ELSE 0 END, CASE WHEN coalesce(refused, false) THEN 3 ELSE 0 END, CASE WHEN thin THEN 2 ELSE 0 END)] AS tier FROM (
       SELECT r.id, coalesce(max(CASE WHEN active THEN CASE difficulty WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END END), 0) AS level, any_value({_CAPTCHA_LIST.replace('b,', 'r.b,')}) AS found, any_value(status IN (401,403,407,429,503) OR {_PHRASE.replace('(b,', '(r.b,')}) AS refused, any_value(({_FRAME.replace('lower(html)', 'r.b')}) AND NOT ({_MARK.replace('lower(html)', 'r.b')})) AS thin FROM {_ANSWERS} AS r LEFT JOIN {_EVIDENCE} AS e ON e.id = r.id GROUP BY 1)""",
     "web_repair_class": "SELECT * FROM (VALUES (1, 'transport'), (2, 'header-level filtering'), (3, 'blocked'), (4, 'routing changed'), (5, 'selectors stale'), (6, 'content moved into data'), (7, 'client-rendered'), (8, 'selectors stale'), (9, 'content moved into data'), (10, 'client-rendered'), (11, 'content changed or removed'), (12, 'target intact'), (13, 'no fault reproduced')) AS t(id, class)",
-    "web_robots": "SELECT * FROM (VALUES (1, true, '/private/open', 2.5::DOUBLE, 'https://a.example/s.xml', ''), (2, true, NULL, NULL, '', 'ccbot,gptbot'), (3, true, '/private/open', NULL, '', ''), (4, true, NULL, NULL, '', ''), (5, false, '/private/open$', NULL, 'https://b.example/1,https://b.example/2', '')) AS t(id, allowed, matched_rule, crawl_delay, sitemaps, bans)",
     "web_probe_site": f"SELECT *, CASE WHEN ok_rate = 1 THEN 'open' WHEN ok_rate = 0 THEN 'blocked' ELSE 'intermittent' END AS access FROM (SELECT {_HOSTQ} AS host, count(*) AS samples, avg(CASE WHEN page_id % 7 = 0 THEN 0.0::DOUBLE ELSE 1.0 END) AS ok_rate, max(length(html)) AS heaviest FROM pages GROUP BY 1)",
     "web_probe_gate": f"SELECT page_id, CASE WHEN page_id % 5 + 1 = 5 THEN 'unknown' ELSE {_VERDICT} END AS tier FROM pages",
     "agg_cardinality_assert": f"SELECT {_HOSTQ} AS host, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) <> 5",
