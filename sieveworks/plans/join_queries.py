@@ -135,17 +135,24 @@ def win_seen_content(s: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", "pos", F.row_number().over(L.Window.partitionBy("doc_id").orderBy("pos")).alias("seen"))
 
 
-_GAPS_SQL = f"""WITH blocks AS MATERIALIZED (SELECT doc_id, block, line FROM {_BLOCKS_SQL}), wide AS (SELECT doc_id, block, max(length(line)) AS width FROM blocks GROUP BY 1, 2),
- solid AS (SELECT DISTINCT doc_id, block, unnest(list_filter(range(0, length(line)), lambda k: line[k + 1] <> ' ')) AS col FROM blocks),
- edges AS (SELECT doc_id, block, col, lead(col) OVER (PARTITION BY doc_id, block ORDER BY col) AS following, row_number() OVER (PARTITION BY doc_id, block ORDER BY col) AS k FROM solid),
- runs AS (SELECT doc_id, block, col + 1 AS start, coalesce(following, width) AS stop, width FROM edges JOIN wide USING (doc_id, block) UNION ALL SELECT doc_id, block, 0, col, width FROM edges JOIN wide USING (doc_id, block) WHERE k = 1)
- SELECT doc_id, block::INT AS block, start::INT AS start, stop::INT AS stop, width::INT AS width FROM runs WHERE stop - start >= 2"""
+_ROW_SQL = "rpad(s_name, 22, ' ') || '   ' || rpad(CAST(s_suppkey AS VARCHAR), 8, ' ') || '   ' || lpad(CAST(CAST(round(s_acctbal, 0) AS BIGINT) AS VARCHAR), 8, ' ') || CASE WHEN s_suppkey % 3 = 0 THEN '    ' || s_nationkey ELSE '' END"
+_GAPS_SQL = f"""WITH blocks AS MATERIALIZED (SELECT 'document ' || doc_id AS id, block::INT AS block, line FROM {_BLOCKS_SQL} UNION ALL SELECT 'nation ' || s_nationkey, 0, {_ROW_SQL} FROM supplier),
+ wide AS (SELECT id, block, max(length(line)) AS width FROM blocks GROUP BY 1, 2),
+ solid AS (SELECT DISTINCT id, block, unnest(list_filter(range(0, length(line)), lambda k: line[k + 1] <> ' ')) AS col FROM blocks),
+ edges AS (SELECT id, block, col, lead(col) OVER (PARTITION BY id, block ORDER BY col) AS following, row_number() OVER (PARTITION BY id, block ORDER BY col) AS k FROM solid),
+ runs AS (SELECT id, block, col + 1 AS start, coalesce(following, width) AS stop, width FROM edges JOIN wide USING (id, block) UNION ALL SELECT id, block, 0, col, width FROM edges JOIN wide USING (id, block) WHERE k = 1)
+ SELECT id, block, start::INT AS start, stop::INT AS stop, width::INT AS width FROM runs WHERE stop - start >= 2"""
 
 
 @_step(_GAPS_SQL)
 def win_blank_runs(s: SparkSession, d: str) -> DataFrame:
-    """Runs of two columns or more that are blank in every line of a block of documents."""
-    return L.column_gaps(_blocks(s, d), "doc_id")
+    """Runs of two columns or more that are blank in every line of a block: of the blocks of documents, and of one
+    block of laid-out rows, of differing width, a nation."""
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat(F.rpad("s_name", 22, " "), F.lit("   "), F.rpad(text("s_suppkey"), 8, " "), F.lit("   "), F.lpad(F.round("s_acctbal", 0).cast("long").cast("string"), 8, " "), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("    "), text("s_nationkey"))).otherwise(""))
+    rows = table(s, d, "supplier").select(F.concat(F.lit("nation "), text("s_nationkey")).alias("id"), F.lit(0).alias("block"), line.alias("line"))
+    docs = _blocks(s, d).select(F.concat(F.lit("document "), text("doc_id")).alias("id"), "block", "line")
+    return L.column_gaps(docs.unionByName(rows), "id")
 
 
 # Sessions.
