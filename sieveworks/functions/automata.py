@@ -119,13 +119,15 @@ class _Tables(HTMLParser):
             rows = [[(h, " ".join("".join(c).split())) for h, c in r] for r in t["rows"] if r]
             if not rows:
                 continue
-            head = [all(h for h, _ in r) for r in rows]
-            if not any(head) and all(len(r) == 2 and r[0][0] and not r[1][0] for r in rows):
-                found.append({"orientation": "key-value", "headers": [r[0][1] for r in rows], "rows": [[r[1][1] for r in rows]], "nested": t["nested"]})
-            elif head[0]:
-                found.append({"orientation": "columns", "headers": [c for _, c in rows[0]], "rows": [[c for _, c in r] for r in rows[1:]], "nested": t["nested"]})
+            cells = [[c for _, c in r] for r in rows]
+            head = [any(h for h, _ in r) for r in rows]
+            if all(head) and len(rows) > 1:
+                shape = {"orientation": "key-value", "headers": [], "rows": cells}
+            elif head[0] and sum(head) == 1:
+                shape = {"orientation": "columns", "headers": cells[0], "rows": cells[1:]}
             else:
-                found.append({"orientation": "headerless", "headers": [], "rows": [[c for _, c in r] for r in rows], "nested": t["nested"]})
+                shape = {"orientation": "headerless", "headers": [], "rows": cells}
+            found.append(shape | {"nested": t["nested"]})
         return found
 
 
@@ -216,9 +218,15 @@ def _microdata(pages: pd.Series) -> pd.Series:
     return pages.map(lambda t: json.dumps(_parsed(_Microdata(), t).finish(), ensure_ascii=False))
 
 
+def parsed_tables(html: str | None) -> list[dict]:
+    """{orientation, headers, rows, nested} of each table. A table whose rows, more than one, each hold a th is
+    key-value: the th labels its row. With a th in the first row alone that row is the header."""
+    return _parsed(_Tables(), html).finish()
+
+
 def _tables(pages: pd.Series) -> pd.Series:
-    """JSON array of {orientation, headers, rows, nested}."""
-    return pages.map(lambda t: json.dumps(_parsed(_Tables(), t).finish(), ensure_ascii=False))
+    """JSON array of the tables."""
+    return pages.map(lambda t: json.dumps(parsed_tables(t), ensure_ascii=False))
 
 
 def _js_state(pages: pd.Series) -> pd.Series:

@@ -56,14 +56,6 @@ def _docx(paragraphs: str) -> bytes:
     return out.getvalue()
 
 
-def src_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
-    body = p("one") + f"<w:tbl><w:tr><w:tc>{p('two')}</w:tc></w:tr></w:tbl><w:p><w:r><w:t>three</w:t><w:txbxContent>{p('box')}</w:txbxContent></w:r></w:p><w:sectPr><w:cols w:num=\"2\"/></w:sectPr>"
-    files = spark.createDataFrame([("a.docx", bytearray(_docx(body))), ("b.docx", bytearray(b"broken"))], "path string, content binary")
-    d = R.docx_documents(files)
-    return d.select("path", F.array_join(F.col("paragraphs.text"), "|").alias("text"), F.size(F.filter("paragraphs", lambda x: x["in_table"])).cast("long").alias("in_table"), F.size(F.filter("paragraphs", lambda x: x["in_textbox"])).cast("long").alias("textbox_paragraphs"), "images", "max_columns", "error")
-
-
 def src_pdf_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = b"BT /F1 12 Tf (Hello \\(world\\)) Tj [(ab) -20 (cd)] TJ <4142> Tj ET"
     packed = zlib.compress(stream)
@@ -199,14 +191,13 @@ def src_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGION = "SELECT r_regionkey, r_name FROM region"
-QUERIES = {f.__name__: f for f in (src_csv, src_json_doc, src_text_file, src_folder, src_docx, src_pdf_triage, src_negotiate, src_api_coin, src_api_search, doc_dispatch, snk_json, snk_csv_per_table, snk_failed, src_pdf_text, src_pdf_resume, str_content_stream, str_measure_text, src_html_file, src_jd_text, src_binary, snk_docx, snk_xlsx, doc_workbook_sheets, lint_repo, src_example)}
+QUERIES = {f.__name__: f for f in (src_csv, src_json_doc, src_text_file, src_folder, src_pdf_triage, src_negotiate, src_api_coin, src_api_search, doc_dispatch, snk_json, snk_csv_per_table, snk_failed, src_pdf_text, src_pdf_resume, str_content_stream, str_measure_text, src_html_file, src_jd_text, src_binary, snk_docx, snk_xlsx, doc_workbook_sheets, lint_repo, src_example)}
 QUERIES["src_skill_md"] = src_front_matter  # the inventory's name of the step
 ORACLE_SQL = {
     "src_csv": "SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code, 'a \"b\", ' || p_name AS name FROM part",
     "src_json_doc": "SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS s_phone FROM supplier",
     "src_text_file": "SELECT 2 * count(*) AS lines FROM region",
     "src_folder": "SELECT sum(length(r_name) + 1)::BIGINT AS bytes FROM region",
-    "src_docx": "SELECT * FROM (VALUES ('a.docx', 'one|two|three|box', 1, 1, 1, 2, NULL), ('b.docx', '', 0, 0, 0, 1, 'BadZipFile')) AS t(path, text, in_table, textbox_paragraphs, images, max_columns, error)",
     "src_pdf_triage": "SELECT * FROM (VALUES ('t.pdf', 1, 1, 3, 19, 'SCANNED', 'ocr'), ('x.pdf', 0, 0, 0, 0, 'NOT_A_PDF', 'none'), ('e.pdf', 4, 0, 0, 0, 'ENCRYPTED', 'none')) AS t(path, pages, images, text_ops, est_chars, type, route)",
     "src_negotiate": "SELECT * FROM (VALUES (1, 18, 'a,b')) AS t(id, bytes, keys)",
     "src_api_coin": "SELECT * FROM (VALUES (1, 'ABC', 'Abc', 7, 1.5::DOUBLE, 100.0::DOUBLE, 50.0::DOUBLE, 'x,y'), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) AS t(id, symbol, name, rank, price_usd, market_cap_usd, circulating, categories)",

@@ -263,12 +263,6 @@ def str_selector_parse(s: SparkSession, d: str) -> DataFrame:
     return f.withColumn("p", parts).select("selector", F.when(F.col("p").isNotNull(), F.size("p")).alias("steps"), last["tag"].alias("tag"), F.array_join(last["classes"], ",").alias("classes"), F.col("p").isNotNull().alias("readable"))
 
 
-@_step("SELECT p_partkey AS page_id, 'columns' AS orientation, 2 AS columns, 1 AS rows FROM part")
-def a_table_shape(s: SparkSession, d: str) -> DataFrame:
-    t = WQ._product_pages(s, d).select("page_id", F.from_json(A.tables("html"), A.TABLES_TYPE)[0].alias("t"))
-    return t.select("page_id", F.col("t.orientation").alias("orientation"), F.size("t.headers").alias("columns"), F.size("t.rows").alias("rows"))
-
-
 @_step("SELECT kind, CAST(each * (SELECT count(*) FROM part) AS BIGINT) AS n FROM (VALUES ('jsonld', 1), ('meta', 2), ('feeds', 1), ('tables', 1), ('items', 1)) AS t(kind, each)")
 def agg_summary_counts(s: SparkSession, d: str) -> DataFrame:
     """What all pages publish, by kind."""

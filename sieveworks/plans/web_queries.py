@@ -97,11 +97,6 @@ def web_microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("page_id", F.size("m").cast("long").alias("items"), F.col("m")[0]["@type"].alias("type"), F.col("m")[0]["name"].alias("name"), F.col("m")[0]["size"].alias("size"))
 
 
-def web_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _product_pages(spark, sf_dir).select("page_id", F.from_json(A.tables("html"), A.TABLES_TYPE)[0].alias("t"))
-    return t.select("page_id", F.col("t.orientation").alias("orientation"), F.array_join("t.headers", "|").alias("headers"), F.array_join(F.col("t.rows")[0], "|").alias("cells"))
-
-
 def a_table_to_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as maps by header; ragged rows are dropped and counted."""
     t = _product_pages(spark, sf_dir).select("page_id", F.from_json(A.tables("html"), A.TABLES_TYPE)[0].alias("t"))
@@ -219,7 +214,7 @@ _ANSWERS = f"(SELECT *, lower(coalesce(body, '')) AS b, list_transform(string_sp
 _VENDOR_MARKS = ", ".join(f"('{v[0]}', '{place}', {active}, '{m}', '{v[6]}')" for v in W.VENDORS for place, active, marks in (("h", "false", v[1]), ("c", "false", v[2]), ("h", "true", v[3]), ("c", "true", v[4]), ("b", "true", v[5])) for m in marks)
 _EVIDENCE = f"(SELECT a.id, vendor, active, difficulty FROM {_ANSWERS} AS a JOIN (VALUES {_VENDOR_MARKS}) AS v(vendor, place, active, mark, difficulty) ON CASE place WHEN 'b' THEN contains(b, mark) WHEN 'h' THEN len(list_filter(h, lambda x: starts_with(x, mark))) > 0 ELSE len(list_filter(h, lambda x: starts_with(x, 'set-cookie: ' || mark))) > 0 END)"
 _CAPTCHA_LIST = "concat_ws(',', " + ", ".join("CASE WHEN (" + " OR ".join(f"contains(b, '{m}')" for m in marks) + ")" + "".join(f" AND NOT contains(b, '{m}')" for m in without) + f" THEN '{name}' END" for name, marks, without, _ in W.CAPTCHAS) + ")"
-QUERIES = {f.__name__: f for f in (web_render_verdict, str_visible_text, str_styling_strip, str_domain, j_embed_detect, web_meta, web_title, web_scripts, j_product, j_walk, j_find, agg_path_stability, j_events_walk, web_microdata, web_tables, a_table_to_dicts, web_js_state, web_selector_count, web_harvest, str_decode, web_access_block, web_vendor, web_captcha, web_tier, web_repair_class, web_probe_site, web_probe_gate, agg_cardinality_assert, doc_source_precedence, join_positional_zip)}
+QUERIES = {f.__name__: f for f in (web_render_verdict, str_visible_text, str_styling_strip, str_domain, j_embed_detect, web_meta, web_title, web_scripts, j_product, j_walk, j_find, agg_path_stability, j_events_walk, web_microdata, a_table_to_dicts, web_js_state, web_selector_count, web_harvest, str_decode, web_access_block, web_vendor, web_captcha, web_tier, web_repair_class, web_probe_site, web_probe_gate, agg_cardinality_assert, doc_source_precedence, join_positional_zip)}
 _LEAVES = "(VALUES ('.@context', '@context'), ('.@type', '@type'), ('.name', 'name'), ('.brand.name', 'name'), ('.offers[0].price', 'price'), ('.offers[0].priceCurrency', 'priceCurrency'), ('.size', 'size')) AS l(path, leaf)"
 ORACLE_SQL = {
     "web_render_verdict": f"SELECT host, verdict, count(*) AS pages, CAST(sum(n) AS BIGINT) AS visible FROM (SELECT {_HOSTQ} AS host, {_VERDICT} AS verdict, length({_VT}) AS n FROM pages) GROUP BY 1, 2",
@@ -236,7 +231,6 @@ ORACLE_SQL = {
     "agg_path_stability": f"SELECT replace(path, '[0]', '[]') AS path, count(*) AS pages FROM {_P4}, {_LEAVES} GROUP BY 1",
     "j_events_walk": "SELECT event_id, replace(t.fullkey, '$', '') AS path, CAST(t.atom AS VARCHAR) AS value FROM events, json_tree(props) AS t WHERE t.atom IS NOT NULL",
     "web_microdata": f"SELECT p_partkey AS page_id, 1::BIGINT AS items, 'Product' AS type, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM {_P4}",
-    "web_tables": f"SELECT p_partkey AS page_id, 'columns' AS orientation, 'brand|size' AS headers, p_brand || '|' || p_size AS cells FROM {_P4}",
     "a_table_to_dicts": f"SELECT p_partkey AS page_id, p_brand AS brand, 0::BIGINT AS ragged FROM {_P4}",
     "web_js_state": f"SELECT p_partkey AS page_id, p_partkey AS id, 'a }} b' AS note FROM {_P4}",
     "web_selector_count": f"SELECT s AS selector, CASE WHEN w >= 0 THEN w * count(*) END AS hits FROM {_P4}, (VALUES ('div.card span.price', 1), ('#root .price', 1), ('div.card.x', 1), ('ul li', 0), ('div > span', -1)) AS v(s, w) GROUP BY s, w",
