@@ -63,10 +63,16 @@ def topk_match_longest(s: SparkSession, d: str) -> DataFrame:
 _ROBOTS_SQL = f"(SELECT host, min(path) AS low, max(path) AS high, count(*) AS n FROM {_PATHS_SQL} GROUP BY 1)"
 
 
+def _files(sites: DataFrame, site: str) -> DataFrame:
+    """``sites``: a site's name, host, low, high (paths) and n, as a robots file with a shared group, a comment, a line
+    of its own for another group, and a closing ``$``."""
+    lines = [F.lit("# made of pages"), F.lit("User-agent: *"), F.lit("User-agent: Other"), F.concat(F.lit("Disallow: "), "low"), F.concat(F.lit("Allow: "), "high"), F.concat(F.lit("Crawl-delay: "), F.col("n").cast("string")), F.concat(F.lit("Sitemap: https://"), "host", F.lit("/sitemap.xml")), F.lit(""), F.lit("user-agent: GPTBot"), F.lit("disallow: /"), F.lit("allow: /en/1$")]
+    return sites.select(F.col(site).alias("id"), F.concat_ws("\n", *lines).alias("robots"))
+
+
 def _robots(s: SparkSession, d: str) -> DataFrame:
     hosts = _paths(s, d).groupBy("host").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.count(F.lit(1)).alias("n"))
-    lines = [F.lit("# made of pages"), F.lit("User-agent: *"), F.lit("User-agent: Other"), F.concat(F.lit("Disallow: "), "low"), F.concat(F.lit("Allow: "), "high"), F.concat(F.lit("Crawl-delay: "), F.col("n").cast("string")), F.concat(F.lit("Sitemap: https://"), "host", F.lit("/sitemap.xml")), F.lit(""), F.lit("user-agent: GPTBot"), F.lit("disallow: /"), F.lit("allow: /en/1$")]
-    return hosts.select(F.col("host").alias("id"), F.concat_ws("\n", *lines).alias("robots"))
+    return _files(hosts, "host")
 
 
 @_step(f"SELECT page_id, CASE WHEN length(high) < length(low) AND starts_with(path, low) THEN false WHEN starts_with(path, high) THEN true WHEN starts_with(path, low) THEN false ELSE true END AS allowed, CASE WHEN length(high) < length(low) AND starts_with(path, low) THEN nullif(low, '') WHEN starts_with(path, high) THEN nullif(high, '') WHEN starts_with(path, low) THEN nullif(low, '') END AS matched_rule FROM {_PATHS_SQL} AS p JOIN {_ROBOTS_SQL} USING (host)".replace("starts_with(path, low)", "(low <> '' AND starts_with(path, low))").replace("starts_with(path, high)", "(high <> '' AND starts_with(path, high))"))
@@ -78,10 +84,11 @@ def web_robots(s: SparkSession, d: str) -> DataFrame:
 _LINES_SQL = "[('user-agent', '*', 1, 1), ('user-agent', 'Other', 2, 1), ('disallow', low, 3, 1), ('allow', high, 4, 1), ('crawl-delay', CAST(n AS VARCHAR), 5, 1), ('sitemap', 'https://' || host || '/sitemap.xml', 6, NULL), ('user-agent', 'GPTBot', 8, 2), ('disallow', '/', 9, 2), ('allow', '/en/1$', 10, 2)]"
 
 
-@_step(f"SELECT host, l[3] AS pos, l[1] AS key, l[2] AS value, CAST(l[4] AS BIGINT) AS grp FROM (SELECT host, unnest({_LINES_SQL}) AS l FROM {_ROBOTS_SQL})".replace("[(", "[row(").replace(", (", ", row("))
+@_step(f"SELECT page_id, l[3] AS pos, l[1] AS key, l[2] AS value, CAST(l[4] AS BIGINT) AS grp FROM (SELECT page_id, unnest({_LINES_SQL}) AS l FROM (SELECT page_id, host, path AS low, path || 'x' AS high, length(url) AS n FROM {_PATHS_SQL} JOIN pages USING (page_id)))".replace("[(", "[row(").replace(", (", ", row("))
 def win_robots_groups(s: SparkSession, d: str) -> DataFrame:
-    """The directives of all robots files; agents that follow each other open one group."""
-    return robots.directives(_robots(s, d)).select(F.col("id").alias("host"), "pos", "key", "value", "grp")
+    """The directives of a robots file a page; agents that follow each other open one group."""
+    sites = table(s, d, "pages").select("page_id", WQ._host().alias("host"), R.path_of("url").alias("low"), F.length("url").alias("n")).withColumn("high", F.concat("low", F.lit("x")))
+    return robots.directives(_files(sites, "page_id")).select(F.col("id").alias("page_id"), "pos", "key", "value", "grp")
 
 
 # Markers: what vendors, captchas and frameworks leave in a page, and the hosts of all pages.
