@@ -70,6 +70,46 @@ def src_docx(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("path").alias("doc_id"), "pos", F.md5("text").alias("md5"))
 
 
+# PDF files written from documents: an embedded font whose codes mean nothing without its map, objects in any order.
+PAGE_LINES = 40
+
+
+def _stream_object(body: bytes) -> bytes:
+    packed = zlib.compress(body)
+    return b"<</Length %d/Filter/FlateDecode>>\nstream\n%s\nendstream" % (len(packed), packed)
+
+
+def pdf_of(text: str) -> bytes:
+    """A file with the text's lines, ``PAGE_LINES`` a page."""
+    lines = text.split("\n")
+    codes = {c: k for k, c in enumerate(sorted(set(text), reverse=True), 1)}
+    shown = lambda x: b"<" + b"".join(b"%04X" % codes[c] for c in x) + b"> Tj T*"
+    pages = [lines[k : k + PAGE_LINES] for k in range(0, len(lines), PAGE_LINES)]
+    chars = b"\n".join(b"<%04X> <%s>" % (k, c.encode("utf-16-be", "surrogatepass").hex().encode()) for c, k in codes.items())
+    objects = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Count %d/Kids[%s]/Resources<</Font<</F1 3 0 R>>>>>>" % (len(pages), b" ".join(b"%d 0 R" % (5 + 2 * k) for k in range(len(pages)))), 3: b"<</Type/Font/Subtype/Type0/Encoding/Identity-H/ToUnicode 4 0 R>>", 4: _stream_object(b"1 begincodespacerange <0000> <FFFF> endcodespacerange %d beginbfchar\n%s\nendbfchar" % (len(codes), chars))}
+    for k, page in enumerate(pages):
+        objects[5 + 2 * k] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (6 + 2 * k)
+        objects[6 + 2 * k] = _stream_object(b"BT /F1 10 Tf " + b"\n".join(map(shown, page)) + b" ET")
+    out, places = b"%PDF-1.5\n", {}
+    for n in sorted(objects, key=lambda n: zlib.crc32(b"%d" % n)):
+        places[n] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, objects[n])
+    table_of_places = b"".join(b"%010d 00000 n \n" % places[n] for n in range(1, len(objects) + 1))
+    return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer <</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, table_of_places, len(objects) + 1, len(out))
+
+
+def pdf_files(texts: DataFrame, key: str, text: str) -> DataFrame:
+    made = F.pandas_udf(lambda x: x.map(lambda t: pdf_of(t or "")), "binary")
+    return texts.select(key, made(text).alias("content"))
+
+
+@_step(f"SELECT doc_id, (p + 1)::INT AS page, md5(trim(regexp_replace(array_to_string(r[p * {PAGE_LINES} + 1:(p + 1) * {PAGE_LINES}], chr(10)), '\\n+', chr(10), 'g'), chr(10))) AS md5 FROM (SELECT doc_id, r, unnest(range(0, (len(r) + {PAGE_LINES - 1}) // {PAGE_LINES})) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS r FROM documents))")
+def src_pdf_text(s: SparkSession, d: str) -> DataFrame:
+    """Documents as PDF files, and the text of their pages by a table function."""
+    rows = TF.pages_of(pdf_files(table(s, d, "documents"), "doc_id", "text"), "doc_id", "content")
+    return rows.select("doc_id", "page", F.md5("text").alias("md5"))
+
+
 # Bodies of answers: each page as a server might send it.
 def _sent(pages: pd.Series, kinds: pd.Series) -> pd.Series:
     out = []

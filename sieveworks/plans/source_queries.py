@@ -107,19 +107,17 @@ def snk_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split_failed(r)[1]
 
 
+#: Two content streams, and the files made of them.
 _STREAMS = (b"BT /F1 12 Tf 1 0 Td (Jo Doe) Tj T* (Work \\(all\\)) Tj ET", b"BT /F1 9 Tf [(Experi) -20 (ence) -300 (2019)] TJ T* <4142> Tj ET")
 
 
 def _pdfs(spark: SparkSession) -> DataFrame:
-    part = lambda x: b"<</Length 9 /Filter /FlateDecode>> stream\n" + zlib.compress(x) + b"\nendstream\n"
-    rows = [("a.pdf", b"%PDF-1.4\n" + b"".join(map(part, _STREAMS))), ("b.pdf", b"%PDF-1.7 /Encrypt 3 0 R"), ("c.pdf", b"no")]
+    part = lambda n, x: b"%d 0 obj <</Length 9 /Filter /FlateDecode>> stream\n%s\nendstream endobj\n" % (n, zlib.compress(x))
+    pages = b"1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages/Kids[3 0 R 4 0 R]>> endobj\n3 0 obj <</Type/Page/Contents 5 0 R>> endobj\n4 0 obj <</Type/Page/Contents 6 0 R>> endobj\n"
+    rows = [("a.pdf", b"%PDF-1.4\n" + pages + part(5, _STREAMS[0]) + part(6, _STREAMS[1])), ("b.pdf", b"%PDF-1.7 /Encrypt 3 0 R"), ("c.pdf", b"no")]
     return spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
 
 
-def src_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pdf_texts(_pdfs(spark))
-
-
 def src_pdf_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = R.pdf_texts(_pdfs(spark)).filter("text is not null").withColumn("text", F.translate("text", "\f", "\n"))
     return D.sections(texts, "path", "text").select("pos", "line", "section")
@@ -191,7 +189,7 @@ def src_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGION = "SELECT r_regionkey, r_name FROM region"
-QUERIES = {f.__name__: f for f in (src_csv, src_json_doc, src_text_file, src_folder, src_pdf_triage, src_negotiate, src_api_coin, src_api_search, doc_dispatch, snk_json, snk_csv_per_table, snk_failed, src_pdf_text, src_pdf_resume, str_content_stream, str_measure_text, src_html_file, src_jd_text, src_binary, snk_docx, snk_xlsx, doc_workbook_sheets, lint_repo, src_example)}
+QUERIES = {f.__name__: f for f in (src_csv, src_json_doc, src_text_file, src_folder, src_pdf_triage, src_negotiate, src_api_coin, src_api_search, doc_dispatch, snk_json, snk_csv_per_table, snk_failed, src_pdf_resume, str_content_stream, str_measure_text, src_html_file, src_jd_text, src_binary, snk_docx, snk_xlsx, doc_workbook_sheets, lint_repo, src_example)}
 QUERIES["src_skill_md"] = src_front_matter  # the inventory's name of the step
 ORACLE_SQL = {
     "src_csv": "SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code, 'a \"b\", ' || p_name AS name FROM part",
@@ -207,7 +205,6 @@ ORACLE_SQL = {
     "snk_json": "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS value FROM region",
     "snk_csv_per_table": "SELECT 'file_' || n_regionkey AS source_file, n_nationkey % 2 AS table_idx, count(*) AS n FROM nation GROUP BY 1, 2",
     "snk_failed": "SELECT url AS file, 'TEXT' AS type, 'no text' AS reason FROM pages WHERE page_id % 9 = 0",
-    "src_pdf_text": "SELECT * FROM (VALUES ('a.pdf', 'Jo Doe' || chr(10) || 'Work (all)' || chr(12) || 'Experience 2019' || chr(10) || 'AB'), ('b.pdf', NULL), ('c.pdf', NULL)) AS t(path, text)",
     "src_pdf_resume": "SELECT * FROM (VALUES (0, 'Jo Doe', 'header'), (1, 'Work (all)', 'header'), (2, 'Experience 2019', 'header'), (3, 'AB', 'other')) AS t(pos, line, section)",
     "str_content_stream": "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) AS t(id, text)",
     "str_measure_text": "SELECT p_partkey, (length(p_name) + 1)::INT AS n FROM part",

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import pdf_objects
+
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One row a file; fields that the schema doesn't name (notes, comments) are dropped."""
@@ -121,35 +123,6 @@ def string_length(token: bytes, two_byte: bool) -> int:
     return len(re.sub(rb"\\(?:[0-7]{1,3}|.)", b"x", token[1:-1], flags=re.S))
 
 
-_TEXT_OPS = re.compile(rb"(?P<one>\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|(?P<line>['\"]))|\[(?P<many>(?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(?P<next>T\*|T[dD]\b|ET\b)", re.S)
-_PARTS = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|-?\d+(?:\.\d+)?", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def string_text(token: bytes, two_byte: bool) -> str:
-    """The characters of a literal or hex string."""
-    if token[:1] == b"<":
-        digits = re.sub(rb"[^0-9A-Fa-f]", b"", token).decode()
-        raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
-    else:
-        raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
-    return raw.decode("utf-16-be" if two_byte else "latin-1", "replace")
-
-
-def pdf_page_text(stream: bytes, two_byte: bool, word_gap: float = -200) -> str:
-    """Text of a content stream in the order it is shown; moves to another line break it, a wide gap parts words."""
-    out: list[str] = []
-    for op in _TEXT_OPS.finditer(stream):
-        if op["next"]:
-            out.append("\n")
-        elif op["one"]:
-            out += ["\n"] * bool(op["line"]) + [string_text(op["one"], two_byte)]
-        else:
-            for part in _PARTS.findall(op["many"] or b""):
-                out.append(string_text(part, two_byte) if part[:1] in b"(<" else " " if float(part) < word_gap else "")
-    return re.sub(r"\n{2,}", "\n", "".join(out)).strip("\n")
-
-
 def _content_streams(content: bytes) -> Iterator[bytes]:
     for head, body in _STREAM.findall(content):
         if not re.search(rb"/Type\s*/(?:ObjStm|Metadata|XRef)|/Subtype\s*/(?:Image|XML)|/FontFile", head):
@@ -159,17 +132,24 @@ def _content_streams(content: bytes) -> Iterator[bytes]:
 
 
 def pdf_texts(files: DataFrame) -> DataFrame:
-    """path, text of the text layers of PDF files (path, content): a content stream is a page, pages are parted by
-    form feeds. Fonts with their own encoding give what their codes are. Without a text layer, or encrypted: null."""
+    """path, text of the text layers of PDF files (path, content): pages in the order of the page tree, parted by form
+    feeds. Without a text layer, encrypted, or no PDF: null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = ["\f".join(pdf_page_text(x, b"Identity-H" in c) for x in _content_streams(bytes(c))) if b"/Encrypt" not in bytes(c) else "" for c in pdf.content]
-            yield pd.DataFrame({"path": pdf.path, "text": [t or None for t in texts]})
+            yield pd.DataFrame({"path": pdf.path, "text": [_pdf_text(c) for c in pdf.content]})
 
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
+def _pdf_text(content: bytes) -> str | None:
+    try:
+        text = "\f".join(t for _, t in pdf_objects.page_texts(bytes(content)))
+    except ValueError:
+        return None
+    return text if text.strip("\f") else None
+
+
 def content_stream_flag(data: Column | str) -> Column:
     return F.pandas_udf(lambda x: x.map(lambda b: None if b is None else is_content_stream(bytes(b))), "boolean")(data)
 

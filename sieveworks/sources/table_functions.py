@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import automata as A
+from . import pdf_objects as P
 from . import readers as R
 
 HTML_TABLES = "table_no int, orientation string, nested boolean, headers array<string>, row_no int, cells array<string>"
 DOCX_PARAGRAPHS = "pos int, text string, in_table boolean, in_textbox boolean, error string"
+PDF_PAGES = "page int, text string, error string"
 
 
 class _HtmlTables:
@@ -40,6 +42,17 @@ class _DocxParagraphs:
             yield None, None, None, None, type(e).__name__
 
 
+class _PdfPages:
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        if content is None:
+            return
+        try:
+            for page, text in P.page_texts(bytes(content)):
+                yield page, text, None
+        except (ValueError, RecursionError) as e:
+            yield None, None, str(e)
+
+
 def html_tables():
     """A row a table row: table_no (in the order of their ends), orientation, nested, headers, row_no, cells; a table
     of a header alone has one row with a null row_no. Pages without a table give no row."""
@@ -59,3 +72,14 @@ def tables_of(pages: DataFrame, key: str, html: str) -> DataFrame:
 def paragraphs_of(files: DataFrame, key: str, content: str) -> DataFrame:
     """The paragraphs of DOCX files, beside their key."""
     return files.select(key, content).lateralJoin(docx_paragraphs()(F.col(content).outer())).drop(content)
+
+
+def pdf_pages():
+    """A row a page of a PDF file (binary), in the order of its page tree; a file that is encrypted or no PDF is one
+    row with an error, null gives none."""
+    return F.udtf(_PdfPages, returnType=PDF_PAGES, useArrow=True)
+
+
+def pages_of(files: DataFrame, key: str, content: str) -> DataFrame:
+    """The pages of PDF files, beside their key."""
+    return files.select(key, content).lateralJoin(pdf_pages()(F.col(content).outer())).drop(content)
