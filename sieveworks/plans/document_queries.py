@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bodies as B
+from ..operators import documents as D
 from ..operators.shared import staged
 from ..sources import sinks as S
 from ..sources import table_functions as TF
+from ..sources import workbooks as K
 from ..streaming import alerts, late
 from .common import shared_folder, table
 
@@ -165,3 +167,33 @@ def agg_rate_alerts(s: SparkSession, d: str) -> DataFrame:
     """Days on which a kind's share of good events fell, or is low."""
     events = table(s, d, "events").select("event_type", F.col("ts").cast("date").alias("run"), "value")
     return alerts.rate_alerts(events, "run", F.coalesce(F.col("value") > 20, F.lit(False)), by="event_type", floor=0.4, fall=0.1)
+
+
+# Workbooks.
+def _written(s: SparkSession, sheets: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """A workbook in the shared folder, read again."""
+    path = f"{shared_folder(s).removeprefix('file:')}/book-{uuid.uuid4().hex}.xlsx"
+    K.write_workbook(s, path, sheets, frozenset({"o_clerk"}))
+    return K.read_workbooks(s.read.format("binaryFile").load(path).select("path", "content"), "path", "content")
+
+
+@_step("SELECT 'Orders' AS sheet, row_number() OVER (ORDER BY o_orderdate, o_orderkey)::INT AS place, concat_ws('|', o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE)) AS cells FROM orders UNION ALL SELECT 'Nations & regions', row_number() OVER (ORDER BY n_name)::INT, n_nationkey || '|' || n_name FROM nation UNION ALL SELECT 'Orders', 0, 'o_orderkey|o_custkey|o_orderstatus|day' UNION ALL SELECT 'Nations & regions', 0, 'n_nationkey|n_name' UNION ALL SELECT 'Empty', 0, 'n_name'")
+def snk_xlsx(s: SparkSession, d: str) -> DataFrame:
+    """A workbook of three tables, one empty, written by tasks and opened again."""
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("day"))
+    nations = table(s, d, "nation").select("n_nationkey", "n_name")
+    rows = _written(s, [("Orders", orders, ["day", "o_orderkey"]), ("Nations & regions", nations, ["n_name"]), ("Empty", nations.filter("false").select("n_name"), ["n_name"])])
+    return rows.select("sheet", "place", F.array_join("cells", "|").alias("cells"))
+
+
+_FILES_SQL = "(SELECT o_orderkey AS file, o_orderstatus AS status, o_orderkey % 4 AS kind, o_orderkey % 11 = 0 AS failed FROM orders)"
+
+
+@_step(f"SELECT 'Fields' AS sheet, row_number() OVER (ORDER BY lpad(file::VARCHAR, 12, '0'))::INT AS place, lpad(file::VARCHAR, 12, '0') || '|' || CASE kind WHEN 0 THEN 'a|' WHEN 1 THEN '|b' ELSE '|' END || '|' || status AS cells FROM {_FILES_SQL} WHERE NOT failed UNION ALL SELECT 'Fields', 0, 'file|first|second|status' UNION ALL SELECT lpad(file::VARCHAR, 12, '0') || ' 1', t[1], t[2] FROM (SELECT file, unnest([row(0, 'h|k'), row(1, file || '|' || status)]) AS t FROM {_FILES_SQL} WHERE NOT failed AND kind = 2) UNION ALL SELECT 'Failed', row_number() OVER (ORDER BY lpad(file::VARCHAR, 12, '0'))::INT, lpad(file::VARCHAR, 12, '0') || '|no text' FROM {_FILES_SQL} WHERE failed")
+def doc_workbook_sheets(s: SparkSession, d: str) -> DataFrame:
+    """The sheets of a workbook of many files: fields by the union of their keys, tables, and what failed."""
+    k = F.col("o_orderkey") % 4
+    fields = F.map_filter(F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("first"), F.when(k == 0, "a"), F.lit("second"), F.when(k == 1, "b")), lambda _, v: v.isNotNull())
+    cells = F.array(F.array(F.array(F.lit("h"), F.lit("k")), F.array(F.col("o_orderkey").cast("string"), "o_orderstatus")))
+    files = table(s, d, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("file"), fields.alias("fields"), F.when(k == 2, cells).otherwise(F.array().cast("array<array<array<string>>>")).alias("tables"), F.when(F.col("o_orderkey") % 11 == 0, "no text").alias("error"))
+    return D.workbook_sheets(files).select("sheet", "place", F.array_join("cells", "|").alias("cells"))

@@ -161,20 +161,6 @@ def snk_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(made.select("path", "plain"), "path").select("path", F.array_join(F.col("paragraphs.text"), "\n").alias("text"), "plain", "error")
 
 
-def snk_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook of two small tables, written and opened again."""
-    data = S.workbook([("Regions", table(spark, sf_dir, "region").select("r_regionkey", "r_name")), ("Nations", table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))])
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = [x.get("name") for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if x.tag.endswith("}sheet")]
-        rows = [(n, sum(x.tag.endswith("}row") for x in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter())) for k, n in enumerate(names, 1)]
-    return spark.createDataFrame(rows, "sheet string, rows long")
-
-
-def doc_workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "file, fields, tables, error", "('a', map('x', '1', 'y', '2'), array(array(array('h', 'k'), array('3', '4'))), CAST(NULL AS STRING)), ('b', map('z', '5'), CAST(array() AS ARRAY<ARRAY<ARRAY<STRING>>>), NULL), ('c', NULL, NULL, 'no text')")
-    return D.workbook_sheets(f).select("sheet", "place", F.array_join("cells", "|").alias("cells"))
-
-
 def lint_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixture(spark, "path, text", "('x/my-tool/A.md', concat_ws(chr(10), '---', 'name: my-tool', 'description: does it', '---')), ('x/other/A.md', concat_ws(chr(10), '---', 'name: My_Tool', 'extra: 1', 'license: a: b', '---'))")
     return D.lint(R.front_matter(f))
@@ -189,7 +175,7 @@ def src_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGION = "SELECT r_regionkey, r_name FROM region"
-QUERIES = {f.__name__: f for f in (src_csv, src_json_doc, src_text_file, src_folder, src_pdf_triage, src_negotiate, src_api_coin, src_api_search, doc_dispatch, snk_json, snk_csv_per_table, snk_failed, src_pdf_resume, str_content_stream, str_measure_text, src_html_file, src_jd_text, src_binary, snk_docx, snk_xlsx, doc_workbook_sheets, lint_repo, src_example)}
+QUERIES = {f.__name__: f for f in (src_csv, src_json_doc, src_text_file, src_folder, src_pdf_triage, src_negotiate, src_api_coin, src_api_search, doc_dispatch, snk_json, snk_csv_per_table, snk_failed, src_pdf_resume, str_content_stream, str_measure_text, src_html_file, src_jd_text, src_binary, snk_docx, lint_repo, src_example)}
 QUERIES["src_skill_md"] = src_front_matter  # the inventory's name of the step
 ORACLE_SQL = {
     "src_csv": "SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code, 'a \"b\", ' || p_name AS name FROM part",
@@ -212,8 +198,6 @@ ORACLE_SQL = {
     "src_jd_text": "SELECT n_regionkey AS region, count(*) AS lines FROM nation GROUP BY 1",
     "src_binary": "SELECT md5(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS md5 FROM nation",
     "snk_docx": "SELECT CAST(n_regionkey AS VARCHAR) AS path, string_agg(n_name, chr(10) ORDER BY n_name) AS text, string_agg(n_name, chr(10) ORDER BY n_name) AS plain, NULL AS error FROM nation GROUP BY 1",
-    "snk_xlsx": "SELECT 'Regions' AS sheet, count(*) + 1 AS rows FROM region UNION ALL SELECT 'Nations', count(*) + 1 FROM nation",
-    "doc_workbook_sheets": "SELECT * FROM (VALUES ('Fields', 0, 'file|x|y|z'), ('Fields', 1, 'a|1|2|'), ('Fields', 2, 'b|||5'), ('a 1', 0, 'h|k'), ('a 1', 1, '3|4'), ('Failed', 1, 'c|no text')) AS t(sheet, place, cells)",
     "lint_repo": "SELECT * FROM (VALUES ('x/other/A.md', 'missing description'), ('x/other/A.md', 'unknown extra'), ('x/other/A.md', 'unreadable license'), ('x/other/A.md', 'name is not kebab case'), ('x/other/A.md', 'name is not its folder''s')) AS t(path, problem)",
     "src_example": f"SELECT * FROM {fixture_sql('id, item, quantity, price', _EXAMPLE)}",
 }
