@@ -63,20 +63,6 @@ def _scores(spark: SparkSession) -> DataFrame:
     return s.select("id", *(F.col(k).cast("double").alias(k) for k in G.WEIGHTS), "verifiable", "terminal")
 
 
-def gate_score_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = G.capped_score(F.col("verifiable"), F.col("terminal"))
-    return _scores(spark).select("id", F.round(s, 6).alias("score"), G.verdict(s).alias("verdict"))
-
-
-def agg_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark).select("id", F.round(G.weighted_score(), 6).alias("score"))
-
-
-def gate_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = G.vetoed(G.weighted_score(), F.least(*(F.col(k) for k in G.WEIGHTS)))
-    return _scores(spark).select("id", F.round(s, 6).alias("score"), G.verdict(s, G.STOCK_VERDICTS).alias("verdict"))
-
-
 def gate_terminal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any terminal flag among a part's lines ends its rating."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 50)).alias("terminal"), F.avg("l_quantity").alias("score"))
@@ -114,11 +100,6 @@ def dt_weekend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.max(C.is_weekend(F.col("ts").cast("date"))).alias("weekend"))
 
 
-def dt_infer_dmy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "f, t", "('a', '03/04/2024'), ('a', '25/04/2024'), ('b', '04/25/2024'), ('b', '01/02/2024'), ('c', '01/02/2024'), ('d', 'soon')")
-    return f.groupBy("f").agg(C.day_first(F.col("t")).alias("day_first"))
-
-
 _PEOPLE = """(1, 34, 'female', CAST(165 AS DOUBLE), CAST(80 AS DOUBLE), CAST(NULL AS DOUBLE), 'light', CAST(68 AS DOUBLE), false), (2, 34, 'female', CAST(165 AS DOUBLE), CAST(50 AS DOUBLE), NULL, 'light', CAST(44 AS DOUBLE), false), (3, 16, 'male', CAST(170 AS DOUBLE), CAST(70 AS DOUBLE), NULL, 'active', CAST(65 AS DOUBLE), false),
  (4, 40, 'male', CAST(180 AS DOUBLE), CAST(100 AS DOUBLE), CAST(25 AS DOUBLE), 'moderate', CAST(85 AS DOUBLE), false), (5, 30, 'other', CAST(160 AS DOUBLE), CAST(55 AS DOUBLE), NULL, 'sedentary', NULL, NULL)"""
 _PERSON = "id, age, sex, height_cm, weight_kg, body_fat_pct, activity, goal_kg, pregnant"
@@ -129,11 +110,6 @@ def plan_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", F.round("bmi", 2).alias("bmi"), F.round("bmr", 2).alias("bmr"), F.round("target", 2).alias("target"), "protein", "fat", "carbs", "fibre", "water", F.round("weeks", 2).alias("weeks"), F.array_join("stops", ",").alias("stops"))
 
 
-def m_bmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, _PERSON, _PEOPLE)
-    return f.select("id", P.bmr(F.col("sex"), F.col("weight_kg"), F.col("height_cm"), F.col("age")).alias("bmr"), P.bmr_lean(F.col("weight_kg") * 0.75).alias("lean_bmr"))
-
-
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders are plans and days, lines are items, line numbers meals."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
@@ -179,7 +155,7 @@ def m_fat_from_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _D = "CAST(coalesce(sum(CAST({0} AS DECIMAL(18,4))), 0) AS DOUBLE) AS {0}"
 _DAYS = f"(SELECT plan, day, {', '.join(_D.format(x) for x in ('kcal', 'protein', 'fibre'))}, count(*) AS meals, count_if(protein >= 20) AS protein_meals, max(protein) AS largest_meal FROM (SELECT plan, day, meal, {', '.join(_D.format(x) for x in ('kcal', 'protein', 'fibre'))} FROM {_ITEMS} GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 _DAYS = _DAYS.replace("CAST(coalesce(sum(CAST(protein AS DECIMAL(18,4))), 0) AS DOUBLE) AS protein, CAST(coalesce(sum(CAST(fibre AS DECIMAL(18,4))), 0) AS DOUBLE) AS fibre, count(*)", "CAST(sum(CAST(m.protein AS DECIMAL(18,4))) AS DOUBLE) AS protein, CAST(sum(CAST(m.fibre AS DECIMAL(18,4))) AS DOUBLE) AS fibre, count(*)").replace("CAST(coalesce(sum(CAST(kcal AS DECIMAL(18,4))), 0) AS DOUBLE) AS kcal, CAST(sum", "CAST(sum(CAST(m.kcal AS DECIMAL(18,4))) AS DOUBLE) AS kcal, CAST(sum", 1).replace("count_if(protein >= 20)", "count_if(m.protein >= 20)").replace("max(protein)", "max(m.protein)").replace("GROUP BY 1, 2, 3) GROUP BY", "GROUP BY 1, 2, 3) AS m GROUP BY")
-QUERIES = {f.__name__: f for f in (gate_position, m_loss_scenarios, gate_live, gate_score_caps, agg_weighted_score, gate_veto, gate_terminal_flags, m_infer_tier, cal_lockin, cal_session, cal_session_events, dt_weekend, dt_infer_dmy, plan_targets, m_bmr, agg_hier_plan, plan_check, agg_distinct, agg_shopping_list, flt_fallback_meal, m_density, m_fat_from_deficit)}
+QUERIES = {f.__name__: f for f in (gate_position, m_loss_scenarios, gate_live, gate_terminal_flags, m_infer_tier, cal_lockin, cal_session, cal_session_events, dt_weekend, plan_targets, agg_hier_plan, plan_check, agg_distinct, agg_shopping_list, flt_fallback_meal, m_density, m_fat_from_deficit)}
 _W = "0.25 * value_capture + 0.20 * supply + 0.20 * network + 0.15 * security + 0.10 * liquidity + 0.10 * team"
 _L = "least(value_capture, supply, network, security, liquidity, team)"
 _CAPPED = f"CASE WHEN coalesce(terminal, false) THEN NULL ELSE least({_W}, CASE WHEN {_L} <= 2 THEN 4.0 ELSE 99 END, CASE WHEN value_capture <= 3 THEN 5.0 ELSE 99 END, CASE WHEN NOT verifiable THEN 6.0 ELSE 99 END) END"
@@ -189,9 +165,6 @@ ORACLE_SQL = {
     "gate_live": """SELECT id, spread, problems, warnings, problems = '' AS ok, CAST(CASE WHEN problems <> '' THEN 3 WHEN warnings <> '' THEN 2 ELSE 0 END AS INT) AS status FROM (SELECT *, concat_ws(',', CASE WHEN coalesce(price, 0) = 0 THEN 'no price' END, CASE WHEN age_min > 30 THEN 'stale' END, CASE WHEN spread > 5 THEN 'diverging' END) AS problems,
       concat_ws(',', CASE WHEN spread > 1 THEN 'spread' END, CASE WHEN venues < 2 THEN 'no cross-check' END, CASE WHEN turnover < 0.005 OR turnover > 2.0 THEN 'turnover' END) AS warnings FROM (SELECT *, CASE WHEN venues >= 2 THEN (high - low) / low * 100.0 END AS spread FROM (
       SELECT user_id AS id, max(nullif(value, 0)) AS price, count(DISTINCT event_type) FILTER (value <> 0) AS venues, min(nullif(value, 0)) AS low, max(nullif(value, 0)) AS high, count(*) / 100.0::DOUBLE AS turnover, datediff('day', CAST(max(ts) AS DATE), DATE '2024-01-31') * 10.0 AS age_min FROM events GROUP BY 1)))""",
-    "gate_score_caps": f"SELECT id, round(CAST(s AS DOUBLE), 6) AS score, CASE WHEN s IS NULL THEN 'no rating' WHEN s >= 8.0 THEN 'strong' WHEN s >= 6.5 THEN 'good' WHEN s >= 5.0 THEN 'mixed' WHEN s >= 3.5 THEN 'weak' ELSE 'avoid' END AS verdict FROM (SELECT id, {_CAPPED} AS s FROM {fixture_sql(_SCORE_COLUMNS, _SCORES)})",
-    "agg_weighted_score": f"SELECT id, round(CAST({_W} AS DOUBLE), 6) AS score FROM {fixture_sql(_SCORE_COLUMNS, _SCORES)}",
-    "gate_veto": f"SELECT id, round(CAST(s AS DOUBLE), 6) AS score, CASE WHEN s >= 8.0 THEN 'strong' WHEN s >= 6.5 THEN 'good' WHEN s >= 5.0 THEN 'mixed' ELSE 'avoid' END AS verdict FROM (SELECT id, CASE WHEN {_L} <= 2 THEN least({_W}, 4.0) ELSE {_W} END AS s FROM {fixture_sql(_SCORE_COLUMNS, _SCORES)})",
     "gate_terminal_flags": "SELECT l_partkey, CASE WHEN NOT t THEN s END AS score, CASE WHEN t THEN 'no rating' ELSE 'rated' END AS verdict FROM (SELECT l_partkey, bool_or(l_returnflag = 'R' AND l_quantity >= 50) AS t, avg(l_quantity) AS s FROM lineitem GROUP BY 1)",
     "m_infer_tier": "SELECT p_partkey, CASE WHEN p_partkey <= 2 THEN 'major' WHEN p_partkey <= 20 THEN 'large' WHEN p_partkey <= 100 THEN 'mid' WHEN p_retailprice * 40000.0 < 50e6 THEN 'micro' ELSE 'small' END AS tier FROM part",
     "cal_lockin": f"""WITH l AS (SELECT o_orderkey AS id, ['IN','US','HK','XX'][o_orderkey % 4 + 1] AS market, CAST(o_orderdate AS DATE) AS listing, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) - 3 WHEN 1 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS allotment FROM orders),
@@ -202,9 +175,7 @@ ORACLE_SQL = {
     "cal_session_events": """SELECT status, CAST(CASE WHEN wd = 5 THEN CASE WHEN m < 555 THEN 2 ELSE 2 END WHEN wd = 6 THEN 1 WHEN m < 555 THEN 0 WHEN wd = 4 THEN 3 ELSE 1 END AS INT) AS days_ahead, count(*) AS n FROM (SELECT *, CASE WHEN wd >= 5 THEN 'weekend' WHEN m < 555 THEN 'before the open' WHEN m < 930 THEN 'open' ELSE 'after the close' END AS status
       FROM (SELECT isodow(l) - 1 AS wd, hour(l) * 60 + minute(l) AS m FROM (SELECT ts + INTERVAL 330 MINUTES AS l FROM events))) GROUP BY 1, 2""",
     "dt_weekend": "SELECT CAST(ts AS DATE) AS day, isodow(max(ts)) >= 6 AS weekend FROM events GROUP BY 1",
-    "dt_infer_dmy": "SELECT * FROM (VALUES ('a', true), ('b', false), ('c', NULL), ('d', NULL)) AS t(f, day_first)",
     "plan_targets": "SELECT * FROM (VALUES (1, 29.38::DOUBLE, 1500.25::DOUBLE, 1547.13::DOUBLE, 136::DOUBLE, 41::DOUBLE, 159::DOUBLE, 22::DOUBLE, 2800::DOUBLE, 25.6::DOUBLE, ''), (2, 18.37, 1200.25, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'underweight,goal underweight'), (3, 24.22, 1687.5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'under age'), (4, 30.86, 1990.0, 2313.38, 165, 51, 299, 32, 3500, 21.4, ''), (5, 21.48, 1239.0, 1200.0, 99, 33, 127, 17, 1900, NULL, '')) AS t(id, bmi, bmr, target, protein, fat, carbs, fibre, water, weeks, stops)",
-    "m_bmr": f"SELECT id, 10.0::DOUBLE * weight_kg + 6.25::DOUBLE * height_cm - 5.0::DOUBLE * age + CASE WHEN sex = 'male' THEN 5.0::DOUBLE ELSE -161.0::DOUBLE END AS bmr, 370.0::DOUBLE + 21.6::DOUBLE * (weight_kg * 0.75::DOUBLE) AS lean_bmr FROM {fixture_sql(_PERSON, _PEOPLE)}",
     "agg_hier_plan": f"SELECT * FROM {_DAYS}",
     "plan_check": f"SELECT plan, day, concat_ws(',', CASE WHEN abs(kcal - 1000) > 100 THEN 'energy' END, CASE WHEN protein < 89.5 THEN 'protein' END) AS failures, concat_ws(',', CASE WHEN protein_meals < 3 THEN 'protein spread' END, CASE WHEN fibre > 0 AND fibre < 0.8 * 12 THEN 'fibre' END, CASE WHEN meals < 3 THEN 'meals' END) AS notices FROM {_DAYS}",
     "agg_distinct": f"SELECT plan, days, foods, concat_ws(',', CASE WHEN days <> 7 THEN 'week size' END, CASE WHEN foods > 22 OR (foods > 0 AND foods < 8) THEN 'variety' END) AS notices FROM (SELECT plan, count(DISTINCT day) AS days, count(DISTINCT lower(trim(split_part(food, ',', 1)))) AS foods FROM {_ITEMS} GROUP BY 1)",

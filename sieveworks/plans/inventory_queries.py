@@ -70,17 +70,11 @@ _add("m_value_per_1k", lambda s, d: R.evaluate_products(RQ._products(s, d)).sele
 _add("srt_value", lambda s, d: R.rank_products(R.evaluate_products(RQ._products(s, d), floor=0.1)).filter("bucket = 'below'").select("place", "id"), f"SELECT row_number() OVER (ORDER BY -adjusted, id) AS place, id FROM {RQ._EVALUATED} WHERE bucket = 'below'")
 
 # Series.
-_add("agg_sum_nonnull", lambda s, d: fixture(s, SQ._YEAR_COLUMNS, SQ._YEARS).groupBy("id").agg(F.coalesce(F.sum("capex"), F.lit(0.0)).alias("r")), f"SELECT id, coalesce(sum(capex), 0) AS r FROM {SQ.fixture_sql(SQ._YEAR_COLUMNS, SQ._YEARS)} GROUP BY 1")
-_add("agg_conversion", lambda s, d: fixture(s, SQ._YEAR_COLUMNS, SQ._YEARS).groupBy("id").agg(B.safe_ratio(F.sum("cfo"), F.sum("net_income")).alias("r")), f"SELECT id, sum(cfo) / nullif(sum(net_income), 0) AS r FROM {SQ.fixture_sql(SQ._YEAR_COLUMNS, SQ._YEARS)} GROUP BY 1")
-_add("srt_years", lambda s, d: fixture(s, SQ._YEAR_COLUMNS, SQ._YEARS).select("id", "year", F.row_number().over(Window.partitionBy("id").orderBy("year")).alias("k")), f"SELECT id, year, row_number() OVER (PARTITION BY id ORDER BY year) AS k FROM {SQ.fixture_sql(SQ._YEAR_COLUMNS, SQ._YEARS)}")
 _add("agg_cum_windows", lambda s, d: SQ.ts_unlocks(s, d).select("id", "within_30", "within_90", "within_365"), f"SELECT id, within_30, within_90, within_365 FROM ({SQ._UNLOCK_SQL})")
 _add("win_nth_first", lambda s, d: SQ.ts_unlocks(s, d).select("id", "nearest_cliff"), f"SELECT id, nearest_cliff FROM ({SQ._UNLOCK_SQL})")
-_add("flt_unlock_future", lambda s, d: fixture(s, "id, t, n", "(1, '2026-09-01', 5.0), (2, 'soon', 5.0), (3, '2020-01-01', 5.0), (4, '2026-09-01', 0.0), (5, '2026-08-02', 1.0)").filter((F.date_diff(F.try_to_date("t"), F.lit("2026-08-02").cast("date")) >= 0) & (F.col("n") > 0)).select("id"), "SELECT * FROM (VALUES (1), (5)) AS t(id)")
 _add("dt_unlock_days", lambda s, d: table(s, d, "orders").select("o_orderkey", F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).alias("days")), "SELECT o_orderkey, CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS days FROM orders")
 _add("m_unlock_row", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2.5).alias("usd"), B.safe_ratio(F.col("l_quantity") * 100.0, "l_extendedprice").alias("pct")), "SELECT l_orderkey, l_linenumber, l_quantity * 2.5::DOUBLE AS usd, l_quantity * 100.0 / nullif(l_extendedprice, 0) AS pct FROM lineitem")
 _add("m_inflation", lambda s, d: table(s, d, "part").select("p_partkey", B.safe_ratio(F.col("p_size") * 100.0, "p_retailprice").alias("pct")), "SELECT p_partkey, p_size * 100.0::DOUBLE / nullif(p_retailprice, 0) AS pct FROM part")
-_case("m_interpret", "id, g", "(1, -0.1), (2, 0.03), (3, 0.07), (4, 0.12), (5, 0.2), (6, 0.4), (7, NULL)", lambda: N.read_growth(F.col("g")), "(1, 'shrinking'), (2, 'modest'), (3, 'moderate'), (4, 'demanding'), (5, 'very demanding'), (6, 'extreme'), (7, NULL)")
-_case("m_parse_band", "id, t", "(1, '100-105'), (2, '105'), (3, 'x')", lambda: N.band_ends(F.col("t"))[1], "(1, 105.0::DOUBLE), (2, 105.0), (3, NULL)")
 _add("m_dcf_solve", lambda s, d: fixture(s, "id, value, fcf, discount, terminal", SQ._DCF).filter("id = 1").select("id", F.round(N.implied_growth(*(F.col(c) for c in ("value", "fcf", "discount", "terminal")), 10), 6).alias("g")), "SELECT 1 AS id, 0.122836::DOUBLE AS g")
 _add("join_scenarios", lambda s, d: table(s, d, "part").select("p_partkey", F.explode(F.array(F.lit(0.3), F.lit(0.5))).alias("drop")).select("p_partkey", F.col("drop").cast("double").alias("drop")), "SELECT p_partkey, unnest([0.3::DOUBLE, 0.5::DOUBLE]) AS drop FROM part")
 
@@ -104,7 +98,6 @@ _add("snk_exit_code", lambda s, d: GQ.gate_live(s, d).groupBy("status").agg(F.co
 _add("dt_lockin", lambda s, d: GQ.cal_lockin(s, d).filter("error is null").select("id", "event", "date", F.row_number().over(Window.partitionBy("id").orderBy("date", "event")).alias("k")), f"SELECT id, event, date, row_number() OVER (PARTITION BY id ORDER BY date, event) AS k FROM ({GQ.ORACLE_SQL['cal_lockin']}) WHERE error IS NULL")
 _add("dt_lockin_guard", lambda s, d: GQ.cal_lockin(s, d).filter("error is not null").select("id", "error"), f"SELECT id, error FROM ({GQ.ORACLE_SQL['cal_lockin']}) WHERE error IS NOT NULL")
 _add("dt_local", lambda s, d: table(s, d, "events").select("event_id", F.hour(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Kolkata")).alias("h")), "SELECT event_id, CAST(hour(ts + INTERVAL 330 MINUTES) AS INT) AS h FROM events")
-_add("m_tdee", lambda s, d: P.plan_targets(fixture(s, GQ._PERSON, GQ._PEOPLE)).select("id", F.round("tdee", 3).alias("tdee")), "SELECT * FROM (VALUES (1, 2062.844::DOUBLE), (2, 1650.344), (3, 2910.938), (4, 3084.5), (5, 1486.8)) AS t(id, tdee)")
 _add("agg_count_if", lambda s, d: P.day_totals(GQ._items(s, d)).select("plan", "day", "protein_meals"), f"SELECT plan, day, protein_meals FROM {GQ._DAYS}")
 _add("agg_max_default", lambda s, d: P.day_totals(GQ._items(s, d)).select("plan", "day", "largest_meal"), f"SELECT plan, day, largest_meal FROM {GQ._DAYS}")
 _add("join_targets", lambda s, d: P.day_totals(GQ._items(s, d)).select("plan", "day", (F.col("kcal") - F.lit(1000.0)).alias("gap")), f"SELECT plan, day, kcal - 1000.0 AS gap FROM {GQ._DAYS}")
@@ -114,12 +107,10 @@ _add("m_swap_block", lambda s, d: table(s, d, "part").select("p_partkey", P.swap
 _add("j_lenient", lambda s, d: WQ._product_pages(s, d).select("page_id", W.lenient_json(W.json_ld("html")[0]).isNotNull().alias("ok")), f"SELECT p_partkey AS page_id, true AS ok FROM {WQ._P4}")
 _add("flt_substring_any", lambda s, d: table(s, d, "pages").select("page_id", B.contains_any("html", ["<footer", "<form"]).alias("r")), "SELECT page_id, contains(lower(html), '<footer') OR contains(lower(html), '<form') AS r FROM pages")
 _add("set_dedup_urls", lambda s, d: table(s, d, "pages").select(WQ._host().alias("host")).dropDuplicates(), f"SELECT DISTINCT {WQ._HOSTQ} AS host FROM pages")
-_JSON = """(1, '{"@type": "Product", "brand": {"name": "B"}, "offers": {"availability": "https://schema.org/InStock"}}'), (2, '{"@graph": [{"@type": ["Article", "NewsArticle"], "headline": "H"}, {"@type": "Person"}]}'), (3, '[{"@type": "Product", "brand": "C"}]')"""
 
-
-def _nodes(s: SparkSession) -> DataFrame:
-    """A list gives its elements, an object itself, a graph wrapper its children."""
-    f = fixture(s, "id, j", _JSON).withColumn("v", W.lenient_json(F.col("j")))
+def nodes_of(f: DataFrame) -> DataFrame:
+    """``f``: id, j. A list gives its elements, an object itself, a graph wrapper its children: id, pos, v."""
+    f = f.withColumn("v", W.lenient_json(F.col("j")))
     graph = F.try_variant_get("v", "$['@graph']", "variant")
     top = F.when(graph.isNotNull(), graph).otherwise(F.col("v"))
     many = F.startswith(F.schema_of_variant(top), F.lit("ARRAY"))
@@ -132,73 +123,20 @@ def _types(v: str = "v") -> Column:
     return F.coalesce(some, F.array(one))
 
 
-_add("j_array_or_one", lambda s, d: _nodes(s).groupBy("id").agg(F.count(F.lit(1)).alias("n")), "SELECT * FROM (VALUES (1, 1), (2, 2), (3, 1)) AS t(id, n)")
-_add("j_graph_flatten", lambda s, d: _nodes(s).select("id", "pos", F.array_join(_types(), ",").alias("types")), "SELECT * FROM (VALUES (1, 0, 'Product'), (2, 0, 'Article,NewsArticle'), (2, 1, 'Person'), (3, 0, 'Product')) AS t(id, pos, types)")
-_add("j_of_type", lambda s, d: _nodes(s).filter(F.array_contains(_types(), "Product")).select("id"), "SELECT * FROM (VALUES (1), (3)) AS t(id)")
-_add("agg_types_present", lambda s, d: _nodes(s).select("id", F.explode(_types()).alias("t")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("types")), "SELECT * FROM (VALUES (1, 'Product'), (2, 'Article,NewsArticle,Person'), (3, 'Product')) AS t(id, types)")
-_add("j_article", lambda s, d: _nodes(s).filter(F.array_contains(_types(), "Article")).select("id", F.try_variant_get("v", "$.headline", "string").alias("headline"), F.try_variant_get("v", "$.author.name", "string").alias("author")), "SELECT 2 AS id, 'H' AS headline, CAST(NULL AS VARCHAR) AS author")
-_add("j_as_name", lambda s, d: _nodes(s).filter("id <> 2").select("id", F.coalesce(F.try_variant_get("v", "$.brand.name", "string"), F.try_variant_get("v", "$.brand", "string")).alias("brand")), "SELECT * FROM (VALUES (1, 'B'), (3, 'C')) AS t(id, brand)")
-_add("j_last_segment", lambda s, d: _nodes(s).filter("id = 1").select("id", F.element_at(F.split(F.try_variant_get("v", "$.offers.availability", "string"), "/"), -1).alias("r")), "SELECT 1 AS id, 'InStock' AS r")
-_add("j_dig", lambda s, d: _nodes(s).select("id", "pos", F.when(F.try_variant_get("v", "$.headline", "string").isNull(), "missing: headline").alias("error")), "SELECT * FROM (VALUES (1, 0, 'missing: headline'), (2, 0, NULL), (2, 1, 'missing: headline'), (3, 0, 'missing: headline')) AS t(id, pos, error)")
 _add("topk_keys12", lambda s, d: table(s, d, "events").select("event_id", F.array_join(F.slice(F.array_sort(F.json_object_keys("props")), 1, 12), ",").alias("keys")), "SELECT event_id, array_to_string(list_slice(list_sort(json_keys(props)), 1, 12), ',') AS keys FROM events")
-_add("doc_anchor_priority", lambda s, d: fixture(s, "id, a", "(1, array('class', 'id')), (2, array('text', 'microdata')), (3, array('position'))").select("id", F.array_min(F.transform("a", lambda x: F.array_position(F.array(*(F.lit(k) for k in ("json-ld", "microdata", "id", "class", "text", "position"))), x))).alias("rank")), "SELECT * FROM (VALUES (1, 3), (2, 2), (3, 6)) AS t(id, rank)")
 
 # Text.
-_case("str_classify_heading", "id, l", "(1, 'WORK EXPERIENCE'), (2, 'Skills:'), (3, 'Hobbies')", lambda: T.classify_heading(F.col("l")), "(1, 'experience'), (2, 'skills'), (3, NULL)")
-_case("str_date_range", "id, l", "(1, 'Mar 2022 - Present'), (2, 'soon')", lambda: F.regexp_like("l", F.lit(T.DATE_RANGE)), "(1, true), (2, false)")
-_case("str_bad_date", "id, l", "(1, '2015-19'), (2, '2015 - 2019')", lambda: F.regexp_like("l", F.lit(T.BAD_DATE)), "(1, true), (2, false)")
-_case("str_date_styles", "id, l", "(1, '01/2020 Jan 2019'), (2, 'Jan 2019'), (3, '')", lambda: T.date_styles(F.col("l")), "(1, 2), (2, 1), (3, 0)")
-_case("str_weak_opener", "id, l", "(1, 'Responsible for x'), (2, 'Led x')", lambda: F.regexp_like("l", F.lit(T.WEAK_OPENER)), "(1, true), (2, false)")
-_case("str_creative_heading", "id, l", "(1, 'My Journey'), (2, 'Experience')", lambda: F.regexp_like("l", F.lit(r"(?i)^(?:my journey|where i.ve been|what i do|my toolbox|superpowers|the story so far)")), "(1, true), (2, false)")
-_case("str_rating_graphic", "id, l", "(1, 'Python ★★★☆'), (2, 'Python ★')", lambda: F.regexp_like("l", F.lit("[★☆⬤◯●○]{3,}")), "(1, true), (2, false)")
-_case("str_decorative", "id, l", "(1, '➢ did'), (2, '• did')", lambda: F.regexp_like("l", F.lit(r"^\s*[➢➤✓✔]")), "(1, true), (2, false)")
-_case("str_acronym_pairs", "id, l", "(1, 'ETL and Extract (ETL) SQL'), (2, 'none')", lambda: F.array_join(T.acronyms(F.col("l")), ","), "(1, 'ETL,SQL'), (2, '')")
-_case("str_placeholders", "id, l", "(1, '[Your Name] [your name] TBD'), (2, 'x')", lambda: F.array_join(T.placeholders(F.col("l")), ","), "(1, '[your name],tbd'), (2, '')")
-_case("str_good_filename", "id, l", "(1, 'Jo_Doe_Resume.docx'), (2, 'final2.pdf')", lambda: F.regexp_like("l", F.lit(r"(?i)^[A-Za-z]+[_ -][A-Za-z_ -]*resume\.[a-z]+$")), "(1, true), (2, false)")
-_case("str_fmt", "id, x", "(1, CAST(1234567890 AS DOUBLE)), (2, CAST(2500000 AS DOUBLE)), (3, CAST(999 AS DOUBLE))", lambda: T.money(F.col("x")), "(1, '$1.2B'), (2, '$2.5M'), (3, '$999')")
 _add("str_esc_xml", lambda s, d: table(s, d, "part").select("p_partkey", T.escape_xml(F.concat(F.lit('<"&'), "p_name")).alias("x")), "SELECT p_partkey, '&lt;&quot;&amp;' || p_name AS x FROM part")
 _add("str_col_ref", lambda s, d: table(s, d, "nation").select("n_nationkey", T.column_letters(F.col("n_nationkey")).alias("c")), "SELECT n_nationkey, chr(65 + n_nationkey) AS c FROM nation")
 _add("str_kebab", lambda s, d: table(s, d, "part").select("p_partkey", T.is_kebab(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("k")), "SELECT p_partkey, regexp_matches(replace(p_name, ' ', '-'), '^[a-z0-9]+(-[a-z0-9]+)*$') AND length(p_name) <= 64 AS k FROM part")
 _add("snk_default_name", lambda s, d: table(s, d, "part").select("p_partkey", T.resume_name(F.col("p_name")).alias("f")), "SELECT p_partkey, array_to_string(list_slice(regexp_extract_all(p_name, '[A-Za-z]+'), 1, 3), '_') || '_Resume.docx' AS f FROM part")
-_add("txt_role_entries", TQ.win_neighbour, TQ.ORACLE_SQL["win_neighbour"])
 _add("win_greedy_cover", TQ.txt_keywords, TQ.ORACLE_SQL["txt_keywords"])
 _add("agg_proper_set", lambda s, d: TQ.agg_term_freq(s, d).filter("proper").select("item_id", "term"), f"SELECT item_id, term FROM ({TQ.ORACLE_SQL['agg_term_freq']}) WHERE proper")
-_add("win_pair_tokens", TQ.src_pdf_form, TQ.ORACLE_SQL["src_pdf_form"])
-_add("doc_blockers", lambda s, d: D.triage(fixture(s, "id, valid, encrypted, xfa, form_fields, pages, images, est_chars", "(1, true, false, false, 0, 2, 2, 10.0), (2, true, true, false, 0, 1, 0, 900.0)")).select("id", F.array_join(F.array_compact(F.array(F.when(F.col("type").isin("SCANNED", "MIXED", "NO_TEXT_LAYER"), "ocr"), F.when(F.col("type") == "ENCRYPTED", "decryption"))), ",").alias("needs")), "SELECT * FROM (VALUES (1, 'ocr'), (2, 'decryption')) AS t(id, needs)")
-_add("flt_confusable_digits", lambda s, d: fixture(s, "id, c", "(1, '1O0'), (2, '100'), (3, 'l5'), (4, '12.50')").filter(F.regexp_like("c", F.lit("[0-9]")) & F.regexp_like("c", F.lit("[OoIlSB]"))).select("id"), "SELECT * FROM (VALUES (1), (3)) AS t(id)")
-_add("flt_required", lambda s, d: fixture(s, "id, name, mail", "(1, 'Jo', 'x@y'), (2, '', NULL), (3, NULL, 'z')").select("id", F.explode(F.array_compact(F.array(F.when(F.coalesce("name", F.lit("")) == "", "name"), F.when(F.coalesce("mail", F.lit("")) == "", "mail")))).alias("missing")), "SELECT * FROM (VALUES (2, 'name'), (2, 'mail'), (3, 'name')) AS t(id, missing)")
-_add("agg_max_gap", lambda s, d: fixture(s, "id, t", "(1, '/Count 3 /Count 12'), (2, 'none')").select("id", F.coalesce(F.array_max(F.transform(F.regexp_extract_all("t", F.lit(r"/Count (\d+)"), F.lit(1)), lambda x: x.cast("int"))), F.lit(0)).alias("pages")), "SELECT * FROM (VALUES (1, 12), (2, 0)) AS t(id, pages)")
 _add("agg_run_stats", lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(F.split("text", r"\s+")).alias("w")).groupBy("item_id").agg(F.avg(F.length("w")).alias("mean_run"), F.avg(F.when(F.length("w") <= 12, 1.0).otherwise(0.0)).alias("short_share")), r"SELECT item_id, avg(length(w)) AS mean_run, avg(CASE WHEN length(w) <= 12 THEN 1.0::DOUBLE ELSE 0.0 END) AS short_share FROM (SELECT item_id, unnest(string_split_regex(text, '\s+')) AS w FROM benchmark) GROUP BY 1")
 
 # Rows that belong together.
 _add("set_union_rows", lambda s, d: table(s, d, "region").select(F.lit("region").alias("source_file"), F.col("r_name").alias("name")).unionByName(table(s, d, "nation").select(F.lit("nation").alias("source_file"), F.col("n_name").alias("name"))), "SELECT 'region' AS source_file, r_name AS name FROM region UNION ALL SELECT 'nation', n_name FROM nation")
 _add("join_doc_lines", lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("lines")), "SELECT o_orderkey, count(*) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
-_LINES = "(1, 0, 'A one'), (1, 1, '  more'), (1, 2, 'B two'), (1, 3, '  and'), (1, 4, '  so on')"
-
-
-def _merged(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = fixture(s, "id, pos, l", _LINES).withColumn("rec", F.sum((~F.startswith("l", F.lit(" "))).cast("int")).over(order))
-    return rows.groupBy("id", "rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("l").alias("t")))), lambda x: x["t"]), " ").alias("text")).select("id", "text")
-
-
-_add("win_record_merge", _merged, "SELECT * FROM (VALUES (1, 'A one more'), (1, 'B two and so on')) AS t(id, text)")
-_STITCH = "(1, 1, 3), (1, 2, 3), (1, 3, 4), (1, 5, 4), (2, 1, 2)"
-
-
-def _stitched(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("id").orderBy("page")
-    rows = fixture(s, "id, page, cols", _STITCH)
-    new = F.coalesce((F.lag("page").over(order) != F.col("page") - 1) | (F.lag("cols").over(order) != F.col("cols")), F.lit(True))
-    rows = rows.withColumn("new", new).withColumn("grp", F.sum(F.col("new").cast("int")).over(order))
-    return rows.groupBy("id", "grp").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("pages")).select("id", "first", "pages")
-
-
-_add("join_page_stitch", _stitched, "SELECT * FROM (VALUES (1, 1, 2), (1, 3, 1), (1, 5, 1), (2, 1, 1)) AS t(id, first, pages)")
-_add("set_repeat_header_drop", lambda s, d: fixture(s, "id, r, c", "(1, 0, array('a','b')), (1, 1, array('1','2')), (1, 2, array('a','b')), (1, 3, array('3','4'))").withColumn("h", F.first("c").over(Window.partitionBy("id").orderBy("r"))).filter((F.col("r") == 0) | (F.col("c") != F.col("h"))).select("id", "r"), "SELECT * FROM (VALUES (1, 0), (1, 1), (1, 3)) AS t(id, r)")
 _add("topk_news5", lambda s, d: table(s, d, "events").withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))).filter("k <= 5").select("event_type", "k", "event_id"), "SELECT event_type, k, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 5")
 _add("flt_surprise_fresh", lambda s, d: table(s, d, "events").filter((F.col("value") > 100) & (F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))).select("event_id"), "SELECT event_id FROM events WHERE value > 100 AND ts >= TIMESTAMP '2024-01-20'")
 _add("m_exposure_share", lambda s, d: table(s, d, "part").select("p_partkey", B.safe_ratio(F.when(F.col("p_size") > 10, F.col("p_size").cast("double")), "p_retailprice").alias("r")), "SELECT p_partkey, CASE WHEN p_size > 10 THEN p_size::DOUBLE END / nullif(p_retailprice, 0) AS r FROM part")
-_SUBS = "(1, 'QIB', CAST(5.0 AS DOUBLE)), (1, 'NII', CAST(2.0 AS DOUBLE)), (1, 'Retail', CAST(9.0 AS DOUBLE)), (2, 'Retail', CAST(3.0 AS DOUBLE))"
-_add("agg_subscription", lambda s, d: fixture(s, "id, cat, x", _SUBS).groupBy("id").pivot("cat", ["QIB", "NII", "Retail"]).max("x").select("id", F.when(F.col("QIB").isNull(), "no institutional figure").when((F.col("QIB") < 1) & (F.col("Retail") >= 1), "retail only").otherwise("institutional").alias("reading")), "SELECT * FROM (VALUES (1, 'institutional'), (2, 'no institutional figure')) AS t(id, reading)")
-_add("win_gmp_trend", lambda s, d: fixture(s, "id, day, gmp", "(1, 1, 10.0), (1, 2, 12.0), (1, 3, 9.0), (2, 1, 5.0)").select("id", "day", F.signum((F.col("gmp") - F.lag("gmp").over(Window.partitionBy("id").orderBy("day"))).cast("double")).cast("int").alias("direction")), "SELECT * FROM (VALUES (1, 1, NULL), (1, 2, 1), (1, 3, -1), (2, 1, NULL)) AS t(id, day, direction)")

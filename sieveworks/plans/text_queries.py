@@ -17,10 +17,6 @@ def str_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(n).alias("md5"), F.length(n).cast("long").alias("n"))
 
 
-def str_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, "id, t", "(1, '“a”  –  ‘b’'), (2, 'ﬁne…'), (3, 'plain')").select("id", T.clean("t").alias("text"))
-
-
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines("text")).alias("pos", "line"))
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.trim("line") == "").alias("blank"))
@@ -58,19 +54,6 @@ def chk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.audit(_resumes(spark)).groupBy("grp").agg(F.sum("possible").alias("possible"), F.count(F.lit(1)).alias("rows"))
 
 
-def txt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.sections(_resumes(spark).filter("id = 1"), "id", "text").select("pos", "section", "is_heading")
-
-
-def win_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.neighbour_dates(D.sections(_resumes(spark).filter("id = 1"), "id", "text")).filter("near_date").select("pos", "dated")
-
-
-def str_is_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, l", "(1, 'WORK EXPERIENCE'), (2, 'Technical Skills'), (3, 'I did this and that'), (4, '• Bullet Point'), (5, 'Acme, Berlin'), (6, 'May 2019'), (7, ''), (8, 'Education:'), (9, 'A Very Long Heading With Many Many Words')")
-    return f.select("id", T.is_heading(F.col("l")).alias("heading"), T.classify_heading(F.col("l")).alias("key"))
-
-
 def flt_regex_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_like(t, F.lit(T.EMAIL)).alias("email"), F.regexp_count(t, F.lit(T.EMAIL)).cast("long").alias("emails"), F.regexp_like(t, F.lit(T.PLACEHOLDER)).alias("placeholder"))
@@ -90,16 +73,6 @@ def join_wheres_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"), "rate")
 
 
-def str_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, t", "(1, 'Mar 2022 - Present'), (2, '2015-19'), (3, '01/2020 to 2021, Jan 2019'), (4, 'none')")
-    return f.select("id", F.regexp_like("t", F.lit(T.DATE_RANGE)).alias("range"), F.regexp_like("t", F.lit(T.BAD_DATE)).alias("bad"), T.date_styles(F.col("t")).alias("styles"))
-
-
-def str_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = T.bullets(T.lines("text"))
-    return _resumes(spark).select("id", F.size(b).cast("long").alias("bullets"), F.size(F.filter(b, lambda x: F.regexp_like(F.regexp_replace(x, "^[^A-Za-z]+", ""), F.lit(T.WEAK_OPENER)))).cast("long").alias("weak"), F.array_join(T.placeholders(F.col("text")), "|").alias("placeholders"), F.array_join(T.acronyms(F.col("text")), ",").alias("acronyms"))
-
-
 def str_tool_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixture(spark, "id, l", "(1, array('Core tools: Spark, SQL; R', 'Git | dbt')), (2, array('a, bb'))")
     return f.select("id", F.array_join(T.tool_tokens(F.col("l")), "/").alias("tokens"))
@@ -110,26 +83,6 @@ def str_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", T.column_letters(F.col("p_partkey")).alias("col"), T.sheet_name(F.col("p_type")).alias("sheet"), T.escape_xml(F.concat(F.lit('<a & "'), F.col("p_name"))).alias("xml"), T.file_stem(F.col("p_name")).alias("stem"), T.is_kebab(F.lower("p_brand")).alias("kebab"), T.resume_name(F.col("p_name")).alias("file"))
 
 
-def str_safe_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "book, pos, name", "(1, 0, 'Table/1'), (1, 1, 'table:1'), (1, 2, 'TABLE*1'), (1, 3, 'a name that is much longer than thirty-one'), (1, 4, 'a name that is much longer than thirty-two'), (2, 0, 'Table/1')")
-    return D.unique_sheet_names(f)
-
-
-def a_number_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, c", "(1, '1,234.50'), (2, '007'), (3, '1234567890123456'), (4, '-12'), (5, 'abc'), (6, ' 42 '), (7, '12,34'), (8, '1234567.89'), (9, '')")
-    return f.select("id", T.as_number(F.col("c")).alias("num"), T.keep_as_text(F.col("c")).alias("text"))
-
-
-def a_neg_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, c", "(1, '(1,234.00)'), (2, '1,234-'), (3, '1.234,56'), (4, '12,34,567'), (5, '-5'), (6, 'x')")
-    return f.select("id", T.signed_number(F.col("c")).alias("num"))
-
-
-def str_pdf_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, tok, two", r"(1, '<00410042>', true), (2, '<4142>', false), (3, '(ab\\(c)', false), (4, '(\\101b)', false)")
-    return f.select("id", T.pdf_string_length(F.col("tok"), F.col("two")).alias("n"))
-
-
 def str_encoding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(T.mojibake(F.col("text"))).alias("mojibake"), F.count_if(F.regexp_like("text", F.lit("​"))).alias("zero_width"))
 
@@ -157,22 +110,6 @@ def doc_batch_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.batch_account(r)
 
 
-def doc_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, pdftotext, plumber, pypdf", "(1, 'a', 'b', 'c'), (2, ' ', 'b', 'c'), (3, CAST(NULL AS STRING), '', 'c'), (4, CAST(NULL AS STRING), '', ' ')")
-    text, name = D.first_text("pdftotext", "plumber", "pypdf")
-    return f.select("id", text.alias("text"), name.alias("method"))
-
-
-def src_pdf_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, body", r"(1, '/T (name) /V (Jo \\(x\\)) /T (lost) /T (city) /V (Rome) /T (name) /V (Ann)'), (2, 'nothing')")
-    return D.form_fields(f)
-
-
-def a_fields_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, fields", "(1, map('a', 'x', 'b', 'y')), (2, map('b', 'z', 'c', 'w'))")
-    return D.fields_matrix(f)
-
-
 def src_page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\f").alias("t"))
     p = D.pages_of(d, "conv_id", "t").filter("page BETWEEN 1 AND 2")
@@ -189,11 +126,6 @@ def agg_latency_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)).alias("ok"), F.round(p[0], 6).alias("median"), F.round(p[1], 6).alias("p95"))
 
 
-def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fixture(spark, "id, a, b", "(1, array('x','y','x'), array('y','z')), (2, array('q'), array('q')), (3, array('k'), array('m'))")
-    return f.select("id", F.array_join(F.array_distinct("a"), "").alias("dedup"), F.array_join(F.array_intersect("a", "b"), "").alias("common"), F.array_join(F.array_except("a", "b"), "").alias("diff"), (F.size(F.array_except("a", "b")) == 0).alias("subset"))
-
-
 def agg_dup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
@@ -208,7 +140,7 @@ def agg_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = r"(SELECT item_id, s, g, regexp_extract_all(s, '([A-Za-z][A-Za-z0-9+#.\-]*)', 1) AS w FROM (SELECT item_id, unnest(string_split_regex(text, '[.;:,\n()\[\]/|•]+')) AS s, generate_subscripts(string_split_regex(text, '[.;:,\n()\[\]/|•]+'), 1) AS g FROM benchmark))"
 _STOPS = ", ".join(f"'{x}'" for x in D.STOPWORDS + D.BOILERPLATE)
 _WORDS = f"(SELECT item_id, g, i, x, lower(x) NOT IN ({_STOPS}) AND length(x) >= 2 AS ok, i > 1 AND regexp_matches(x, '^[A-Z]|^.+[A-Z]') AS proper FROM (SELECT item_id, g, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM {_W}))"
-QUERIES = {f.__name__: f for f in (str_norm, str_clean, doc_lines, agg_term_freq, txt_keywords, txt_audit, agg_score_pct, chk_report, txt_sections, win_neighbour, str_is_heading, flt_regex_presence, flt_digits_min, flt_word_boundary, join_wheres_term, str_dates, str_bullets, str_names, str_safe_sheet, a_number_typing, a_neg_numbers, str_pdf_len, str_encoding_checks, doc_tables, doc_triage, doc_batch_account, doc_route, src_pdf_form, a_fields_matrix, src_page_range, agg_count_by_type, agg_latency_trial, set_ops, agg_dup_names, agg_reconcile)}
+QUERIES = {f.__name__: f for f in (str_norm, doc_lines, agg_term_freq, txt_keywords, txt_audit, agg_score_pct, chk_report, flt_regex_presence, flt_digits_min, flt_word_boundary, join_wheres_term, str_names, str_encoding_checks, doc_tables, doc_triage, doc_batch_account, src_page_range, agg_count_by_type, agg_latency_trial, agg_dup_names, agg_reconcile)}
 _UNI = r"[ \t\n\x0B\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _HAS = r"regexp_matches(text, '(^|[^\pL\pN\pM_])license([^\pL\pN\pM_]|$)')"
 _TERMS = [("the", "the"), ("der", "der"), ("license", "license"), ("absent-term", "absent-term")]
@@ -216,40 +148,25 @@ _HIT = {t: rf"regexp_matches(text, '(^|[^\pL\pN\pM_]){t}([^\pL\pN\pM_]|$)')" for
 QUERIES["str_skill_tokens"] = str_tool_tokens  # the inventory's name of the step
 ORACLE_SQL = {
     "str_norm": f"SELECT conv_id, turn, md5(n) AS md5, length(n) AS n FROM (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '{_UNI}', ' ', 'g')) AS n FROM conversations)",
-    "str_clean": "SELECT * FROM (VALUES (1, '\"a\" - ''b'''), (2, 'fine...'), (3, 'plain')) AS t(id, text)",
     "doc_lines": r"SELECT doc_id, count(*) AS lines, count_if(trim(line) = '') AS blank FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]')) AS line FROM documents) GROUP BY 1",
     "agg_term_freq": f"""SELECT item_id, term, words, count(*) AS n, bool_or(proper) AS proper FROM (SELECT item_id, lower(x) AS term, 1 AS words, proper FROM {_WORDS} WHERE ok UNION ALL
       SELECT a.item_id, lower(a.x || ' ' || b.x), 2, a.proper OR b.proper FROM {_WORDS} AS a JOIN {_WORDS} AS b ON a.item_id = b.item_id AND a.g = b.g AND b.i = a.i + 1 WHERE a.ok AND b.ok) GROUP BY 1, 2, 3""",
     "txt_keywords": "SELECT * FROM (VALUES (1, 1, 'spark'), (1, 2, 'apache'), (1, 3, 'kafka'), (1, 4, 'python'), (1, 5, 'need apache'), (1, 6, 'data'), (1, 7, 'pipelines'), (1, 8, 'need'), (2, 1, 'python'), (2, 2, 'sql')) AS t(id, place, term)",
-    "txt_sections": "SELECT * FROM (VALUES (0, 'header', false), (1, 'header', false), (2, 'summary', true), (3, 'summary', false), (4, 'experience', true), (5, 'experience', false), (6, 'experience', false), (7, 'experience', false), (8, 'experience', false), (9, 'experience', false), (10, 'education', true), (11, 'education', false), (12, 'skills', true), (13, 'skills', false), (14, 'skills', false)) AS t(pos, section, is_heading)",
-    "win_neighbour": "SELECT * FROM (VALUES (4, false), (5, true), (6, false), (7, false), (8, true), (9, false)) AS t(pos, dated)",
     "chk_report": "SELECT * FROM (VALUES ('contact', 48.0::DOUBLE, 12), ('sections', 54.0, 12), ('entries', 60.0, 6), ('dates', 30.0, 6), ('bullets', 36.0, 9), ('tools', 30.0, 9), ('file', 42.0, 15)) AS t(grp, possible, rows)",
-    "str_is_heading": "SELECT * FROM (VALUES (1, true, 'experience'), (2, true, 'skills'), (3, false, NULL), (4, false, NULL), (5, false, NULL), (6, false, NULL), (7, false, NULL), (8, true, 'education'), (9, false, NULL)) AS t(id, heading, key)",
     "flt_regex_presence": rf"SELECT doc_id, regexp_matches(text, '{T.EMAIL}') AS email, len(regexp_extract_all(text, '{T.EMAIL}')) AS emails, regexp_matches(text, '{T.PLACEHOLDER.replace(chr(39), chr(39) * 2)}') AS placeholder FROM documents",
     "flt_digits_min": rf"SELECT doc_id, len(list_filter(regexp_extract_all(text, '{T.PHONE}'), lambda x: length(regexp_replace(x, '\D', '', 'g')) >= 8)) AS phones FROM documents",
     "flt_word_boundary": f"SELECT doc_id, {_HAS} AS has, contains(lower(text), 'license') OR contains(lower(text), 'rights reserved') AS any FROM documents",
     "join_wheres_term": "SELECT doc_id AS id, concat_ws(',', " + ", ".join(f"CASE WHEN {h} THEN '{t}' END" for t, h in _HIT.items()) + ") AS matched, concat_ws(',', " + ", ".join(f"CASE WHEN NOT {h} THEN '{t}' END" for t, h in _HIT.items()) + ") AS missing, (" + " + ".join(f"CAST({h} AS INT)" for h in _HIT.values()) + ") / 4.0::DOUBLE * 100.0 AS rate FROM documents",
-    "str_dates": "SELECT * FROM (VALUES (1, true, false, 1), (2, false, true, 0), (3, true, false, 2), (4, false, false, 0)) AS t(id, range, bad, styles)",
-    "str_bullets": "SELECT * FROM (VALUES (1, 3, 0, '', 'ETL,SQL'), (2, 0, 0, '', ''), (3, 0, 0, '[your name here]', '')) AS t(id, bullets, weak, placeholders, acronyms)",
-    "str_skill_tokens": "SELECT * FROM (VALUES (1, 'Spark/SQL/Git/dbt'), (2, 'bb')) AS t(id, tokens)",
     "str_names": r"""SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr(65 + CAST(p_partkey AS INT)) WHEN p_partkey < 702 THEN chr(65 + CAST((p_partkey - 26) // 26 AS INT)) || chr(65 + CAST((p_partkey - 26) % 26 AS INT)) ELSE chr(65 + CAST((p_partkey - 702) // 676 AS INT)) || chr(65 + CAST((p_partkey - 702) // 26 % 26 AS INT)) || chr(65 + CAST((p_partkey - 702) % 26 AS INT)) END AS col, substr(regexp_replace(p_type, '[\[\]:*?/\\]', '_', 'g'), 1, 31) AS sheet,
       '&lt;a &amp; &quot;' || replace(replace(p_name, '&', '&amp;'), '<', '&lt;') AS xml, substr(regexp_replace(p_name, '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 60) AS stem, regexp_matches(lower(p_brand), '^[a-z0-9]+(-[a-z0-9]+)*$') AS kebab, array_to_string(list_slice(regexp_extract_all(p_name, '[A-Za-z]+'), 1, 3), '_') || '_Resume.docx' AS file FROM part""",
-    "str_safe_sheet": "SELECT * FROM (VALUES (1, 0, 'Table_1'), (1, 1, 'table_1_2'), (1, 2, 'TABLE_1_3'), (1, 3, 'a name that is much longer than'), (1, 4, 'a name that is much longer th_2'), (2, 0, 'Table_1')) AS t(book, place, sheet)",
-    "a_number_typing": "SELECT * FROM (VALUES (1, 1234.5::DOUBLE, false), (2, NULL, true), (3, NULL, true), (4, -12, false), (5, NULL, false), (6, 42, false), (7, NULL, false), (8, 1234567.89, false), (9, NULL, false)) AS t(id, num, text)",
-    "a_neg_numbers": "SELECT * FROM (VALUES (1, -1234.0::DOUBLE), (2, -1234), (3, 1234.56), (4, 1234567), (5, -5), (6, NULL)) AS t(id, num)",
-    "str_pdf_len": "SELECT * FROM (VALUES (1, 2), (2, 2), (3, 4), (4, 2)) AS t(id, n)",
     "str_encoding_checks": "SELECT lang, count_if(regexp_matches(text, 'Ã[\u0080-¿]|â€|Â[\u0080-¿]|�')) AS mojibake, count_if(contains(text, '​')) AS zero_width FROM documents GROUP BY 1",
     "doc_tables": "SELECT s_nationkey AS id, 0::INT AS page, count(*) AS n_rows, 3::INT AS n_cols, 'high' AS confidence, false AS sparse, arg_min(s_name, s_suppkey) AS first_cell FROM supplier GROUP BY 1 HAVING count(*) >= 3",
     "doc_triage": """SELECT type, CASE type WHEN 'SCANNED' THEN 'ocr' WHEN 'NO_TEXT_LAYER' THEN 'ocr' WHEN 'MIXED' THEN 'text and ocr' WHEN 'TEXT' THEN 'text' WHEN 'FORM' THEN 'text' ELSE 'none' END AS route, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 11 = 0 THEN 'NOT_A_PDF' WHEN p_partkey % 13 = 0 THEN 'ENCRYPTED' WHEN p_partkey % 17 = 0 THEN 'XFA_FORM' WHEN per < 50 AND share >= 0.8 THEN 'SCANNED' WHEN per < 50 THEN 'NO_TEXT_LAYER' WHEN per < 350 AND share >= 0.5 THEN 'MIXED' WHEN p_partkey % 3 > 0 THEN 'FORM' ELSE 'TEXT' END AS type
       FROM (SELECT *, p_retailprice * 2 / (p_size % 7 + 1) AS per, (p_size % 5)::DOUBLE / (p_size % 7 + 1) AS share FROM part)) GROUP BY 1, 2""",
     "doc_batch_account": "SELECT count(*) AS inputs, count_if(page_id % 9 <> 0) AS ok, count_if(page_id % 9 = 0) AS failed, true AS reconciled FROM pages",
-    "doc_route": "SELECT * FROM (VALUES (1, 'a', 'pdftotext'), (2, 'b', 'plumber'), (3, 'c', 'pypdf'), (4, NULL, NULL)) AS t(id, text, method)",
-    "src_pdf_form": "SELECT * FROM (VALUES (1, 'name', 'Ann'), (1, 'city', 'Rome')) AS t(id, name, value)",
-    "a_fields_matrix": "SELECT * FROM (VALUES (1, 'a', 'x'), (1, 'b', 'y'), (1, 'c', ''), (2, 'a', ''), (2, 'b', 'z'), (2, 'c', 'w')) AS t(id, key, value)",
     "src_page_range": "SELECT conv_id, CAST(page AS INT) AS page, length(text) AS n FROM (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS page FROM conversations) WHERE page BETWEEN 1 AND 2",
     "agg_count_by_type": "SELECT event_type, n, row_number() OVER (ORDER BY n DESC, event_type) AS place FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)",
     "agg_latency_trial": "SELECT event_type, avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0.0 END) AS ok, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1",
-    "set_ops": "SELECT * FROM (VALUES (1, 'xy', 'y', 'x', false), (2, 'q', 'q', '', true), (3, 'k', '', 'k', false)) AS t(id, dedup, common, diff, subset)",
     "agg_dup_names": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
     "agg_reconcile": "SELECT o_orderkey, n, abs(o_totalprice - lines) < 0.01 AS agrees FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS lines, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey",
 }
