@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,6 +281,27 @@ def brute_contaminated(docs, items, length=8, min_words=4):
     return found
 
 
+def test_decontamination_of_one_template_is_a_class(spark):
+    items = [(k, f"Anna bought {k * 3 + 7} apples and {k * 5 + 11} pears at the market, how many did she carry home") for k in range(1_500)]
+    items += [(5_000 + k, f"Which of the following is true about the {'abcdefgh'[k % 8]}{k}w and {'xyz'[k % 3]}{k}w of an old mill{k}w near every bridge{k}w") for k in range(1_500)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, " ".join(f"Anna bought {k} apples and {k + 1_000} pears at the market, how many did she carry home." for k in range(300))), (2, "which of the following is true about the mill and " * 200), (3, items[1_507][1] + " and more"), (4, "Anna bought 5 apples and 5 pears at the market, how many did she carry home")]
+    began = time.perf_counter()
+    got = sorted((r.doc_id, r.item_id, r.n_items) for r in decontam.contaminated_classes(frame(spark, rows), bench).collect())
+    took = time.perf_counter() - began
+    assert got == [(1, 0, 1_500), (3, 5_007, 1)] and took < 60, (got, took)
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench).collect()) == [(1, k) for k in range(1_500)] + [(3, 5_007)]
+
+
+def test_tiny_items_are_no_evidence(spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "42"), (3, "Yes, it is 42."), (4, "to be or not to be")], "item_id long, text string")
+    rows = [(1, "the cat and the dog"), (2, "it was 42 then"), (3, "Yes, it is 42."), (4, "that is to be or not to be asked"), (5, None)]
+    docs = frame(spark, rows)
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated_classes(docs, bench).collect()] == [(4, 4)]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench, least_tokens=decontam.EVIDENCE).collect()) == [1, 2, 3, 5]
+    assert sorted((r.doc_id, r.item_id) for r in decontam.short_matches(docs, bench).collect()) == [(1, 1), (2, 2), (3, 2), (3, 3)]
+
+
 def test_decontamination_is_brute_force_on_slots(spark):
     rng = random.Random(18)
     names, units, words = ["Ann", "Bob", "Cleo", "Dan"], ["km", "kg", "dollars", "hours"], ["runs", "buys", "and", "then", "for", "with", "apples", "takes", "sees", "at"]
