@@ -28,9 +28,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go. Null and empty texts hold none; rows with a null doc_id
+    """Documents that hold an item of the benchmark go; items of fewer than five tokens are no evidence. Null and empty texts hold none; rows with a null doc_id
     stay; an empty benchmark lets all pass."""
-    return decontam.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    return decontam.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"), least_tokens=decontam.EVIDENCE)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
