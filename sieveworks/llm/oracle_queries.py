@@ -26,13 +26,17 @@ def _spans(pattern: str, kind: int, keep: str) -> str:
     return f"(SELECT doc_id, s AS \"start\", {kind} AS kind, s + length(body) AS \"end\", body FROM (SELECT doc_id, m[i] AS body, CAST({start} AS BIGINT) AS s FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, {m} AS m, {g} AS g FROM d))) WHERE {keep})"
 
 
-_KIND = "CASE WHEN regexp_full_match(body, '[0-9a-f]+|[0-9A-F]+') AND regexp_matches(body, '[0-9]') AND regexp_matches(body, '[a-zA-Z]') THEN 3.0 WHEN regexp_matches(body, '[a-z]') AND regexp_matches(body, '[A-Z]') AND regexp_matches(body, '[0-9]') THEN CASE WHEN regexp_matches(body, '[+/_=-]') THEN 3.7 ELSE 3.6 END END"
+_LOWER_IN, _UPPER_IN, _DIGIT_IN, _MARK_IN, _LONG = "regexp_matches(body, '[a-z]')", "regexp_matches(body, '[A-Z]')", "regexp_matches(body, '[0-9]')", "regexp_matches(body, '[+/_=-]')", f"length(body) >= {secrets.WINDOW}"
+_KIND = f"""CASE WHEN regexp_full_match(body, '[0-9a-f]+|[0-9A-F]+') AND {_DIGIT_IN} AND regexp_matches(body, '[a-zA-Z]') THEN 3.0 WHEN {_LOWER_IN} AND {_UPPER_IN} AND {_DIGIT_IN} AND {_MARK_IN} THEN CASE WHEN {_LONG} THEN 3.7 END WHEN {_MARK_IN} THEN NULL
+ WHEN {_LOWER_IN} AND {_UPPER_IN} AND {_DIGIT_IN} THEN CASE WHEN {_LONG} THEN 3.6 ELSE 3.75 END WHEN {_UPPER_IN} AND {_DIGIT_IN} THEN CASE WHEN {_LONG} THEN 3.6 ELSE 3.75 END WHEN {_LOWER_IN} AND {_DIGIT_IN} THEN 3.9 WHEN {_LOWER_IN} AND {_UPPER_IN} THEN CASE WHEN {_LONG} THEN 4.1 END END"""
+_WIDE = f"least({secrets.WINDOW}, length(body))"
+_HIGH = f"list_filter(range(0, length(body) - {_WIDE} + 1), lambda k: list_entropy(string_split(substr(body, k + 1, {_WIDE}), '')) >= lim AND NOT regexp_matches(substr(' ' || body || ' ', k + 1, {_WIDE} + 2), {_quoted(secrets.EXAMPLES)}) AND NOT regexp_matches(substr(body, k + 1, {_WIDE}), {_quoted(secrets.STRETCHES)}))"
 _LINE = "string_agg(['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || \"start\" || ':' || \"end\", ',' ORDER BY \"start\", kind)"
 OP2 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  base AS (SELECT * FROM {_spans(secrets.ASSIGN, 0, f"length(regexp_extract(body, {_quoted(secrets.ASSIGN)}, 2)) >= 12")} UNION ALL SELECT * FROM {_spans(secrets.ACCESS, 1, 'length(body) >= 18')} UNION ALL SELECT * FROM {_spans(secrets.HEX, 2, 'true')}),
- cand AS (SELECT *, {_KIND} AS lim FROM {_spans(secrets.CANDIDATE, 3, f"NOT regexp_matches(body, {_quoted(secrets.ALLOWED)})")}),
- high AS (SELECT doc_id, "start", kind, list_filter(range(0, length(body) - {secrets.WINDOW - 1}), lambda k: list_entropy(string_split(substr(body, k + 1, {secrets.WINDOW}), '')) >= lim) AS h FROM cand WHERE lim IS NOT NULL),
- added AS (SELECT doc_id, "start" + h[1] AS "start", kind, "start" + h[-1] + {secrets.WINDOW} AS "end" FROM high WHERE len(h) > 0),
+ cand AS (SELECT *, {_KIND} AS lim FROM {_spans(secrets.CANDIDATE, 3, f"NOT regexp_matches(body, {_quoted(secrets.UUID)})")}),
+ high AS (SELECT doc_id, "start", kind, least({secrets.WINDOW}, length(body)) AS wide, {_HIGH} AS h FROM cand WHERE lim IS NOT NULL),
+ added AS (SELECT doc_id, "start" + h[1] AS "start", kind, "start" + h[-1] + wide AS "end" FROM high WHERE len(h) > 0),
  fresh AS (SELECT a.* FROM added AS a WHERE NOT EXISTS (SELECT 1 FROM base AS b WHERE b.doc_id = a.doc_id AND b."start" < a."end" AND a."start" < b."end")),
  sums AS (SELECT doc_id, count_if(kind = 0) AS a, count_if(kind = 1) AS c, count_if(kind = 2) AS h, {_LINE} AS line FROM base GROUP BY 1),
  lines AS (SELECT doc_id, {_LINE} AS line FROM (SELECT doc_id, "start", kind, "end" FROM base UNION ALL SELECT * FROM fresh) GROUP BY 1)

@@ -5,17 +5,22 @@ Everything is DataFrame expressions over one text at a time; nothing is shuffled
 Spans. The matches of a pattern and the gaps between them (from split by the same pattern) alternate, so
 running sums of their lengths give positions in code points.
 
-Entropy. Candidates are runs of letters, digits and ``+/_=-`` of 20 characters or more. Over each, a
-window of 20 characters slides with counts of its characters; when one character enters and one leaves,
-only their two terms c * log2(c) change. A window is suspicious if its entropy reaches the limit of its
-character class, and the class asks for a mix that words of a language don't have:
-
-    hex       0-9a-f or 0-9A-F with letters and digits      3.0 bits
-    alnum     lower, upper case and digits                  3.6 bits
-    base64    the same and one of + / _ - =                 3.7 bits
-
-Suspicious windows of a candidate that touch make one span. Candidates on the allow-list (UUIDs,
-examples and placeholders, runs of the alphabet) are suppressed, as are spans that meet a pattern's.
+Entropy. Candidates are runs of letters, digits and ``+/_=-`` of 16 characters or more. Over each, a
+window of 20 characters (of the whole run if it is shorter) slides with counts of its characters; when one character
+enters and one leaves, only their two terms c * log2(c) change. A window is suspicious if its entropy reaches the
+limit of the run's character class, in bits; runs of fewer than 20 characters have limits of their own:
+
+    class                                              20 or more    fewer
+    hex: 0-9a-f or 0-9A-F, letters and digits          3.0           3.0
+    lower, upper case and digits                       3.6           3.75
+    the same with one of + / _ - =                     3.7           -
+    upper case and digits                              3.6           3.75
+    lower case and digits                              3.9           3.9
+    lower and upper case                               4.1           -
+
+Other runs are words, paths and names. A window that holds an allowed stretch is suppressed, not the run: a word for
+examples that has no letter beside it, or a run of the alphabet or of digits. UUIDs are suppressed whole. Suspicious
+windows of a candidate make one span, from the first to the last, unless it meets a pattern's span.
 """
 
 from __future__ import annotations
@@ -33,11 +38,14 @@ def _any_case(word: str) -> str:
 ASSIGN = rf"""({"|".join(_any_case(w) for w in ("password", "passwd", "secret", "token"))}|{_any_case("api")}_?{_any_case("key")})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the same spans as [0-9a-f]+ of 16 or more: a run is matched whole or not at all
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0123456789|123456789|abcdefgh|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Words that stand in examples, and stretches that are no secret; UUIDs.
+EXAMPLES = r"(?i)[^a-z](?:example|sample|dummy|placeholder|changeme|your)[^a-z]"
+STRETCHES = r"(?i)xxxx|0123456789|123456789|abcdefgh"
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-LIMITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
+SHORTEST = 16
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
@@ -58,15 +66,22 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
 
 
 def _class_limit(body: Column) -> Column:
+    """The limit of a candidate's class; null for runs that are no candidates."""
     lower, upper, digit = (F.regexp_like(body, F.lit(p)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
     hexes = F.regexp_like(body, F.lit("^([0-9a-f]+|[0-9A-F]+)$")) & digit & (lower | upper)
-    marks = F.regexp_like(body, F.lit("[+/_=-]"))
-    return F.when(hexes, LIMITS["hex"]).when(lower & upper & digit, F.when(marks, LIMITS["base64"]).otherwise(LIMITS["alnum"]))
+    marks, long = F.regexp_like(body, F.lit("[+/_=-]")), F.length(body) >= WINDOW
+    return (
+        F.when(hexes, 3.0).when(lower & upper & digit & marks, F.when(long, 3.7)).when(marks, F.lit(None).cast("double")).when(lower & upper & digit, F.when(long, 3.6).otherwise(3.75))
+        .when(upper & digit, F.when(long, 3.6).otherwise(3.75)).when(lower & digit, 3.9).when(lower & upper, F.when(long, 4.1))
+    )
 
 
 def window_entropy_span(body: Column, limit: Column) -> Column:
-    """struct<first, last>: first character of the first window at or above the limit, end (exclusive) of
-    the last; null if there is none. Positions count from 0."""
+    """struct<first, last>: first character of the first window at or above the limit that holds no allowed stretch,
+    end (exclusive) of the last; null if there is none. Positions count from 0."""
+    width = F.least(F.lit(WINDOW), F.length(body))
+    most = F.element_at(F.array(*(F.lit(math.log2(n)) for n in range(SHORTEST, WINDOW + 1))), width - (SHORTEST - 1))
+    around = F.concat(F.lit(" "), body, F.lit(" "))
     terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)))
     start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
@@ -78,14 +93,15 @@ def window_entropy_span(body: Column, limit: Column) -> Column:
         return F.concat(F.slice(counts, F.lit(1), code), F.array(F.element_at(counts, code + 1) + delta), F.slice(counts, code + 2, F.lit(128)))
 
     def step(acc: Column, i: Column) -> Column:
-        out, into = F.ascii(F.substring(body, i - WINDOW, F.lit(1))), F.ascii(F.substring(body, i, F.lit(1)))
-        full = i > WINDOW
+        out, into = F.ascii(F.substring(body, i - width, F.lit(1))), F.ascii(F.substring(body, i, F.lit(1)))
+        full = i > width
         left = F.when(full, bump(acc["n"], out, -1)).otherwise(acc["n"])
         s = acc["s"] + F.when(full, term(acc["n"], out, -1)).otherwise(F.lit(0.0)) + term(left, into, 1)
-        high = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - s / WINDOW >= limit)
+        allowed = F.regexp_like(F.substring(around, i - width + 1, width + 2), F.lit(EXAMPLES)) | F.regexp_like(F.substring(body, i - width + 1, width), F.lit(STRETCHES))
+        high = F.when((i >= width) & (most - s / width >= limit), ~allowed).otherwise(False)
         return F.struct(
             bump(left, into, 1).alias("n"), s.alias("s"),
-            F.when(high & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"), F.when(high, i).otherwise(acc["last"]).alias("last"),
+            F.when(high & (acc["first"] < 0), i - width).otherwise(acc["first"]).alias("first"), F.when(high, i).otherwise(acc["last"]).alias("last"),
         )
 
     return F.aggregate(F.sequence(F.lit(1), F.length(body)), start, step, lambda acc: F.when(acc["first"] >= 0, F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
@@ -105,7 +121,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "assign": F.filter(_spans(text, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["body"], ASSIGN, 2)) >= 12),
         "access": F.filter(_spans(text, ACCESS, 1), lambda x: F.length(x["body"]) >= 18),
         "hex": _spans(text, HEX, 2),
-        "cand": F.filter(_spans(text, CANDIDATE, 3), lambda x: _class_limit(x["body"]).isNotNull() & ~F.regexp_like(x["body"], F.lit(ALLOWED))),
+        "cand": F.filter(_spans(text, CANDIDATE, 3), lambda x: _class_limit(x["body"]).isNotNull() & ~F.regexp_like(x["body"], F.lit(UUID))),
     })
     plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     rows = rows.withColumn("base", F.array_sort(F.concat(plain("assign"), plain("access"), plain("hex"))))
