@@ -163,17 +163,24 @@ def vendors_in(body: Column) -> Column:
     return F.array_compact(F.array(*(F.when(_has(blob, v[5]), v[0]) for v in VENDORS)))
 
 
-def vendor_evidence(headers: Column, body: Column) -> Column:
+def vendor_evidence(headers: Column, body: Column, exact: bool = False) -> Column:
     """array<struct<vendor, engaged, difficulty>>: a vendor is engaged, and so difficult, only by active
-    evidence. ``headers`` is one text of lines; cookies are its set-cookie lines."""
+    evidence. ``headers`` is one text of lines; cookies are its set-cookie lines. A mark may stand anywhere in the
+    joined names of headers, or of cookies; with ``exact`` a name has to begin with it."""
     blob = F.lower(F.coalesce(body, F.lit("")))
     lines = F.transform(F.split(F.lower(F.coalesce(headers, F.lit(""))), "\n"), lambda x: F.trim(x))
     set_cookie = "set-cookie:"
-    cookies = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(set_cookie))), lambda x: F.trim(F.substring(x, F.lit(len(set_cookie) + 1), F.length(x))))
+    cookies = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(set_cookie))), lambda x: F.substring_index(F.trim(F.substring(x, F.lit(len(set_cookie) + 1), F.length(x))), "=", 1))
+    names = F.transform(lines, lambda x: F.substring_index(x, ":", 1))
 
     def begins(texts: Column, marks: Sequence[str]) -> Column:
-        return F.exists(texts, lambda x: F.exists(any_of(marks), lambda m: F.startswith(x, m))) if marks else F.lit(False)
+        if not marks:
+            return F.lit(False)
+        if exact:
+            return F.exists(texts, lambda x: F.exists(any_of(marks), lambda m: F.startswith(x, m)))
+        return F.exists(any_of(marks), lambda m: F.contains(F.array_join(texts, " "), m))
 
+    lines = names
     found = []
     for name, headers_seen, cookies_seen, headers_active, cookies_active, marks, difficulty in VENDORS:
         engaged = begins(lines, headers_active) | begins(cookies, cookies_active) | _has(blob, marks)

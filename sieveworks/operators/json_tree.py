@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,18 +26,30 @@ def leaves_of(text: str) -> Iterator[tuple[str, str | None, str | None]]:
             yield path, key, value if value is None or isinstance(value, str) else str(value).lower()
 
 
+CHUNK = 10_000
+
+
 def walk(docs: DataFrame, id_column: str, variant: str) -> DataFrame:
-    """id, path, leaf, value of every leaf. ``leaf`` is the key itself, so keys that hold a dot stay whole.
-    A null variant has no leaves. Each document is walked in the task that reads it: nothing is shuffled,
-    and neither depth nor the number of leaves has a limit."""
+    """id, pos, path, leaf, value of every leaf; pos numbers a document's leaves in its order from 0. ``leaf`` is the
+    key itself, so keys that hold a dot stay whole. A null variant has no leaves. Each document is walked in the task
+    that reads it, and its leaves leave it ``CHUNK`` at a time. A document nested deeper than the parser follows
+    (some thousands of levels) is one row with a null path and pos -1."""
     rows = docs.select(F.col(id_column).alias("id"), F.to_json(variant).alias("json")).filter("json is not null")
 
+    def leaves(i: object, text: str) -> Iterator[tuple]:
+        try:
+            for pos, leaf in enumerate(leaves_of(text)):
+                yield (i, pos, *leaf)
+        except RecursionError:
+            yield i, -1, None, None, None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(i, *leaf) for i, text in zip(pdf.id, pdf.json) for leaf in leaves_of(text)]
-            yield pd.DataFrame(found, columns=["id", "path", "leaf", "value"])
+            found = (leaf for i, text in zip(pdf.id, pdf.json) for leaf in leaves(i, text))
+            while chunk := list(islice(found, CHUNK)):
+                yield pd.DataFrame(chunk, columns=["id", "pos", "path", "leaf", "value"])
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, path string, leaf string, value string")
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, pos long, path string, leaf string, value string")
 
 
 def in_key(term: str) -> Column:
@@ -51,9 +64,9 @@ def in_value(term: str) -> Column:
 
 def find(leaves: DataFrame, term: str, keys: int = 25, values: int = 15) -> DataFrame:
     """Leaves whose key holds the term, else those whose text under 300 characters does: the first of each
-    document by path, with kind key or value."""
+    document in its order, with kind key or value."""
     rows = leaves.withColumn("kind", F.when(in_key(term), "key").when(in_value(term), "value")).filter("kind is not null")
-    place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("path"))
+    place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("pos"))
     most = F.when(F.col("kind") == "key", keys).otherwise(values)
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 

@@ -130,7 +130,6 @@ _add("str_esc_xml", lambda s, d: table(s, d, "part").select("p_partkey", T.escap
 _add("str_col_ref", lambda s, d: table(s, d, "nation").select("n_nationkey", T.column_letters(F.col("n_nationkey")).alias("c")), "SELECT n_nationkey, chr(65 + n_nationkey) AS c FROM nation")
 _add("str_kebab", lambda s, d: table(s, d, "part").select("p_partkey", T.is_kebab(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("k")), "SELECT p_partkey, regexp_matches(replace(p_name, ' ', '-'), '^[a-z0-9]+(-[a-z0-9]+)*$') AND length(p_name) <= 64 AS k FROM part")
 _add("snk_default_name", lambda s, d: table(s, d, "part").select("p_partkey", T.resume_name(F.col("p_name")).alias("f")), "SELECT p_partkey, array_to_string(list_slice(regexp_extract_all(p_name, '[A-Za-z]+'), 1, 3), '_') || '_Resume.docx' AS f FROM part")
-_add("win_greedy_cover", TQ.txt_keywords, TQ.ORACLE_SQL["txt_keywords"])
 _add("agg_proper_set", lambda s, d: TQ.agg_term_freq(s, d).filter("proper").select("item_id", "term"), f"SELECT item_id, term FROM ({TQ.ORACLE_SQL['agg_term_freq']}) WHERE proper")
 _add("agg_run_stats", lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(F.split("text", r"\s+")).alias("w")).groupBy("item_id").agg(F.avg(F.length("w")).alias("mean_run"), F.avg(F.when(F.length("w") <= 12, 1.0).otherwise(0.0)).alias("short_share")), r"SELECT item_id, avg(length(w)) AS mean_run, avg(CASE WHEN length(w) <= 12 THEN 1.0::DOUBLE ELSE 0.0 END) AS short_share FROM (SELECT item_id, unnest(string_split_regex(text, '\s+')) AS w FROM benchmark) GROUP BY 1")
 

@@ -18,6 +18,7 @@ from ..operators import nutrition as P
 from . import inventory_queries as IQ
 from . import series_queries as SQ
 from . import step_queries as ST
+from . import text_queries as TQ
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,3 +304,14 @@ def _day_first(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("dt_infer_dmy", _day_first, "SELECT o_custkey, CASE WHEN o_custkey % 3 = 1 AND max(day(o_orderdate)) > 12 THEN true WHEN o_custkey % 3 = 2 AND max(day(o_orderdate)) > 12 THEN false END AS day_first FROM orders GROUP BY 1")
+
+
+# Key terms of the benchmark's items; the list is folded in order, as the operator does.
+_ITEM_TERMS_SQL = f"""SELECT item_id, term, words, count(*) AS n, bool_or(proper) AS proper, min(struct_pack(g := g, i := i)) AS first FROM (SELECT item_id, g, i, lower(x) AS term, 1 AS words, proper FROM {TQ._WORDS} WHERE ok
+ UNION ALL SELECT a.item_id, a.g, a.i, lower(a.x || ' ' || b.x), 2, a.proper OR b.proper FROM {TQ._WORDS} AS a JOIN {TQ._WORDS} AS b ON a.item_id = b.item_id AND a.g = b.g AND b.i = a.i + 1 WHERE a.ok AND b.ok) GROUP BY 1, 2, 3"""
+_KEY_SQL = f"""WITH RECURSIVE ranked AS MATERIALIZED (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY -(n + CASE WHEN proper THEN 2 ELSE 0 END), words, length(term), first, term) AS r FROM ({_ITEM_TERMS_SQL})),
+ fold(item_id, r, term, place, covered) AS (SELECT DISTINCT item_id, 0::BIGINT, NULL::VARCHAR, 0, []::VARCHAR[] FROM ranked UNION ALL
+ SELECT item_id, n.r, CASE WHEN keep THEN n.term END, place + CASE WHEN keep THEN 1 ELSE 0 END, CASE WHEN keep THEN list_concat(covered, string_split(n.term, ' ')) ELSE covered END FROM (SELECT f.item_id, n.r, n.term, f.place, f.covered, NOT (contains(n.term, ' ') AND len(list_filter(string_split(n.term, ' '), lambda w: NOT list_contains(f.covered, w))) = 0) AS keep FROM fold AS f JOIN ranked AS n ON n.item_id = f.item_id AND n.r = f.r + 1 WHERE f.place < 8) AS n)
+ SELECT item_id, place::INT AS place, term FROM fold WHERE term IS NOT NULL"""
+_add("txt_keywords", lambda s, d: D.key_terms(D.term_counts(table(s, d, "benchmark"), "item_id", "text"), 8).select(F.col("id").alias("item_id"), "place", "term"), _KEY_SQL)
+_add("win_greedy_cover", QUERIES["txt_keywords"], ORACLE_SQL["txt_keywords"])

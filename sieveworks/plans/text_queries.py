@@ -27,12 +27,6 @@ def agg_term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("id").alias("item_id"), "term", "words", "n", "proper")
 
 
-def txt_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.key_terms(D.term_counts(fixture(spark, "id, text", _JD), "id", "text"), 8).select("id", "place", "term")
-
-
-#: A short job description.
-_JD = "(1, 'We need Apache Spark and Kafka. Deep experience with Apache Spark, data pipelines; data pipelines in Python.'), (2, 'Python, SQL (Python)'), (3, CAST(NULL AS STRING))"
 _RESUME = r"""concat_ws(chr(10), 'Jo Doe', 'jo.doe@example.org | +1 (555) 010-2030 | Berlin, Germany | https://example.org/jo', 'Summary', 'Engineer with ten years of work on data platforms (ETL).', 'Experience', 'Data Engineer, Acme Corp, Mar 2019 - Present', '• Built pipelines that cut cost by half and kept their owners happy every day', '• Led a team of five', 'Analyst at Beta Ltd, 2015 - 2019', '• Wrote reports for the board and for three other groups of readers', 'Education', 'BSc Physics, 2015', 'Skills', 'Languages: Python, SQL, Scala, Java', 'Spark; Kafka; Airflow; dbt; Terraform; Linux; Git')"""
 _RESUMES = f"(1, 'Jo_Doe_Resume.docx', {_RESUME}, 0, 1), (2, 'scan.pdf', 'Jo', 2, 1), (3, 'x.txt', concat_ws(chr(10), 'My Journey', 'Responsible for things', 'Married, date of birth 1.1.1990', '[Your name here]', 'Manager, 2015-19'), 0, 2)"
 
@@ -140,7 +134,7 @@ def agg_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = r"(SELECT item_id, s, g, regexp_extract_all(s, '([A-Za-z][A-Za-z0-9+#.\-]*)', 1) AS w FROM (SELECT item_id, unnest(string_split_regex(text, '[.;:,\n()\[\]/|•]+')) AS s, generate_subscripts(string_split_regex(text, '[.;:,\n()\[\]/|•]+'), 1) AS g FROM benchmark))"
 _STOPS = ", ".join(f"'{x}'" for x in D.STOPWORDS + D.BOILERPLATE)
 _WORDS = f"(SELECT item_id, g, i, x, lower(x) NOT IN ({_STOPS}) AND length(x) >= 2 AS ok, i > 1 AND regexp_matches(x, '^[A-Z]|^.+[A-Z]') AS proper FROM (SELECT item_id, g, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM {_W}))"
-QUERIES = {f.__name__: f for f in (str_norm, doc_lines, agg_term_freq, txt_keywords, txt_audit, agg_score_pct, chk_report, flt_regex_presence, flt_digits_min, flt_word_boundary, join_wheres_term, str_names, str_encoding_checks, doc_tables, doc_triage, doc_batch_account, src_page_range, agg_count_by_type, agg_latency_trial, agg_dup_names, agg_reconcile)}
+QUERIES = {f.__name__: f for f in (str_norm, doc_lines, agg_term_freq, txt_audit, agg_score_pct, chk_report, flt_regex_presence, flt_digits_min, flt_word_boundary, join_wheres_term, str_names, str_encoding_checks, doc_tables, doc_triage, doc_batch_account, src_page_range, agg_count_by_type, agg_latency_trial, agg_dup_names, agg_reconcile)}
 _UNI = r"[ \t\n\x0B\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _HAS = r"regexp_matches(text, '(^|[^\pL\pN\pM_])license([^\pL\pN\pM_]|$)')"
 _TERMS = [("the", "the"), ("der", "der"), ("license", "license"), ("absent-term", "absent-term")]
@@ -151,7 +145,6 @@ ORACLE_SQL = {
     "doc_lines": r"SELECT doc_id, count(*) AS lines, count_if(trim(line) = '') AS blank FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]')) AS line FROM documents) GROUP BY 1",
     "agg_term_freq": f"""SELECT item_id, term, words, count(*) AS n, bool_or(proper) AS proper FROM (SELECT item_id, lower(x) AS term, 1 AS words, proper FROM {_WORDS} WHERE ok UNION ALL
       SELECT a.item_id, lower(a.x || ' ' || b.x), 2, a.proper OR b.proper FROM {_WORDS} AS a JOIN {_WORDS} AS b ON a.item_id = b.item_id AND a.g = b.g AND b.i = a.i + 1 WHERE a.ok AND b.ok) GROUP BY 1, 2, 3""",
-    "txt_keywords": "SELECT * FROM (VALUES (1, 1, 'spark'), (1, 2, 'apache'), (1, 3, 'kafka'), (1, 4, 'python'), (1, 5, 'need apache'), (1, 6, 'data'), (1, 7, 'pipelines'), (1, 8, 'need'), (2, 1, 'python'), (2, 2, 'sql')) AS t(id, place, term)",
     "chk_report": "SELECT * FROM (VALUES ('contact', 48.0::DOUBLE, 12), ('sections', 54.0, 12), ('entries', 60.0, 6), ('dates', 30.0, 6), ('bullets', 36.0, 9), ('tools', 30.0, 9), ('file', 42.0, 15)) AS t(grp, possible, rows)",
     "flt_regex_presence": rf"SELECT doc_id, regexp_matches(text, '{T.EMAIL}') AS email, len(regexp_extract_all(text, '{T.EMAIL}')) AS emails, regexp_matches(text, '{T.PLACEHOLDER.replace(chr(39), chr(39) * 2)}') AS placeholder FROM documents",
     "flt_digits_min": rf"SELECT doc_id, len(list_filter(regexp_extract_all(text, '{T.PHONE}'), lambda x: length(regexp_replace(x, '\D', '', 'g')) >= 8)) AS phones FROM documents",

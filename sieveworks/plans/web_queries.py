@@ -121,7 +121,8 @@ def web_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, "id, t", "(1, 'a &amp; b'), (2, '&lt;p&gt; &eacute;'), (3, 'plain'), (4, '&#65;&#x42;')").select("id", A.unescape("t").alias("text"))
+    """Titles with their character references decoded."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(A.unescape(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))).alias("md5"))
 
 
 #: Answers of all kinds.
@@ -130,36 +131,38 @@ _RESPONSES = """(1, 200, 'server: nginx', '<html><body>all fine</body></html>'),
  (12, 200, concat_ws(chr(10), 'x-vercel-id: 1', 'set-cookie: __cf_bm=1'), 'fine'), (13, 200, concat_ws(chr(10), 'set-cookie: BIGipServerpool=1', 'x-served-by: c'), 'fine'), (14, 403, 'Set-Cookie: KP_UIDz=1', ''), (15, 200, 'x-amz-cf-id: 1', 'awswaf.com h-captcha')"""
 
 
-def _responses(spark: SparkSession) -> DataFrame:
-    return fixture(spark, "id, status, headers, body", _RESPONSES)
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host answers in one of these ways, and names the page in the body."""
+    ways = fixture(spark, "way, status, headers, body", _RESPONSES)
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 15 + 1).alias("way")).join(F.broadcast(ways), "way")
+    return rows.select("id", "status", "headers", F.concat("body", F.lit(" "), "url").alias("body"))
 
 
 def web_access_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, b = F.col("status"), F.col("body")
-    return _responses(spark).select("id", W.looks_blocked(s, b).alias("looks_blocked"), W.looks_like_block_page(s, b).alias("block_page"), W.classify_response(s, b).alias("class"))
+    return _responses(spark, sf_dir).select("id", W.looks_blocked(s, b).alias("looks_blocked"), W.looks_like_block_page(s, b).alias("block_page"), W.classify_response(s, b).alias("class"))
 
 
 def web_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _responses(spark).select("id", F.inline(W.vendor_evidence(F.col("headers"), F.col("body"))))
+    r = _responses(spark, sf_dir).select("id", F.inline(W.vendor_evidence(F.col("headers"), F.col("body"))))
     return r.select("id", "vendor", "engaged", "difficulty")
 
 
 def web_captcha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _responses(spark).select("id", F.array_join(W.captchas(F.col("body")), ",").alias("captchas"))
+    return _responses(spark, sf_dir).select("id", F.array_join(W.captchas(F.col("body")), ",").alias("captchas"))
 
 
 def web_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, b = F.col("status"), F.col("body")
-    return _responses(spark).select("id", W.access_tier(W.vendor_evidence(F.col("headers"), b), W.captchas(b), F.coalesce(W.looks_blocked(s, b), F.lit(False)), W.render_verdict("body")).alias("tier"))
-
-
-_REPAIR = """(1, 'dns', false, false, false, CAST(NULL AS INT), CAST(NULL AS BOOLEAN), false, 0), (2, NULL, true, true, false, 0, NULL, false, 50), (3, NULL, true, false, false, 0, NULL, false, 50), (4, NULL, false, false, true, 3, true, false, 5000), (5, NULL, false, false, false, 0, true, false, 5000),
- (6, NULL, false, false, false, 0, NULL, true, 5000), (7, NULL, false, false, false, 0, NULL, false, 100), (8, NULL, false, false, false, 0, NULL, false, 5000), (9, NULL, false, false, false, 4, false, true, 5000), (10, NULL, false, false, false, 4, false, false, 90), (11, NULL, false, false, false, 4, false, false, 9000), (12, NULL, false, false, false, 4, true, false, 9000), (13, NULL, false, false, false, NULL, NULL, false, 9000)"""
+    return _responses(spark, sf_dir).select("id", W.access_tier(W.vendor_evidence(F.col("headers"), b), W.captchas(b), F.coalesce(W.looks_blocked(s, b), F.lit(False)), W.render_verdict("body")).alias("tier"))
 
 
 def web_repair_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fixture(spark, "id, transport, blocked, browser_ok, redirected, hits, found, embedded, n", _REPAIR)
-    return r.select("id", W.repair_class(*(F.col(c) for c in ("transport", "blocked", "browser_ok", "redirected", "hits", "found", "embedded", "n"))).alias("class"))
+    """What broke a scraper of each page, by what was seen of it and the text it has."""
+    k = F.col("page_id")
+    hits = F.when(k % 4 > 0, (k % 4 - 1).cast("int"))
+    found = F.when(k % 3 > 0, k % 3 == 1)
+    return table(spark, sf_dir, "pages").select("page_id", W.repair_class(F.when(k % 13 == 0, "dns"), k % 5 == 0, k % 10 == 0, k % 7 == 0, hits, found, F.size(W.embedded_markers("html")) + k % 6 == 0, F.length(W.visible_text("html")) * F.when(k % 2 == 0, 1).otherwise(0)).alias("class"))
 
 
 #: Robots files with shared groups, ties, comments and empty rules.
@@ -196,11 +199,11 @@ def doc_source_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists by position, as long as the shorter."""
-    f = fixture(spark, "id, a, b", "(1, array('x','y','z'), array(1,2)), (2, array('p'), array(7,8,9))")
-    left = f.select("id", F.posexplode("a").alias("pos", "title"))
-    right = f.select("id", F.posexplode("b").alias("pos", "price"))
-    return left.join(right, ["id", "pos"])
+    """Two lists by position, as long as the shorter: a part's words and the characters of its type."""
+    f = table(spark, sf_dir, "part")
+    left = f.select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("pos", "title"))
+    right = f.select("p_partkey", F.posexplode(F.slice(F.split("p_type", ""), F.lit(1), (F.col("p_partkey") % 4).cast("int"))).alias("pos", "letter"))
+    return left.join(right, ["p_partkey", "pos"])
 
 
 _P4 = "part"
@@ -210,9 +213,9 @@ _MARK = " OR ".join(f"contains(lower(html), '{m}')" for m in W.EMBEDDED)
 _FRAME = " OR ".join(f"contains(lower(html), '{m}')" for m, _ in W.FRAMEWORKS)
 _VERDICT = f"CASE WHEN {_MARK} THEN 'embedded data' WHEN length({_VT}) < 800 AND ({_FRAME}) THEN 'client-rendered' WHEN length({_VT}) < 800 THEN 'thin' ELSE 'server-rendered' END"
 _HOSTQ = "regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)"
-_ANSWERS = f"(SELECT *, lower(coalesce(body, '')) AS b, list_transform(string_split(lower(coalesce(headers, '')), chr(10)), lambda x: trim(x)) AS h FROM {fixture_sql('id, status, headers, body', _RESPONSES)})"
+_ANSWERS = f"(SELECT *, lower(coalesce(body, '')) AS b, list_transform(string_split(lower(coalesce(headers, '')), chr(10)), lambda x: trim(x)) AS h FROM (SELECT page_id AS id, status, headers, body || ' ' || url AS body FROM pages JOIN {fixture_sql('way, status, headers, body', _RESPONSES)} ON way = page_id % 15 + 1))"
 _VENDOR_MARKS = ", ".join(f"('{v[0]}', '{place}', {active}, '{m}', '{v[6]}')" for v in W.VENDORS for place, active, marks in (("h", "false", v[1]), ("c", "false", v[2]), ("h", "true", v[3]), ("c", "true", v[4]), ("b", "true", v[5])) for m in marks)
-_EVIDENCE = f"(SELECT a.id, vendor, active, difficulty FROM {_ANSWERS} AS a JOIN (VALUES {_VENDOR_MARKS}) AS v(vendor, place, active, mark, difficulty) ON CASE place WHEN 'b' THEN contains(b, mark) WHEN 'h' THEN len(list_filter(h, lambda x: starts_with(x, mark))) > 0 ELSE len(list_filter(h, lambda x: starts_with(x, 'set-cookie: ' || mark))) > 0 END)"
+_EVIDENCE = f"(SELECT a.id, vendor, active, difficulty FROM {_ANSWERS} AS a JOIN (VALUES {_VENDOR_MARKS}) AS v(vendor, place, active, mark, difficulty) ON CASE place WHEN 'b' THEN contains(b, mark) WHEN 'h' THEN contains(array_to_string(list_transform(h, lambda x: split_part(x, ':', 1)), ' '), mark) ELSE contains(array_to_string(list_transform(list_filter(h, lambda x: starts_with(x, 'set-cookie:')), lambda x: split_part(trim(x[12:]), '=', 1)), ' '), mark) END)"
 _CAPTCHA_LIST = "concat_ws(',', " + ", ".join("CASE WHEN (" + " OR ".join(f"contains(b, '{m}')" for m in marks) + ")" + "".join(f" AND NOT contains(b, '{m}')" for m in without) + f" THEN '{name}' END" for name, marks, without, _ in W.CAPTCHAS) + ")"
 QUERIES = {f.__name__: f for f in (web_render_verdict, str_visible_text, str_styling_strip, str_domain, j_embed_detect, web_meta, web_title, web_scripts, j_product, j_walk, j_find, agg_path_stability, j_events_walk, web_microdata, a_table_to_dicts, web_js_state, web_selector_count, web_harvest, str_decode, web_access_block, web_vendor, web_captcha, web_tier, web_repair_class, web_probe_site, web_probe_gate, agg_cardinality_assert, doc_source_precedence, join_positional_zip)}
 _LEAVES = "(VALUES ('.@context', '@context'), ('.@type', '@type'), ('.name', 'name'), ('.brand.name', 'name'), ('.offers[0].price', 'price'), ('.offers[0].priceCurrency', 'priceCurrency'), ('.size', 'size')) AS l(path, leaf)"
@@ -235,17 +238,17 @@ ORACLE_SQL = {
     "web_js_state": f"SELECT p_partkey AS page_id, p_partkey AS id, 'a }} b' AS note FROM {_P4}",
     "web_selector_count": f"SELECT s AS selector, CASE WHEN w >= 0 THEN w * count(*) END AS hits FROM {_P4}, (VALUES ('div.card span.price', 1), ('#root .price', 1), ('div.card.x', 1), ('ul li', 0), ('div > span', -1)) AS v(s, w) GROUP BY s, w",
     "web_harvest": f"SELECT p_partkey AS page_id, 1::BIGINT AS jsonld, 2::BIGINT AS meta, 1::BIGINT AS feeds, 1::BIGINT AS tables, 1::BIGINT AS items FROM {_P4}",
-    "str_decode": "SELECT * FROM (VALUES (1, 'a & b'), (2, '<p> é'), (3, 'plain'), (4, 'AB')) AS t(id, text)",
+    "str_decode": "SELECT page_id, md5(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')) AS md5 FROM pages",
     "web_access_block": f"""SELECT id, CASE WHEN status IN (401,403,407,429,503) OR {_PHRASE} THEN true WHEN status IS NULL THEN NULL ELSE false END AS looks_blocked, CASE WHEN status IN (401,403,407,429,503) OR {_PHRASE} OR (length(b) < 20000 AND {_CAPTCHA_LIST} <> '' AND (SELECT count(*) FROM {_EVIDENCE} AS e WHERE e.id = a.id AND active AND contains(b, 'captcha-delivery.com') OR e.id = a.id AND contains(b, 'awswaf.com')) > 0) THEN true WHEN status IS NULL THEN NULL ELSE false END AS block_page,
       CASE WHEN status IS NULL THEN 'unreachable' WHEN status IN (401,403,407) THEN 'blocked' WHEN status = 429 THEN 'rate_limited' WHEN {_PHRASE} THEN 'challenged' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status BETWEEN 300 AND 399 THEN 'redirect' ELSE 'http_' || status END AS class FROM {_ANSWERS} AS a""",
     "web_vendor": f"SELECT id, vendor, bool_or(active) AS engaged, CASE WHEN bool_or(active) THEN any_value(difficulty) END AS difficulty FROM {_EVIDENCE} GROUP BY 1, 2",
     "web_captcha": f"SELECT id, {_CAPTCHA_LIST} AS captchas FROM {_ANSWERS}",
     "web_tier": f"""SELECT id, ['trivial', 'easy', 'moderate', 'hard', 'very hard'][1 + greatest(level, CASE WHEN regexp_matches(found, 'v2|hCaptcha|Turnstile|Arkose|GeeTest|DataDome') THEN 3 ELSE 0 END, CASE WHEN coalesce(refused, false) THEN 3 ELSE 0 END, CASE WHEN thin THEN 2 ELSE 0 END)] AS tier FROM (
       SELECT r.id, coalesce(max(CASE WHEN active THEN CASE difficulty WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END END), 0) AS level, any_value({_CAPTCHA_LIST.replace('b,', 'r.b,')}) AS found, any_value(status IN (401,403,407,429,503) OR {_PHRASE.replace('(b,', '(r.b,')}) AS refused, any_value(({_FRAME.replace('lower(html)', 'r.b')}) AND NOT ({_MARK.replace('lower(html)', 'r.b')})) AS thin FROM {_ANSWERS} AS r LEFT JOIN {_EVIDENCE} AS e ON e.id = r.id GROUP BY 1)""",
-    "web_repair_class": "SELECT * FROM (VALUES (1, 'transport'), (2, 'header-level filtering'), (3, 'blocked'), (4, 'routing changed'), (5, 'selectors stale'), (6, 'content moved into data'), (7, 'client-rendered'), (8, 'selectors stale'), (9, 'content moved into data'), (10, 'client-rendered'), (11, 'content changed or removed'), (12, 'target intact'), (13, 'no fault reproduced')) AS t(id, class)",
+    "web_repair_class": f"SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'transport' WHEN page_id % 10 = 0 THEN 'header-level filtering' WHEN page_id % 5 = 0 THEN 'blocked' WHEN page_id % 7 = 0 THEN 'routing changed' WHEN hits = 0 AND found THEN 'selectors stale' WHEN hits = 0 AND embedded THEN 'content moved into data' WHEN hits = 0 AND n < 800 THEN 'client-rendered' WHEN hits = 0 THEN 'selectors stale' WHEN NOT found AND embedded THEN 'content moved into data' WHEN NOT found AND n < 800 THEN 'client-rendered' WHEN NOT found THEN 'content changed or removed' WHEN hits > 0 THEN 'target intact' ELSE 'no fault reproduced' END AS class FROM (SELECT page_id, CASE WHEN page_id % 4 > 0 THEN page_id % 4 - 1 END AS hits, CASE WHEN page_id % 3 > 0 THEN page_id % 3 = 1 END AS found, page_id % 6 = 0 AND NOT ({_MARK}) AS embedded, CASE WHEN page_id % 2 = 0 THEN length({_VT}) ELSE 0 END AS n FROM pages)",
     "web_probe_site": f"SELECT *, CASE WHEN ok_rate = 1 THEN 'open' WHEN ok_rate = 0 THEN 'blocked' ELSE 'intermittent' END AS access FROM (SELECT {_HOSTQ} AS host, count(*) AS samples, avg(CASE WHEN page_id % 7 = 0 THEN 0.0::DOUBLE ELSE 1.0 END) AS ok_rate, max(length(html)) AS heaviest FROM pages GROUP BY 1)",
     "web_probe_gate": f"SELECT page_id, CASE WHEN page_id % 5 + 1 = 5 THEN 'unknown' ELSE {_VERDICT} END AS tier FROM pages",
     "agg_cardinality_assert": f"SELECT {_HOSTQ} AS host, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) <> 5",
     "doc_source_precedence": f"SELECT p_partkey AS page_id, p_name AS name, CASE WHEN p_partkey % 8 = 0 THEN 'json-ld' ELSE 'open graph' END AS source FROM {_P4}",
-    "join_positional_zip": "SELECT * FROM (VALUES (1, 0, 'x', 1), (1, 1, 'y', 2), (2, 0, 'p', 7)) AS t(id, pos, title, price)",
+    "join_positional_zip": "SELECT p_partkey, pos::INT AS pos, title, letter FROM (SELECT p_partkey, unnest(range(0, least(len(a), p_partkey % 4, length(p_type)))) AS pos, a, p_type FROM (SELECT *, string_split(p_name, ' ') AS a FROM part)), LATERAL (SELECT a[pos + 1] AS title, p_type[(pos + 1)::INT] AS letter)",
 }

@@ -82,3 +82,33 @@ def test_json_walk_has_no_limits(spark):
     assert got[2] == [(".x[0]", "x", None), (".x[1]", "x", "true"), (".x[2]", "x", "T")]
     many = spark.range(3000).select("id", F.to_json(F.struct(F.sequence(F.lit(1), F.lit(400)).alias("s"))).alias("j")).withColumn("v", F.try_parse_json("j"))
     assert json_tree.walk(many, "id", "v").count() == 1_200_000
+
+
+def test_json_is_walked_in_its_order_and_depth_is_marked(spark):
+    from pyspark.sql import functions as F
+
+    from sieveworks.operators import json_tree
+
+    rows = spark.createDataFrame([(1, '{"a": [' + ",".join(f'{{"k": {n}}}' for n in range(12)) + "]}"), (2, "[]")], "id long, j string").withColumn("v", F.try_parse_json("j"))
+    got = json_tree.find(json_tree.walk(rows, "id", "v"), "k", keys=12).orderBy("place").collect()
+    assert [r.path for r in got] == [f".a[{n}].k" for n in range(12)] and [r.pos for r in got] == list(range(12))
+    deep = spark.createDataFrame([(1, "[" * 60_000 + "1" + "]" * 60_000), (2, "[7]")], "id long, json string")
+    import pyspark.sql.functions as S
+
+    real, S.to_json = S.to_json, lambda c: F.col("json")
+    try:
+        marked = json_tree.walk(deep.withColumn("v", F.lit(1)), "id", "v")
+    finally:
+        S.to_json = real
+    assert sorted((r.id, r.pos, r.path, r.value) for r in marked.collect()) == [(1, -1, None, None), (2, 0, "[0]", "7")]
+
+
+def test_vendor_marks_anywhere_in_names_or_exactly(spark):
+    from pyspark.sql import functions as F
+
+    from sieveworks.functions import web
+
+    f = spark.createDataFrame([(1, "X-My-CF-Ray: 1"), (2, "cf-ray: 2"), (3, "note: cf-ray"), (4, "Set-Cookie: a__cf_bm=1; path=/"), (5, "set-cookie: a=__cf_bm"), (6, None)], "id int, headers string")
+    names = lambda exact: {r.id: [(v.vendor, v.engaged) for v in r.v] for r in f.select("id", web.vendor_evidence(F.col("headers"), F.lit(None).cast("string"), exact).alias("v")).collect()}
+    assert names(False) == {1: [("Cloudflare", False)], 2: [("Cloudflare", False)], 3: [], 4: [("Cloudflare", True)], 5: [], 6: []}
+    assert names(True) == {1: [], 2: [("Cloudflare", False)], 3: [], 4: [], 5: [], 6: []}
