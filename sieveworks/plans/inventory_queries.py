@@ -75,7 +75,7 @@ _add("win_nth_first", lambda s, d: SQ.ts_unlocks(s, d).select("id", "nearest_cli
 _add("dt_unlock_days", lambda s, d: table(s, d, "orders").select("o_orderkey", F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).alias("days")), "SELECT o_orderkey, CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS days FROM orders")
 _add("m_unlock_row", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2.5).alias("usd"), B.safe_ratio(F.col("l_quantity") * 100.0, "l_extendedprice").alias("pct")), "SELECT l_orderkey, l_linenumber, l_quantity * 2.5::DOUBLE AS usd, l_quantity * 100.0 / nullif(l_extendedprice, 0) AS pct FROM lineitem")
 _add("m_inflation", lambda s, d: table(s, d, "part").select("p_partkey", B.safe_ratio(F.col("p_size") * 100.0, "p_retailprice").alias("pct")), "SELECT p_partkey, p_size * 100.0::DOUBLE / nullif(p_retailprice, 0) AS pct FROM part")
-_add("m_dcf_solve", lambda s, d: fixture(s, "id, value, fcf, discount, terminal", SQ._DCF).filter("id = 1").select("id", F.round(N.implied_growth(*(F.col(c) for c in ("value", "fcf", "discount", "terminal")), 10), 6).alias("g")), "SELECT 1 AS id, 0.122836::DOUBLE AS g")
+_add("m_dcf_solve", lambda s, d: SQ.fin_reverse_dcf(s, d).select("id", F.col("growth").alias("g")), f"SELECT id, growth AS g FROM ({SQ.ORACLE_SQL['fin_reverse_dcf']})")
 _add("join_scenarios", lambda s, d: table(s, d, "part").select("p_partkey", F.explode(F.array(F.lit(0.3), F.lit(0.5))).alias("drop")).select("p_partkey", F.col("drop").cast("double").alias("drop")), "SELECT p_partkey, unnest([0.3::DOUBLE, 0.5::DOUBLE]) AS drop FROM part")
 
 # Gates.

@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import finance as N
 from ..functions.basic import cagr
 from ..operators import series as S
-from .common import fixture, fixture_sql, table
-
-_YEAR_COLUMNS = "id, year, revenue, net_income, cfo, capex, receivables, inventory, debt, equity, shares"
-
-
-def _d(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else "CAST(NULL AS DOUBLE)" if x is None else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
-
-
-#: Five-year series with known flags, and edge cases.
-_YEARS = _d([
-    ("grow", 2021, 142.0, 21.0, 25.0, 8.0, 18.0, 13.0, 35.0, 80.0, 100.0), ("grow", 2022, 178.0, 28.0, 23.8, 10.0, 28.0, 19.0, 48.0, 88.0, 103.0),
-    ("grow", 2023, 221.0, 37.0, 21.0, 26.0, 41.0, 27.0, 60.0, 95.0, 107.0), ("grow", 2024, 275.0, 47.0, 16.0, 56.0, 58.0, 36.0, 78.0, 106.0, 110.0),
-    ("grow", 2025, 343.0, 59.0, 10.5, 92.5, 80.5, 46.8, 95.0, 122.66, 114.0), ("one", 2024, 5.0, 1.0, 1.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0),
-    ("zero", 2023, 10.0, 0.0, 1.0, None, None, None, 1.0, 0.0, 5.0), ("zero", 2024, 12.0, 0.0, 2.0, None, 3.0, 4.0, 9.0, 3.0, 5.0), ("fine", 2023, 10.0, 1.0, 1.5, 0.5, 1.0, 1.0, 1.0, 9.0, 5.0), ("fine", 2024, 11.0, 1.2, 1.9, 0.5, 1.1, 1.1, 1.0, 9.5, 5.0),
-])
-
+from .common import table
 
 def _by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly figures of a nation's customers, from orders. Sums are of decimals, so their order is no matter."""
@@ -46,6 +30,17 @@ _NATION_SQL = f"""(SELECT c_nationkey AS id, CAST(year(o_orderdate) AS INT) AS y
  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 
+_FLAG = {"net_income": "l_returnflag = 'N'", "cfo": "l_returnflag = 'A'", "capex": "l_linenumber = 1", "receivables": "l_returnflag = 'R'", "inventory": "l_linenumber = 2", "debt": "l_quantity > 25", "equity": "l_quantity <= 25"}
+_SUM = "CAST(sum(CASE WHEN {0} THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS {1}"
+_YEAR_SUMS = [_SUM.format("true", "revenue"), *(_SUM.format(c, n) for n, c in _FLAG.items()), "CAST(count(*) AS DOUBLE) AS shares"]
+_PART_SQL = f"(SELECT l_partkey AS id, CAST(year(l_shipdate) AS INT) AS year, {', '.join(_YEAR_SUMS)} FROM lineitem GROUP BY 1, 2)"
+
+
+def _by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly figures of a part, from its lines; sums are of decimals."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id"), F.year("l_shipdate").alias("year")).agg(*map(F.expr, _YEAR_SUMS))
+
+
 def _flags_sql(source: str) -> str:
     def ends(n: str, expr: str) -> str:
         return f"arg_min({expr}, year) FILTER (WHERE year = ymin) AS {n}_f, arg_max({expr}, year) FILTER (WHERE year = ymax) AS {n}_l, arg_min({expr}, year) FILTER (WHERE ({expr}) IS NOT NULL) AS {n}_fk, arg_max({expr}, year) FILTER (WHERE ({expr}) IS NOT NULL) AS {n}_lk, count({expr}) AS {n}_n"
@@ -68,7 +63,7 @@ def _flags_sql(source: str) -> str:
 
 
 def ts_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.quality_flags(fixture(spark, _YEAR_COLUMNS, _YEARS))
+    return S.quality_flags(_by_part(spark, sf_dir))
 
 
 def ts_quality_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +80,7 @@ def prj_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, _YEAR_COLUMNS, _YEARS).groupBy("id").agg(F.min_by("inventory", F.when(F.col("inventory").isNotNull(), F.col("year"))).alias("first_known"), F.max_by("revenue", "year").alias("last"), F.coalesce(F.sum("capex"), F.lit(0.0)).alias("capex"))
+    return _by_part(spark, sf_dir).groupBy("id").agg(F.min_by("inventory", F.when(F.col("inventory").isNotNull(), F.col("year"))).alias("first_known"), F.max_by("revenue", "year").alias("last"), F.coalesce(F.sum("capex"), F.lit(0.0)).alias("capex"))
 
 
 _UNLOCKS = "SELECT l_partkey % 50 AS id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10)) AS date, l_quantity AS tokens FROM lineitem"
@@ -109,23 +104,27 @@ def srt_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_unlocks(li.filter("days >= 0")).select("id", "place", "days", "tokens")
 
 
-_TOKEN = "(1, CAST(2.1 AS DOUBLE), CAST(1e9 AS DOUBLE), CAST(2e9 AS DOUBLE), CAST(2e9 AS DOUBLE)), (2, CAST(1 AS DOUBLE), CAST(5 AS DOUBLE), CAST(10 AS DOUBLE), CAST(0 AS DOUBLE)), (3, CAST(1 AS DOUBLE), CAST(5 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE))"
+_TOKEN = ("p_partkey AS id", "p_retailprice AS price", "CAST(p_size AS DOUBLE) AS circ", "CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size * 2 AS DOUBLE) END AS total", "CASE WHEN p_partkey % 4 <> 0 THEN CAST((p_partkey % 4 - 1) * p_size * 3 AS DOUBLE) END AS most")
 
 
 def m_fdv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixture(spark, "id, price, circ, total, most", _TOKEN)
+    t = table(spark, sf_dir, "part").selectExpr(*_TOKEN)
     found = N.fully_diluted(F.col("price"), F.col("circ"), F.col("total"), F.col("most"))
     return t.select("id", *(v.alias(k) for k, v in found.items()))
 
 
-_DCF = "(1, CAST(175 AS DOUBLE) * 15.2e9, CAST(95e9 AS DOUBLE), CAST(0.10 AS DOUBLE), CAST(0.025 AS DOUBLE)), (2, CAST(1000 AS DOUBLE), CAST(-5 AS DOUBLE), CAST(0.1 AS DOUBLE), CAST(0.02 AS DOUBLE)), (3, CAST(1000 AS DOUBLE), CAST(50 AS DOUBLE), CAST(0.02 AS DOUBLE), CAST(0.03 AS DOUBLE)), (4, CAST(1e30 AS DOUBLE), CAST(50 AS DOUBLE), CAST(0.1 AS DOUBLE), CAST(0.03 AS DOUBLE))"
+def _worth(spark: SparkSession, sf_dir: str, growth: Column) -> DataFrame:
+    """Parts that are worth what ten years of growing cash, and growth for ever after, come to."""
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).otherwise(-5.0).alias("fcf"), F.lit(0.1).alias("discount"), F.lit(0.025).alias("terminal"))
+    return t.withColumns({n: N.present_value(F.abs("fcf"), growth, F.col("discount"), F.col("terminal"), 10, fade=fade) for n, fade in (("value", False), ("fading_value", True))})
 
 
 def fin_reverse_dcf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixture(spark, "id, value, fcf, discount, terminal", _DCF)
-    a = [F.col(c) for c in ("value", "fcf", "discount", "terminal")]
-    g, fade = N.implied_growth(*a, 10), N.implied_growth(*a, 10, fade=True)
-    return t.select("id", F.round(g, 6).alias("growth"), F.round(fade, 6).alias("fading"), N.read_growth(g).alias("reading"))
+    """The growth that a part's worth implies is that which it was made with; of negative cash there is none."""
+    t = _worth(spark, sf_dir, F.col("size") / 100.0)
+    g = N.implied_growth(*(F.col(c) for c in ("value", "fcf", "discount", "terminal")), 10)
+    fading = N.implied_growth(*(F.col(c) for c in ("fading_value", "fcf", "discount", "terminal")), 10, fade=True)
+    return t.select("id", F.round(g, 6).alias("growth"), F.round(fading, 6).alias("fading"), N.read_growth(F.round(g, 6)).alias("reading"))
 
 
 def m_dcf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,34 +132,34 @@ def m_dcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.round(N.present_value(F.col("fcf"), F.col("g"), F.lit(0.1), F.lit(0.025), 5), 4).alias("value"))
 
 
+_VALUE = "(" + " + ".join(f"fcf * pow(1 + {{g}}, {t}) / pow(1.1::DOUBLE, {t})" for t in range(1, 11)) + " + fcf * pow(1 + {g}, 10) * 1.025::DOUBLE / (0.1::DOUBLE - 0.025::DOUBLE) / pow(1.1::DOUBLE, 10))"
 _POW = " + ".join(f"fcf * pow(1 + g, {t}) / pow(1.1, {t})" for t in range(1, 6))
 
 
 def m_scenario_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixture(spark, "id, value, fcf, discount, terminal", _DCF).filter("id = 1")
-    rows = t.withColumn("g", F.explode(F.array(*(F.lit(x) for x in (0.03, 0.08, 0.14)))))
-    v = N.present_value(F.col("fcf"), F.col("g"), F.col("discount"), F.col("terminal"), 10) / 15.2e9
-    return rows.select("g", F.round(v, 2).alias("per_share"), F.round((v / 175.0 - 1) * 100.0, 2).alias("upside"))
+    rows = _worth(spark, sf_dir, F.col("size") / 100.0).withColumn("g", F.explode(F.array(*(F.lit(x) for x in (0.03, 0.08, 0.14)))))
+    v = N.present_value(F.abs("fcf"), F.col("g"), F.col("discount"), F.col("terminal"), 10)
+    return rows.select("id", "g", F.round(v, 2).alias("per_share"), F.round((v / F.col("value") - 1) * 100.0, 2).alias("upside"))
 
 
-_IPO = "(1, '580-610', CAST(300 AS DOUBLE), CAST(2700 AS DOUBLE), CAST(9.8 AS DOUBLE), CAST(34 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)), (2, '244', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(-2 AS DOUBLE), CAST(20 AS DOUBLE), CAST(98 AS DOUBLE), CAST(61 AS DOUBLE)), (3, 'soon', CAST(10 AS DOUBLE), CAST(5 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(1 AS DOUBLE), CAST(NULL AS DOUBLE))"
+_IPO = ("p_partkey AS id", "CASE p_partkey % 3 WHEN 0 THEN concat(p_size, '-', p_size + 5) WHEN 1 THEN concat(p_size, '') ELSE 'soon' END AS band", "CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS fresh", "CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 60 AS DOUBLE) END AS ofs", "CAST(p_partkey % 9 - 2 AS DOUBLE) AS eps", "CASE WHEN p_partkey % 4 <> 0 THEN CAST(20 + p_size AS DOUBLE) END AS peer", "CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size % 11 AS DOUBLE) END AS gmp", "CASE WHEN p_partkey % 8 <> 0 THEN CAST(61 AS DOUBLE) END AS lot")
 
 
 def m_ipo_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixture(spark, "id, band, fresh, ofs, eps, peer, gmp, lot", _IPO)
+    t = table(spark, sf_dir, "part").selectExpr(*_IPO)
     share = N.fresh_share(F.col("fresh"), F.col("ofs"))
     return t.select("id", share.alias("fresh_pct"), N.fresh_band(share).alias("reading"))
 
 
 def m_ipo_pe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixture(spark, "id, band, fresh, ofs, eps, peer, gmp, lot", _IPO)
+    t = table(spark, sf_dir, "part").selectExpr(*_IPO)
     low, high = N.band_ends(F.col("band"))
     pe = N.price_to_earnings(high, F.col("eps"))
     return t.select("id", low.alias("low"), high.alias("high"), N.price_to_earnings(low, F.col("eps")).alias("pe_low"), pe.alias("pe_high"), ((pe / F.col("peer") - 1) * 100.0).alias("premium"), F.when(F.col("eps") > 0, F.col("eps") * F.col("peer")).alias("at_peer"))
 
 
 def m_ipo_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixture(spark, "id, band, fresh, ofs, eps, peer, gmp, lot", _IPO)
+    t = table(spark, sf_dir, "part").selectExpr(*_IPO)
     _, high = N.band_ends(F.col("band"))
     rows = t.filter("gmp is not null").select("id", high.alias("price"), (high + F.col("gmp")).alias("implied"), "lot", F.explode(F.array(F.col("gmp") / high, F.lit(0.0), F.lit(-0.1), F.lit(-0.2))).alias("move"))
     return rows.select("id", "implied", "move", (F.col("price") * F.col("lot") * F.col("move")).alias("lot_result"))
@@ -192,21 +191,21 @@ def m_cagr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DAYS = "(SELECT event_type, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2)"
 _MEANS = f"(SELECT event_type, day, mean, (mean - b) / nullif(b, 0) * 100.0 AS change_pct FROM (SELECT *, max(mean) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING) AS b FROM (SELECT *, avg(n) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS mean FROM {_DAYS})))"
-_IPO_SQL = f"(SELECT *, TRY_CAST(trim(split_part(band, '-', 1)) AS DOUBLE) AS low, TRY_CAST(trim(string_split(band, '-')[-1]) AS DOUBLE) AS high FROM {fixture_sql('id, band, fresh, ofs, eps, peer, gmp, lot', _IPO)})"
+_IPO_SQL = f"(SELECT *, TRY_CAST(trim(split_part(band, '-', 1)) AS DOUBLE) AS low, TRY_CAST(trim(string_split(band, '-')[-1]) AS DOUBLE) AS high FROM (SELECT {', '.join(_IPO)} FROM part))"
 _G = {n: f"CASE WHEN {n}_f > 0 AND {n}_l > 0 AND n > 1 THEN round(pow({n}_l / {n}_f, 1.0::DOUBLE / (n - 1)) - 1, 9) END AS {n}" for n in ("revenue", "net_income", "receivables", "shares")}
 QUERIES = {f.__name__: f for f in (ts_quality, ts_quality_nations, win_yoy_trend, prj_ratios, agg_first_last, ts_unlocks, srt_days, m_fdv, fin_reverse_dcf, m_dcf, m_scenario_value, m_ipo_issue, m_ipo_pe, m_ipo_listing, win_7day_avg, trend_decision, win_volume_ratio, agg_holder_concentration, m_cagr)}
 ORACLE_SQL = {
-    "ts_quality": _flags_sql(fixture_sql(_YEAR_COLUMNS, _YEARS)),
+    "ts_quality": _flags_sql(_PART_SQL),
     "ts_quality_nations": _flags_sql(_NATION_SQL),
     "win_yoy_trend": f"SELECT id, {', '.join(_G.values())} FROM (SELECT id, count(*) AS n, {', '.join(f'max({n}) FILTER (WHERE year = a) AS {n}_f, max({n}) FILTER (WHERE year = b) AS {n}_l' for n in _G)} FROM (SELECT *, min(year) OVER (PARTITION BY id) AS a, max(year) OVER (PARTITION BY id) AS b FROM {_NATION_SQL}) GROUP BY id)",
     "prj_ratios": f"SELECT id, year, cfo - capex AS fcf, net_income / nullif(revenue, 0) AS margin, cfo / nullif(net_income, 0) AS conversion, debt / nullif(equity, 0) AS leverage, (cfo - capex) / nullif(revenue, 0) AS fcf_margin FROM {_NATION_SQL}",
-    "agg_first_last": f"SELECT id, arg_min(inventory, year) FILTER (WHERE inventory IS NOT NULL) AS first_known, arg_max(revenue, year) AS last, coalesce(sum(capex), 0) AS capex FROM {fixture_sql(_YEAR_COLUMNS, _YEARS)} GROUP BY id",
+    "agg_first_last": f"SELECT id, arg_min(inventory, year) FILTER (WHERE inventory IS NOT NULL) AS first_known, arg_max(revenue, year) AS last, coalesce(sum(capex), 0) AS capex FROM {_PART_SQL} GROUP BY id",
     "ts_unlocks": _UNLOCK_SQL,
     "srt_days": "SELECT id, place, days, tokens FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY days, tokens DESC, pos) AS place FROM (SELECT l_partkey % 50 AS id, datediff('day', DATE '1997-06-01', CAST(l_shipdate AS DATE)) AS days, l_quantity AS tokens, l_orderkey * 10 + l_linenumber AS pos FROM lineitem) WHERE days >= 0) WHERE place <= 8",
-    "m_fdv": f"SELECT id, price * circ AS mcap, price * f AS fdv, (price * f) / nullif(price * circ, 0) AS ratio, circ / nullif(f, 0) * 100.0 AS float_pct, ((price * f) / nullif(price * circ, 0) - 1.0) * 100.0 AS rise_pct, (1.0 - circ / nullif(f, 0)) * 100.0 AS drag_pct FROM (SELECT *, coalesce(nullif(most, 0), nullif(total, 0)) AS f FROM {fixture_sql('id, price, circ, total, most', _TOKEN)})",
-    "fin_reverse_dcf": "SELECT * FROM (VALUES (1, 0.122836, 0.206189, 'demanding'), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL)) AS t(id, growth, fading, reading)",
+    "m_fdv": f"SELECT id, price * circ AS mcap, price * f AS fdv, (price * f) / nullif(price * circ, 0) AS ratio, circ / nullif(f, 0) * 100.0 AS float_pct, ((price * f) / nullif(price * circ, 0) - 1.0) * 100.0 AS rise_pct, (1.0 - circ / nullif(f, 0)) * 100.0 AS drag_pct FROM (SELECT *, coalesce(nullif(most, 0), nullif(total, 0)) AS f FROM (SELECT {', '.join(_TOKEN)} FROM part))",
+    "fin_reverse_dcf": "SELECT id, g AS growth, g AS fading, CASE WHEN g < 0 THEN 'shrinking' WHEN g < 0.05 THEN 'modest' WHEN g < 0.1 THEN 'moderate' WHEN g < 0.15 THEN 'demanding' WHEN g < 0.25 THEN 'very demanding' WHEN g >= 0.25 THEN 'extreme' END AS reading FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN round(p_size / 100.0::DOUBLE, 6) END AS g FROM part)",
     "m_dcf": f"SELECT p_partkey, round({_POW} + fcf * pow(1 + g, 5) * 1.025 / (0.1 - 0.025::DOUBLE) / pow(1.1, 5), 4) AS value FROM (SELECT p_partkey, p_size / 100.0::DOUBLE AS g, p_retailprice AS fcf FROM part)",
-    "m_scenario_value": "SELECT * FROM (VALUES (0.03::DOUBLE, 88.57::DOUBLE, -49.39::DOUBLE), (0.08, 127.68, -27.04), (0.14, 198.55, 13.46)) AS t(g, per_share, upside)",
+    "m_scenario_value": f"SELECT id, g, round({_VALUE.format(g='g')}, 2) AS per_share, round(({_VALUE.format(g='g')} / {_VALUE.format(g='own')} - 1) * 100.0, 2) AS upside FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice ELSE 5.0 END AS fcf, p_size / 100.0::DOUBLE AS own, unnest([0.03::DOUBLE, 0.08, 0.14]) AS g FROM part)",
     "m_ipo_issue": f"SELECT id, p AS fresh_pct, CASE WHEN p IS NULL THEN NULL WHEN p < 25 THEN 'mostly exit' WHEN p < 60 THEN 'mixed' ELSE 'mostly fresh' END AS reading FROM (SELECT id, fresh / nullif(fresh + ofs, 0) * 100.0 AS p FROM {_IPO_SQL})",
     "m_ipo_pe": f"SELECT id, low, high, CASE WHEN eps > 0 THEN low / eps END AS pe_low, CASE WHEN eps > 0 THEN high / eps END AS pe_high, (CASE WHEN eps > 0 THEN high / eps END / peer - 1) * 100.0 AS premium, CASE WHEN eps > 0 THEN eps * peer END AS at_peer FROM {_IPO_SQL}",
     "m_ipo_listing": f"SELECT id, high + gmp AS implied, move, high * lot * move AS lot_result FROM (SELECT *, unnest([gmp / high, 0.0::DOUBLE, -0.1::DOUBLE, -0.2::DOUBLE]) AS move FROM {_IPO_SQL} WHERE gmp IS NOT NULL)",
