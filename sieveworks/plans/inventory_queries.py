@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import basic as B
-from ..functions import calendars as C
-from ..functions import finance as N
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import web as W
-from ..operators import documents as D
 from ..operators import gates as G
 from ..operators import nutrition as P
 from ..operators import rank as R

@@ -83,9 +83,6 @@ def agg_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_part(spark, sf_dir).groupBy("id").agg(F.min_by("inventory", F.when(F.col("inventory").isNotNull(), F.col("year"))).alias("first_known"), F.max_by("revenue", "year").alias("last"), F.coalesce(F.sum("capex"), F.lit(0.0)).alias("capex"))
 
 
-_UNLOCKS = "SELECT l_partkey % 50 AS id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10)) AS date, l_quantity AS tokens FROM lineitem"
-
-
 def ts_unlocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("id"), F.when(F.col("l_linenumber") == 7, "soon").otherwise(F.col("l_shipdate").cast("date").cast("string")).alias("date"), F.col("l_quantity").alias("tokens"))
     tokens = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).alias("id")).agg(F.max("p_size").cast("double").alias("circulating"))

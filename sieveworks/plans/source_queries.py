@@ -6,7 +6,6 @@ import io
 import uuid
 import zipfile
 import zlib
-from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,7 +173,6 @@ def src_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, "id, item, quantity, price", _EXAMPLE)
 
 
-_REGION = "SELECT r_regionkey, r_name FROM region"
 QUERIES = {f.__name__: f for f in (src_csv, src_json_doc, src_text_file, src_folder, src_pdf_triage, src_negotiate, src_api_coin, src_api_search, doc_dispatch, snk_json, snk_csv_per_table, snk_failed, src_pdf_resume, str_content_stream, str_measure_text, src_html_file, src_jd_text, src_binary, snk_docx, lint_repo, src_example)}
 QUERIES["src_skill_md"] = src_front_matter  # the inventory's name of the step
 ORACLE_SQL = {
