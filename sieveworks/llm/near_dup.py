@@ -115,6 +115,10 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(linked, columns=["a", "b"]).astype("int64")
 
 
+#: Rows with one or two whole texts that a worker is given at a time.
+_PAIR_ROWS = 128
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, work: Stages, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The pairs whose full sets have the similarity, from whole texts. The pair list is broadcast up to
     ``broadcast_rows`` pairs, so that only texts of its documents are shuffled; beyond, all joins shuffle."""
@@ -126,7 +130,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, work: Stages, broadcast_rows: i
     right = texts.join(members, F.col("d") == F.col("b")).select("a", "b", F.col("text").alias("tb"))
     left = texts.join(F.broadcast(leaders) if few else leaders, F.col("d") == F.col("l")).select("l", F.col("text").alias("ta"))
     met = right.join(left.hint("merge"), F.col("a") == F.col("l")).select("a", "b", "ta", "tb")
-    return work(met.mapInPandas(_confirm, "a long, b long").distinct(), "confirmed")
+    return work(met.mapInPandas(_confirm, "a long, b long").distinct(), "confirmed", _PAIR_ROWS)
 
 
 def _forest(reps: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
@@ -235,7 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.filter("a < b and ca <> cb").select("a", "b").distinct()
     more = confirmed(estimated(pairs, reps), docs, work)
     if lists.filter(F.col("m") > _SHORT_LIST).limit(1).count():
-        more = more.unionByName(work(_long_lists(labelled, lists, docs), "block-links"))
+        more = more.unionByName(work(_long_lists(labelled, lists, docs), "block-links", _PAIR_ROWS))
     if more.limit(1).count():
         # Links of round one are stood for by their stars.
         comp = work(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")

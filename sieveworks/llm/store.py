@@ -62,8 +62,8 @@ class Stages:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths.append(write_table(df, name))
+    def __call__(self, df: DataFrame, name: str, batch_rows: int = _BATCH_ROWS) -> DataFrame:
+        self.paths.append(write_table(df, name, batch_rows))
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def drop(self) -> None:
