@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -187,6 +187,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 24_000, terms: int =
     return model
 
 
+def _predicted(model: ToxicityModel, texts: pd.Series, at_once: int = 512) -> np.ndarray:
+    """Scores of a batch, ``at_once`` texts at a time, so that a worker holds the terms of so many only."""
+    parts = [model.machine.predict(*model.rows(texts.iloc[k : k + at_once])) for k in range(0, len(texts), at_once)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id``, ``score``, ``predicted`` for each row of ``docs``; a null or empty text has the score
     of no terms. A very long text is read whole. Each row is scored by itself, so equal texts have equal
@@ -195,7 +201,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            p = model.machine.predict(*model.rows(pdf.text))
+            p = _predicted(model, pdf.text)
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
@@ -206,6 +212,6 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     @F.pandas_udf("int")
     def predicted(texts: pd.Series) -> pd.Series:
-        return pd.Series((model.machine.predict(*model.rows(texts)) >= 0.5).astype(np.int32))
+        return pd.Series((_predicted(model, texts) >= 0.5).astype(np.int32))
 
     return docs.filter(predicted(F.col("text")) == 0)
