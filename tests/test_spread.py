@@ -12,7 +12,7 @@ from sieveworks.functions import finance
 from sieveworks.operators.shared import spread
 
 SF = os.environ.get("SIEVEWORKS_SF", "/root/testdata/sf0.001")
-NAMES = ("fin_reverse_dcf", "str_styling_strip",)
+NAMES = ("fin_reverse_dcf", "str_styling_strip", "web_harvest",)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
