@@ -18,7 +18,7 @@ from ..sources import sinks as S
 from ..sources import table_functions as TF
 from ..sources import workbooks as K
 from ..streaming import alerts, late
-from .common import shared_folder, table
+from .common import shared_folder, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,7 +41,7 @@ def _table_pages(s: SparkSession, d: str) -> DataFrame:
         F.lit("<table><tr><th>brand<th>size</tr><tr><td>"), cell("p_brand"), F.lit("<td> "), cell("p_size"), F.lit(" </table><p>x</p><table><tr><th>name</th><td>"), cell("p_name"), F.lit("</td></tr><tr><th>type</th><td>"), cell("p_type"),
         F.lit("</td></tr></table><table><tr><td>"), cell("p_partkey"), F.lit("<table><tr><th>in &amp; out</table></td><td>"), cell("p_retailprice"), F.lit("</td></tr>"),
     )
-    return table(s, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return spread(table(s, d, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 _TABLES_SQL = """SELECT p_partkey AS page_id, t.* FROM part, LATERAL (VALUES
