@@ -174,7 +174,7 @@ def _written(s: SparkSession, sheets: list[tuple[str, DataFrame, list[str]]]) ->
     """A workbook in the shared folder, read again."""
     path = f"{shared_folder(s).removeprefix('file:')}/book-{uuid.uuid4().hex}.xlsx"
     K.write_workbook(s, path, sheets, frozenset({"o_clerk"}))
-    return K.read_workbooks(s.read.format("binaryFile").load(path).select("path", "content"), "path", "content")
+    return K.read_workbooks(s.read.format("binaryFile").load(path).select("path", "content"), "path", "content", [name for name, *_ in sheets])
 
 
 @_step("SELECT 'Orders' AS sheet, row_number() OVER (ORDER BY o_orderdate, o_orderkey)::INT AS place, concat_ws('|', o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE)) AS cells FROM orders UNION ALL SELECT 'Nations & regions', row_number() OVER (ORDER BY n_name)::INT, n_nationkey || '|' || n_name FROM nation UNION ALL SELECT 'Orders', 0, 'o_orderkey|o_custkey|o_orderstatus|day' UNION ALL SELECT 'Nations & regions', 0, 'n_nationkey|n_name' UNION ALL SELECT 'Empty', 0, 'n_name'")

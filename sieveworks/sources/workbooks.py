@@ -9,18 +9,22 @@ rows goes on in another of the same name and a number.
 
 from __future__ import annotations
 
+import gzip
 import io
 import os
+import re
 import shutil
 import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
+from itertools import chain, count, islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import quoteattr
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +40,7 @@ _TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
 _SHEET = "application/vnd.openxmlformats-officedocument.spreadsheetml."
 _HEAD, _TAIL = f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>'.encode(), b"</sheetData></worksheet>"
 SEGMENT_ROWS = 200_000
+CHUNK = 10_000
 ROWS = "sheet_no int, sheet string, xml string"
 
 
@@ -145,11 +150,12 @@ class WorkbookWriter(DataSourceArrowWriter):
         found = sorted((s for m in messages if m for s in m.segments), key=lambda s: (s.sheet_no, s.part))
         names: list[str] = []
         sheets: list[list[Segment]] = []
+        given = {h.split("\0", 1)[0] for h in self.headers.values()} | {s.sheet for s in found}
         for number in sorted({s.sheet_no for s in found} | set(self.headers)):
             own = [s for s in found if s.sheet_no == number]
             name = own[0].sheet if own else self.headers[number].split("\0", 1)[0]
-            for k, group in enumerate(_groups(own, self.most - 1)):
-                names.append(name if not k else f"{name[: MOST_NAME - len(str(k + 1)) - 3]} ({k + 1})")
+            for group, sheet in zip(_groups(own, self.most - 1), chain([name], continued(name, given))):
+                names.append(sheet)
                 sheets.append([number, *group])
         made = f"{self.path}.{uuid.uuid4().hex}"
         with open(made, "wb") as out:
@@ -167,6 +173,14 @@ class WorkbookWriter(DataSourceArrowWriter):
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
+def continued(name: str, given: Collection[str]) -> Iterator[str]:
+    """Names of the sheets that a full one goes on in: numbers from 2, without names that other tables have."""
+    for k in count(2):
+        found = f"{name[: MOST_NAME - len(str(k)) - 3]} ({k})"
+        if found not in given:
+            yield found
+
+
 def _groups(segments: list[Segment], most: int) -> list[list[Segment]]:
     groups: list[list[Segment]] = [[]]
     for s in segments:
@@ -274,26 +288,57 @@ def write_workbook(spark: SparkSession, path: str, sheets: list[tuple[str, DataF
     rows.write.format("workbook").options(path=path, mostrows=str(most_rows), **options).mode("overwrite").save()
 
 
-def _read(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
+_ROW = re.compile(rb"<row[\s/>]")
+
+
+def _sheets(content: bytes, tables: Collection[str]) -> Iterator[tuple[str, int, bytes]]:
+    """Name, rows of its table in the sheets before and packed XML of each sheet."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        base, before, names, expected = None, 0, iter(()), None
         for k, sheet in enumerate(book.iter(f"{{{_MAIN}}}sheet"), 1):
-            with z.open(f"xl/worksheets/sheet{k}.xml") as f:
-                number = 0
-                for _, row in ElementTree.iterparse(f):
-                    if row.tag == f"{{{_MAIN}}}row":
-                        yield sheet.get("name"), number, ["".join(x.text or "" for x in c.iter() if x.tag in (f"{{{_MAIN}}}t", f"{{{_MAIN}}}v")) for c in row]
-                        number += 1
-                        row.clear()
-
-
-class _Sheets:
-    def eval(self, content: bytes) -> Iterator[tuple]:
-        if content is not None:
-            yield from _read(bytes(content))
-
-
-def read_workbooks(files: DataFrame, key: str, content: str) -> DataFrame:
-    """key, sheet, place, cells of workbooks of inline texts and numbers (binary), one row at a time."""
-    rows = F.udtf(_Sheets, returnType="sheet string, place int, cells array<string>", useArrow=True)
-    return files.select(key, content).lateralJoin(rows(F.col(content).outer())).drop(content)
+            name, entry = sheet.get("name"), z.getinfo(f"xl/worksheets/sheet{k}.xml")
+            if base is None or name != expected:
+                base, before = name, 0
+                names = continued(name, tables) if name in tables else iter(())
+            expected = next(names, None)
+            with z.open(entry) as f:
+                xml = f.read()
+            yield base, before, gzip.compress(xml, 1)
+            if expected is not None:
+                before += len(_ROW.findall(xml)) - 1
+
+
+def _rows(packed: bytes) -> Iterator[list[str]]:
+    sheet = None
+    for event, node in ElementTree.iterparse(gzip.GzipFile(fileobj=io.BytesIO(packed)), ("start", "end")):
+        if event == "start" and node.tag == f"{{{_MAIN}}}sheetData":
+            sheet = node
+        elif event == "end" and node.tag == f"{{{_MAIN}}}row":
+            yield ["".join(x.text or "" for x in c.iter() if x.tag in (f"{{{_MAIN}}}t", f"{{{_MAIN}}}v")) for c in node]
+            sheet.clear()
+
+
+def read_workbooks(files: DataFrame, key: str, content: str, tables: Collection[str] = ()) -> DataFrame:
+    """key, sheet, place, cells of workbooks of inline texts and numbers (binary): a task a file parts its sheets, which
+    are read by tasks, ``CHUNK`` rows at a time. Sheets that one of ``tables``, the names that were written, goes on in
+    are read as one: places go on too, and the header is that of the first."""
+    kind, tables = files.schema[key].dataType.simpleString(), frozenset(tables)
+
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, data in zip(pdf[key], pdf[content]):
+                if data is not None:
+                    for sheet in _sheets(bytes(data), tables):
+                        yield pd.DataFrame([(k, *sheet)], columns=[key, "sheet", "before", "xml"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, sheet, before, packed in zip(pdf[key], pdf["sheet"], pdf["before"], pdf["xml"]):
+                rows = ((k, sheet, before + place, cells) for place, cells in enumerate(_rows(packed)) if place or not before)
+                while chunk := list(islice(rows, CHUNK)):
+                    yield pd.DataFrame(chunk, columns=[key, "sheet", "place", "cells"])
+
+    sheets = files.select(key, content).mapInPandas(parted, f"`{key}` {kind}, sheet string, before int, xml binary")
+    sheets = sheets.repartition(files.sparkSession.sparkContext.defaultParallelism)
+    return sheets.mapInPandas(read, f"`{key}` {kind}, sheet string, place int, cells array<string>")

@@ -50,6 +50,19 @@ def test_a_sheet_that_is_full_goes_on_in_another(spark, tmp_path):
         assert own == list(range(own[0], own[0] + len(own))) and len(own) <= 40
 
 
+def test_sheets_of_one_table_are_read_as_one(spark, tmp_path):
+    path = str(tmp_path / "book.xlsx")
+    one = spark.range(1).select(F.lit("other").alias("id"))
+    workbooks.write_workbook(spark, path, [("A", spark.range(95), ["id"]), ("A (2)", one, ["id"]), ("B", one.filter("false"), ["id"])], most_rows=41)
+    files = spark.read.format("binaryFile").load(path)
+    rows = {}
+    for r in workbooks.read_workbooks(files, "path", "content", ["A", "A (2)", "B"]).collect():
+        rows.setdefault(r.sheet, []).append((r.place, *r.cells))
+    assert sorted(rows["A"]) == [(0, "id"), *((k + 1, str(k)) for k in range(95))]
+    assert sorted(rows["A (2)"]) == [(0, "id"), (1, "other")] and rows["B"] == [(0, "id")]
+    assert len({r.sheet for r in workbooks.read_workbooks(files, "path", "content").collect()}) >= 5
+
+
 def test_limits_are_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="31"):
         workbooks.write_workbook(spark, str(tmp_path / "b"), [("x" * 32, spark.range(1), ["id"])])
