@@ -34,9 +34,11 @@ def walk(docs: DataFrame, id_column: str, variant: str) -> DataFrame:
     key itself, so keys that hold a dot stay whole. A null variant has no leaves. Each document is walked in the task
     that reads it, and its leaves leave it ``CHUNK`` at a time. A document nested deeper than the parser follows
     (some thousands of levels) is one row with a null path and pos -1."""
-    rows = docs.select(F.col(id_column).alias("id"), F.to_json(variant).alias("json")).filter("json is not null")
+    rows = docs.select(F.col(id_column).alias("id"), F.to_json(variant).alias("json"))
 
-    def leaves(i: object, text: str) -> Iterator[tuple]:
+    def leaves(i: object, text: str | None) -> Iterator[tuple]:
+        if text is None:  # not a filter: that would be moved before the exchange that deals the documents
+            return
         try:
             for pos, leaf in enumerate(leaves_of(text)):
                 yield (i, pos, *leaf)
