@@ -63,11 +63,16 @@ def a_table_shape(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("page_id", "table_no").agg(F.first("orientation").alias("orientation"), wide.alias("columns"), F.count("row_no").alias("rows"))
 
 
+#: Texts a task, where files are made of them: a worker holds a batch of rows with all that is made of it, and a batch
+#: is no larger than the task.
+FILE_ROWS = 1_000
+
+
 # Text documents written from documents.
 @_step("SELECT doc_id, CAST(unnest(range(0, len(r))) AS INT) AS pos, md5(unnest(r)) AS md5 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS r FROM documents)")
 def src_docx(s: SparkSession, d: str) -> DataFrame:
     """Documents as DOCX files, and their paragraphs by a table function."""
-    made = S.docx_files(table(s, d, "documents").select(F.col("doc_id").alias("path"), "text"))
+    made = S.docx_files(spread(table(s, d, "documents"), "doc_id", rows=FILE_ROWS).select(F.col("doc_id").alias("path"), "text"))
     rows = TF.paragraphs_of(made, "path", "content")
     return rows.select(F.col("path").alias("doc_id"), "pos", F.md5("text").alias("md5"))
 
