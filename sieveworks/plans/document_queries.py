@@ -113,7 +113,7 @@ def pdf_files(texts: DataFrame, key: str, text: str) -> DataFrame:
 @_step(f"SELECT doc_id, (p + 1)::INT AS page, md5(trim(regexp_replace(array_to_string(r[p * {PAGE_LINES} + 1:(p + 1) * {PAGE_LINES}], chr(10)), '\\n+', chr(10), 'g'), chr(10))) AS md5 FROM (SELECT doc_id, r, unnest(range(0, (len(r) + {PAGE_LINES - 1}) // {PAGE_LINES})) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS r FROM documents))")
 def src_pdf_text(s: SparkSession, d: str) -> DataFrame:
     """Documents as PDF files, and the text of their pages by a table function."""
-    rows = TF.pages_of(pdf_files(table(s, d, "documents"), "doc_id", "text"), "doc_id", "content")
+    rows = TF.pages_of(pdf_files(spread(table(s, d, "documents"), "doc_id", rows=FILE_ROWS), "doc_id", "text"), "doc_id", "content")
     return rows.select("doc_id", "page", F.md5("text").alias("md5"))
 
 
