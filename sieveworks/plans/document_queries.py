@@ -122,8 +122,15 @@ def _sent(pages: pd.Series, kinds: pd.Series) -> pd.Series:
     out = []
     for html, kind in zip(pages, kinds):
         raw = (html or "").encode()
-        packed = gzip.compress(raw, 6, mtime=0)
-        out.append((raw, packed, zlib.compress(raw), zlib.compress(raw, 6, -15), (html or "").encode("latin-1", "replace"), packed[: len(packed) // 2], gzip.compress(zlib.compress(raw), 6, mtime=0))[kind])
+        if kind in (1, 5):
+            packed = gzip.compress(raw, 6, mtime=0)
+            out.append(packed if kind == 1 else packed[: len(packed) // 2])
+        elif kind in (2, 3):
+            out.append(zlib.compress(raw, 6, 15 if kind == 2 else -15))
+        elif kind == 6:
+            out.append(gzip.compress(zlib.compress(raw), 6, mtime=0))
+        else:
+            out.append(raw if kind == 0 else (html or "").encode("latin-1", "replace"))
     return pd.Series(out)
 
 
@@ -131,7 +138,7 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     kind = (F.col("page_id") % 7).cast("int")
     name = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), kind + 1)
     body = F.pandas_udf(_sent, "binary")("html", kind)
-    return table(s, d, "pages").select("page_id", body.alias("body"), name((None, "gzip", "deflate", "Deflate", "identity", "x-gzip", "deflate, gzip")).alias("encoding"), name(("text/html", "text/html; charset=UTF-8", None, "text/html; charset=nonsense", 'text/html; charset="iso-8859-1"', "text/html", "text/html")).alias("content_type"))
+    return spread(table(s, d, "pages"), "page_id", rows=FILE_ROWS).select("page_id", body.alias("body"), name((None, "gzip", "deflate", "Deflate", "identity", "x-gzip", "deflate, gzip")).alias("encoding"), name(("text/html", "text/html; charset=UTF-8", None, "text/html; charset=nonsense", 'text/html; charset="iso-8859-1"', "text/html", "text/html")).alias("content_type"))
 
 
 @_step("SELECT page_id, CASE WHEN page_id % 7 <> 5 THEN md5(CASE WHEN page_id % 7 = 4 THEN regexp_replace(html, '[^\\x00-\\xFF]', '?', 'g') ELSE html END) END AS md5, CASE WHEN page_id % 7 = 5 THEN NULL WHEN page_id % 7 = 4 THEN 'iso-8859-1' ELSE 'utf-8' END AS charset, CASE WHEN page_id % 7 = 5 THEN 'cut off' END AS error FROM pages")
