@@ -12,7 +12,7 @@ from sieveworks.functions import finance
 from sieveworks.operators.shared import spread
 
 SF = os.environ.get("SIEVEWORKS_SF", "/root/testdata/sf0.001")
-NAMES = ("fin_reverse_dcf", "str_styling_strip", "web_harvest", "web_tables", "agg_hier_plan", "j_walk", "src_docx", "src_pdf_text", "src_body", "a_table_shape", "m_dcf_solve", "agg_summary_counts", "plan_check", "flt_value_match", "web_js_state", "flt_key_match", "agg_count_if", "agg_max_default", "join_targets",)
+NAMES = ("fin_reverse_dcf", "str_styling_strip", "web_harvest", "web_tables", "agg_hier_plan", "j_walk", "src_docx", "src_pdf_text", "src_body", "a_table_shape", "m_dcf_solve", "agg_summary_counts", "plan_check", "flt_value_match", "web_js_state", "flt_key_match", "agg_count_if", "agg_max_default", "join_targets", "j_lenient",)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
