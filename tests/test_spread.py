@@ -31,3 +31,10 @@ def test_implied_growth_of_a_batch(spark):
         g = finance.implied_growth(F.col("v"), F.col("f"), F.col("d"), F.lit(0.025), 7, fade=fade)
         found = {r.id: r for r in rows.withColumn("g", g).withColumn("back", finance.present_value(F.col("f"), F.col("g"), F.col("d"), F.lit(0.025), 7, fade=fade)).collect()}
         assert [k for k in sorted(found) if found[k].g is not None] == [1] and abs(found[1].back - 100.0) < 1e-9
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pages_of_every_selector_are_dealt(spark):
+    from sieveworks.plans import web_queries
+
+    assert web_queries._product_pages(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
