@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sieveworks import registry
-from sieveworks.functions import finance
+from sieveworks.functions import automata, finance
 from sieveworks.operators.shared import spread
 
 SF = os.environ.get("SIEVEWORKS_SF", "/root/testdata/sf0.001")
@@ -39,3 +40,22 @@ def test_pages_of_every_selector_are_dealt(spark):
     from sieveworks.plans import web_queries
 
     assert web_queries._product_pages(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_page_is_parsed_once_for_all_selectors(monkeypatch):
+    pages = ["<div class='card x'><span class=price>1</span><p id=a><b>2</b></div><span class=price>", None, "", "<ul><li><li></ul>"]
+    wanted = ["div.card .price", "div > span", None, "ul li", ".price", "", "#a b"]
+    parse, seen = automata._parsed, []
+    monkeypatch.setattr(automata, "_parsed", lambda parser, text: seen.append(text) or parse(parser, text))
+    found = automata._selector_counts(pd.Series(pages), pd.Series([wanted] * 3 + [["div > p", None]]))
+    assert seen == pages[:3] and list(found) == [[1, None, None, 0, 2, None, 1], [0, None, None, 0, 0, None, 0], [0, None, None, 0, 0, None, 0], [None, None]]
+    for html in pages:
+        alone = [None if pd.isna(n) else int(n) for n in automata._selector_count(pd.Series([html] * len(wanted)), pd.Series(wanted, dtype=object))]
+        assert alone == automata._selector_counts(pd.Series([html]), pd.Series([wanted])).iloc[0]
+    assert list(automata._selector_counts(pd.Series(pages[:1]), pd.Series([None]))) == [None]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pages_are_not_repeated_for_each_selector(spark):
+    plan = registry.QUERIES["web_selector_count"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("ArrowEvalPython")  # rows are multiplied above, after the parsing
