@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -59,3 +60,23 @@ def test_a_page_is_parsed_once_for_all_selectors(monkeypatch):
 def test_pages_are_not_repeated_for_each_selector(spark):
     plan = registry.QUERIES["web_selector_count"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("ArrowEvalPython")  # rows are multiplied above, after the parsing
+
+
+def test_items_and_tables_are_those_of_passes_of_their_own(monkeypatch):
+    rng = random.Random(3)
+    tokens = ["<table>", "<tr>", "<td>", "<th>", "</td>", "</tr>", "</table>", "<div itemscope itemtype='x/Y'>", "<b itemprop=name>", "</b>", "</div>", "<meta itemprop=size content=3>", "<br/>", "<div itemscope itemprop=own />", "t &amp; é", "<script>'</td><td>'</script>", "<!-- <td> -->", "</br>", "<td"]
+    pages = pd.Series(["".join(rng.choice(tokens) for _ in range(rng.randrange(0, 60))) for _ in range(300)] + [None, "", "<table>" * 500])
+    items, tables = automata._microdata(pages), automata._tables(pages)
+    parse, seen = automata._parsed, []
+    monkeypatch.setattr(automata, "_parsed", lambda parser, text: seen.append(text) or parse(parser, text))
+    both = automata._items_and_tables(pages)
+    assert list(both["items"]) == list(items) and list(both["tables"]) == list(tables) and len(seen) == len(pages)
+    assert automata._items_and_tables(pages[:0]).shape == (0, 2)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["web_harvest", "agg_summary_counts"])
+def test_a_harvest_parses_a_page_once(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    evaluated = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(evaluated) == 1 and evaluated[0].split("], [")[0].count("(html#") == 1
