@@ -1,8 +1,9 @@
 """Token ids in a content-addressed store.
 
 Encoding. Texts are encoded with the tokenizers library. A space between two characters that are no
-white space always begins a pre-token, so a text is cut there and pieces are encoded once and looked
-up afterwards; the pieces' ids joined are the ids of the whole text.
+white space always begins a pre-token, as does a line feed after such a character, so a text is cut
+there and pieces are encoded once; the pieces' ids joined are the ids of the whole text. Texts are
+cut, pieces numbered and their ids joined by Arrow, so Python sees only the pieces that are new.
 
 Store. A rolling hash over the last 16 ids cuts each document's ids into chunks, so equal stretches in
 different documents give equal chunks. A chunk is named by its digest and stored once, by its first
@@ -32,18 +33,25 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from codecs import charmap_decode
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import drop_path, new_path, write_parquet, write_table
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_CACHE_PIECES = 250_000  # twice: those in use, and the last ones before
+_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n)")
+_KNOWN_PIECES, _KNOWN_BYTES, _KNOWN_WORDS = 600_000, 1 << 25, 500_000
+#: Bytes of text that are encoded at once.
+_PORTION = 1 << 24
+#: Ids whose chunks are sought at once.
+_GROUP = 1 << 18
 _WINDOW, _MIN, _MAX, _MASK = 16, 64, 2048, 0xFF
 _DIGEST = 16
 
@@ -52,8 +60,12 @@ class Encoder:
     """Encodes texts to id arrays; one per worker process and vocabulary file.
 
     A new piece that is letters and closing marks is itself parted into its pre-tokens, and the library's
-    model encodes each once; any other new piece goes through the whole tokenizer. That a vocabulary
-    parts texts in this way is tried when it is loaded; if it doesn't, texts go through it whole."""
+    model encodes each; any other new piece goes through the whole tokenizer. That a vocabulary
+    parts texts in this way is tried when it is loaded; if it doesn't, texts go through it whole.
+
+    ``known`` are pieces, ``values`` their ids. A piece that begins with a line feed stands for itself, any
+    other for a space and itself. ``odd`` are those that a cut at every space and line feed must not
+    give: empty ones and such with white space at an end."""
 
     _made: dict[str, Encoder] = {}
 
@@ -67,20 +79,19 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 65536 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
+        self.words: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
         # Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
-        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.begins = np.zeros(max(tokens.values(), default=0) + 1, dtype=bool)
-        self.begins[[k for t, k in tokens.items() if t.startswith(chr(self.letters[32]))]] = True
-        trial = " a don't, über. 12%% x\ny;\n\n  z\t(q) ñandú!? \u3000w £5 a\u0301 "
+        letters = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self.shown = "".join(chr(letters[b]) for b in range(256))
+        self.tokenize = self.tokenizer.model.tokenize
+        trial = " a don't, über. 12%% x\ny;\n\n  z\t(q) ñandú!? \u3000w £5 a\u0301\nb.\n"
         self.parted = True
         self.parted = sys.byteorder == "little" and self.encode([trial, trial[1:], ""]) == self._whole([trial, trial[1:], ""])
-        self.pieces.clear()
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -92,93 +103,116 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def _forget(self) -> None:
+        self.known, self.values, self.odd = pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, dtype=bool)
+
+    def _keep(self, numbers: np.ndarray) -> None:
+        """Forgets all but these pieces, and them too if they are long."""
+        used = np.zeros(len(self.known), dtype=bool)
+        used[numbers] = True
+        self.known, self.values, self.odd = self.known.filter(pa.array(used)), self.values.filter(pa.array(used)), self.odd[used]
+        if len(self.known) > _KNOWN_PIECES or self.known.nbytes > _KNOWN_BYTES:
+            self._forget()
+
     def _pretoken(self, text: str) -> bytes:
-        found = self.pretokens.get(text)
+        shown = charmap_decode(text.encode(), None, self.shown)[0]
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def _solid(self, lead: str, piece: str) -> bytes | None:
+        """The ids of letters with closing marks; null for any other piece. What is a letter is old and settled in
+        the alphabets up to U+0530."""
+        core = piece.rstrip(string.punctuation)
+        if not core.isalpha() or not (core.isascii() or max(core) < "\u0530"):
+            return None
+        ids = self.words.get(core) if lead else None
+        if ids is None:
+            ids = self._pretoken(lead + core)
+            if lead:
+                self.words[core] = ids
+        if len(core) == len(piece):
+            return ids
+        marks = piece[len(core) :]
+        found = self.pretokens.get(marks)
         if found is None:
-            tokens = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-            found = self.pretokens[text] = array(self.code, [t.id for t in tokens]).tobytes()
-        return found
+            found = self.pretokens[marks] = self._pretoken(marks)
+        return ids + found
 
-    def _lines(self, lead: str, piece: str) -> bytes | None:
-        """Lines of letters with closing marks; null for any other piece."""
-        out = []
-        for line in piece.split("\n"):
-            core = line.rstrip(string.punctuation)
-            if not core.isalpha():
-                return None
-            if out:
-                out.append(self._pretoken("\n"))
-                lead = ""
-            out.append(self._pretoken(lead + core))
-            if len(core) < len(line):
-                out.append(self._pretoken(line[len(core) :]))
-        return b"".join(out)
-
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters, each with a space before it: all are encoded as one text, which is
-        parted again where a token begins with the space."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        heads = np.flatnonzero(self.begins[ids])
-        if len(heads) != len(words):
-            return self._whole([" " + w for w in words])
-        data, w = ids.tobytes(), self.dtype.itemsize
-        ends = [*(heads[1:] * w).tolist(), len(data)]
-        return [data[a:b] for a, b in zip((heads * w).tolist(), ends)]
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Adds pieces that follow a space."""
-        known = self.pieces
-        plain, others = set(), []
-        for piece in pieces:
-            (plain.add if piece.isalpha() else others.append)(piece)
-        cores = [p.rstrip(string.punctuation) for p in others]
-        plain.update(c for c in cores if c not in known and c.isalpha())
-        if plain:
-            new = list(plain)
-            known.update(zip(new, self._spaced(new)))
-        rest = []
-        for piece, core in zip(others, cores):
-            if core.isalpha():
-                known[piece] = known[core] + self._pretoken(piece[len(core) :])
-                continue
-            ids = self._lines(" ", piece) if "\n" in piece else None
-            if ids is None:
-                rest.append(piece)
+    def _learn(self, pieces: Sequence[str]) -> None:
+        """Adds the ids of pieces to ``values``, and which are odd."""
+        if len(self.words) > _KNOWN_WORDS:
+            self.words.clear()
+            self.pretokens.clear()
+        feed, lead, words, tokenize, code, out, rest = self._pretoken("\n"), self.shown[32], self.words, self.tokenize, self.code, [], []
+        for k, piece in enumerate(pieces):
+            if piece.isalpha() and piece.isascii():
+                ids = words.get(piece)
+                if ids is None:
+                    ids = words[piece] = array(code, [t.id for t in tokenize(lead + piece)]).tobytes()
+            elif piece[:1] == "\n":
+                ids = self._solid("", piece[1:])
+                ids = None if ids is None else feed + ids
             else:
-                known[piece] = ids
-        known.update(zip(rest, self._whole([" " + p for p in rest])))
+                ids = self._solid(" ", piece)
+            if ids is None:
+                rest.append(k)
+            out.append(ids)
+        for k, ids in zip(rest, self._whole([pieces[k] if pieces[k][:1] == "\n" else " " + pieces[k] for k in rest])):
+            out[k] = ids
+        odd = np.zeros(len(out), dtype=bool)
+        odd[[k for k in rest if not (p := pieces[k]) or p[-1].isspace() or (p[0] != "\n" and p[0].isspace())]] = True
+        self.values = pa.concat_arrays([self.values, pa.array(out, pa.binary())])
+        self.odd = np.concatenate([self.odd, odd])
 
     def _heads(self, pieces: list[str]) -> dict[str, bytes]:
         """Pieces that begin a text."""
-        found = {p: self._lines("", p) for p in pieces}
+        found = {p: self._solid("", p) for p in pieces}
         rest = [p for p, ids in found.items() if ids is None]
         return found | dict(zip(rest, self._whole(rest)))
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The places of pieces in ``known``; new ones are learned."""
+        n = len(self.known)
+        both = pa.concat_arrays([self.known, pieces]).dictionary_encode()
+        new = both.dictionary[n:].to_numpy(zero_copy_only=False).tolist()
+        if new:
+            self.known = both.dictionary
+            self._learn(new)
+        return both.indices.to_numpy()[n:]
+
+    def _joined(self, numbers: np.ndarray, starts: np.ndarray, heads: list[str]) -> list[bytes]:
+        """The ids of texts whose pieces begin at ``starts``; the first of each has no space before it."""
+        first = self._heads(list(dict.fromkeys(heads)))
+        place = {p: len(self.values) + k for k, p in enumerate(first)}
+        numbers = numbers.copy()
+        numbers[starts[:-1]] = [place[p] for p in heads]
+        found = pa.concat_arrays([self.values, pa.array(list(first.values()), pa.binary())]).take(pa.array(numbers))
+        _, offsets, data = found.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int32)[starts].tolist()
+        data = data.to_pybytes() if data is not None else b""
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def encode(self, texts: Sequence[str] | pa.Array) -> list[bytes]:
         """The ids of each text, as bytes."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
         if not self.parted:
-            return self._whole(list(texts))
-        if len(self.pieces) > _CACHE_PIECES:
-            self.older, self.pieces = self.pieces, {}
-            self.pretokens.clear()
-        rows = [text.split(" ") for text in texts]
-        new = set().union(*rows).difference(self.pieces)
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:  # white space beside the space: cut those texts only where both sides are solid
-            for k, parts in enumerate(rows):
-                if not odd.isdisjoint(parts):
-                    rows[k] = _CUT.split(texts[k])
-            new = set().union(*rows).difference(self.pieces)
-        heads = {parts[0] for parts in rows}
-        first = self._heads(list(heads))
-        again = new.intersection(self.older)
-        self.pieces.update(zip(again, map(self.older.__getitem__, again)))
-        self._learn(p for p in new.difference(again) if p and not p[0].isspace())
-        get, out = self.pieces.__getitem__, []
-        for parts in rows:
-            head = first[parts[0]]
-            del parts[0]
-            out.append(head + b"".join(map(get, parts)))
+            return self._whole(texts.to_pylist())
+        if not len(texts):
+            return []
+        rows = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts, pieces = rows.offsets.to_numpy(), rows.flatten()
+        numbers = self._numbers(pieces)
+        out = self._joined(numbers, starts, pieces.take(pa.array(starts[:-1])).to_pylist())
+        odd = self.odd[numbers]
+        if odd.any():  # white space beside white space: cut those texts only where the side before, or both, are solid
+            again = np.flatnonzero(np.logical_or.reduceat(odd, starts[:-1]))
+            parts = [_CUT.split(t) for t in texts.take(pa.array(again)).to_pylist()]
+            more = self._numbers(pa.array([p for x in parts for p in x], pa.string()))
+            numbers = np.concatenate([numbers, more])
+            for k, ids in zip(again.tolist(), self._joined(more, np.cumsum([0, *map(len, parts)]), [x[0] for x in parts])):
+                out[k] = ids
+        if len(self.known) > _KNOWN_PIECES or self.known.nbytes > _KNOWN_BYTES:
+            self._keep(numbers)
         return out
 
 
@@ -191,7 +225,7 @@ def cuts(ids: np.ndarray, sizes: Sequence[int] | None = None) -> list[list[int]]
     before, and at its end. (No chunk ends in a document's first 63 ids, so no hash reaches into the one before.)"""
     n = len(ids)
     with np.errstate(over="ignore"):
-        gear = _GEAR[ids & 0xFFFF] * (np.uint64(1) + (ids.astype(np.uint64) >> np.uint64(16)))
+        gear = _GEAR[ids] if ids.dtype.itemsize == 2 else _GEAR[ids & 0xFFFF] * (np.uint64(1) + (ids.astype(np.uint64) >> np.uint64(16)))
         rolled = gear
         for k in (1, 2, 4, 8):  # sums over 2, 4, 8 and 16 ids, each id shifted by its age
             more = rolled.copy()
@@ -296,20 +330,26 @@ _DOCS = "doc_id long, shard int, at long, n_tokens long, recipe binary, own bina
 
 
 def _encode(path: str, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         end, w = np.array([end_id], dtype=encoder.dtype).tobytes(), encoder.dtype.itemsize
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                rows = []
-                coded = [data + end for data in encoder.encode([t or "" for t in part.text])]
-                chunks = cuts(np.frombuffer(b"".join(coded), dtype=encoder.dtype), [len(data) // w for data in coded])
-                for doc_id, data, bounds in zip(part.doc_id, coded, chunks):
-                    begins = [0, *bounds[:-1]]
-                    names = b"".join(digest(data[a * w : b * w]) for a, b in zip(begins, bounds))
-                    rows.append((doc_id, len(data) // w, data, np.diff([0, *bounds]).astype("<u4").tobytes(), names))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "lens", "digests"])
+        for batch in batches:
+            every = pc.fill_null(batch.column(1), "")
+            last = np.cumsum(pc.binary_length(every).to_numpy(zero_copy_only=False), dtype=np.int64) // _PORTION
+            bounds = [0, *(np.flatnonzero(np.diff(last)) + 1).tolist(), len(every)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                coded = [data + end for data in encoder.encode(every[lo:hi])]
+                sizes = [len(data) // w for data in coded]
+                lens, digests, k = [], [], 0
+                for group in np.split(np.array(sizes, dtype=np.int64), np.flatnonzero(np.diff(np.cumsum(sizes) // _GROUP)) + 1):
+                    part = coded[k : k + len(group)]
+                    k += len(group)
+                    for data, found in zip(part, cuts(np.frombuffer(b"".join(part), dtype=encoder.dtype), group)):
+                        begins = [0, *found[:-1]]
+                        digests.append(b"".join([digest(data[a * w : b * w]) for a, b in zip(begins, found)]))
+                        lens.append(array("I", [b - a for a, b in zip(begins, found)]).tobytes())
+                binary = [pa.array(x, pa.binary()) for x in (coded, lens, digests)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sizes, pa.int64()), *binary], names=["doc_id", "n_tokens", "ids", "lens", "digests"])
 
     return run
 
@@ -352,7 +392,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shards: i
     spark = docs.sparkSession
     encoder = Encoder.of(tokenizer_path)
     wide = encoder.dtype.itemsize
-    raw = write_table(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_encode(tokenizer_path, end_id), _ENCODED).withColumn("row", F.monotonically_increasing_id()), "ids")
+    raw = write_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(tokenizer_path, end_id), _ENCODED).withColumn("row", F.monotonically_increasing_id()), "ids")
     encoded = spark.read.parquet(raw)
 
     # Which chunks stand more than once, and which of their places is the first: names only.

@@ -360,6 +360,39 @@ def test_encoder_is_the_library():
         assert [np.frombuffer(x, dtype="<u2").tolist() for x in own.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_learns_a_piece_once(monkeypatch):
+    own, seen = token_store.Encoder(VOCABULARY), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda pieces: seen.extend(pieces) or learn(pieces))
+    texts = ["One two.\nThree four,\n\nfive  six \n x\x1c y", "two.\nThree <|endoftext|> één. \n", "\n", "", "four,\nThree 12 it's"]
+    for _ in range(2):
+        assert own.encode(texts) == own._whole(texts)
+    assert len(seen) == len(set(seen)) and {"two.", "\nThree", "four,"} <= set(seen) and "two.\nThree" not in seen
+    monkeypatch.setattr(token_store, "_KNOWN_PIECES", 3)
+    monkeypatch.setattr(token_store, "_KNOWN_WORDS", 2)
+    for k in range(5):  # pieces are forgotten and learned again
+        more = [t + f" {k} a{'bc'[k % 2]}" for t in texts[k:]]
+        assert own.encode(more) == own._whole(more)
+    assert own.encode([]) == []
+
+
+def test_encoded_rows_in_portions(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_store, "_PORTION", 20)
+    monkeypatch.setattr(token_store, "_GROUP", 30)
+    texts = ["a word", None, "x" * 100, "", " ".join(f"w{k}" for k in range(300)), "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None, 4, 5, 6]), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(token_store._encode(VOCABULARY, 2)(iter([batch, batch[:0]]))).to_pylist()
+    own = token_store.Encoder.of(VOCABULARY)
+    ids = [own._whole([t or ""])[0] + b"\x02\x00" for t in texts]
+    assert [(r["doc_id"], r["ids"], r["n_tokens"]) for r in rows] == [(d, x, len(x) // 2) for d, x in zip([1, 2, None, 4, 5, 6], ids)]
+    for r in rows:
+        ends = token_store.cuts(np.frombuffer(r["ids"], dtype="<u2"))[0]
+        assert np.cumsum(np.frombuffer(r["lens"], dtype="<u4")).tolist() == ends
+        assert r["digests"] == b"".join(token_store.digest(r["ids"][2 * a : 2 * b]) for a, b in zip([0, *ends], ends))
+
+
 def test_token_store_round_trip(spark):
     from tokenizers import Tokenizer
 
