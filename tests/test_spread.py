@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import random
 
@@ -74,6 +75,22 @@ def test_items_and_tables_are_those_of_passes_of_their_own(monkeypatch):
     assert automata._items_and_tables(pages[:0]).shape == (0, 2)
 
 
+def test_counts_of_items_and_tables_are_the_sizes():
+    rng = random.Random(4)
+    tokens = ["<table>", "<tr>", "<td>", "<th/>", "</td>", "</tr>", "</table>", "<div itemscope itemtype='x/Y'>", "<b itemprop=name>", "</b>", "</div>", "<p itemscope itemprop>", "<meta itemscope itemprop=size>", "<br/>", "<DIV ItemScope itemprop=own itemprop=''>", "<div itemscope itemprop=own />", "<td itemscope itemprop=a>", "t &amp; é", "<script>'</td><td>'</script>", "<!-- <td> -->", "</br>", "<td"]
+    pages = pd.Series(["".join(rng.choice(tokens) for _ in range(rng.randrange(0, 60))) for _ in range(1000)] + [None, "", "<table><td>" * 500])
+    both, counts = automata._items_and_tables(pages), automata._items_and_tables_counts(pages)
+    for kind in ("items", "tables"):
+        assert counts[kind].tolist() == [len(json.loads(x)) for x in both[kind]] and counts[kind].max() > 3
+    assert automata._items_and_tables_counts(pages[:0]).shape == (0, 2)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["web_harvest", "agg_summary_counts"])
+def test_what_is_only_counted_is_not_written_as_json(spark, name):
+    assert "from_json" not in registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", ["web_harvest", "agg_summary_counts"])
 def test_a_harvest_parses_a_page_once(spark, name):
