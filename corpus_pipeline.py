@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveworks.llm import decontam, mixing, near_dup, token_store, toxicity
-from sieveworks.llm.store import new_path
+from sieveworks.llm.store import new_path, stage
+
+#: Rows with a whole text that a worker is given at a time. Workers live on from stage to stage with all the memory that
+#: their largest batch took.
+TEXT_ROWS = 256
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the factorization machine rejects go. Null and empty texts have no term and stay; without
     labelled rows all stay; rows with a null doc_id, repeated rows and very long texts are judged each by
     its whole text. An empty table stays empty, other columns pass through."""
-    return toxicity.drop_toxic(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return stage(toxicity.drop_toxic(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))), "clean", TEXT_ROWS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +65,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. The stages' tables stay in the shared folder."""
     docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, step in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -115,8 +115,8 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(linked, columns=["a", "b"]).astype("int64")
 
 
-#: Rows with one or two whole texts that a worker is given at a time.
-_PAIR_ROWS = 128
+#: Rows with one and with two whole texts that a worker is given at a time.
+_TEXT_ROWS, _PAIR_ROWS = 256, 128
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, work: Stages, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id and text are read.
     """
     work = Stages(docs.sparkSession)
-    found = stage(profiles(docs), "profiles")
+    found = stage(profiles(docs), "profiles", _TEXT_ROWS)
     some = found.filter("n_shingles > 0")
     classes = work(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
     reps = classes.select("rep", "n", "sketch")

@@ -201,6 +201,12 @@ def test_a_very_long_text_has_its_copy(spark):
     assert got == {4: (199_996, 2), 2: (199_997, 2), 3: (1, 3)}
 
 
+def test_workers_are_given_few_whole_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "shingle_sets", lambda texts: (np.arange(len(texts)) for _ in texts))  # a set as large as the batch
+    docs = spark.range(1_500).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    assert near_dup.near_duplicates(docs).agg({"n_shingles": "max"}).first()[0] <= 256
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(4)
     a = rng.normal(size=(200, 48)) * rng.lognormal(size=(200, 1))

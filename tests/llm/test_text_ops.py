@@ -716,3 +716,26 @@ def test_pipeline_takes_rows_of_every_kind(spark, tmp_path):
             if expect and stage == "mixing":
                 assert not {1, 2, 3} & set(ids) and 4 in ids
         assert bool(ids) == expect and at.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_gives_workers_few_whole_texts_at_a_time(spark, tmp_path, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    class Crowded:
+        """Rejects all texts of a batch of more than 256."""
+
+        @property
+        def machine(self):
+            return self
+
+        def rows(self, texts):
+            return (len(texts),)
+
+        def predict(self, n):
+            return np.full(n, float(n > 256))
+
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: Crowded())
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.range(1_500).selectExpr("id AS doc_id", "concat('text ', id) AS text", "id AS other").coalesce(1)
+    kept = corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == 1_500
